@@ -1,0 +1,40 @@
+"""Group-relative advantages: each rollout's score against its prompt's other rollouts.
+
+All estimators share one window specification, so one exchange on the group serves every column.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+EPSILON = 1e-6
+
+
+def group_normalized(score: Column, group: Column, *, by_std: bool = True, epsilon: float = EPSILON) -> Column:
+    """(score - mean) / (sample deviation + epsilon) within the group; a group of one keeps score / (1 + epsilon)."""
+    w = Window.partitionBy(group)
+    one = F.count(score).over(w) <= 1
+    mean = F.when(one, 0.0).otherwise(F.avg(score).over(w))
+    if not by_std:
+        return score - mean
+    return (score - mean) / (F.when(one, 1.0).otherwise(F.stddev_samp(score).over(w)) + epsilon)
+
+
+def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+
+
+def w02_group_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _lineitem(spark, sf_dir)
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(group_normalized(F.col("l_quantity"), F.col("l_orderkey")), 6).alias("advantage"))
+
+
+QUERIES = {"w02_group_advantage": w02_group_advantage}
+ORACLES = {
+    "w02_group_advantage": """
+        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+               round(CASE WHEN count(*) OVER g = 1 THEN l_quantity / (1 + 1e-6)
+                     ELSE (l_quantity - avg(l_quantity) OVER g) / (stddev_samp(l_quantity) OVER g + 1e-6) END, 6) AS advantage
+        FROM lineitem WINDOW g AS (PARTITION BY l_orderkey)""",
+}
