@@ -18,6 +18,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,50 +42,84 @@ def _fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from U+0100 on."""
+    out, spare = {}, 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b:
+            out[b] = chr(b)
+        else:
+            out[b] = chr(spare)
+            spare += 1
+    return out
+
+
 class WordEncoder:
     """Encodes texts with a tokenizers file, remembering the ids of space-parted pieces.
 
-    Exact for tokenizers whose normalizer and pre-tokenizer act alike inside and outside a piece between white
-    space - those that drop white space, as ``word_bpe_49k.json`` does (tests compare with whole-text encoding).
+    Exact for tokenizers that normalize by NFC, white space and lower case, part letters, single digits and symbols, drop
+    white space and then merge bytes - as ``word_bpe_49k.json`` does (tests compare with whole-text encoding).  A piece of
+    letters alone goes straight to the merges; any other is encoded by the whole tokenizer.  What a worker has learnt
+    serves its later tasks.
     """
 
+    _made: dict[tuple[str, str], WordEncoder] = {}
+
     def __init__(self, path: str, dtype: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype, self.known = Tokenizer.from_file(path), dtype, {}
+        self.model, self.code, self.letters = self.tokenizer.model, "H" if dtype == "<u2" else "I", _byte_letters()
+
+    @classmethod
+    def of(cls, path: str, dtype: str) -> WordEncoder:
+        if (path, dtype) not in cls._made:
+            cls._made[path, dtype] = cls(path, dtype)
+        return cls._made[path, dtype]
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        known, tokenize, odd, tails = self.known, self.model.tokenize, [], []
+        todo = set()
+        for w in words:
+            if w[-1] in ".," and w[:-1].isalpha():
+                tails.append(w)
+                todo.add(w[:-1])
+                todo.add(w[-1])
+            else:
+                todo.add(w)
+        for w in todo - known.keys():
+            if w.isalpha() and w.islower() and (w.isascii() or _latin(w)):
+                piece = w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
+                known[w] = self._packed([x.id for x in tokenize(piece)])
+            else:
+                odd.append(w)
+        for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            known[w] = self._packed(e.ids)
+        for w in tails:
+            known[w] = known[w[:-1]] + known[w[-1]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        odd = {i for i, t in enumerate(texts) if _ODD_SPACE.search(t)}
-        split = [[] if i in odd else t.split() for i, t in enumerate(texts)]
-        new = list({w for ws in split for w in ws if w not in known})
-        if new:
-            fresh: dict[str, str] = {}  # a word to encode for each new piece
-            tails: dict[str, tuple[str, str]] = {}
-            for w in new:
-                if w.isascii():
-                    low = w.lower()
-                    if low[-1] in ".," and low[:-1].isalpha():
-                        tails[w] = (low[:-1], low[-1])
-                    elif low.isalpha():
-                        fresh[w] = low
-                    else:
-                        fresh[w] = w
-                else:
-                    fresh[w] = w
-            want = list({*fresh.values(), *(x for t in tails.values() for x in t)} - known.keys())
-            for w, e in zip(want, self.tokenizer.encode_batch_fast(want, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, self.dtype).tobytes()
-            for w, low in fresh.items():
-                known[w] = known[low]
-            for w, (head, tail) in tails.items():
-                known[w] = known[head] + known[tail]
-        get = known.__getitem__
-        whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype).tobytes()
-        return [whole(texts[i]) if i in odd else b"".join(map(get, ws)) for i, ws in enumerate(split)]
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        odd = {i for i, t in enumerate(texts) if not t.isascii() and not _latin(t) or _ODD_SPACE.search(t) or "<|" in t}
+        split = [[] if i in odd else t.lower().split() for i, t in enumerate(texts)]
+        if new := set().union(*split) - self.known.keys():
+            self._learn(new)
+        get = self.known.__getitem__
+        return [self._packed(self.tokenizer.encode(texts[i], add_special_tokens=False).ids) if i in odd else b"".join(map(get, ws)) for i, ws in enumerate(split)]
+
+
+def _latin(text: str) -> bool:
+    """Whether all is in Latin-1, where lower-casing and NFC act on each character alone."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, *, text: str = "text", key: str = "doc_id", vocab: int = 65536, encoder: Callable | None = None) -> DataFrame:
@@ -97,7 +132,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, *, text: str
     spark = docs.sparkSession
     out = fresh_path(spark, "tokens")
     dtype = "<u2" if vocab <= 65536 else "<u4"
-    make = encoder or WordEncoder
+    make = encoder or WordEncoder.of
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
