@@ -18,6 +18,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_crf import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash_near import near_duplicates
 
@@ -46,4 +52,4 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_near, op5_token_files, op8_chat_format, op9_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_secret_crf, op4_simhash_near, op5_token_files, op8_chat_format, op9_mix_sources)}
