@@ -24,6 +24,12 @@ def op1_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash_near import near_duplicates
 
@@ -60,4 +66,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_crf, op4_simhash_near, op5_token_files, op8_chat_format, op9_mix_sources, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_secret_crf, op2_decontaminate, op4_simhash_near, op5_token_files, op8_chat_format, op9_mix_sources, op10_toxicity)}
