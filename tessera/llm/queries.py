@@ -42,6 +42,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), END_ID, vocab=WORD_VOCABULARY))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeated_bytes
+
+    return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat_format import format_chats, read_back
 
@@ -66,4 +72,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_crf, op2_decontaminate, op4_simhash_near, op5_token_files, op8_chat_format, op9_mix_sources, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_secret_crf, op2_decontaminate, op4_simhash_near, op5_token_files, op6_suffix_dedup, op8_chat_format, op9_mix_sources, op10_toxicity)}
