@@ -48,6 +48,12 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import document_fingerprints
+
+    return document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat_format import format_chats, read_back
 
@@ -72,4 +78,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_crf, op2_decontaminate, op4_simhash_near, op5_token_files, op6_suffix_dedup, op8_chat_format, op9_mix_sources, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_secret_crf, op2_decontaminate, op4_simhash_near, op5_token_files, op6_suffix_dedup, op7_fingerprints, op8_chat_format, op9_mix_sources, op10_toxicity)}
