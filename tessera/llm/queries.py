@@ -30,6 +30,25 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of all documents; then three edits of each: a deletion, an insertion, and its own start appended."""
+    import public_tokenizers
+
+    from .token_counts import EDITS, apply_edits, token_trees
+
+    path, pattern = _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    trees = token_trees(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
+    n = F.coalesce(F.char_length("text"), F.lit(0)).cast("long")
+    none, nothing = F.lit(0).cast("long"), F.lit("")
+    edits = F.array(
+        F.struct(F.floor(n / 4).alias("start"), F.lit(30).cast("long").alias("n_delete"), nothing.alias("insert")),
+        F.struct(F.floor(n / 2).alias("start"), none.alias("n_delete"), F.lit(" an inserted remark, 42").alias("insert")),
+        F.struct((n + 100).alias("start"), none.alias("n_delete"), F.coalesce(F.substring("text", 1, 25), nothing).alias("insert")),
+    ).cast(EDITS)
+    done = apply_edits(trees.withColumn("edits", edits), path, pattern)
+    return done.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), F.size("leaf_tokens").alias("n_leaves"), "n_encoded_chars")
+
+
 def op4_simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash_near import near_duplicates
 
@@ -78,4 +97,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_crf, op2_decontaminate, op4_simhash_near, op5_token_files, op6_suffix_dedup, op7_fingerprints, op8_chat_format, op9_mix_sources, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_secret_crf, op2_decontaminate, op3_token_counts, op4_simhash_near, op5_token_files, op6_suffix_dedup, op7_fingerprints, op8_chat_format, op9_mix_sources, op10_toxicity)}
