@@ -168,9 +168,9 @@ def _leaks(b: pa.RecordBatch, items: Items, min_score: float) -> list[tuple]:
     return out
 
 
-def _block(docs: DataFrame, items: Items, share: float, least: int, min_score: float) -> DataFrame:
-    spark = docs.sparkSession
-    given = spark.sparkContext.broadcast(items)  # at most ITEM_BYTES of text
+def _seeded(texts: DataFrame, items: Items, share: float, least: int) -> Items:
+    """Count the items' n-grams over all ``texts`` (column _t) and keep each item's rarest."""
+    given = texts.sparkSession.sparkContext.broadcast(items)  # at most ITEM_BYTES of text
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(given.value.grams), np.int64)
@@ -182,21 +182,23 @@ def _block(docs: DataFrame, items: Items, share: float, least: int, min_score: f
 
     counts = np.zeros(len(items.grams), np.int64)
     if len(counts):
-        for r in docs.select("_t").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():  # at most the items' n-grams
+        for r in texts.select("_t").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():  # at most the items' n-grams
             counts[r["place"]] = r["n"]
     items.keep_rare(counts, share, least)
-    seeds = spark.sparkContext.broadcast(items)
+    return items
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "_t"):
-            if found := _leaks(b, seeds.value, min_score):
-                d, i, score, lo, hi = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([b.column("_k").take(pa.array(d)), pa.array(i, pa.int64()), pa.array(score, pa.float64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["doc_id", "item_id", "score", "start", "end"])
 
-    return docs.mapInArrow(scan, SCHEMA)
+def item_blocks(texts: DataFrame, benchmark: DataFrame, *, item: str = "item_id", item_text: str = "text", n: int = 3, share: float = 0.7, least: int = 8) -> Iterator[Items]:
+    """The items with their seeds, in blocks of a bounded size; one block unless they exceed ITEM_BYTES."""
+    rows = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).filter("t is not null")
+    parts = int((rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // ITEM_BYTES) + 1
+    for k in range(parts):
+        got = rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).orderBy("i", "t").collect()
+        if got:
+            yield _seeded(texts, Items([r["i"] for r in got], [r["t"] for r in got], n), share, least)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text", n: int = 3, share: float = 0.7, least: int = 8, min_score: float = 0.5) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id", min_score: float = 0.5, **options) -> DataFrame:
     """A row for each document and item whose alignment reaches ``min_score``: doc_id, item_id, score, start, end.
 
     ``start`` and ``end`` bound the best aligned part in code points.  A window counts with two different seeds (one, if
@@ -205,18 +207,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str
     """
     spark = docs.sparkSession
     use = docs.select(F.col(key).cast("long").alias("_k"), F.col(text).cast("string").alias("_t"))
-    rows = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).filter("t is not null")
-    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    parts = int(size // ITEM_BYTES) + 1
     found = []
-    for k in range(parts):  # one block unless the items exceed the bound
-        got = rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).orderBy("i", "t").collect()
-        if got:
-            found.append(_block(use, Items([r["i"] for r in got], [r["t"] for r in got], n), share, least, min_score))
+    for items in item_blocks(use, benchmark, **options):
+        shared = spark.sparkContext.broadcast(items)
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in blocks(batches, "_t"):
+                if got := _leaks(b, shared.value, min_score):
+                    d, i, score, lo, hi = zip(*got, strict=True)
+                    yield pa.RecordBatch.from_arrays([b.column("_k").take(pa.array(d)), pa.array(i, pa.int64()), pa.array(score, pa.float64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["doc_id", "item_id", "score", "start", "end"])
+
+        found.append(use.mapInArrow(scan, SCHEMA))
     return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], SCHEMA)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` without those whose key has a leak (see ``leaks``); rows with a null key are kept."""
-    bad = leaks(docs, benchmark, key=key, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[key] == bad["_bad"], "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", min_score: float = 0.5, **options) -> DataFrame:
+    """The rows of ``docs``, all columns, without those that have a leak (see ``leaks``).
+
+    A row's fate hangs on its own text, so it is dropped where it is scanned: no exchange, and keys may be null or repeat.
+    """
+    spark, names = docs.sparkSession, docs.columns
+    given = docs.select("*", F.col(f"`{text}`").cast("string").alias("_t"))
+    for items in item_blocks(given, benchmark, **options):
+        shared = spark.sparkContext.broadcast(items)
+
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in blocks(batches, "_t"):
+                clean = np.ones(b.num_rows, bool)
+                clean[[x[0] for x in _leaks(b, shared.value, min_score)]] = False
+                yield b.filter(pa.array(clean))
+
+        given = given.mapInArrow(keep, given.schema)
+    return given.select(*[F.col(f"`{c}`") for c in names])

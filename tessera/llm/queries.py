@@ -12,7 +12,7 @@ END_ID = 2
 WORD_VOCABULARY = 49_408
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -36,7 +36,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .token_counts import EDITS, apply_edits, token_trees
 
-    path, pattern = _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    path, pattern = tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     trees = token_trees(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
     n = F.coalesce(F.char_length("text"), F.lit(0)).cast("long")
     none, nothing = F.lit(0).cast("long"), F.lit("")
@@ -58,7 +58,7 @@ def op4_simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_tokens, write_tokens
 
-    return read_tokens(write_tokens(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), END_ID, vocab=WORD_VOCABULARY))
+    return read_tokens(write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), END_ID, vocab=WORD_VOCABULARY))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

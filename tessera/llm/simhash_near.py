@@ -13,6 +13,7 @@ and small stars on distributed edge tables.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -50,14 +51,16 @@ def fingerprint(text: str, shingle: int, bits: int = 64) -> bytes:
 
 
 def fingerprints(docs: DataFrame, *, text: str, key: str, shingle: int, bits: int) -> DataFrame:
-    """_key, fp (binary).  A null text is empty; its fingerprint is zero."""
+    """_key, fp and digest (binary; the digest is of the words).  A null text is empty; its fingerprint is zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "_text"):
-            prints = [fingerprint(t, shingle, bits) for t in pc.fill_null(b.column("_text"), "").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("_key"), pa.array(prints, pa.binary())], ["_key", "fp"])
+            texts = pc.fill_null(b.column("_text"), "").to_pylist()
+            prints = [fingerprint(t, shingle, bits) for t in texts]
+            digests = [hashlib.md5(b" ".join(t.encode("utf-8", "surrogatepass").lower().split())).digest() for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("_key"), pa.array(prints, pa.binary()), pa.array(digests, pa.binary())], ["_key", "fp", "digest"])
 
-    return docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text")).mapInArrow(run, "_key long, fp binary")
+    return docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text")).mapInArrow(run, "_key long, fp binary, digest binary")
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -193,14 +196,56 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
 
     Lower-cases A-Z, parts words at blanks and \\t-\\r, takes word shingles with repeats.  Texts without words, empty
     and null ones have the zero fingerprint and link like any other; equal rows are one class; null keys are left out;
-    an empty table gives no rows; extra columns are ignored.  ``keep(links, classes)`` may drop links before components
-    are taken (a check on the texts themselves).
+    an empty table gives no rows; extra columns are ignored.  With ``keep(links)``, which may drop links before components
+    are taken (a check on the texts themselves), only texts with equal words are one class without a check.
     """
     prints = written(fingerprints(docs.filter(F.col(key).isNotNull()), text=text, key=key, shingle=shingle, bits=bits), "prints")
-    classes = written(prints.groupBy("fp").agg(F.min("_key").alias("rep")), "classes")
-    found = links(classes, bits=bits, radius=radius, segments=segments)
+    by = ["fp"] if keep is None else ["fp", "digest"]
+    classes = written(prints.groupBy(*by).agg(F.min("_key").alias("rep")), "classes")
+    found = written(links(classes, bits=bits, radius=radius, segments=segments), "links")
     if keep is not None:
-        found = keep(written(found, "links"), classes)
-    parts = components(written(found, "links"))
-    named = classes.join(parts, classes["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp").select(F.col("_key").alias(key), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+        found = written(keep(found), "kept")
+    parts = components(found)
+    named = classes.join(parts, classes["rep"] == parts["node"], "left").select(*by, F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(named, by).select(F.col("_key").alias(key), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+def alike(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8):
+    """A ``keep`` for ``near_duplicates``: links whose texts' sets of word shingles have a Jaccard likeness of ``least``.
+
+    Only the linked texts are looked at; of each, its shingles' 32-bit hashes meet the links, which are a forest a bucket.
+    Texts with fewer words are one shingle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in blocks(batches, "_t"):
+            sets = []
+            for t in pc.fill_null(b.column("_t"), "").to_pylist():
+                words = t.encode("utf-8", "surrogatepass").lower().split()
+                k = min(shingle, len(words))
+                grams = {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}
+                sets.append(np.unique(np.array([xxhash.xxh32_intdigest(g) for g in grams], np.uint32)).view(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("_k"), pa.array(sets, pa.list_(pa.int32()))], ["_k", "grams"])
+
+    def keep(found: DataFrame) -> DataFrame:
+        nodes = found.select(F.col("a").alias("_k")).union(found.select(F.col("b").alias("_k"))).distinct()
+        rows = docs.select(F.col(key).cast("long").alias("_k"), F.col(text).cast("string").alias("_t")).join(nodes, "_k", "left_semi").dropDuplicates(["_k"])
+        grams = written(rows.mapInArrow(run, "_k long, grams array<int>"), "grams")
+        left, right = grams.select(F.col("_k").alias("a"), F.col("grams").alias("ga")), grams.select(F.col("_k").alias("b"), F.col("grams").alias("gb"))
+        both = found.join(left, "a").join(right, "b").withColumn("_same", F.size(F.array_intersect("ga", "gb")))
+        return both.filter(F.col("_same") >= F.lit(least) * (F.size("ga") + F.size("gb") - F.col("_same"))).select("a", "b")
+
+    return keep
+
+
+def deduplicated(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` whose key is the smallest of its group of near copies (all rows with it, and null keys).
+
+    Candidates come from 128-bit fingerprints of single words, which a few edits move by a few bits: four segments with
+    one wildcard bit each and a distance of 13 hold nearly all texts with a likeness of ``least``; those are then checked.
+    """
+    parts = near_duplicates(docs, text=text, key=key, shingle=1, bits=128, radius=13, segments=4, keep=alike(docs, text=text, key=key, shingle=shingle, least=least))
+    gone = parts.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
+    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
