@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import group_advantage
+from .operators import frame, group_advantage, token_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (group_advantage,):
+for module in (frame, group_advantage, token_queries):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
