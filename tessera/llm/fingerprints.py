@@ -100,7 +100,9 @@ def fingerprints_with_edit(docs: DataFrame, *, text: str = "text", key: str = "d
     edited = F.concat(F.expr("substring(_t, 1, char_length(_t) - cast(floor(char_length(_t) / 4) as int))"), F.substring(F.coalesce("_next", F.lit("")), F.lit(1), cut))
     both = F.when(F.col("_g") == 0, F.array(F.struct(F.lit(0).alias("e"), F.col("_t").alias("t")), F.struct(F.lit(1).alias("e"), edited.alias("t")))).otherwise(F.array(F.struct(F.lit(0).alias("e"), F.col("_t").alias("t"))))
     each = lined.select("_b", "_g", "_rn", "_k", F.explode(both).alias("_x"))
-    each = each.select("_b", "_g", "_rn", "_k", "_x.e", F.char_length("_x.t").cast("long").alias("_n"), F.when(F.col("_x.e") == 1, F.sha2("_x.t", 256)).alias("_sha"), F.explode(terms(F.col("_x.t"))).alias("_term"))
+    each = each.select("_b", "_g", "_rn", "_k", "_x.e", F.char_length("_x.t").cast("long").alias("_n"), F.when(F.col("_x.e") == 1, F.sha2("_x.t", 256)).alias("_sha"), F.col("_x.t").alias("_text"))
+    # in a step of its own: beside an explode, the digest would be computed for every term
+    each = each.select("_b", "_g", "_rn", "_k", "e", "_n", "_sha", F.explode(terms(F.col("_text"))).alias("_term"))
     keys = ["_b", "_g", "_rn", "_k", "e", "_n", "_sha"]
     prints = each.groupBy(*keys).agg(*votes(F.col("_term"))).select(*keys, from_votes().alias("_fp"))
     rows = prints.groupBy("_b", "_g", "_rn", "_k").agg(F.max(F.expr("if(e = 0, _n, null)")).alias("n_chars"), F.max("_sha").alias("edited_sha256"), F.max(F.expr("if(e = 0, _fp, null)")).alias("fp"), F.max(F.expr("if(e = 1, _fp, null)")).alias("edited_fp"))
