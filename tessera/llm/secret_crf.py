@@ -218,8 +218,12 @@ def train(docs: DataFrame, *, text: str, key: str, sample: int = 400, window: in
     likely = F.lit(False)
     for word in ("passw", "secret", "token", "api", "AKIA", "key"):
         likely = likely | F.col("_t").contains(word)
-    order = (F.xxhash64("_k"), F.col("_k"), F.col("_t"))
-    found = [r["_t"] for part in (rows.filter(likely & F.col("_t").rlike("[0-9][^ ]{5}|AKIA")), rows) for r in part.orderBy(*order).limit(sample).collect()]
+    found = []
+    for part in (rows.filter(likely & F.col("_t").rlike("[0-9][^ ]{5}|AKIA")), rows):
+        # keys alone are ranked, so that a task sends no texts; then the texts of these keys
+        keys = [r["_k"] for r in part.filter("_k is not null").select("_k").orderBy(F.xxhash64("_k"), "_k").limit(sample).collect()]
+        texts = part.filter(F.col("_k").isin(keys)).limit(2 * sample).collect() if keys else []
+        found += [r["_t"] for r in sorted(texts, key=lambda r: (r["_k"], r["_t"]))]
     xs, ys = [], []
     for at in range(0, len(found), 50):
         data, offsets = flat(pa.array(found[at : at + 50], pa.large_string()))
