@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import advantages, frame, token_queries
+from .operators import advantages, frame, metrics, token_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (advantages, frame, token_queries):
+for module in (advantages, frame, metrics, token_queries):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
