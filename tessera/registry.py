@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import advantages, frame, metrics, token_queries
+from .functions import answers
+from .operators import advantages, balance, frame, metrics, token_queries
+from .sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (advantages, frame, metrics, token_queries):
+for module in (advantages, answers, balance, frame, metrics, tables, token_queries):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
