@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .functions import answers
 from .operators import advantages, balance, frame, metrics, token_queries
 from .sources import tables
+from .streaming import samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (advantages, answers, balance, frame, metrics, tables, token_queries):
+for module in (advantages, answers, balance, frame, metrics, samples, tables, token_queries):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)

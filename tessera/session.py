@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,3 +25,14 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent).as_posix())
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``; set here only if unset)."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="tessera-")
+        if not held.isDefined():
+            spark.sparkContext.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
