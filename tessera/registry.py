@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .functions import answers
+from .functions import answers, rewards
 from .operators import advantages, balance, frame, metrics, token_queries
+from .plans import curation
 from .sources import tables
 from .streaming import samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (advantages, answers, balance, frame, metrics, samples, tables, token_queries):
+for module in (advantages, answers, balance, curation, frame, metrics, rewards, samples, tables, token_queries):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
