@@ -29,7 +29,7 @@ def with_row_id(df: DataFrame, keys: Sequence[str], name: str = ROW, ranges: int
     picked = df.select(first.alias("k")).filter("k is not null").orderBy(F.xxhash64("k"), "k").limit(20 * ranges)
     sample = sorted(r["k"] for r in picked.collect())
     borders = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
-    dealt = df.withColumn("_range", F.coalesce(_range_of(first, borders), F.lit(0)))
+    dealt = df.withColumn("_range", F.when(first.isNull(), 0).otherwise(_range_of(first, borders)))
     sizes = {r["_range"]: r["count"] for r in dealt.groupBy("_range").count().collect()}
     offsets, total = [], 0
     for i in range(len(borders) + 1):
