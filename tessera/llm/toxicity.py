@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, blocks, flat, runs
+from .common import ALNUM, blocks, flat, mix_int, runs
 
 #: Fixed word lists of the grammar: English, German, French, Spanish.
 TARGETS = frozenset("you your yours he him his she her they them their this that these those people du dich dir ihr euch er sie ihn tu te toi vous il elle ils elles lui tú usted ustedes él ella ellos vosotros".split())
@@ -244,9 +244,9 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
 def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = 5000) -> Model:
     """Fit on at most ``sample`` labelled documents (the documented bound), by hash of the key; fold 0 of 5 stays out."""
     use = labels.select(F.col(key).cast("long").alias("_k"), F.col(label).cast("int").alias("_y")).filter("_k is not null and _y in (0, 1) and crc32(cast(_k as string)) % 5 <> 0")
-    use = use.dropDuplicates(["_k"]).orderBy(F.xxhash64("_k"), "_k").limit(2 * sample)  # a bounded table
+    use = use.dropDuplicates(["_k"]).orderBy(F.xxhash64("_k"), "_k").limit(sample)  # a bounded table
     rows = docs.select(F.col(key).cast("long").alias("_k"), F.col(text).cast("string").alias("_t")).filter("length(_t) < 200000")
-    found = rows.join(F.broadcast(use), "_k").orderBy(F.xxhash64("_k"), "_k", "_t").limit(sample).collect()
+    found = sorted(rows.join(F.broadcast(use), "_k").collect(), key=lambda r: (mix_int(r["_k"]), r["_t"]))
     return fit([r["_t"] for r in found], np.array([r["_y"] for r in found], float))
 
 
