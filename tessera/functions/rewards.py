@@ -27,6 +27,7 @@ def scorer(*sources: str):
     return add
 
 
+# The names of the data sources.
 scorer("openai/gsm8k")(lambda t, g: answers.number_score(t, g))
 scorer("lighteval/MATH", "DigitalLearningGmbH/MATH-lighteval", "HuggingFaceH4/MATH-500")(answers.boxed_score)
 scorer("math_dapo", "math", "math_dapo_reasoning", "aime2024", "aime2025")(lambda t, g: answers.answer_line_score(t, g)["score"])

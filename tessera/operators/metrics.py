@@ -107,6 +107,7 @@ def named_metrics(metrics: DataFrame, variable: str = "reward") -> DataFrame:
 
 
 # --- roll-ups ---
+#: The names of metrics that have a rule of their own.
 LAST_METRICS = ("fully_async/count/total_generated_samples", "fully_async/count/stale_samples_processed", "fully_async/count/stale_trajectory_processed", "fully_async/count/current_param_version", "fully_async/count/dropped_stale_samples", "training/global_step")
 RULES = {"perf/time_per_step": "time_sum", "timing_s/agent_loop/tool_calls/min": "min", "timing_s/agent_loop/tool_calls/mean": "avg", "timing_s/agent_loop/tool_calls/max": "max", **dict.fromkeys(LAST_METRICS, "last")}
 
