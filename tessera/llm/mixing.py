@@ -17,7 +17,8 @@ from __future__ import annotations
 from math import ceil, gcd, log2
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix_int, written
@@ -26,6 +27,9 @@ from .common import mix_int, written
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Sources are few by nature (sites are grouped before); more than this raises, since their rows come to the driver.
 MAX_SOURCES = 20_000
+BLOCK_DOCS = 64
+#: Documents that may fill the gap at the cut of a source.
+FILLERS = 16
 #: A source has at most two to this many blocks; blocks are of about equal size.
 BLOCK_BITS = 13
 _fine_sql = f"cast(shiftrightunsigned(_h, {64 - BLOCK_BITS}) as int)"
@@ -70,6 +74,20 @@ def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def _cut(g: pd.DataFrame) -> pd.DataFrame:
+    """Where the edge block of a source is cut: the last hash of those taken in order, and the few that fill the rest."""
+    g = g.sort_values("_h")
+    size, hashes, room = g["_n"].to_numpy(), g["_h"].to_numpy(), float(g["_room"].iloc[0])
+    k = int(np.searchsorted(np.cumsum(size), room, side="right"))
+    room -= float(size[:k].sum())
+    fill = []
+    for i in sorted(range(k, len(size)), key=lambda i: (-size[i], hashes[i])):
+        if 0 < size[i] <= room and len(fill) < FILLERS:
+            fill.append(int(hashes[i]))
+            room -= float(size[i])
+    return pd.DataFrame({"_li": [int(g["_i"].iloc[0])], "_last": [int(hashes[k - 1]) if k else None], "_fill": [fill]}).astype({"_last": "Int64"})
+
+
 def _coprime(q: int, seed: int) -> int:
     x = mix_int(seed) % max(q, 1) | 1
     while gcd(x, q) != 1:
@@ -94,15 +112,16 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str
     def fine(h):
         return F.shiftrightunsigned(h, 64 - BLOCK_BITS).cast("int")
 
-    sums = written(docs.select(src.alias("s"), fine(draw(F.col(key))).alias("b"), word_count(F.col(text)).alias("n")).groupBy("s", "b").agg(F.sum("n").alias("n")), "mix-blocks")
-    rows = sums.groupBy("s").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
+    sums = written(docs.select(src.alias("s"), fine(draw(F.col(key))).alias("b"), word_count(F.col(text)).alias("n")).groupBy("s", "b").agg(F.sum("n").alias("n"), F.count("*").alias("docs")), "mix-blocks")
+    rows = sums.groupBy("s").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: group them first")
     rows.sort(key=lambda r: (r["s"] is None, (r["s"] or "").encode("utf-8", "surrogatepass")))
     sizes = [float(r["n"]) for r in rows]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], max_repeats)
     total = max(1.0, sum(sizes))
-    bits = [min(BLOCK_BITS, max(0, ceil(log2(max(1.0, block * s / total))))) for s in sizes]  # blocks of about equal size
+    # blocks of about equal size, of BLOCK_DOCS documents at least on average
+    bits = [min(BLOCK_BITS, max(0, ceil(log2(max(1.0, block * s / total)))), int(log2(max(1.0, r["docs"] / BLOCK_DOCS)))) for s, r in zip(sizes, rows, strict=True)]
     index = spark.createDataFrame([(r["s"], i, bits[i]) for i, r in enumerate(rows)], "s string, i int, bits int")
     ends = {i: np.zeros(1 << b, np.int64) for i, b in enumerate(bits)}
     coarse = sums.join(F.broadcast(index), sums["s"].eqNullSafe(index["s"])).groupBy("i", F.expr(f"shiftright(b, {BLOCK_BITS} - bits)").alias("c")).agg(F.sum("n").alias("n"))
@@ -123,13 +142,13 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str
     planned = F.broadcast(spark.createDataFrame([(r["s"], i, bits[i], int(r["n"]), goal[i], *plan[i], _coprime(plan[i][3], seed + i), [int(x) for x in starts[:, i]]) for i, r in enumerate(rows)], schema))
     in_plan = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_k"), src.alias("_own")).withColumn("_h", draw(F.col("_k")))
     in_plan = in_plan.join(planned, F.col("_own").eqNullSafe(F.col("_s"))).withColumn("_c", F.expr(f"shiftright({_fine_sql}, {BLOCK_BITS} - _bits)"))
-    # in the one block of a source where the remainder ends, documents are taken in hash order while they bring it nearer
-    order = Window.partitionBy("_i").orderBy("_h").rangeBetween(Window.unboundedPreceding, 0)
+    # in the one block of a source where the remainder ends, documents are taken in hash order while they fit; then the
+    # largest others that fit fill what is left
     edge = in_plan.filter("_c = _full").select("_i", "_h", "_room", word_count(F.col(f"_row.`{text}`")).alias("_n")).groupBy("_i", "_h").agg(F.sum("_n").alias("_n"), F.first("_room").alias("_room"))
-    last = edge.withColumn("_sum", F.sum("_n").over(order)).filter("_sum - _n / 2 <= _room").groupBy("_i").agg(F.max("_h").alias("_last"))
-    last = F.broadcast(written(last.withColumnRenamed("_i", "_li"), "mix-edges"))  # a row a source
+    last = written(edge.groupBy("_i").applyInPandas(_cut, "_li int, _last long, _fill array<long>"), "mix-edges")
+    last = F.broadcast(last)  # a row a source, with at most FILLERS hashes
     placed = in_plan.join(last, F.col("_i") == F.col("_li"), "left").withColumn("_n", word_count(F.col(f"_row.`{text}`")))
-    once = "if(_c < _full or (_c = _full and _h <= _last), 1, 0)"
+    once = "if(_c < _full or (_c = _full and (coalesce(_h <= _last, false) or coalesce(array_contains(_fill, _h), false))), 1, 0)"
     placed = placed.withColumn("_copies", F.expr(f"if(_n > 0, least(_whole + {once}, {int(max_repeats)}), 0)"))
     each = placed.withColumn("_copy", F.explode(F.expr("if(_copies > 0, sequence(1, _copies), array(cast(null as int)))")))
     each = each.withColumn("_place", F.expr("pmod((cast(_copy - 1 as long) * shiftleft(1L, _bits) + _c) * _step, greatest(_quota, 1L))"))
