@@ -10,7 +10,7 @@ A byte goes if a string of ``length`` bytes that covers it also starts in a docu
 * The suffixes that begin the remaining windows are sorted by Larsson-Sadakane refinement (only unsettled groups are
   sorted again, at doubled depth, until ``length`` bytes are settled); Kasai's common prefixes of neighbours give the
   classes of equal windows.  Each shard sends the sorted 64-bit digests of its classes; the merged run is met by
-  binary search, and the answer is one bit a class: whether a smaller shard has it.  (Two different windows with one
+  binary search, and the answer is one bit a digest: whether a smaller shard has it.  (Two different windows with one
   digest would be taken for equal; with n distinct candidate windows that is expected n^2 / 2^65 times.)
 
 All exchanges are by shard or by hash range, so hot passages cost one entry a shard; nothing is collected.  Answers are
@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, flat, mix64, span_hashes, written
+from .common import flat, mix64, span_hashes, written
 
 GRAM = 16
 #: Bytes of text in a shard, and entries in a hash range: what one task holds at once.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
+ANCHOR_BYTES = 1 << 19
 RANGE_ENTRIES = 2_000_000
 _LEAST = -(2**63)
 
@@ -70,7 +71,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     padded = np.zeros(len(h) + width - 1, np.uint64)
     padded[width - 1 : width - 1 + len(low)] = low
     at = np.flatnonzero(_slide(padded, width, np.maximum) == h)
-    return at, h[at] >> np.uint64(16)
+    return at, mix64(h[at]) >> np.uint64(16)  # the selected hashes are small ones; mixed anew they spread evenly
 
 
 def sort_suffixes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -80,8 +81,9 @@ def sort_suffixes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarr
     """
     n = len(data)
     key = _words8(data)
-    order = np.argsort(key, kind="stable")
-    head = np.r_[True, key[order][1:] != key[order][:-1]]
+    order = np.argsort(key)
+    key = key[order]
+    head = np.r_[True, key[1:] != key[:-1]]
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     depth = 8
@@ -94,7 +96,7 @@ def sort_suffixes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarr
         nxt = sub + depth
         second = np.where(nxt < n, rank[np.minimum(nxt, n - 1)] + 1, 0)
         pair = (rank[sub].astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
-        turn = np.argsort(pair, kind="stable")
+        turn = np.argsort(pair)
         sub, pair = sub[turn], pair[turn]
         order[open_at] = sub
         head[open_at] = np.r_[True, pair[1:] != pair[:-1]]
@@ -115,9 +117,12 @@ def kasai(data: np.ndarray, starts: np.ndarray, ordered: np.ndarray, length: int
     m = len(starts)
     if not m:
         return np.zeros(0, np.int32)
-    place = np.empty(m, np.int64)
-    place[np.searchsorted(starts, ordered)] = np.arange(m)
-    before = np.where(place > 0, np.searchsorted(starts, ordered[np.maximum(place - 1, 0)]), -1)
+    number = np.zeros(len(data), np.int32)
+    number[starts] = np.arange(m, dtype=np.int32)
+    ordered = number[ordered]
+    before = np.empty(m, np.int32)
+    before[ordered[1:]] = ordered[:-1]
+    before[ordered[0]] = -1
     runs_on = np.r_[starts[1:] == starts[:-1] + 1, False]  # the next start is the next position
     out = np.zeros(m, np.int32)
     begin = np.arange(0, m, lane)
@@ -136,7 +141,7 @@ def kasai(data: np.ndarray, starts: np.ndarray, ordered: np.ndarray, length: int
             h[live] += 1
             live = live[h[live] < length]
         out[i] = h
-    return out[np.searchsorted(starts, ordered)]
+    return out[ordered]
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -162,6 +167,7 @@ class Shard:
         self.length, rows = length, answers.to_pylist()
         bits = lambda kind: [np.unpackbits(np.frombuffer(r["bits"], np.uint8))[: r["n"]] for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["part"])]
         self.answers = {k: (np.concatenate(b).astype(bool) if (b := bits(k)) else None) for k in (1, 2)}
+        self.state = next((r for r in rows if r["kind"] == 3), None)
         copies = np.concatenate([np.frombuffer(r["bits"], "<i8") for r in rows if r["kind"] == 0] or [np.zeros(0, np.int64)]).reshape(2, -1)
         self.copy = np.isin(self.keys, copies[0])
         pairs = set(zip(*copies.tolist(), strict=True))
@@ -177,7 +183,7 @@ class Shard:
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         found, lo = [], 0
         while lo < len(self.kept):
-            hi = max(lo + 1, int(np.searchsorted(self.at, self.at[lo] + BLOCK_BYTES, side="right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(self.at, self.at[lo] + ANCHOR_BYTES, side="right")) - 1)
             p, h = anchors(self.text[self.at[lo] : self.at[hi]], self.at[lo : hi + 1] - self.at[lo], self.length)
             found.append((p + self.at[lo], h))
             lo = hi
@@ -185,52 +191,66 @@ class Shard:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         return np.concatenate([p for p, _ in found]), np.concatenate([h for _, h in found])
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Candidate windows by class: their starts, class numbers, keys' places, and the classes' sorted digests."""
-        length = self.length
-        none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    def candidates(self) -> np.ndarray:
+        """Runs of window starts that may repeat, as rows (first, last), in order."""
         p, h = self.anchors()
-        if not len(p):
-            return none
-        doc = self.keys[self.kept][np.searchsorted(self.at, p, side="right") - 1]
+        doc = np.searchsorted(self.at, p, side="right") - 1
         distinct, code = np.unique(h, return_inverse=True)
-        least, most = np.full(len(distinct), 2**63 - 1), np.full(len(distinct), _LEAST)
-        np.minimum.at(least, code, doc)
-        np.maximum.at(most, code, doc)
-        shared = least < most  # also in another document of this shard
+        key = self.keys[self.kept][doc]
+        by = np.lexsort((key, code))  # also in another document of this shard
+        shared = np.zeros(len(distinct), bool)
+        shared[code[by[1:]][(code[by[1:]] == code[by[:-1]]) & (key[by[1:]] != key[by[:-1]])]] = True
         if self.answers[1] is not None:
             shared |= self.answers[1]
-        p = p[shared[code]]
-        if not len(p):
-            return none
-        n = len(self.text)
-        mark = np.zeros(n + 1, np.int32)
-        np.add.at(mark, np.maximum(p - (length - GRAM), 0), 1)
-        np.add.at(mark, p + 1, -1)
-        begins = np.cumsum(mark)[:n] > 0
-        left = np.repeat(self.at[1:], np.diff(self.at)) - np.arange(n)
-        begins &= left >= length
-        starts = np.flatnonzero(begins)
-        if not len(starts):
-            return none
-        del left, mark
-        # only the bytes of candidate windows are sorted
-        cover = np.zeros(n + 1, np.int32)
-        np.add.at(cover, starts, 1)
-        np.add.at(cover, starts + length, -1)
-        used = np.cumsum(cover)[:n] > 0
-        to_small = np.cumsum(used) - 1
-        small, at = self.text[used], to_small[starts]
+        use = shared[code]
+        p, doc = p[use], doc[use]
+        lo, hi = np.maximum(self.at[doc], p - (self.length - GRAM)), np.minimum(p, self.at[doc + 1] - self.length)
+        lo, hi = lo[hi >= lo], hi[hi >= lo]
+        if not len(lo):
+            return np.zeros((0, 2), np.int64)
+        new = np.flatnonzero(np.r_[True, lo[1:] > hi[:-1] + 1])
+        return np.stack([lo[new], hi[np.r_[new[1:], len(hi)] - 1]], 1)
+
+    def spread(self, candidate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The starts of the runs, the bytes of their windows alone, and the starts' places in these."""
+        lo, hi = candidate.T
+        size = hi - lo + 1
+        starts = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        new = np.flatnonzero(np.r_[True, lo[1:] > hi[:-1] + self.length])
+        begin, end = lo[new], hi[np.r_[new[1:], len(hi)] - 1] + self.length
+        small = np.concatenate([self.text[a:b] for a, b in zip(begin, end, strict=True)])
+        shift = begin - np.r_[0, np.cumsum(end - begin)[:-1]]
+        return starts, small, starts - np.repeat(shift[np.searchsorted(begin, lo, side="right") - 1], size)
+
+    def local(self, candidate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which starts (in text order) repeat a smaller document of this shard, and the sorted digests of the others."""
+        length = self.length
+        if not len(candidate):
+            return np.zeros(0, bool), np.zeros(0, np.uint64)
+        starts, small, at = self.spread(candidate)
         ordered = sort_suffixes(small, at, length)
-        prefix = kasai(small, at, ordered, length)
-        number = np.cumsum(prefix < length) - 1
-        heads = ordered[np.flatnonzero(prefix < length)]
-        digest = span_hashes(small, heads, heads + length)
-        rank = np.argsort(digest, kind="stable")
-        back = np.empty(len(rank), np.int64)
-        back[rank] = np.arange(len(rank))
-        starts = np.flatnonzero(used)[ordered]
-        return starts, back[number], np.searchsorted(self.at, starts, side="right") - 1, digest[rank]
+        head = kasai(small, at, ordered, length) < length
+        number = np.zeros(len(small), np.int32)
+        number[at] = np.arange(len(at), dtype=np.int32)
+        ordered = number[ordered]
+        key = self.keys[self.kept][np.repeat(np.searchsorted(self.at, candidate[:, 0], side="right") - 1, candidate[:, 1] - candidate[:, 0] + 1)]
+        # a run of candidates lies in one document; classes are groups of neighbours in suffix order
+        first = np.flatnonzero(head)
+        least = np.minimum.reduceat(key[ordered], first)
+        hit = np.zeros(len(starts), bool)
+        hit[ordered] = key[ordered] > np.repeat(least, np.diff(np.r_[first, len(ordered)]))
+        return hit, np.sort(self.digests(small, at, hit))
+
+    def digests(self, small: np.ndarray, at: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        """Digests, in text order, of the windows that no smaller document of this shard has."""
+        at = at[~hit]
+        out = np.empty(len(at), np.uint64)
+        step = 1 << 19
+        for lo in range(0, len(at), step):  # blocks of starts; their windows lie in a block of bytes
+            x = at[lo : lo + step]
+            base, top = int(x[0]), int(x[-1]) + self.length
+            out[lo : lo + step] = span_hashes(small[base:top], x - base, x - base + self.length)
+        return out
 
 
 def _parts(values: np.ndarray, parts: int, top: int) -> np.ndarray:
@@ -249,16 +269,21 @@ _ANSWER = "shard long, kind int, part long, n long, bits binary"
 
 
 def _answered(table: pa.Table, kind: int) -> pa.Table:
-    """Merge the shards' sorted runs of one hash range; each run then meets the merged one by binary search."""
+    """Merge the shards' sorted runs of one hash range; each run then meets the merged one by binary search.
+
+    A part below zero is a shard's own state, which is handed on as it is.
+    """
     rows = sorted(table.to_pylist(), key=lambda r: r["shard"])
+    if rows[0]["part"] < 0:
+        return pa.table({"shard": [r["shard"] for r in rows], "kind": pa.array([3] * len(rows), pa.int32()), "part": [0] * len(rows), "n": [0] * len(rows), "bits": pa.array([r["run"] for r in rows], pa.binary())})
     runs = [_unpack(r["run"]) for r in rows]
     every = np.concatenate(runs)
-    shard = np.repeat(np.array([r["shard"] for r in rows]), [len(x) for x in runs])
+    shard = np.repeat(np.array([r["shard"] for r in rows], np.int32), [len(x) for x in runs])
     order = np.argsort(every, kind="stable")  # shards ascend within a value
     every, shard = every[order], shard[order]
     first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
     merged, smallest = every[first], shard[first]
-    many = np.diff(np.r_[first, len(every)]) > 1
+    many = shard[np.r_[first[1:], len(every)] - 1] != smallest
     bits = []
     for r, x in zip(rows, runs, strict=True):
         at = np.searchsorted(merged, x)
@@ -306,23 +331,29 @@ def repeated_bytes(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     def send_windows(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _sent(np.zeros(0, np.uint64), 0, 1, 64)
-        return _sent(Shard(left, right, length).windows()[3], left.column("shard")[0].as_py(), ranges, 64)
+        s, shard = Shard(left, right, length), left.column("shard")[0].as_py()
+        candidate = s.candidates()
+        hit, digest = s.local(candidate)
+        state = len(candidate).to_bytes(8, "little") + candidate.astype("<i8").tobytes() + np.packbits(hit).tobytes()
+        own = pa.table({"part": [-1 - shard], "shard": [shard], "run": pa.array([state], pa.binary())})
+        return pa.concat_tables([_sent(digest, shard, ranges, 64), own])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         s = Shard(left, right, length)
-        starts, number, doc, digest = s.windows()
         gone = np.zeros(len(s.text), bool)
-        if len(starts):
-            keys = s.keys[s.kept][doc]
-            least = np.full(len(digest), 2**63 - 1)
-            np.minimum.at(least, number, keys)
-            hit = keys > least[number]
-            if s.answers[2] is not None:
-                hit |= s.answers[2][number]
-            mark = np.zeros(len(s.text) + 1, np.int32)
-            np.add.at(mark, starts[hit], 1)
-            np.add.at(mark, starts[hit] + length, -1)
-            gone = np.cumsum(mark)[:-1] > 0
+        state = s.state["bits"] if s.state else bytes(8)
+        if runs := int.from_bytes(state[:8], "little"):
+            candidate = np.frombuffer(state, "<i8", 2 * runs, 8).reshape(-1, 2)
+            starts, small, at = s.spread(candidate)
+            hit = np.unpackbits(np.frombuffer(state, np.uint8, offset=8 + 16 * runs))[: len(starts)].astype(bool)
+            digest = s.digests(small, at, hit)
+            if len(digest):
+                hit[np.flatnonzero(~hit)[np.argsort(digest, kind="stable")]] = s.answers[2]
+            starts = starts[hit]
+            if len(starts):
+                new = np.flatnonzero(np.r_[True, starts[1:] > starts[:-1] + length])
+                for a, b in zip(starts[new], starts[np.r_[new[1:], len(starts)] - 1] + length, strict=True):
+                    gone[a:b] = True
         n = len(s.keys)
         size = np.diff(s.offsets)
         removed, spans = np.where(s.copy, size, 0), s.copy.astype(np.int64)
