@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, blocks, flat, mix64, runs, span_hashes
+from .common import ALNUM, LOWER, blocks, flat, free_name, mix64, runs, span_hashes
 
 #: Items are broadcast in blocks of at most this many bytes of text.
 ITEM_BYTES = 16 << 20
@@ -130,8 +130,8 @@ def _windows(doc_at: np.ndarray, item_at: np.ndarray, m: int, size: int) -> list
     return [(int(lo[a]), int(hi[a:b].max()), len(np.unique(at[a:b]))) for a, b in zip(cut, np.r_[cut[1:], len(lo)], strict=True)]
 
 
-def _leaks(b: pa.RecordBatch, items: Items, min_score: float) -> list[tuple]:
-    h, starts, ends, first, offsets = words(b.column("_t"))
+def _leaks(b: pa.RecordBatch, items: Items, min_score: float, text: str = "_t") -> list[tuple]:
+    h, starts, ends, first, offsets = words(b.column(text))
     pos, place = items.find(h, first)
     if not len(pos):
         return []
@@ -160,7 +160,7 @@ def _leaks(b: pa.RecordBatch, items: Items, min_score: float) -> list[tuple]:
             lo, end = best[1], best[2]
             _, back = align(w[::-1], h[base + lo : base + end][::-1])
             if data is None:
-                data = flat(b.column("_t"))[0]
+                data = flat(b.column(text))[0]
             text, from_byte, to_byte = offsets[d], starts[base + end - back], ends[base + end - 1]
             count = lambda x, y: int(((data[x:y] & 0xC0) != 0x80).sum())
             start = count(text, from_byte)
@@ -226,15 +226,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
 
     A row's fate hangs on its own text, so it is dropped where it is scanned: no exchange, and keys may be null or repeat.
     """
-    spark, names = docs.sparkSession, docs.columns
-    given = docs.select("*", F.col(f"`{text}`").cast("string").alias("_t"))
-    for items in item_blocks(given, benchmark, **options):
+    spark, names, t = docs.sparkSession, docs.columns, free_name("_t", docs.columns)
+    given = docs.select("*", F.col(f"`{text}`").cast("string").alias(t))
+    for items in item_blocks(given.select(F.col(t).alias("_t")), benchmark, **options):
         shared = spark.sparkContext.broadcast(items)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in blocks(batches, "_t"):
+            for b in blocks(batches, t):
                 clean = np.ones(b.num_rows, bool)
-                clean[[x[0] for x in _leaks(b, shared.value, min_score)]] = False
+                clean[[x[0] for x in _leaks(b, shared.value, min_score, t)]] = False
                 yield b.filter(pa.array(clean))
 
         given = given.mapInArrow(keep, given.schema)

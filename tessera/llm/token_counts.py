@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks
+from .common import blocks, free_name
 
 #: Characters of a leaf at least, where a cut is possible.
 LEAF_CHARS = 256
@@ -166,16 +166,16 @@ def token_trees(docs: DataFrame, tokenizer_path: str, pattern: str, *, text: str
 
     Null texts count as empty (no token); keys may be null or repeat; an empty table gives no rows.
     """
-    plain = docs.drop("leaf_chars", "leaf_tokens", "n_tokens")
+    plain, t = docs.drop("leaf_chars", "leaf_tokens", "n_tokens"), free_name("_t", docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer_path, pattern)
-        for b in blocks(batches, "_t"):
-            trees = [Document.build(t, encoder).tree for t in pc.fill_null(b.column("_t"), "").to_pylist()]
+        for b in blocks(batches, t):
+            trees = [Document.build(x, encoder).tree for x in pc.fill_null(b.column(t), "").to_pylist()]
             k = b.num_columns - 1
-            yield pa.RecordBatch.from_arrays([*b.columns[:k], _ints([t.levels[0][:, 0].tolist() for t in trees]), _ints([t.levels[0][:, 1].tolist() for t in trees]), pa.array([t.total[1] for t in trees], pa.int64())], [*b.schema.names[:k], "leaf_chars", "leaf_tokens", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], _ints([x.levels[0][:, 0].tolist() for x in trees]), _ints([x.levels[0][:, 1].tolist() for x in trees]), pa.array([x.total[1] for x in trees], pa.int64())], [*b.schema.names[:k], "leaf_chars", "leaf_tokens", "n_tokens"])
 
-    return plain.select("*", F.col(f"`{text}`").cast("string").alias("_t")).mapInArrow(run, T.StructType([*plain.schema.fields, *_TREE, T.StructField("n_tokens", T.LongType())]))
+    return plain.select("*", F.col(f"`{text}`").cast("string").alias(t)).mapInArrow(run, T.StructType([*plain.schema.fields, *_TREE, T.StructField("n_tokens", T.LongType())]))
 
 
 def apply_edits(trees: DataFrame, tokenizer_path: str, pattern: str, *, text: str = "text", edits: str = "edits") -> DataFrame:
@@ -185,26 +185,28 @@ def apply_edits(trees: DataFrame, tokenizer_path: str, pattern: str, *, text: st
     text as the edits before left it.  Adds n_tokens_before and n_encoded_chars, the characters that were encoded again.
     """
     rest = [c for c in trees.columns if c not in (text, edits, "leaf_chars", "leaf_tokens", "n_tokens", "n_tokens_before", "n_encoded_chars")]
-    given = trees.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string").alias("_t"), F.col("leaf_chars").alias("_c"), F.col("leaf_tokens").alias("_n"), F.col("n_tokens").alias("_b"), F.col(f"`{edits}`").cast(EDITS).alias("_e"))
+    own = [free_name(n, trees.columns) for n in ("_t", "_c", "_n", "_b", "_e")]
+    given = trees.select(*[F.col(f"`{c}`") for c in rest], *[c.alias(n) for c, n in zip((F.col(f"`{text}`").cast("string"), F.col("leaf_chars"), F.col("leaf_tokens"), F.col("n_tokens"), F.col(f"`{edits}`").cast(EDITS)), own, strict=True)])
     fields = [*(trees.schema[c] for c in rest), T.StructField(text, T.StringType()), *_TREE, T.StructField("n_tokens", T.LongType()), T.StructField("n_tokens_before", T.LongType()), T.StructField("n_encoded_chars", T.LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer_path, pattern)
-        for b in blocks(batches, "_t"):
+        for b in blocks(batches, own[0]):
             done = []
-            for t, c, n, e in zip(*(b.column(x).to_pylist() for x in ("_t", "_c", "_n", "_e")), strict=True):
+            for t, c, n, e in zip(*(b.column(own[i]).to_pylist() for i in (0, 1, 2, 4)), strict=True):
                 d = Document(t or "", c, n)
                 for x in e or ():
                     d.edit(x["start"] or 0, x["n_delete"] or 0, x["insert"] or "", encoder)
                 done.append(d)
             leaves = [d.tree.levels[0] for d in done]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array([d.text for d in done], pa.string()), _ints([x[:, 0].tolist() for x in leaves]), _ints([x[:, 1].tolist() for x in leaves]), pa.array([d.tree.total[1] for d in done], pa.int64()), b.column("_b"), pa.array([d.encoded for d in done], pa.int64())], [f.name for f in fields])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array([d.text for d in done], pa.string()), _ints([x[:, 0].tolist() for x in leaves]), _ints([x[:, 1].tolist() for x in leaves]), pa.array([d.tree.total[1] for d in done], pa.int64()), b.column(own[3]), pa.array([d.encoded for d in done], pa.int64())], [f.name for f in fields])
 
     return given.mapInArrow(run, T.StructType(fields))
 
 
 def with_edits(trees: DataFrame, edits: DataFrame, *, key: str = "doc_id", seq: str = "seq") -> DataFrame:
     """Join a table of edits (key, seq, start, n_delete, insert) to the trees, each document's in the order of ``seq``."""
+    own = free_name("_key", trees.columns)
     each = edits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(seq, "start", "n_delete", "insert"))).alias("_s"))
-    each = each.select(F.col(key).alias("_key"), F.transform("_s", lambda x: F.struct(x["start"], x["n_delete"], x["insert"])).cast(EDITS).alias("edits"))
-    return trees.join(each, F.col(key) == F.col("_key"), "left").drop("_key")
+    each = each.select(F.col(key).alias(own), F.transform("_s", lambda x: F.struct(x["start"], x["n_delete"], x["insert"])).cast(EDITS).alias("edits"))
+    return trees.join(each, F.col(key) == F.col(own), "left").drop(own)

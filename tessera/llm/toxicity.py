@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, blocks, flat, mix_int, runs
+from .common import ALNUM, blocks, flat, free_name, mix_int, runs
 
 #: Fixed word lists of the grammar: English, German, French, Spanish.
 TARGETS = frozenset("you your yours he him his she her they them their this that these those people du dich dir ihr euch er sie ihn tu te toi vous il elle ils elles lui tú usted ustedes él ella ellos vosotros".split())
@@ -258,16 +258,16 @@ def score_toxicity(docs: DataFrame, model: Model, *, text: str = "text", out: st
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 5,000 entries and ten numbers
     plain = docs.drop(out)
-    names = plain.columns
+    names, t = plain.columns, free_name("_t", docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in blocks(batches, "_t"):
-            x = np.array([document_features(*r, m) for r in prepared(b.column("_t"), m)]).reshape(b.num_rows, FEATURES)
+        for b in blocks(batches, t):
+            x = np.array([document_features(*r, m) for r in prepared(b.column(t), m)]).reshape(b.num_rows, FEATURES)
             z = np.c_[np.ones(len(x)), (x - m.mean) / m.scale] @ m.coef
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], [*names, out])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    given = plain.select("*", F.col(f"`{text}`").cast("string").alias("_t"))
+    given = plain.select("*", F.col(f"`{text}`").cast("string").alias(t))
     return given.mapInArrow(run, StructType([*plain.schema.fields, StructField(out, DoubleType())]))

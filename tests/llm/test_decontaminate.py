@@ -39,7 +39,7 @@ def test_leaks_equal_brute_force(spark):
             words[40:40] = leak
         rows.append((d, ", ".join(words).title() if d % 2 else " ".join(words)))
     rows += [(104, "a w1, w2 b"), (100, None), (101, ""), (102, items[0][1]), (102, items[0][1]), (103, ". ".join(x[1] for x in items[:8]))]
-    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, score int")
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, _t int")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = leaks(docs, bench).collect()
     toks = lambda t: re.findall(r"[^\W_]+", (t or "").lower())

@@ -38,7 +38,7 @@ def test_edits_encode_little(spark, encoder):
     from tessera.llm.token_counts import apply_edits, token_trees, with_edits
 
     texts = [(1, "the quick brown fox jumps " * 4000), (2, None), (3, ""), (None, "x" * 3000), (1, "the quick brown fox jumps " * 4000)]
-    df = spark.createDataFrame([(*t, 5) for t in texts], "doc_id long, text string, n_tokens int")
+    df = spark.createDataFrame([(*t, 5) for t in texts], "doc_id long, text string, n_tokens int").withColumnsRenamed({}).selectExpr("*", "7 as _t", "8 as _key", "9 as _c")
     edits = spark.createDataFrame([(1, 1, 50, 3, "slow"), (1, 2, 60000, 0, " new words"), (2, 1, 0, 9, "born"), (9, 1, 0, 0, "x")], "doc_id long, seq int, start long, n_delete long, insert string")
     path = P.path("byte_bpe_50k.tiktoken")
     got = apply_edits(with_edits(token_trees(df, path, P.PATTERN), edits), path, P.PATTERN).collect()

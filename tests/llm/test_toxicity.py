@@ -37,12 +37,14 @@ def test_composition_equals_running_in_turn():
 
 
 def test_nulls_and_nothing(spark):
+    from pyspark.sql import functions as F
+
     from tessera.llm.toxicity import fit, score_toxicity
 
     m = fit(["you idiot clown", "nice day"] * 30, np.array([1.0, 0.0] * 30))
-    df = spark.createDataFrame([(1, None, 2.0), (2, "", 1.0), (3, "you clown idiot", 0.0), (3, "you clown idiot", 0.0), (None, "x" * 100000, 0.0)], "doc_id long, text string, score double")
+    df = spark.createDataFrame([(1, None, 2.0), (2, "", 1.0), (3, "you clown idiot", 0.0), (3, "you clown idiot", 0.0), (None, "x" * 100000, 0.0)], "doc_id long, text string, score double").withColumn("_t", F.lit(1))
     got = score_toxicity(df, m).collect()
-    assert len(got) == 5 and all(0 <= r["score"] <= 1 for r in got)
+    assert len(got) == 5 and all(r["_t"] == 1 for r in got) and all(0 <= r["score"] <= 1 for r in got)
     assert score_toxicity(df.limit(0), m).collect() == []
     assert fit([], np.zeros(0)).coef is not None
 
