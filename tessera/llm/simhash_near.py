@@ -6,8 +6,8 @@ each distinct fingerprint is indexed once for each bit of each segment with that
 agree in all other bits of the segment meet under an equal key, and the full distance is verified there.
 
 Copies with equal fingerprints are one class before anything is indexed.  A key's members are never paired up in the
-output: a bucket gives a spanning forest of its links (closest first), at most one row less than it has members, and
-large buckets are cut by the pigeonhole principle into smaller ones, exactly.  Components come from alternating large
+output: a bucket of more than a few gives a minimum spanning forest of its links, one row less than it has members at
+most, and large buckets are cut by the pigeonhole principle into smaller ones, exactly.  Components come from alternating large
 and small stars on distributed edge tables.
 """
 
@@ -23,20 +23,28 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, remove_path, written
+from .common import blocks, mix64, remove_path, written
 
 SEED = 42
-#: Buckets up to this size are compared as a matrix; larger ones are first cut by equal pieces of the fingerprint.
-DENSE = 1024
+#: Buckets up to this size are compared row by row; larger ones are first cut by equal pieces of the fingerprint.
+DENSE = 4096
+#: Distances made at once in a bucket, and the size up to which a bucket's few links all come out.
+BLOCK_PAIRS = 1 << 19
+SMALL = 5
 
 
-def fingerprint(text: str, shingle: int, bits: int = 64) -> bytes:
-    """Big-endian fingerprint of a text: bit set where over half of the shingles' hashes have it set."""
+def fingerprint(text: str, shingle: int, bits: int = 64, distinct: bool = False) -> bytes:
+    """Big-endian fingerprint of a text: bit set where over half of the shingles' hashes have it set.
+
+    With ``distinct`` every word is taken once, at its first use, however often it comes.
+    """
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return bytes(bits // 8)
+    if distinct:  # the words, in the order of their first use
+        words = list(dict.fromkeys(words))
     joined, k = b" ".join(words), min(shingle, len(words))
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.cumsum(lengths + 1) - lengths - 1
@@ -50,13 +58,13 @@ def fingerprint(text: str, shingle: int, bits: int = 64) -> bytes:
     return np.packbits(2 * votes > n).tobytes()
 
 
-def fingerprints(docs: DataFrame, *, text: str, key: str, shingle: int, bits: int) -> DataFrame:
+def fingerprints(docs: DataFrame, *, text: str, key: str, shingle: int, bits: int, distinct: bool = False) -> DataFrame:
     """_key, fp and digest (binary; the digest is of the words).  A null text is empty; its fingerprint is zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "_text"):
             texts = pc.fill_null(b.column("_text"), "").to_pylist()
-            prints = [fingerprint(t, shingle, bits) for t in texts]
+            prints = [fingerprint(t, shingle, bits, distinct) for t in texts]
             digests = [hashlib.md5(b" ".join(t.encode("utf-8", "surrogatepass").lower().split())).digest() for t in texts]
             yield pa.RecordBatch.from_arrays([b.column("_key"), pa.array(prints, pa.binary()), pa.array(digests, pa.binary())], ["_key", "fp", "digest"])
 
@@ -67,53 +75,89 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int16)
 
 
-def forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links (distance <= radius) among rows of ``prints`` (uint64 words), closest links first."""
-    n = len(prints)
-    if n <= DENSE:
-        a, b, d = [], [], []
-        for i in range(n - 1):  # a row against all later ones
-            x = _distance(prints[i + 1 :], prints[i])
-            j = np.flatnonzero(x <= radius)
-            a.append(np.full(len(j), i))
-            b.append(j + i + 1)
-            d.append(x[j])
-        pairs = np.stack([np.concatenate(a), np.concatenate(b), np.concatenate(d)], 1) if n > 1 else np.zeros((0, 3), np.int64)
-    else:  # equal in one of radius + 1 pieces: exact, and the pieces' groups are small where the rows are many
-        raw = prints.view(np.uint8).reshape(n, -1)
-        bit = np.unpackbits(raw, axis=1)
-        found = []
-        for piece in np.array_split(np.arange(bit.shape[1]), radius + 1):
-            codes = np.packbits(bit[:, piece], axis=1)
-            order = np.lexsort(codes.T[::-1])
-            same = codes[order]
-            cut = np.flatnonzero(np.r_[True, (same[1:] != same[:-1]).any(1), True])
-            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                for at in range(lo, hi - 1):
-                    x = _distance(prints[order[at + 1 : hi]], prints[order[at]])
-                    j = np.flatnonzero(x <= radius)
-                    if len(j):
-                        found.append(np.stack([np.full(len(j), order[at]), order[at + 1 + j], x[j]], 1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-    parent = list(range(n))
-
-    def root(x: int) -> int:
+class _Union:
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, x: int) -> int:
+        parent = self.parent
         while parent[x] != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    out = []
-    for i, j, _ in pairs[np.argsort(pairs[:, 2], kind="stable")].tolist():
-        x, y = root(i), root(j)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((i, j))
-    return out
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.parent[max(x, y)] = min(x, y)
+        return x != y
+
 
+def _boruvka(prints: np.ndarray, radius: int) -> list[tuple[int, int, int]]:
+    """Minimum spanning forest (i, j, distance): every component takes its closest link out, until none is left.
 
-def links(classes: DataFrame, *, bits: int, radius: int, segments: int | None = None) -> DataFrame:
-    """Distinct links a > b between class representatives, a spanning forest for each bucket.
+    Distances are made for a block of rows at a time and never kept.
+    """
+    n, out = len(prints), []
+    union, part = _Union(n), np.arange(n)
+    step = max(1, BLOCK_PAIRS // n)
+    while True:
+        best, to = np.full(n, radius + 1, np.int16), np.zeros(n, np.int64)
+        for at in range(0, n, step):
+            d = _distance(prints[at : at + step, None], prints[None])
+            d[part[at : at + step, None] == part[None]] = radius + 1
+            to[at : at + step] = d.argmin(1)
+            best[at : at + step] = d.min(1)
+        rows = np.flatnonzero(best <= radius)
+        if not len(rows):
+            return out
+        rows = rows[np.lexsort((rows, best[rows], part[rows]))]
+        rows = rows[np.r_[True, part[rows][1:] != part[rows][:-1]]]
+        for i in rows.tolist():
+            if union.join(i, int(to[i])):
+                out.append((i, int(to[i]), int(best[i])))
+        part = np.array([union.root(i) for i in range(n)])
+
+
+def forest(prints: np.ndarray, radius: int) -> list[tuple[int, int, int]]:
+    """A spanning forest of the links (distance <= radius) among rows of ``prints`` (uint64 words), close links first.
+
+    Many rows are first cut by each of radius + 1 pieces of the fingerprint: linked rows agree in some piece, so the
+    pieces' forests together connect what all links connect.
+    """
+    n = len(prints)
+    if n <= DENSE:
+        return _boruvka(prints, radius)
+    bit, found = np.unpackbits(prints.view(np.uint8).reshape(n, -1), axis=1), []
+    for piece in np.array_split(np.arange(bit.shape[1]), radius + 1):
+        codes = np.packbits(bit[:, piece], axis=1)
+        order = np.lexsort(codes.T[::-1])
+        cut = np.flatnonzero(np.r_[True, (codes[order][1:] != codes[order][:-1]).any(1), True])
+        if len(cut) == 2:  # all agree in this piece: it decides nothing, and alone would connect everything
+            return _boruvka(prints, radius)
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            if hi - lo > 1:
+                rows = order[lo:hi]
+                found += [(int(rows[i]), int(rows[j]), d) for i, j, d in _boruvka(prints[rows], radius)]
+    union = _Union(n)
+    return [x for x in sorted(found, key=lambda x: (x[2], x[0], x[1])) if union.join(x[0], x[1])]
+
+
+def closest_links(prints: np.ndarray, radius: int, closest: int) -> list[tuple[int, int]]:
+    """Each row's links to the ``closest`` nearest other rows."""
+    n, out = len(prints), []
+    step = max(1, BLOCK_PAIRS // n)
+    for at in range(0, n, step):
+        d = _distance(prints[at : at + step, None], prints[None])
+        d[np.arange(len(d)), at + np.arange(len(d))] = radius + 1
+        to = np.argpartition(d, min(closest, n - 1) - 1, axis=1)[:, :closest]
+        i, k = np.nonzero(np.take_along_axis(d, to, 1) <= radius)
+        out.append(np.stack([at + i, to[i, k]], 1))
+    return np.concatenate(out).tolist()
+
+
+def links(classes: DataFrame, *, bits: int, radius: int, segments: int | None = None, small: int = SMALL, closest: int = 0) -> DataFrame:
+    """Distinct links a > b between class representatives: all of them in buckets of up to ``small`` rows, in larger ones
+    a minimum spanning forest and, if asked, each row's ``closest`` links.
 
     ``classes``: rep (long) and fp (binary), fp distinct.  With ``segments`` below ``radius // 2 + 1`` only links with
     one segment that differs by at most one bit are sure to be found.
@@ -142,16 +186,24 @@ def links(classes: DataFrame, *, bits: int, radius: int, segments: int | None =
         def found(keys, reps, prints):
             cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
             sizes = np.diff(cut)
-            two = cut[:-1][sizes == 2]
-            near = _distance(prints[two], prints[two + 1]) <= radius if len(two) else np.zeros(0, bool)
-            a, b = [reps[two[near]]], [reps[two[near] + 1]]
-            for lo, n in zip(cut[:-1][sizes > 2], sizes[sizes > 2], strict=True):
-                if tree := forest(prints[lo : lo + n], radius):
+            size = np.repeat(sizes, sizes)
+            a, b = [], []
+            for k in range(1, small):  # all pairs of small buckets, by how far apart they stand
+                i = np.flatnonzero((keys[k:] == keys[:-k]) & (size[k:] <= small)) if len(keys) > k else np.zeros(0, np.int64)
+                i = i[_distance(prints[i], prints[i + k]) <= radius]
+                a.append(reps[i])
+                b.append(reps[i + k])
+            for lo, n in zip(cut[:-1][sizes > small], sizes[sizes > small], strict=True):
+                tree = [x[:2] for x in forest(prints[lo : lo + n], radius)]
+                if closest and tree:
+                    tree += closest_links(prints[lo : lo + n], radius, closest)
+                if tree:
                     i, j = np.array(tree).T + lo
                     a.append(reps[i])
                     b.append(reps[j])
             a, b = np.concatenate(a), np.concatenate(b)
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+            pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
             new = (batch.column("key").to_numpy(), batch.column("rep").to_numpy(), np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(batch.num_rows, -1))
@@ -191,7 +243,7 @@ def components(edges: DataFrame, *, name: str = "stars") -> DataFrame:
         seen = mark
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 3, bits: int = 64, radius: int = 2, segments: int | None = None, keep=None) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 3, bits: int = 64, radius: int = 2, segments: int | None = None, distinct: bool = False, keep=None, **options) -> DataFrame:
     """A row a document: ``key``, fingerprint (hex), component_id (the smallest key reachable over links).
 
     Lower-cases A-Z, parts words at blanks and \\t-\\r, takes word shingles with repeats.  Texts without words, empty
@@ -199,10 +251,10 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     an empty table gives no rows; extra columns are ignored.  With ``keep(links)``, which may drop links before components
     are taken (a check on the texts themselves), only texts with equal words are one class without a check.
     """
-    prints = written(fingerprints(docs.filter(F.col(key).isNotNull()), text=text, key=key, shingle=shingle, bits=bits), "prints")
+    prints = written(fingerprints(docs.filter(F.col(key).isNotNull()), text=text, key=key, shingle=shingle, bits=bits, distinct=distinct), "prints")
     by = ["fp"] if keep is None else ["fp", "digest"]
     classes = written(prints.groupBy(*by).agg(F.min("_key").alias("rep")), "classes")
-    found = written(links(classes, bits=bits, radius=radius, segments=segments), "links")
+    found = written(links(classes, bits=bits, radius=radius, segments=segments, **options), "links")
     if keep is not None:
         found = written(keep(found), "kept")
     parts = components(found)
@@ -213,29 +265,40 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
 def alike(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8):
     """A ``keep`` for ``near_duplicates``: links whose texts' sets of word shingles have a Jaccard likeness of ``least``.
 
-    Only the linked texts are looked at; of each, its shingles' 32-bit hashes meet the links, which are a forest a bucket.
-    Texts with fewer words are one shingle.
+    Only the linked texts are looked at.  Links are first thinned by the number of shingles and by a 128-bit SimHash of
+    the shingles, at a distance that a likeness of ``least`` stays below by five deviations; the sets' 32-bit hashes then
+    meet the links that are left.  Texts with fewer words are one shingle.
     """
+    far = int(128 * np.arccos(2 * least / (1 + least)) / np.pi + 5 * np.sqrt(32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in blocks(batches, "_t"):
-            sets = []
+            sets, sketches = [], []
             for t in pc.fill_null(b.column("_t"), "").to_pylist():
                 words = t.encode("utf-8", "surrogatepass").lower().split()
                 k = min(shingle, len(words))
-                grams = {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}
-                sets.append(np.unique(np.array([xxhash.xxh32_intdigest(g) for g in grams], np.uint32)).view(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column("_k"), pa.array(sets, pa.list_(pa.int32()))], ["_k", "grams"])
+                h = np.array([xxhash.xxh64_intdigest(g) for g in {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}], np.uint64)
+                sets.append(np.unique(h.astype(np.uint32)).view(np.int32))
+                votes = np.zeros(128, np.int64)
+                for at in range(0, len(h), 1 << 14):
+                    x = h[at : at + (1 << 14)]
+                    votes += np.unpackbits(np.stack([x, mix64(x)], 1).view(np.uint8).reshape(len(x), 16), axis=1).sum(0, dtype=np.int64)
+                sketches.append(np.packbits(2 * votes > len(h)).tobytes())
+            pairs = [np.frombuffer(x, np.int64) for x in sketches]
+            yield pa.RecordBatch.from_arrays([b.column("_k"), pa.array([len(x) for x in sets], pa.int32()), *(pa.array([x[i] for x in pairs], pa.int64()) for i in range(2)), pa.array(sets, pa.list_(pa.int32()))], ["_k", "n", "s", "u", "grams"])
 
     def keep(found: DataFrame) -> DataFrame:
         nodes = found.select(F.col("a").alias("_k")).union(found.select(F.col("b").alias("_k"))).distinct()
         rows = docs.select(F.col(key).cast("long").alias("_k"), F.col(text).cast("string").alias("_t")).join(nodes, "_k", "left_semi").dropDuplicates(["_k"])
-        grams = written(rows.mapInArrow(run, "_k long, grams array<int>"), "grams")
-        left, right = grams.select(F.col("_k").alias("a"), F.col("grams").alias("ga")), grams.select(F.col("_k").alias("b"), F.col("grams").alias("gb"))
-        both = found.join(left, "a").join(right, "b").withColumn("_same", F.size(F.array_intersect("ga", "gb")))
-        return both.filter(F.col("_same") >= F.lit(least) * (F.size("ga") + F.size("gb") - F.col("_same"))).select("a", "b")
+        grams = written(rows.mapInArrow(run, "_k long, n int, s long, u long, grams array<int>"), "grams")
+        side = lambda x, *c: grams.select(F.col("_k").alias(x), *[F.col(i).alias(f"{i}{x}") for i in c])
+        thin = found.join(side("a", "n", "s", "u"), "a").join(side("b", "n", "s", "u"), "b")
+        distance = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) + F.bit_count(F.col("ua").bitwiseXOR(F.col("ub")))
+        thin = written(thin.filter((distance <= far) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("a", "b"), "thinned")
+        both = thin.join(side("a", "grams"), "a").join(side("b", "grams"), "b").withColumn("_same", F.size(F.array_intersect("gramsa", "gramsb")))
+        return both.filter(F.col("_same") >= F.lit(least) * (F.size("gramsa") + F.size("gramsb") - F.col("_same"))).select("a", "b")
 
     return keep
 
@@ -243,9 +306,11 @@ def alike(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle:
 def deduplicated(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` whose key is the smallest of its group of near copies (all rows with it, and null keys).
 
-    Candidates come from 128-bit fingerprints of single words, which a few edits move by a few bits: four segments with
-    one wildcard bit each and a distance of 13 hold nearly all texts with a likeness of ``least``; those are then checked.
+    Candidates come from 128-bit fingerprints of the set of words, which a few edits move by a few bits and which frequent
+    words don't rule: six segments with one wildcard bit each and a distance of 18 hold nearly all texts with a likeness
+    of ``least``; those are then checked.
+    In buckets of over 24 texts the forest and each text's eight closest links are checked, in smaller ones all links.
     """
-    parts = near_duplicates(docs, text=text, key=key, shingle=1, bits=128, radius=13, segments=4, keep=alike(docs, text=text, key=key, shingle=shingle, least=least))
+    parts = near_duplicates(docs, text=text, key=key, shingle=1, bits=128, radius=18, segments=6, distinct=True, small=24, closest=8, keep=alike(docs, text=text, key=key, shingle=shingle, least=least))
     gone = parts.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
     return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
