@@ -42,6 +42,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made, once nothing will read them again."""
+    for df in tables:
+        if files := df.inputFiles():
+            remove_path(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished passes now, not when the driver next collects its garbage."""
     gc.collect()

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mix64, remove_path, written
+from .common import blocks, discard, mix64, release, written
 
 SEED = 42
 #: Buckets up to this size are compared row by row; larger ones are first cut by equal pieces of the fingerprint.
@@ -224,8 +224,7 @@ def links(classes: DataFrame, *, bits: int, radius: int, segments: int | None =
 
 def components(edges: DataFrame, *, name: str = "stars") -> DataFrame:
     """node, component (smallest node reachable) for every node of the edges a > b, by alternating stars."""
-    spark, seen = edges.sparkSession, None
-    path = None
+    seen = None
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -233,9 +232,8 @@ def components(edges: DataFrame, *, name: str = "stars") -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
         new = written(small, name)
-        if path:
-            remove_path(spark, path)
-        path = new.inputFiles()[0].rsplit("/", 1)[0] if new.inputFiles() else None
+        if seen is not None:
+            discard(edges)
         mark = new.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         edges = new
         if mark == seen:
@@ -248,16 +246,20 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
 
     Lower-cases A-Z, parts words at blanks and \\t-\\r, takes word shingles with repeats.  Texts without words, empty
     and null ones have the zero fingerprint and link like any other; equal rows are one class; null keys are left out;
-    an empty table gives no rows; extra columns are ignored.  With ``keep(links)``, which may drop links before components
+    an empty table gives no rows; extra columns are ignored.  With ``keep(links, temporary)``, which may drop links before components
     are taken (a check on the texts themselves), only texts with equal words are one class without a check.
     """
     prints = written(fingerprints(docs.filter(F.col(key).isNotNull()), text=text, key=key, shingle=shingle, bits=bits, distinct=distinct), "prints")
     by = ["fp"] if keep is None else ["fp", "digest"]
     classes = written(prints.groupBy(*by).agg(F.min("_key").alias("rep")), "classes")
     found = written(links(classes, bits=bits, radius=radius, segments=segments, **options), "links")
+    done = [found]
     if keep is not None:
-        found = written(keep(found), "kept")
+        found = written(keep(found, done), "kept")
+        done.append(found)
     parts = components(found)
+    discard(*done)  # the components are a table of their own by now
+    release(docs.sparkSession)
     named = classes.join(parts, classes["rep"] == parts["node"], "left").select(*by, F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, by).select(F.col("_key").alias(key), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
@@ -289,7 +291,7 @@ def alike(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle:
             pairs = [np.frombuffer(x, np.int64) for x in sketches]
             yield pa.RecordBatch.from_arrays([b.column("_k"), pa.array([len(x) for x in sets], pa.int32()), *(pa.array([x[i] for x in pairs], pa.int64()) for i in range(2)), pa.array(sets, pa.list_(pa.int32()))], ["_k", "n", "s", "u", "grams"])
 
-    def keep(found: DataFrame) -> DataFrame:
+    def keep(found: DataFrame, temporary: list[DataFrame]) -> DataFrame:
         nodes = found.select(F.col("a").alias("_k")).union(found.select(F.col("b").alias("_k"))).distinct()
         rows = docs.select(F.col(key).cast("long").alias("_k"), F.col(text).cast("string").alias("_t")).join(nodes, "_k", "left_semi").dropDuplicates(["_k"])
         grams = written(rows.mapInArrow(run, "_k long, n int, s long, u long, grams array<int>"), "grams")
@@ -297,6 +299,7 @@ def alike(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle:
         thin = found.join(side("a", "n", "s", "u"), "a").join(side("b", "n", "s", "u"), "b")
         distance = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) + F.bit_count(F.col("ua").bitwiseXOR(F.col("ub")))
         thin = written(thin.filter((distance <= far) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("a", "b"), "thinned")
+        temporary += [grams, thin]
         both = thin.join(side("a", "grams"), "a").join(side("b", "grams"), "b").withColumn("_same", F.size(F.array_intersect("gramsa", "gramsb")))
         return both.filter(F.col("_same") >= F.lit(least) * (F.size("gramsa") + F.size("gramsb") - F.col("_same"))).select("a", "b")
 
@@ -309,8 +312,8 @@ def deduplicated(docs: DataFrame, *, text: str = "text", key: str = "doc_id", sh
     Candidates come from 128-bit fingerprints of the set of words, which a few edits move by a few bits and which frequent
     words don't rule: six segments with one wildcard bit each and a distance of 18 hold nearly all texts with a likeness
     of ``least``; those are then checked.
-    In buckets of over 24 texts the forest and each text's eight closest links are checked, in smaller ones all links.
+    In buckets of over 24 texts the forest and each text's four closest links are checked, in smaller ones all links.
     """
-    parts = near_duplicates(docs, text=text, key=key, shingle=1, bits=128, radius=18, segments=6, distinct=True, small=24, closest=8, keep=alike(docs, text=text, key=key, shingle=shingle, least=least))
+    parts = near_duplicates(docs, text=text, key=key, shingle=1, bits=128, radius=18, segments=6, distinct=True, small=24, closest=4, keep=alike(docs, text=text, key=key, shingle=shingle, least=least))
     gone = parts.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
     return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
