@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, mix64, span_hashes, written
+from .common import flat, mix64, release, span_hashes, written
 
-GRAM = 16
+#: Bytes of a gram, a multiple of eight: longer ones let fewer windows through, and select more anchors.
+GRAM = 24
 #: Bytes of text in a shard, and entries in a hash range: what one task holds at once.
 SHARD_BYTES = 4 << 20
 ANCHOR_BYTES = 1 << 19
@@ -60,7 +61,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     w = _words8(data)
-    h = mix64(mix64(w[: n - GRAM + 1]) + w[8 : n - GRAM + 9] * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    h = mix64(w[: n - GRAM + 1])
+    for k in range(8, GRAM, 8):
+        h = mix64(h + w[k : n - GRAM + 1 + k] * np.uint64(0x9E3779B97F4A7C15))
+    h |= np.uint64(1)
     low = _slide(h, width, np.minimum)  # of the window that starts here
     sizes = np.diff(offsets)
     whole = np.zeros(n + 1, np.int32)
@@ -371,6 +375,10 @@ def repeated_bytes(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     known = written(copies.groupBy("shard").applyInArrow(listed, _ANSWER), "copies")
     sent = with_answers(known, send_anchors, _SENT)
     known = known.unionAll(written(sent.groupBy("part").applyInArrow(lambda t: _answered(t, 1), _ANSWER), "anchors"))
+    del sent
+    release(spark)
     sent = with_answers(known, send_windows, _SENT)
     known = known.unionAll(written(sent.groupBy("part").applyInArrow(lambda t: _answered(t, 2), _ANSWER), "windows"))
+    del sent
+    release(spark)
     return with_answers(known, finish, "_k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("_k", key)
