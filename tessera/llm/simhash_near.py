@@ -254,6 +254,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     classes = written(prints.groupBy(*by).agg(F.min("_key").alias("rep")), "classes")
     found = written(links(classes, bits=bits, radius=radius, segments=segments, **options), "links")
     done = [found]
+    release(docs.sparkSession)  # the variants' exchange is the largest; nothing reads it again
     if keep is not None:
         found = written(keep(found, done), "kept")
         done.append(found)
