@@ -265,6 +265,29 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     return prints.join(named, by).select(F.col("_key").alias(key), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def _shingles(text: str, shingle: int) -> np.ndarray:
+    """Hashes of a text's set of word shingles; a text with fewer words is one shingle."""
+    import xxhash
+
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    k = min(shingle, len(words))
+    return np.array([xxhash.xxh64_intdigest(g) for g in {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}], np.uint64)
+
+
+def _sketch(hashes: np.ndarray) -> bytes:
+    """128-bit SimHash of hashes."""
+    votes = np.zeros(128, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        x = hashes[at : at + (1 << 14)]
+        votes += np.unpackbits(np.stack([x, mix64(x)], 1).view(np.uint8).reshape(len(x), 16), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * votes > len(hashes)).tobytes()
+
+
+def _far(least: float) -> int:
+    """A distance of sketches that a likeness of ``least`` stays below by five deviations."""
+    return int(128 * np.arccos(2 * least / (1 + least)) / np.pi + 5 * np.sqrt(32))
+
+
 def alike(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8):
     """A ``keep`` for ``near_duplicates``: links whose texts' sets of word shingles have a Jaccard likeness of ``least``.
 
@@ -272,23 +295,15 @@ def alike(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle:
     the shingles, at a distance that a likeness of ``least`` stays below by five deviations; the sets' 32-bit hashes then
     meet the links that are left.  Texts with fewer words are one shingle.
     """
-    far = int(128 * np.arccos(2 * least / (1 + least)) / np.pi + 5 * np.sqrt(32))
+    far = _far(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for b in blocks(batches, "_t"):
             sets, sketches = [], []
             for t in pc.fill_null(b.column("_t"), "").to_pylist():
-                words = t.encode("utf-8", "surrogatepass").lower().split()
-                k = min(shingle, len(words))
-                h = np.array([xxhash.xxh64_intdigest(g) for g in {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}], np.uint64)
+                h = _shingles(t, shingle)
                 sets.append(np.unique(h.astype(np.uint32)).view(np.int32))
-                votes = np.zeros(128, np.int64)
-                for at in range(0, len(h), 1 << 14):
-                    x = h[at : at + (1 << 14)]
-                    votes += np.unpackbits(np.stack([x, mix64(x)], 1).view(np.uint8).reshape(len(x), 16), axis=1).sum(0, dtype=np.int64)
-                sketches.append(np.packbits(2 * votes > len(h)).tobytes())
+                sketches.append(_sketch(h))
             pairs = [np.frombuffer(x, np.int64) for x in sketches]
             yield pa.RecordBatch.from_arrays([b.column("_k"), pa.array([len(x) for x in sets], pa.int32()), *(pa.array([x[i] for x in pairs], pa.int64()) for i in range(2)), pa.array(sets, pa.list_(pa.int32()))], ["_k", "n", "s", "u", "grams"])
 
@@ -307,14 +322,143 @@ def alike(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle:
     return keep
 
 
-def deduplicated(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose key is the smallest of its group of near copies (all rows with it, and null keys).
+def common_shingles(docs: DataFrame, *, text: str, key: str, shingle: int, sample: int = 2000, least: int = 3, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (ascending) and counts of the ``most`` commonest shingles of ``sample`` documents, those of ``least`` or more.
+
+    They only settle which shingles a prefix takes last, so a sample changes the work and not the links.
+    """
+    keys = docs.select(F.col(key).cast("long").alias("_k")).filter("_k is not null").orderBy(F.xxhash64("_k"), "_k").limit(sample)
+    rows = docs.select(F.col(key).cast("long").alias("_k"), F.col(text).cast("string").alias("_t")).join(F.broadcast(keys.distinct()), "_k", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, "_t"):
+            found = [_shingles(t, shingle) for t in pc.fill_null(b.column("_t"), "").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
+
+    top = rows.mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(most).collect()
+    h, n = np.array([r["h"] for r in top], np.int64).view(np.uint64), np.array([r["count"] for r in top], np.int64)
+    return h[np.argsort(h)], n[np.argsort(h)]
+
+
+def prefixes(docs: DataFrame, *, text: str, key: str, shingle: int, least: float) -> DataFrame:
+    """_key, digest (of the words), n (shingles), s and u (sketch), keys: the text's n - least * n + 1 rarest shingles.
+
+    All texts take them in one order (uncommon ones by hash, then common ones by count), so two texts with a likeness of
+    ``least`` have one of their keys in common: else the first of them would miss more than (1 - least) * n shingles.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text=text, key=key, shingle=shingle))  # at most 65,536 entries
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, counts = shared.value
+        for b in blocks(batches, "_text"):
+            texts = pc.fill_null(b.column("_text"), "").to_pylist()
+            digests = [hashlib.md5(b" ".join(t.encode("utf-8", "surrogatepass").lower().split())).digest() for t in texts]
+            sizes, sketches, keys = [], [], []
+            for t in texts:
+                h = _shingles(t, shingle)
+                rank = np.zeros(len(h), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    rank = np.where(common[at] == h, counts[at], 0)
+                sizes.append(len(h))
+                sketches.append(np.frombuffer(_sketch(h), np.int64))
+                keys.append(h[np.lexsort((h, rank))][: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("_key"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), *(pa.array([x[i] for x in sketches], pa.int64()) for i in range(2)), pa.array(keys, pa.list_(pa.int64()))], ["_key", "digest", "n", "s", "u", "keys"])
+
+    return docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text")).mapInArrow(run, "_key long, digest binary, n int, s long, u long, keys array<long>")
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first one, cut only between its values; s and u, the last two, become one column."""
+    held = None
+    for batch in batches:
+        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        new = [*new[:-2], np.stack(new[-2:], 1).view(np.uint64)]
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+        if len(held[0]):
+            last = int(np.searchsorted(held[0], held[0][-1]))  # the last bucket may go on
+            if last:
+                yield [x[:last] for x in held]
+                held = [x[last:] for x in held]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distinct pairs, the larger key first."""
+    pairs = np.stack([np.maximum(a, b), np.minimum(a, b)], 1)
+    return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+
 
-    Candidates come from 128-bit fingerprints of the set of words, which a few edits move by a few bits and which frequent
-    words don't rule: six segments with one wildcard bit each and a distance of 18 hold nearly all texts with a likeness
-    of ``least``; those are then checked.
-    In buckets of over 24 texts the forest and each text's four closest links are checked, in smaller ones all links.
+def first_links(keyed: DataFrame, *, least: float, small: int, closest: int, block: int = 1024) -> DataFrame:
+    """a, b, key of rows key, rep, n, s, u: links (no key), and the members a of every large bucket.
+
+    Buckets of up to ``small`` rows give all their links.  Larger ones give the links to the next row and to the
+    ``closest`` ones of its block in the sketches' order, and their members.
+    """
+    far = _far(least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, reps, n, prints in _buckets(batches):
+            cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+            sizes = np.diff(cut)
+            size = np.repeat(sizes, sizes)
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+            def add(i, j):
+                fit = np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j])
+                i, j = i[fit], j[fit]
+                fit = _distance(prints[i], prints[j]) <= far
+                a.append(reps[i[fit]])
+                b.append(reps[j[fit]])
+
+            for k in range(1, min(small, int(sizes.max()))):
+                i = np.flatnonzero((keys[k:] == keys[:-k]) & ((size[k:] <= small) | (k == 1)))
+                add(i, i + k)
+            for lo, m in zip(cut[:-1][sizes > small], sizes[sizes > small], strict=True):
+                order = lo + np.lexsort(prints[lo : lo + m].T)
+                for at in range(0, m, block):
+                    rows = order[at : at + block]
+                    if len(rows) > 1 and (near := closest_links(prints[rows], far, closest)):
+                        i, j = rows[np.array(near).T]
+                        add(i, j)
+            pairs = _pairs(np.concatenate(a), np.concatenate(b))
+            many = size > small
+            none = pa.nulls(len(pairs), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none], ["a", "b", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(reps[many]), pa.nulls(int(many.sum()), pa.int64()), pa.array(keys[many])], ["a", "b", "key"])
+
+    return keyed.select("key", "rep", "n", "s", "u").repartition("key").sortWithinPartitions("key", "rep").mapInArrow(run, "a long, b long, key long")
+
+
+def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8, small: int = 24, closest: int = 2) -> DataFrame:
+    """A row a document: ``key``, component_id: the smallest key reachable over links, pairs of texts whose sets of word
+    shingles have a Jaccard likeness of ``least``.  Null keys are left out; texts with equal words are one class.
+
+    Candidates share a key of ``prefixes``; the check on the texts is ``alike``.  All candidates of small buckets are
+    taken and a few of large ones.
     """
-    parts = near_duplicates(docs, text=text, key=key, shingle=1, bits=128, radius=18, segments=6, distinct=True, small=24, closest=4, keep=alike(docs, text=text, key=key, shingle=shingle, least=least))
+    spark = docs.sparkSession
+    prints = written(prefixes(docs.filter(F.col(key).isNotNull()), text=text, key=key, shingle=shingle, least=least), "prints")
+    row = F.min(F.struct(F.col("_key").alias("rep"), "n", "s", "u", "keys")).alias("r")
+    reps = prints.groupBy("digest").agg(row).select("r.*")
+    found = written(first_links(reps.select("rep", "n", "s", "u", F.explode("keys").alias("key")), least=least, small=small, closest=closest), "found")
+    done = [prints, found]
+    release(spark)
+    keep = alike(docs, text=text, key=key, shingle=shingle, least=least)
+    kept = written(keep(found.filter("key is null").select("a", "b").distinct(), done), "kept")
+    done.append(kept)
+    parts = components(kept)
+    groups = prints.groupBy("digest").agg(F.min("_key").alias("rep"))
+    named = groups.join(parts, groups["rep"] == parts["node"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    out = written(prints.select("_key", "digest").join(named, "digest").select(F.col("_key").alias(key), "component_id"), "components")
+    discard(*done)
+    release(spark)
+    return out
+
+
+def deduplicated(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` whose key is the smallest of its group of near copies (all rows with it, and null keys)."""
+    parts = near_copies(docs, text=text, key=key, shingle=shingle, least=least)
     gone = parts.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
     return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
