@@ -391,10 +391,10 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def first_links(keyed: DataFrame, *, least: float, small: int, closest: int, block: int = 1024) -> DataFrame:
-    """a, b, key of rows key, rep, n, s, u: links (no key), and the members a of every large bucket.
+    """a, b, key of rows key, rep, n, s, u: links (no key), and the members a of every bucket whose links aren't all there.
 
     Buckets of up to ``small`` rows give all their links.  Larger ones give the links to the next row and to the
-    ``closest`` ones of its block in the sketches' order, and their members.
+    ``closest`` ones of its block in the sketches' order, and their members, for ``other_links``.
     """
     far = _far(least)
 
@@ -431,12 +431,36 @@ def first_links(keyed: DataFrame, *, least: float, small: int, closest: int, blo
     return keyed.select("key", "rep", "n", "s", "u").repartition("key").sortWithinPartitions("key", "rep").mapInArrow(run, "a long, b long, key long")
 
 
+def other_links(members: DataFrame, *, least: float) -> DataFrame:
+    """All links a > b between rows of a bucket that are in different parts: rows key, rep, part, n, s, u."""
+    far = _far(least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, reps, part, n, prints in _buckets(batches):
+            cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                step = max(1, BLOCK_PAIRS // (hi - lo))
+                for at in range(lo, hi, step):
+                    to = min(hi, at + step)
+                    fit = part[at:to, None] != part[None, at:hi]
+                    fit &= np.minimum(n[at:to, None], n[None, at:hi]) >= least * np.maximum(n[at:to, None], n[None, at:hi])
+                    i, j = np.nonzero(fit)
+                    near = _distance(prints[at + i], prints[at + j]) <= far
+                    if near.any():
+                        pairs = _pairs(reps[at + i[near]], reps[at + j[near]])
+                        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    dealt = members.select("key", "rep", "part", "n", "s", "u").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8, small: int = 24, closest: int = 2) -> DataFrame:
     """A row a document: ``key``, component_id: the smallest key reachable over links, pairs of texts whose sets of word
     shingles have a Jaccard likeness of ``least``.  Null keys are left out; texts with equal words are one class.
 
-    Candidates share a key of ``prefixes``; the check on the texts is ``alike``.  All candidates of small buckets are
-    taken and a few of large ones.
+    Candidates share a key of ``prefixes``, so none is missed; the check on the texts is ``alike``.  A first round takes
+    all candidates of small buckets and a few of large ones; a second one takes all that are left of these, those
+    between different components.
     """
     spark = docs.sparkSession
     prints = written(prefixes(docs.filter(F.col(key).isNotNull()), text=text, key=key, shingle=shingle, least=least), "prints")
@@ -449,6 +473,18 @@ def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shi
     kept = written(keep(found.filter("key is null").select("a", "b").distinct(), done), "kept")
     done.append(kept)
     parts = components(kept)
+    members = found.filter("key is not null").select("key", F.col("a").alias("rep"))
+    members = members.join(parts, members["rep"] == parts["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
+    mixed = members.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
+    members = members.join(mixed, "key").join(prints.select(F.col("_key").alias("rep"), "n", "s", "u").dropDuplicates(["rep"]), "rep")
+    more = written(other_links(members, least=least), "others")
+    done.append(more)
+    release(spark)
+    if not more.isEmpty():
+        done.append(parts)
+        rest = written(keep(more, done), "kept")
+        done.append(rest)
+        parts = components(kept.union(rest))
     groups = prints.groupBy("digest").agg(F.min("_key").alias("rep"))
     named = groups.join(parts, groups["rep"] == parts["node"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = written(prints.select("_key", "digest").join(named, "digest").select(F.col("_key").alias(key), "component_id"), "components")
