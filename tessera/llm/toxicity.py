@@ -177,19 +177,25 @@ def document_features(text: str, hits: int, words: int, model: Model) -> np.ndar
 
 
 def prepared(texts: pa.Array, model: Model) -> Iterator[tuple[str, int, int]]:
-    """Lower-cased text, number of words whose first four bytes begin a lexicon entry, and number of words."""
+    """Lower-cased text, number of places where a word may start and four bytes begin a lexicon entry, and number of words.
+
+    A piece of the grammar starts where a run of ``ALNUM`` does, at an underscore, or behind a multi-byte mark.
+    """
     low = [t.lower() for t in texts.fill_null("").to_pylist()]
     data, offsets = flat(pa.array(low, pa.large_string()))
     starts, _ = runs(ALNUM[data], offsets)
+    begins = data == ord("_")
+    begins[1:] |= ALNUM[data[1:]] & (data[:-1] >= 128) & (data[1:] & 0xC0 != 0x80)
+    begins[starts] = True
+    at = np.flatnonzero(begins)
     padded = np.r_[data, np.zeros(4, np.uint8)]
-    code = padded[starts].astype(np.uint32)
+    code = padded[at].astype(np.uint32)
     for k in range(1, 4):
-        code |= padded[starts + k].astype(np.uint32) << np.uint32(8 * k)
-    hit = model.heads[_head_slot(code)]
+        code |= padded[at + k].astype(np.uint32) << np.uint32(8 * k)
+    total = np.r_[0, np.cumsum(model.heads[_head_slot(code)])]
+    hits = np.diff(total[np.searchsorted(at, offsets)])
     border = np.searchsorted(starts, offsets)
-    total = np.r_[0, np.cumsum(hit)]
-    for t, a, b in zip(low, border[:-1].tolist(), border[1:].tolist(), strict=True):
-        yield t, int(total[b] - total[a]), b - a
+    yield from zip(low, hits.tolist(), np.diff(border).tolist(), strict=True)
 
 
 def learn_lexicon(texts: list[str], toxic: np.ndarray, least: int = 4, odds: float = 2.5, most: int = 5000) -> dict[str, float]:
