@@ -102,6 +102,7 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str
     mix_shard and mix_rank (sorting by both gives the mixed order).  Sources go by code point, null last; weights
     repeat.  A document without words is never taken.  Rows with equal keys in a source share their fate; null keys count
     as one key; an empty table gives no rows; columns of ``docs`` are kept under their names, whatever they are.
+    More than ``MAX_SOURCES`` sources raise a ValueError, as targets and plan are made on the driver.
     """
     spark = docs.sparkSession
     src, block = F.col(source).cast("string"), 1 << BLOCK_BITS
