@@ -70,14 +70,17 @@ def bins_needed(total: int, budget: int, at_least: int = 1, multiple: int = 1) -
 
 
 def balanced(df: DataFrame, batch: str, row: str, length: str, k: int, equal_size: bool = True) -> DataFrame:
-    """(batch, row, partition, place): each batch's rows balanced over k partitions, in zigzag order within each."""
+    """(batch, row, partition, place): each batch's rows balanced over k partitions, in zigzag order within each.
+
+    Without ``equal_size`` a batch of fewer rows than k gets a partition a row.
+    """
     use = df.select(F.col(batch).alias("batch"), F.col(row).alias("row"), F.col(length).cast("long").alias("length"))
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("row")
         x = g["length"].tolist()
         rows, cost = g["row"].tolist(), [24576 * v + v * v for v in x]
-        out = [(g["batch"].iloc[0], rows[i], p, at) for p, part in enumerate(differencing(cost, k, equal_size)) for at, i in enumerate(zigzag(part, cost))]
+        out = [(g["batch"].iloc[0], rows[i], p, at) for p, part in enumerate(differencing(cost, k if equal_size else min(k, len(rows)), equal_size)) for at, i in enumerate(zigzag(part, cost))]
         return pd.DataFrame(out, columns=["batch", "row", "partition", "place"])
 
     return use.groupBy("batch").applyInPandas(one, "batch long, row long, partition int, place int")
@@ -122,9 +125,11 @@ def t15_workload(spark, sf_dir):
 
 
 def t09_balanced(spark, sf_dir):
+    """Full batches in partitions of equal size, incomplete ones by workload alone."""
     s = _sequences(spark, sf_dir)
-    full = s.join(s.groupBy("batch").count().filter("count = 64").select("batch"), "batch")
-    return balanced(full, "batch", "row", "length", 8)
+    sized = s.join(s.groupBy("batch").count(), "batch")
+    full, rest = (balanced(sized.filter(f"count {op} 64"), "batch", "row", "length", 8, equal_size=op == "=") for op in ("=", "<>"))
+    return full.union(rest)
 
 
 def t12_token_batches(spark, sf_dir):
