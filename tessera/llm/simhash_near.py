@@ -458,9 +458,9 @@ def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shi
     """A row a document: ``key``, component_id: the smallest key reachable over links, pairs of texts whose sets of word
     shingles have a Jaccard likeness of ``least``.  Null keys are left out; texts with equal words are one class.
 
-    Candidates share a key of ``prefixes``, so none is missed; the check on the texts is ``alike``.  A first round takes
-    all candidates of small buckets and a few of large ones; a second one takes all that are left of these, those
-    between different components.
+    Candidates share a key of ``prefixes`` and have sketches within five deviations, which alone could miss a link; the
+    check on the texts is ``alike``.  A first round takes all candidates of small buckets and a few of large ones; a
+    second one takes all that are left of these, those between different components.
     """
     spark = docs.sparkSession
     prints = written(prefixes(docs.filter(F.col(key).isNotNull()), text=text, key=key, shingle=shingle, least=least), "prints")
