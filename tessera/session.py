@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Rows that a Python worker is handed at once in ``written``; whole texts are long.
+BATCH_ROWS = 1000
 
 _shipped: set[str] = set()
 
@@ -28,11 +34,44 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``; set here only if unset)."""
+    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``; set here only if unset).
+
+    A temporary folder will do only where the executors are threads of this process; elsewhere one must be named.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="tessera-")
-        if not held.isDefined():
+        if held.isDefined():
+            root = held.get()
+        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            root = "file://" + tempfile.mkdtemp(prefix="tessera-")
             spark.sparkContext.setCheckpointDir(root)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """What runs inside drops its shuffle files at its end, and hands Python smaller batches of rows."""
+    with_these = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}
+    before = {k: spark.conf.get(k) for k in with_these}
+    try:
+        for k, v in with_these.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write ``df`` once to the shared folder and read it back (survives lost executors).
+
+    The shuffle files of the write go with its end, as nothing will read them again.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    with freed(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
