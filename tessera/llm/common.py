@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,34 +9,21 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.session import shared_path, written  # noqa: F401
+
 #: Texts are handled in blocks of about this many bytes, which bounds a worker's memory (a longer text is a block of its own).
 BLOCK_BYTES = 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Only where the cluster names none (local tests) a temporary folder is set.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+    return shared_path(spark, name)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` once to the shared folder and read it back (survives lost executors)."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def ranges_for(df: DataFrame, each: int = 64 << 20) -> int:
+    """Number of ranges to deal ``df`` out to: the session's, or more where its files hold over ``each`` bytes a range."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(n, min(told // each, 100 * n))
 
 
 def discard(*tables: DataFrame) -> None:
@@ -49,12 +33,6 @@ def discard(*tables: DataFrame) -> None:
             remove_path(df.sparkSession, files[0].rsplit("/", 1)[0])
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished passes now, not when the driver next collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a table that ``written`` made, through Hadoop's file system layer."""
     jvm = spark.sparkContext._jvm

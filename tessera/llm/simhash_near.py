@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, discard, mix64, release, written
+from .common import blocks, discard, mix64, written
 
 SEED = 42
 #: Buckets up to this size are compared row by row; larger ones are first cut by equal pieces of the fingerprint.
@@ -254,13 +254,11 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     classes = written(prints.groupBy(*by).agg(F.min("_key").alias("rep")), "classes")
     found = written(links(classes, bits=bits, radius=radius, segments=segments, **options), "links")
     done = [found]
-    release(docs.sparkSession)  # the variants' exchange is the largest; nothing reads it again
     if keep is not None:
         found = written(keep(found, done), "kept")
         done.append(found)
     parts = components(found)
     discard(*done)  # the components are a table of their own by now
-    release(docs.sparkSession)
     named = classes.join(parts, classes["rep"] == parts["node"], "left").select(*by, F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, by).select(F.col("_key").alias(key), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
@@ -468,7 +466,6 @@ def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shi
     reps = prints.groupBy("digest").agg(row).select("r.*")
     found = written(first_links(reps.select("rep", "n", "s", "u", F.explode("keys").alias("key")), least=least, small=small, closest=closest), "found")
     done = [prints, found]
-    release(spark)
     keep = alike(docs, text=text, key=key, shingle=shingle, least=least)
     kept = written(keep(found.filter("key is null").select("a", "b").distinct(), done), "kept")
     done.append(kept)
@@ -479,7 +476,6 @@ def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shi
     members = members.join(mixed, "key").join(prints.select(F.col("_key").alias("rep"), "n", "s", "u").dropDuplicates(["rep"]), "rep")
     more = written(other_links(members, least=least), "others")
     done.append(more)
-    release(spark)
     if not more.isEmpty():
         done.append(parts)
         rest = written(keep(more, done), "kept")
@@ -489,7 +485,6 @@ def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shi
     named = groups.join(parts, groups["rep"] == parts["node"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = written(prints.select("_key", "digest").join(named, "digest").select(F.col("_key").alias(key), "component_id"), "components")
     discard(*done)
-    release(spark)
     return out
 
 

@@ -4,7 +4,8 @@ Layout of one written set (a folder in the shared store):
 
 * ``part-<k>-<attempt>.bin``  the ids of the documents of range partition ``k``, back to back, little-endian
   ``uint16`` where the vocabulary has at most 65,536 ids, else ``uint32``.
-* ``part-<k>-<attempt>.idx``  little-endian 64-bit integers: n, then n document ids, then n + 1 offsets in ids.
+* ``part-<k>-<attempt>.idx``  little-endian 64-bit integers: n, the number of null document ids (they are the first, and
+  stored as 0), then n document ids, then n + 1 offsets in ids.
 * the manifest, a DataFrame with a row a part: its files, counts and ``base`` - the ids of all parts before it,
   an exclusive prefix sum over the parts' counts (one row a partition is all that the driver sees).
 
@@ -14,6 +15,7 @@ speculative copy leaves only unread files.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -27,13 +29,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, fresh_path
+from .common import blocks, fresh_path, ranges_for, written
 
-#: Words whose ids a worker remembers at once; beyond it the memory is emptied, which changes speed alone.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker remembers in each of two generations, and the characters of the longest of them.
+CACHE_WORDS = 250_000
+CACHE_CHARS = 64
+#: Longer texts are encoded in pieces of about this many characters.
+CHUNK_CHARS = 1 << 20
 #: Characters on which Python's and the tokenizers' notions of white space may differ; texts with them are encoded whole.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
-NULL_KEY = -(2**63)
 
 
 def _fs(uri: str):
@@ -54,63 +58,92 @@ def _byte_letters() -> dict[int, str]:
     return out
 
 
+class _Words(dict):
+    """Packed ids by space-parted word, in two generations: a full one becomes the older one, so what is in use stays.
+
+    At most ``2 * CACHE_WORDS`` words of up to ``CACHE_CHARS`` characters are held, some 100 MB.
+    """
+
+    def __init__(self, model, split, code: str):
+        self.model, self.split, self.code, self.older, self.letters = model, split, code, {}, _byte_letters()
+
+    def _merged(self, piece: str) -> bytes:
+        symbols = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [x.id for x in self.model.tokenize(symbols)]).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if (found := self.older.get(word)) is None:
+            if word.isalpha():
+                found = self._merged(word)
+            elif word[-1] in ".," and word[:-1].isalpha():
+                found = self[word[:-1]] + self[word[-1]]
+            else:
+                found = b"".join(map(self._merged, self.split(word)))
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
 class WordEncoder:
-    """Encodes texts with a tokenizers file, remembering the ids of space-parted pieces.
+    """Encodes texts with a tokenizers file, remembering the ids of space-parted words.
 
-    Exact for tokenizers that normalize by NFC, white space and lower case, part letters, single digits and symbols, drop
-    white space and then merge bytes - as ``word_bpe_49k.json`` does (tests compare with whole-text encoding).  A piece of
-    letters alone goes straight to the merges; any other is encoded by the whole tokenizer.  What a worker has learnt
-    serves its later tasks.
+    For tokenizers that normalize by NFC, white space and lower case, part by a pattern that never holds white space, and
+    then merge bytes - as ``word_bpe_49k.json`` does - words of texts in Latin-1 are parted by the file's own pattern and
+    go to the merges; tests compare with whole-text encoding.  Any other text or tokenizer is encoded by the library.
     """
 
     _made: dict[tuple[str, str], WordEncoder] = {}
 
     def __init__(self, path: str, dtype: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.known = Tokenizer.from_file(path), dtype, {}
-        self.model, self.code, self.letters = self.tokenizer.model, "H" if dtype == "<u2" else "I", _byte_letters()
+        self.tokenizer, self.code = Tokenizer.from_file(path), "H" if dtype == "<u2" else "I"
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        steps = [x.get("type") for x in (told["normalizer"] or {}).get("normalizers", [])]
+        parts = (told["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.plain = steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in parts] == ["Split", "ByteLevel"]
+        self.added = [x["content"] for x in told["added_tokens"]]
+        self.words = _Words(self.tokenizer.model, regex.compile(parts[0]["pattern"]["Regex"]).findall, self.code) if self.plain else {}
 
     @classmethod
     def of(cls, path: str, dtype: str) -> WordEncoder:
+        """The worker's only encoder of this kind: what it has learnt serves its later tasks."""
         if (path, dtype) not in cls._made:
             cls._made[path, dtype] = cls(path, dtype)
         return cls._made[path, dtype]
 
-    def _packed(self, ids: list[int]) -> bytes:
-        return array(self.code, ids).tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        known, tokenize, odd, tails = self.known, self.model.tokenize, [], []
-        todo = set()
-        for w in words:
-            if w[-1] in ".," and w[:-1].isalpha():
-                tails.append(w)
-                todo.add(w[:-1])
-                todo.add(w[-1])
-            else:
-                todo.add(w)
-        for w in todo - known.keys():
-            if w.isalpha() and w.islower() and (w.isascii() or _latin(w)):
-                piece = w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
-                known[w] = self._packed([x.id for x in tokenize(piece)])
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _part(self, text: str) -> bytes:
+        if not (text.isascii() or _latin(text)) or _ODD_SPACE.search(text):
+            return self._whole(text)
+        return b"".join(map(self.words.__getitem__, text.lower().split()))
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        for text in texts:
+            if not self.plain or any(x in text for x in self.added):
+                yield self._whole(text)
+            elif len(text) > CHUNK_CHARS:  # no pre-token holds a blank, so cuts there change nothing
+                yield b"".join(map(self._part, _chunks(text)))
             else:
-                odd.append(w)
-        for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            known[w] = self._packed(e.ids)
-        for w in tails:
-            known[w] = known[w[:-1]] + known[w[-1]]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        odd = {i for i, t in enumerate(texts) if not t.isascii() and not _latin(t) or _ODD_SPACE.search(t) or "<|" in t}
-        split = [[] if i in odd else t.lower().split() for i, t in enumerate(texts)]
-        if new := set().union(*split) - self.known.keys():
-            self._learn(new)
-        get = self.known.__getitem__
-        return [self._packed(self.tokenizer.encode(texts[i], add_special_tokens=False).ids) if i in odd else b"".join(map(get, ws)) for i, ws in enumerate(split)]
+                yield self._part(text)
+
+
+def _chunks(text: str) -> Iterator[str]:
+    """The text in pieces of about ``CHUNK_CHARS`` characters, cut before a blank where there is one."""
+    at = 0
+    while at < len(text):
+        to = text.find(" ", at + CHUNK_CHARS // 2)
+        to = len(text) if to < 0 else to
+        yield text[at : to + 1]
+        at = to + 1
 
 
 def _latin(text: str) -> bool:
@@ -125,42 +158,43 @@ def _latin(text: str) -> bool:
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, *, text: str = "text", key: str = "doc_id", vocab: int = 65536, encoder: Callable | None = None) -> DataFrame:
     """Encode every text, append ``end_id``, and write the files in ascending order of ``key``.
 
-    Returns the manifest: part, bin, idx, n_docs, n_tokens, base, width.  A null text is empty (one end id); a null
-    key sorts first and is stored as ``NULL_KEY``; equal keys are all kept; an empty table gives a manifest without rows.  Other columns are ignored.
-    The text goes through one range exchange, and is encoded after it.
+    Returns the manifest: part, bin, idx, n_docs, n_tokens, base, width.  A null text is empty (one end id); null keys
+    come first and are told from all others; rows with equal keys are all kept, in the order of their texts' hashes, and
+    may be spread over ranges; an empty table gives a manifest without rows.  Other columns are ignored.  The text goes
+    through one range exchange, whose files are dropped once the token files are there, and is encoded after it.
     """
     spark = docs.sparkSession
     out = fresh_path(spark, "tokens")
     dtype = "<u2" if vocab <= 65536 else "<u4"
     make = encoder or WordEncoder.of
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         encode, end = make(tokenizer_path, dtype), np.array([end_id], dtype).tobytes()
-        name, ids, counts, sink = f"{out}/part-{part:06d}-{uuid.uuid4().hex[:8]}", [], [0], None
-        for b in blocks(batches, text):
+        name, ids, nulls, counts, sink = f"{out}/part-{part:06d}-{uuid.uuid4().hex[:8]}", [], 0, [0], None
+        for b in blocks(batches, "_t"):
             if sink is None:
                 store, root = _fs(out)
                 store.create_dir(root, recursive=True)
                 sink = store.open_output_stream(_fs(f"{name}.bin")[1])
-            for x in encode(pc.fill_null(b.column(text), "").to_pylist()):
-                sink.write(x)
-                sink.write(end)
-                counts.append(len(x) // np.dtype(dtype).itemsize + 1)
-            ids.append(pc.fill_null(b.column(key), NULL_KEY).to_numpy(zero_copy_only=False).astype("<i8"))
+            for x in encode(pc.fill_null(b.column("_t"), "").to_pylist()):
+                sink.write(x + end)
+                counts.append(len(x) // len(end) + 1)
+            nulls += b.column("_k").null_count
+            ids.append(pc.fill_null(b.column("_k"), 0).to_numpy(zero_copy_only=False).astype("<i8"))
         if sink is not None:
             sink.close()
             ids = np.concatenate(ids)
             with store.open_output_stream(_fs(f"{name}.idx")[1]) as f:
-                f.write(np.concatenate([np.array([len(ids)], "<i8"), ids, np.cumsum(counts).astype("<i8")]).tobytes())
+                f.write(np.concatenate([np.array([len(ids), nulls], "<i8"), ids, np.cumsum(counts).astype("<i8")]).tobytes())
             yield pa.RecordBatch.from_pydict({"part": [part], "bin": [f"{name}.bin"], "idx": [f"{name}.idx"], "n_docs": [len(ids)], "n_tokens": [int(sum(counts))]})
 
     schema = "part long, bin string, idx string, n_docs long, n_tokens long"
-    sorted_docs = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(text)).repartitionByRange(n, key).sortWithinPartitions(key)
-    parts = sorted(sorted_docs.mapInArrow(write, schema).collect())  # a row a partition
+    use = docs.select(F.col(key).cast("long").alias("_k"), F.col(text).cast("string").alias("_t")).withColumn("_h", F.xxhash64("_t"))
+    ranged = use.repartitionByRange(ranges_for(use), "_k", "_h").sortWithinPartitions("_k", "_h")
+    parts = sorted(written(ranged.mapInArrow(write, schema), "token-parts").collect())  # a row a partition
     base, rows = 0, []
     for p in parts:
         rows.append((*p, base, np.dtype(dtype).itemsize))
@@ -187,11 +221,11 @@ def read_tokens(manifest: DataFrame, *, key: str = "doc_id", with_ids: bool = Fa
         for b in batches:
             for r in b.to_pylist():
                 idx, ids = _opened(r["idx"], "<i8"), _opened(r["bin"], f"<u{r['width']}")
-                n = int(idx[0])
-                off = idx[n + 1 : 2 * n + 2]
+                n, nulls, idx = int(idx[0]), int(idx[1]), idx[2:]
+                off = idx[n : 2 * n + 1]
                 for at in range(0, n, 4096):
                     to = min(n, at + 4096)
-                    rows = {key: pa.array(idx[1 + at : 1 + to]), "start": pa.array(off[at:to] + r["base"]), "n_tokens": pa.array(np.diff(off[at : to + 1])), "ids_crc32": pa.array([zlib.crc32(ids[off[i] : off[i + 1]].astype("<u4")) for i in range(at, to)], pa.int64())}
+                    rows = {key: pa.array(idx[at:to], mask=np.arange(at, to) < nulls), "start": pa.array(off[at:to] + r["base"]), "n_tokens": pa.array(np.diff(off[at : to + 1])), "ids_crc32": pa.array([zlib.crc32(ids[off[i] : off[i + 1]].astype("<u4")) for i in range(at, to)], pa.int64())}
                     if with_ids:
                         rows["ids"] = pa.array([ids[off[i] : off[i + 1]].astype(np.int64) for i in range(at, to)], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_pydict(rows)

@@ -30,6 +30,24 @@ def test_token_files_equal_whole_text_encoding(spark):
         start += len(ids)
 
 
+def test_token_files_of_null_and_equal_keys_and_long_words(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from tessera.llm.token_files import read_tokens, write_tokens
+
+    least = -(2**63)
+    rows = [(None, "a b"), (1, None), (1, "zz"), (None, ""), (0, "ok, ok.. 'tis 5x\u00b2"), (least, "q"), (2, "a" * 3000 + " b" * 900_000)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, start string")
+    path = P.path("word_bpe_49k.json")
+    found = read_tokens(write_tokens(docs, path, 2), with_ids=True).orderBy("start").collect()
+    tokenizer = Tokenizer.from_file(path)
+    encode = lambda t: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+    assert [r["doc_id"] for r in found] == [None, None, least, 0, 1, 1, 2]
+    assert sorted(r["ids"] for r in found) == sorted(encode(t) for _, t in rows)
+    assert [r["start"] for r in found] == [0, *np.cumsum([r["n_tokens"] for r in found])[:-1]]
+
+
 def test_token_files_of_nothing(spark):
     P = pytest.importorskip("public_tokenizers")
     from tessera.llm.token_files import read_tokens, write_tokens
