@@ -40,6 +40,13 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def store_of(uri: str):
+    """(file system, path in it) of a place in the shared folder, for what workers write and read themselves."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
 def free_name(name: str, columns: list[str]) -> str:
     """``name``, with underscores added until no column has it (in any case of letters)."""
     taken = {c.lower() for c in columns}
@@ -69,7 +76,8 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BY
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts back to back and their offsets (n + 1); null counts as empty."""
-    arr = pc.fill_null(texts, "").cast(pa.large_string())
+    arr = pc.fill_null(texts, b"" if pa.types.is_large_binary(texts.type) else "")
+    arr = arr if pa.types.is_large_binary(arr.type) else arr.cast(pa.large_string())
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
     n = len(arr)
@@ -121,30 +129,33 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: list[np.ndarray] = []
+_SPANS: dict[int, list[np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2^64."""
-    if not _POWERS or len(_POWERS[0]) < n:
+def _powers(n: int, seed: int) -> list[np.ndarray]:
+    """Codes of the bytes, and powers of an odd base and of its inverse, modulo 2^64; all of them follow from the seed."""
+    known = _SPANS.get(seed)
+    if known is None or len(known[1]) < n:
         size = 1 << max(16, (n - 1).bit_length())
-        _POWERS[:] = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, base, np.uint64)
+        base = mix_int(seed + 0x9E3779B97F4A7C15) | 1
+        known = [mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))]
+        for x in (base, pow(base, -1, 1 << 64)):
+            p = np.full(size, x, np.uint64)
             p[0] = 1
-            _POWERS.append(np.multiply.accumulate(p))
-    return _POWERS[0][:n], _POWERS[1][:n]
+            known.append(np.multiply.accumulate(p))
+        while len(_SPANS) > 3:  # seeds of runs that are over
+            _SPANS.pop(next(iter(_SPANS)))
+        _SPANS[seed] = known
+    return [known[0], known[1][:n], known[2][:n]]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each span's bytes (polynomial prefix sums modulo 2^64, then mixed with the length)."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(data))
+    code, up, down = _powers(len(data), seed)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * up, out=sums[1:])
+    np.cumsum(code[data] * up, out=sums[1:])
     return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 

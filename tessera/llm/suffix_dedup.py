@@ -2,31 +2,39 @@
 
 A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller key.
 
-* Shards are ranges of keys, so that "a smaller key" in another shard means "a smaller shard".
-* Whole copies of an earlier document are found by digest and never enter a suffix array.
+* One range exchange by key brings documents in order; its tasks cut them into shards of some megabytes and write these
+  once to the shared folder.  "A smaller key" in another shard means "a smaller shard".  All later passes read the shard
+  files; what is exchanged from there on is hashes by hash range and bits by shard.
+* Whole copies of an earlier document are found by digest, marked in their shard and never enter a suffix array.
 * Anchors thin out the rest: of the ``GRAM``-byte grams of every window of ``length`` bytes the one with the smallest
   hash is selected, so equal windows select equal grams.  Shards send their sorted distinct anchors, by range of hash,
   and learn which ones another shard has too.  Windows around no such anchor can't repeat and are left alone.
 * The suffixes that begin the remaining windows are sorted by Larsson-Sadakane refinement (only unsettled groups are
   sorted again, at doubled depth, until ``length`` bytes are settled); Kasai's common prefixes of neighbours give the
   classes of equal windows.  Each shard sends the sorted 64-bit digests of its classes; the merged run is met by
-  binary search, and the answer is one bit a digest: whether a smaller shard has it.  (Two different windows with one
-  digest would be taken for equal; with n distinct candidate windows that is expected n^2 / 2^65 times.)
+  binary search, and the answer is two bits a digest: whether a smaller shard has it, and whether any other has.
+* Windows whose digests met are checked by a second, independent digest in the same way, and only what both rounds found
+  goes.  The digests' base and byte codes are drawn anew for every run, so nobody can make texts that collide; among n
+  windows n^3 / 2^128 are expected to be taken for equal wrongly (0.003 for 10^12 of them).
 
-All exchanges are by shard or by hash range, so hot passages cost one entry a shard; nothing is collected.  Answers are
-written to the shared folder, which cuts the lineage between the three passes.
+Tables between the passes and shard files lie in the shared folder, so a lost executor costs its tasks alone; all of
+them are deleted when the result has been written.  Nothing is collected but the number of shards.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, mix64, span_hashes, written
+from .common import discard, flat, fresh_path, mix64, ranges_for, remove_path, span_hashes, store_of, written
 
 #: Bytes of a gram, a multiple of eight: longer ones let fewer windows through, and select more anchors.
 GRAM = 24
@@ -34,7 +42,8 @@ GRAM = 24
 SHARD_BYTES = 4 << 20
 ANCHOR_BYTES = 1 << 19
 RANGE_ENTRIES = 2_000_000
-_LEAST = -(2**63)
+#: Shards that a task of a pass handles one after the other, where there are more than the session's partitions.
+TASK_SHARDS = 8
 
 
 def _words8(data: np.ndarray) -> np.ndarray:
@@ -157,26 +166,80 @@ def _unpack(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
-def _digest(text: np.ndarray) -> int:
-    return int.from_bytes(hashlib.md5(text.tobytes()).digest()[:8], "big", signed=True)
+def _shard_writer(folder: str, shard_bytes: int):
+    """For sorted rows _k, _kind (0: a copy's digest _d, 1: a text _t): writes shard files, yields shard, ord, path, size.
+
+    A shard ends at the first new key after ``shard_bytes``; a key that holds more than that goes on in shards of its own,
+    which all have the ``ord`` of the first of them, as they don't take from each other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() << 32
+        keys, texts, copies, size = [], [], [], 0
+        number, order, marked, last = first, first, set(), ()
+
+        def shard() -> pa.RecordBatch:
+            store, root = store_of(folder)
+            store.create_dir(root, recursive=True)
+            name = f"{number:016x}-{uuid.uuid4().hex[:8]}"
+            columns = {"key": pa.array(keys, pa.int64()), "text": pa.array(texts, pa.large_binary()), "copy": pa.array(copies, pa.bool_())}
+            table = pa.table(columns)
+            with store.open_output_stream(f"{root}/{name}") as f, pa.ipc.new_stream(f, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(table)
+            return pa.RecordBatch.from_pydict({"shard": [number], "ord": [order], "path": [f"{folder}/{name}"], "size": [size]})
+
+        for batch in batches:
+            for k, kind, t, d in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if last != (k,):
+                    if size >= shard_bytes:
+                        yield shard()
+                        keys, texts, copies, size = [], [], [], 0
+                        number += 1
+                    if not keys:
+                        order = number
+                    marked, last = set(), (k,)
+                elif size >= shard_bytes and keys[0] == k:  # this key alone
+                    yield shard()
+                    keys, texts, copies, size = [], [], [], 0
+                    number += 1
+                if kind:
+                    t = t.encode("utf-8", "surrogatepass")
+                    keys.append(k)
+                    texts.append(t)
+                    copies.append(bool(marked) and hashlib.md5(t).digest() in marked)
+                    size += len(t)
+                else:
+                    marked.add(d)
+        if keys:
+            yield shard()
+
+    return run
+
+
+def _bits(rows: list[dict], kind: int, name: str) -> np.ndarray:
+    found = [np.unpackbits(np.frombuffer(r[name], np.uint8))[: r["n"]] for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["part"])]
+    return np.concatenate(found).astype(bool) if found else np.zeros(0, bool)
 
 
 class Shard:
-    """The documents of one shard, in blocks of bytes."""
-
-    def __init__(self, docs: pa.Table, answers: pa.Table, length: int):
-        docs = docs.sort_by("_k").combine_chunks()
-        self.keys = docs.column("_k").to_numpy()
-        self.data, self.offsets = flat(docs.column("_t").combine_chunks() if docs.num_rows else pa.array([], pa.large_string()))
-        self.length, rows = length, answers.to_pylist()
-        bits = lambda kind: [np.unpackbits(np.frombuffer(r["bits"], np.uint8))[: r["n"]] for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["part"])]
-        self.answers = {k: (np.concatenate(b).astype(bool) if (b := bits(k)) else None) for k in (1, 2)}
-        self.state = next((r for r in rows if r["kind"] == 3), None)
-        copies = np.concatenate([np.frombuffer(r["bits"], "<i8") for r in rows if r["kind"] == 0] or [np.zeros(0, np.int64)]).reshape(2, -1)
-        self.copy = np.isin(self.keys, copies[0])
-        pairs = set(zip(*copies.tolist(), strict=True))
-        for i in np.flatnonzero(self.copy):  # equal keys may have different texts
-            self.copy[i] = (int(self.keys[i]), _digest(self.data[self.offsets[i] : self.offsets[i + 1]])) in pairs
+    """The documents of one shard, in blocks of bytes, and what other shards have answered."""
+
+    def __init__(self, manifest: pa.Table, answers: pa.Table, length: int):
+        row, rows = manifest.to_pylist()[0], answers.to_pylist()
+        self.number, self.order, self.length, self.rows = row["shard"], row["ord"], length, rows
+        store, path = store_of(row["path"])
+        with store.open_input_stream(path) as f:
+            docs = pa.ipc.open_stream(f).read_all().combine_chunks()
+        self.key = docs.column("key").combine_chunks()
+        known, filled = pc.is_valid(self.key).to_numpy(zero_copy_only=False), pc.fill_null(self.key, 0).to_numpy()
+        # the rank of a document's key in the shard
+        self.keys = np.cumsum(np.r_[False, (filled[1:] != filled[:-1]) | (known[1:] != known[:-1])])
+        text = docs.column("text").combine_chunks()
+        self.data, self.offsets = flat(text)
+        self.copy = docs.column("copy").to_numpy(zero_copy_only=False).astype(bool)
+        self.shared = _bits(rows, 1, "many")
         # the copies' texts are cut out, so that nothing below sees them
         own = ~self.copy
         sizes = np.diff(self.offsets)
@@ -184,6 +247,35 @@ class Shard:
         self.text = self.data[np.repeat(own, sizes)] if self.copy.any() else self.data
         self.at = np.r_[0, np.cumsum(sizes[own])]
 
+    def save(self, candidate: np.ndarray, hit: np.ndarray, folder: str) -> str:
+        """Keep the candidates and the hits within the shard for the later passes."""
+        path = f"{folder}/{self.number:016x}-{uuid.uuid4().hex[:8]}-state"
+        store, at = store_of(path)
+        with store.open_output_stream(at) as f:
+            f.write(len(candidate).to_bytes(8, "little") + candidate.astype("<i8").tobytes() + np.packbits(hit).tobytes())
+        return path
+
+    def load(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """Starts of the candidate windows, their bytes, the starts' places in these, and hits so far; None without any."""
+        path = next((r["bits"].decode() for r in self.rows if r["kind"] == 0), None)
+        if path is None:
+            return None
+        store, at = store_of(path)
+        with store.open_input_stream(at) as f:
+            state = f.read()
+        if not (runs := int.from_bytes(state[:8], "little")):
+            return None
+        starts, small, at = self.spread(np.frombuffer(state, "<i8", 2 * runs, 8).reshape(-1, 2))
+        return starts, small, at, np.unpackbits(np.frombuffer(state, np.uint8, offset=8 + 16 * runs))[: len(starts)].astype(bool)
+
+    def met(self, hit: np.ndarray, small: np.ndarray, at: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of all starts: a smaller shard has its first digest; any other shard has."""
+        less, many = np.zeros(len(hit), bool), np.zeros(len(hit), bool)
+        free = np.flatnonzero(~hit)
+        by = free[np.argsort(self.digests(small, at[free], seed), kind="stable")]
+        less[by], many[by] = _bits(self.rows, 2, "bits"), _bits(self.rows, 2, "many")
+        return less, many
+
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         found, lo = [], 0
         while lo < len(self.kept):
@@ -204,8 +296,8 @@ class Shard:
         by = np.lexsort((key, code))  # also in another document of this shard
         shared = np.zeros(len(distinct), bool)
         shared[code[by[1:]][(code[by[1:]] == code[by[:-1]]) & (key[by[1:]] != key[by[:-1]])]] = True
-        if self.answers[1] is not None:
-            shared |= self.answers[1]
+        if len(self.shared):
+            shared |= self.shared
         use = shared[code]
         p, doc = p[use], doc[use]
         lo, hi = np.maximum(self.at[doc], p - (self.length - GRAM)), np.minimum(p, self.at[doc + 1] - self.length)
@@ -226,7 +318,7 @@ class Shard:
         shift = begin - np.r_[0, np.cumsum(end - begin)[:-1]]
         return starts, small, starts - np.repeat(shift[np.searchsorted(begin, lo, side="right") - 1], size)
 
-    def local(self, candidate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def local(self, candidate: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Which starts (in text order) repeat a smaller document of this shard, and the sorted digests of the others."""
         length = self.length
         if not len(candidate):
@@ -243,17 +335,16 @@ class Shard:
         least = np.minimum.reduceat(key[ordered], first)
         hit = np.zeros(len(starts), bool)
         hit[ordered] = key[ordered] > np.repeat(least, np.diff(np.r_[first, len(ordered)]))
-        return hit, np.sort(self.digests(small, at, hit))
+        return hit, np.sort(self.digests(small, at[~hit], seed))
 
-    def digests(self, small: np.ndarray, at: np.ndarray, hit: np.ndarray) -> np.ndarray:
-        """Digests, in text order, of the windows that no smaller document of this shard has."""
-        at = at[~hit]
+    def digests(self, small: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
+        """Digests of the windows that start at the places ``at`` (ascending) of ``small``."""
         out = np.empty(len(at), np.uint64)
         step = 1 << 19
         for lo in range(0, len(at), step):  # blocks of starts; their windows lie in a block of bytes
             x = at[lo : lo + step]
             base, top = int(x[0]), int(x[-1]) + self.length
-            out[lo : lo + step] = span_hashes(small[base:top], x - base, x - base + self.length)
+            out[lo : lo + step] = span_hashes(small[base:top], x - base, x - base + self.length, seed)
         return out
 
 
@@ -262,98 +353,103 @@ def _parts(values: np.ndarray, parts: int, top: int) -> np.ndarray:
     return ((values >> np.uint64(top - 32)) * np.uint64(parts)) >> np.uint64(32)
 
 
-def _sent(values: np.ndarray, shard: int, parts: int, top: int) -> pa.Table:
+def _sent(values: np.ndarray, shard: int, order: int, parts: int, top: int) -> pa.Table:
     part = _parts(values, parts, top)
     cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(values) else np.zeros(1, np.int64)
-    return pa.table({"part": pa.array(part[cut[:-1]].astype(np.int64)), "shard": pa.array(np.full(len(cut) - 1, shard)), "run": pa.array([_pack(values[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+    of = lambda x: pa.array(np.full(len(cut) - 1, x, np.int64))
+    return pa.table({"part": pa.array(part[cut[:-1]].astype(np.int64)), "shard": of(shard), "ord": of(order), "run": pa.array([_pack(values[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+
 
+_SENT = "part long, shard long, ord long, run binary"
+_ANSWER = "shard long, kind int, part long, n long, bits binary, many binary"
 
-_SENT = "part long, shard long, run binary"
-_ANSWER = "shard long, kind int, part long, n long, bits binary"
+
+def _answering(kind: int):
+    return lambda table: _answered(table, kind)
 
 
 def _answered(table: pa.Table, kind: int) -> pa.Table:
     """Merge the shards' sorted runs of one hash range; each run then meets the merged one by binary search.
 
-    A part below zero is a shard's own state, which is handed on as it is.
+    A part below zero is the path of a shard's own state, which is handed on as it is.
     """
-    rows = sorted(table.to_pylist(), key=lambda r: r["shard"])
+    rows = sorted(table.to_pylist(), key=lambda r: (r["ord"], r["shard"]))
     if rows[0]["part"] < 0:
-        return pa.table({"shard": [r["shard"] for r in rows], "kind": pa.array([3] * len(rows), pa.int32()), "part": [0] * len(rows), "n": [0] * len(rows), "bits": pa.array([r["run"] for r in rows], pa.binary())})
+        none = pa.nulls(len(rows), pa.binary())
+        return pa.table({"shard": [r["shard"] for r in rows], "kind": pa.array([0] * len(rows), pa.int32()), "part": [0] * len(rows), "n": [0] * len(rows), "bits": pa.array([r["run"] for r in rows], pa.binary()), "many": none})
     runs = [_unpack(r["run"]) for r in rows]
     every = np.concatenate(runs)
-    shard = np.repeat(np.array([r["shard"] for r in rows], np.int32), [len(x) for x in runs])
-    order = np.argsort(every, kind="stable")  # shards ascend within a value
-    every, shard = every[order], shard[order]
+    orders = np.unique(np.array([r["ord"] for r in rows], np.int64))
+    place = np.searchsorted(orders, [r["ord"] for r in rows]).astype(np.int32)
+    order = np.repeat(place, [len(x) for x in runs])
+    by = np.argsort(every, kind="stable")  # orders ascend within a value
+    every, order = every[by], order[by]
     first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
-    merged, smallest = every[first], shard[first]
-    many = shard[np.r_[first[1:], len(every)] - 1] != smallest
-    bits = []
-    for r, x in zip(rows, runs, strict=True):
+    merged, smallest = every[first], order[first]
+    several = order[np.r_[first[1:], len(every)] - 1] != smallest
+    bits, many = [], []
+    for own, x in zip(place, runs, strict=True):
         at = np.searchsorted(merged, x)
-        bits.append(np.packbits(many[at] if kind == 1 else smallest[at] < r["shard"]).tobytes())
-    return pa.table({"shard": [r["shard"] for r in rows], "kind": pa.array([kind] * len(rows), pa.int32()), "part": [r["part"] for r in rows], "n": [len(x) for x in runs], "bits": pa.array(bits, pa.binary())})
+        bits.append(np.packbits(smallest[at] < own).tobytes())
+        many.append(np.packbits(several[at]).tobytes())
+    return pa.table({"shard": [r["shard"] for r in rows], "kind": pa.array([kind] * len(rows), pa.int32()), "part": [r["part"] for r in rows], "n": [len(x) for x in runs], "bits": pa.array(bits, pa.binary()), "many": pa.array(many, pa.binary())})
 
 
 def repeated_bytes(docs: DataFrame, *, text: str = "text", key: str = "doc_id", length: int = 50, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """A row a document: key, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the remaining bytes).
 
-    Texts are taken as UTF-8, null as empty; texts shorter than ``length`` keep all.  A null key counts as the smallest;
-    rows with equal keys don't take from each other; an empty table gives no rows; other columns are ignored.
+    Texts are taken as UTF-8, null as empty; texts shorter than ``length`` keep all.  A null key counts as smaller than
+    any other; rows with equal keys don't take from each other; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    use = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LEAST)).alias("_k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
-    size = use.agg(F.sum(F.octet_length("_t").cast("long")).alias("bytes"), F.count("*").alias("n")).first()
-    shards = int((size["bytes"] or 0) // shard_bytes) + 1
-    ranges = int((size["bytes"] or 0) // (RANGE_ENTRIES * 8)) + 1
-    cuts = use.select(F.percentile_approx("_k", [i / shards for i in range(1, shards)], 100 * shards)).first()[0] if shards > 1 and size["n"] else []
-    bounds = np.unique(np.array(cuts or [], np.int64))
-
-    def place(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, b.column("_k").to_numpy(), side="left")), *b.columns], ["shard", *b.schema.names])
-
-    sharded = use.mapInArrow(place, "shard long, _k long, _t string")
+    seeds = (secrets.randbits(62) | 1, secrets.randbits(62) | 1)
+    folder = fresh_path(spark, "shards")
+    use = docs.select(F.col(key).cast("long").alias("_k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
     digests = use.filter(F.octet_length("_t") >= length).select("_k", F.md5("_t").alias("d"))
-    firsts = digests.groupBy("d").agg(F.min("_k").alias("f"), F.count("*").alias("c")).filter("c > 1").select("d", "f")
-    found = digests.join(firsts, "d").filter("_k > f").select("_k", F.unhex("d").alias("d")).distinct()
-    copies = found.mapInArrow(place, "shard long, _k long, d binary")
-
-    def listed(t: pa.Table) -> pa.Table:
-        digest = [int.from_bytes(x[:8], "big", signed=True) for x in t.column("d").to_pylist()]
-        return pa.table({"shard": [t.column("shard")[0].as_py()], "kind": pa.array([0], pa.int32()), "part": [0], "n": [t.num_rows], "bits": pa.array([np.concatenate([t.column("_k").to_numpy(), np.array(digest, np.int64)]).astype("<i8").tobytes()], pa.binary())})
+    rank = F.struct(F.col("_k").isNotNull().alias("known"), F.col("_k").alias("k"))
+    firsts = written(digests.groupBy("d").agg(F.min(rank).alias("f"), F.count("*").alias("c")).filter("c > 1").select("d", "f"), "firsts")
+    copies = written(digests.join(firsts, "d").filter(rank > F.col("f")).select("_k", F.unhex("d").alias("_d")).distinct(), "copies")
+    rows = use.select("_k", F.lit(1).alias("_kind"), "_t", F.lit(None).cast("binary").alias("_d")).unionByName(copies.select("_k", F.lit(0).alias("_kind"), F.lit(None).cast("string").alias("_t"), "_d"))
+    ranged = rows.repartitionByRange(ranges_for(use), "_k").sortWithinPartitions("_k", "_kind")
+    shards = written(ranged.mapInArrow(_shard_writer(folder, shard_bytes), "shard long, ord long, path string, size long"), "shard-list")
+    told = shards.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
+    ranges = int((told["bytes"] or 0) // (RANGE_ENTRIES * 8)) + 1
+    tasks = max(1, min(told["n"], max(int(spark.conf.get("spark.sql.shuffle.partitions")), told["n"] // TASK_SHARDS)))
+    listed = shards.repartition(tasks, "shard").groupBy("shard")
 
     def with_answers(answers: DataFrame, step, schema: str) -> DataFrame:
-        return sharded.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(step, schema)
+        """The step for every shard and its answers; both are dealt by shard, and AQE doesn't merge the tasks."""
+        return listed.cogroup(answers.repartition(tasks, "shard").groupBy("shard")).applyInArrow(step, schema)
 
     def send_anchors(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return _sent(np.zeros(0, np.uint64), 0, 1, 48)
         s = Shard(left, right, length)
-        return _sent(np.unique(s.anchors()[1]), left.column("shard")[0].as_py(), ranges, 48)
+        return _sent(np.unique(s.anchors()[1]), s.number, s.order, ranges, 48)
 
     def send_windows(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return _sent(np.zeros(0, np.uint64), 0, 1, 64)
-        s, shard = Shard(left, right, length), left.column("shard")[0].as_py()
+        s = Shard(left, right, length)
         candidate = s.candidates()
-        hit, digest = s.local(candidate)
-        state = len(candidate).to_bytes(8, "little") + candidate.astype("<i8").tobytes() + np.packbits(hit).tobytes()
-        own = pa.table({"part": [-1 - shard], "shard": [shard], "run": pa.array([state], pa.binary())})
-        return pa.concat_tables([_sent(digest, shard, ranges, 64), own])
+        hit, digest = s.local(candidate, seeds[0])
+        own = pa.table({"part": [-1 - s.number], "shard": [s.number], "ord": [s.order], "run": pa.array([s.save(candidate, hit, folder).encode()], pa.binary())})
+        return pa.concat_tables([_sent(digest, s.number, s.order, ranges, 64), own])
+
+    def send_checks(left: pa.Table, right: pa.Table) -> pa.Table:
+        s = Shard(left, right, length)
+        digest = np.zeros(0, np.uint64)
+        if found := s.load():
+            _, small, at, hit = found
+            digest = np.sort(s.digests(small, at[s.met(hit, small, at, seeds[0])[1]], seeds[1]))
+        return _sent(digest, s.number, s.order, ranges, 64)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         s = Shard(left, right, length)
         gone = np.zeros(len(s.text), bool)
-        state = s.state["bits"] if s.state else bytes(8)
-        if runs := int.from_bytes(state[:8], "little"):
-            candidate = np.frombuffer(state, "<i8", 2 * runs, 8).reshape(-1, 2)
-            starts, small, at = s.spread(candidate)
-            hit = np.unpackbits(np.frombuffer(state, np.uint8, offset=8 + 16 * runs))[: len(starts)].astype(bool)
-            digest = s.digests(small, at, hit)
-            if len(digest):
-                hit[np.flatnonzero(~hit)[np.argsort(digest, kind="stable")]] = s.answers[2]
-            starts = starts[hit]
+        if found := s.load():
+            starts, small, at, hit = found
+            less, many = s.met(hit, small, at, seeds[0])
+            again = np.flatnonzero(many)
+            sure = np.zeros(len(hit), bool)
+            sure[again[np.argsort(s.digests(small, at[again], seeds[1]), kind="stable")]] = _bits(s.rows, 3, "bits")
+            starts = starts[hit | less & sure]
             if len(starts):
                 new = np.flatnonzero(np.r_[True, starts[1:] > starts[:-1] + length])
                 for a, b in zip(starts[new], starts[np.r_[new[1:], len(starts)] - 1] + length, strict=True):
@@ -369,14 +465,15 @@ def repeated_bytes(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
             removed[d] = k = int(g.sum())
             spans[d] = int((g[1:] & ~g[:-1]).sum() + g[0]) if k else 0
             digests[d] = hashlib.sha256((s.text[lo:hi][~g] if k else s.text[lo:hi]).tobytes()).hexdigest()
-        keys = pa.array(s.keys, mask=s.keys == _LEAST)
-        return pa.table({"_k": keys, "n_bytes": pa.array(size), "n_removed": pa.array(removed), "n_spans": pa.array(spans), "kept_sha256": pa.array(digests, pa.string())})
-
-    known = written(copies.groupBy("shard").applyInArrow(listed, _ANSWER), "copies")
-    sent = with_answers(known, send_anchors, _SENT)
-    known = known.unionAll(written(sent.groupBy("part").applyInArrow(lambda t: _answered(t, 1), _ANSWER), "anchors"))
-    del sent
-    sent = with_answers(known, send_windows, _SENT)
-    known = known.unionAll(written(sent.groupBy("part").applyInArrow(lambda t: _answered(t, 2), _ANSWER), "windows"))
-    del sent
-    return with_answers(known, finish, "_k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("_k", key)
+        return pa.table({"_k": s.key, "n_bytes": pa.array(size), "n_removed": pa.array(removed), "n_spans": pa.array(spans), "kept_sha256": pa.array(digests, pa.string())})
+
+    known = written(spark.createDataFrame([], _ANSWER), "none")
+    tables = [firsts, copies, shards, known]
+    for kind, step, name in ((1, send_anchors, "anchors"), (2, send_windows, "windows"), (3, send_checks, "checks")):
+        answers = written(with_answers(known, step, _SENT).groupBy("part").applyInArrow(_answering(kind), _ANSWER), name)
+        tables.append(answers)
+        known = known.unionAll(answers) if kind > 2 else answers  # windows carry the state on; anchors are done with
+    out = written(with_answers(known, finish, "_k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("_k", key), "repeated")
+    discard(*tables)
+    remove_path(spark, folder)
+    return out

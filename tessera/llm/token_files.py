@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, fresh_path, ranges_for, written
+from .common import blocks, fresh_path, ranges_for, store_of, written
 
 #: Words whose ids a worker remembers in each of two generations, and the characters of the longest of them.
 CACHE_WORDS = 250_000
@@ -40,12 +40,6 @@ CHUNK_CHARS = 1 << 20
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 
 
-def _fs(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 def _byte_letters() -> dict[int, str]:
     """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from U+0100 on."""
     out, spare = {}, 256
@@ -176,9 +170,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, *, text: str
         name, ids, nulls, counts, sink = f"{out}/part-{part:06d}-{uuid.uuid4().hex[:8]}", [], 0, [0], None
         for b in blocks(batches, "_t"):
             if sink is None:
-                store, root = _fs(out)
+                store, root = store_of(out)
                 store.create_dir(root, recursive=True)
-                sink = store.open_output_stream(_fs(f"{name}.bin")[1])
+                sink = store.open_output_stream(store_of(f"{name}.bin")[1])
             for x in encode(pc.fill_null(b.column("_t"), "").to_pylist()):
                 sink.write(x + end)
                 counts.append(len(x) // len(end) + 1)
@@ -187,7 +181,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, *, text: str
         if sink is not None:
             sink.close()
             ids = np.concatenate(ids)
-            with store.open_output_stream(_fs(f"{name}.idx")[1]) as f:
+            with store.open_output_stream(store_of(f"{name}.idx")[1]) as f:
                 f.write(np.concatenate([np.array([len(ids), nulls], "<i8"), ids, np.cumsum(counts).astype("<i8")]).tobytes())
             yield pa.RecordBatch.from_pydict({"part": [part], "bin": [f"{name}.bin"], "idx": [f"{name}.idx"], "n_docs": [len(ids)], "n_tokens": [int(sum(counts))]})
 
@@ -204,7 +198,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, *, text: str
 
 def _opened(uri: str, dtype: str) -> np.ndarray:
     """The file, memory-mapped where the store is a mounted file system, else read through pyarrow."""
-    store, path = _fs(uri)
+    store, path = store_of(uri)
     if store.type_name == "local":
         return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
     with store.open_input_file(path) as f:

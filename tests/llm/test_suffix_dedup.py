@@ -49,6 +49,24 @@ def test_against_dictionary(spark):
     assert repeated_bytes(df.limit(0)).collect() == []
 
 
+def test_null_and_hot_keys_and_a_very_long_text(spark):
+    """A null key is the smallest; rows of one key don't take from each other, however many shards they fill."""
+    from tessera.llm.suffix_dedup import repeated_bytes
+
+    rng = np.random.default_rng(3)
+    some = lambda n: " ".join(map(str, rng.integers(0, 10**9, n)))
+    passages = [some(12) for _ in range(6)]
+    rows = [(None, passages[0]), (None, passages[0] + some(5)), (-(2**63), passages[0] + some(9)), (4, some(20_000) + passages[1])]
+    rows += [(7, some(int(rng.integers(1, 60))) + passages[int(rng.integers(6))]) for _ in range(80)]
+    rows += [(9, passages[k]) for k in range(6)] + [(9, passages[2]), (5, passages[1]), (7, passages[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    low = -(2**64)
+    want = brute([(low if k is None else k, t) for k, t in rows])
+    for shard_bytes in (3000, 1 << 22):
+        got = sorted((low if r[0] is None else r[0], *r[1:]) for r in repeated_bytes(df, shard_bytes=shard_bytes).collect())
+        assert got == want
+
+
 def test_suffix_order_and_prefixes():
     from tessera.llm.suffix_dedup import kasai, sort_suffixes
 
