@@ -13,7 +13,6 @@ and small stars on distributed edge tables.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -23,28 +22,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, discard, mix64, written
+from .common import blocks, discard, written
 
 SEED = 42
 #: Buckets up to this size are compared row by row; larger ones are first cut by equal pieces of the fingerprint.
 DENSE = 4096
-#: Distances made at once in a bucket, and the size up to which a bucket's few links all come out.
+#: Distances made at once in a bucket, and the size up to which all of a bucket's links come out.
 BLOCK_PAIRS = 1 << 19
 SMALL = 5
 
 
-def fingerprint(text: str, shingle: int, bits: int = 64, distinct: bool = False) -> bytes:
-    """Big-endian fingerprint of a text: bit set where over half of the shingles' hashes have it set.
-
-    With ``distinct`` every word is taken once, at its first use, however often it comes.
-    """
+def fingerprint(text: str, shingle: int, bits: int = 64) -> bytes:
+    """Big-endian fingerprint of a text: bit set where over half of the shingles' hashes have it set."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return bytes(bits // 8)
-    if distinct:  # the words, in the order of their first use
-        words = list(dict.fromkeys(words))
     joined, k = b" ".join(words), min(shingle, len(words))
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.cumsum(lengths + 1) - lengths - 1
@@ -58,17 +52,15 @@ def fingerprint(text: str, shingle: int, bits: int = 64, distinct: bool = False)
     return np.packbits(2 * votes > n).tobytes()
 
 
-def fingerprints(docs: DataFrame, *, text: str, key: str, shingle: int, bits: int, distinct: bool = False) -> DataFrame:
-    """_key, fp and digest (binary; the digest is of the words).  A null text is empty; its fingerprint is zero."""
+def fingerprints(docs: DataFrame, *, text: str, key: str, shingle: int, bits: int) -> DataFrame:
+    """_key and fp (binary).  A null text is empty; its fingerprint is zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "_text"):
-            texts = pc.fill_null(b.column("_text"), "").to_pylist()
-            prints = [fingerprint(t, shingle, bits, distinct) for t in texts]
-            digests = [hashlib.md5(b" ".join(t.encode("utf-8", "surrogatepass").lower().split())).digest() for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("_key"), pa.array(prints, pa.binary()), pa.array(digests, pa.binary())], ["_key", "fp", "digest"])
+            prints = [fingerprint(t, shingle, bits) for t in pc.fill_null(b.column("_text"), "").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("_key"), pa.array(prints, pa.binary())], ["_key", "fp"])
 
-    return docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text")).mapInArrow(run, "_key long, fp binary, digest binary")
+    return docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text")).mapInArrow(run, "_key long, fp binary")
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -142,28 +134,32 @@ def forest(prints: np.ndarray, radius: int) -> list[tuple[int, int, int]]:
     return [x for x in sorted(found, key=lambda x: (x[2], x[0], x[1])) if union.join(x[0], x[1])]
 
 
-def closest_links(prints: np.ndarray, radius: int, closest: int) -> list[tuple[int, int]]:
-    """Each row's links to the ``closest`` nearest other rows."""
-    n, out = len(prints), []
-    step = max(1, BLOCK_PAIRS // n)
-    for at in range(0, n, step):
-        d = _distance(prints[at : at + step, None], prints[None])
-        d[np.arange(len(d)), at + np.arange(len(d))] = radius + 1
-        to = np.argpartition(d, min(closest, n - 1) - 1, axis=1)[:, :closest]
-        i, k = np.nonzero(np.take_along_axis(d, to, 1) <= radius)
-        out.append(np.stack([at + i, to[i, k]], 1))
-    return np.concatenate(out).tolist()
-
-
-def links(classes: DataFrame, *, bits: int, radius: int, segments: int | None = None, small: int = SMALL, closest: int = 0) -> DataFrame:
-    """Distinct links a > b between class representatives: all of them in buckets of up to ``small`` rows, in larger ones
-    a minimum spanning forest and, if asked, each row's ``closest`` links.
-
-    ``classes``: rep (long) and fp (binary), fp distinct.  With ``segments`` below ``radius // 2 + 1`` only links with
-    one segment that differs by at most one bit are sure to be found.
+def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first one, cut only between its values; binary columns become rows of uint64 words."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = []
+        for c in batch.columns:
+            if pa.types.is_binary(c.type):
+                new.append(np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(c), -1))
+            else:
+                new.append(c.to_numpy(zero_copy_only=False))
+        last = int(np.searchsorted(new[0], new[0][-1]))  # the last group may go on
+        if last or held and held[-1][0][-1] != new[0][0]:
+            yield [np.concatenate(x) for x in zip(*held, [c[:last] for c in new], strict=True)]
+            held = []
+        held.append([c[last:] for c in new])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def links(classes: DataFrame, *, bits: int, radius: int, small: int = SMALL) -> DataFrame:
+    """Distinct links a > b between classes: all of them in buckets of up to ``small`` rows, in larger ones a minimum
+    spanning forest.  ``classes``: rep (long) and fp (binary), both distinct.
     """
-    parts = segments or radius // 2 + 1
-    width = np.array_split(np.arange(bits), parts)
+    width = np.array_split(np.arange(bits), radius // 2 + 1)
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,9 +177,7 @@ def links(classes: DataFrame, *, bits: int, radius: int, segments: int | None =
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), b.column("rep").take(pa.array(rows)), b.column("fp").take(pa.array(rows))], ["key", "rep", "fp"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, bits // 64), np.uint64))
-
-        def found(keys, reps, prints):
+        for keys, reps, prints in sorted_groups(batches):
             cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
             sizes = np.diff(cut)
             size = np.repeat(sizes, sizes)
@@ -194,36 +188,26 @@ def links(classes: DataFrame, *, bits: int, radius: int, segments: int | None =
                 a.append(reps[i])
                 b.append(reps[i + k])
             for lo, n in zip(cut[:-1][sizes > small], sizes[sizes > small], strict=True):
-                tree = [x[:2] for x in forest(prints[lo : lo + n], radius)]
-                if closest and tree:
-                    tree += closest_links(prints[lo : lo + n], radius, closest)
-                if tree:
-                    i, j = np.array(tree).T + lo
+                if tree := forest(prints[lo : lo + n], radius):
+                    i, j, _ = np.array(tree).T + lo
                     a.append(reps[i])
                     b.append(reps[j])
-            a, b = np.concatenate(a), np.concatenate(b)
-            pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-        for batch in batches:
-            new = (batch.column("key").to_numpy(), batch.column("rep").to_numpy(), np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(batch.num_rows, -1))
-            keys, reps, prints = (np.concatenate(x) for x in zip(held, new, strict=True))
-            if not len(keys):
-                continue
-            last = int(np.searchsorted(keys, keys[-1])) if keys[0] <= keys[-1] else 0  # the last bucket may go on
-            if last:
-                yield found(keys[:last], reps[:last], prints[:last])
-            held = (keys[last:], reps[last:], prints[last:])
-        if len(held[0]) > 1:
-            yield found(*held)
+            pairs = _pairs(np.concatenate(a), np.concatenate(b))
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     keyed = classes.select("rep", "fp").mapInArrow(variants, "key long, rep long, fp binary")
     dealt = keyed.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(verify, "a long, b long").distinct()
 
 
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distinct pairs, the larger number first."""
+    pairs = np.stack([np.maximum(a, b), np.minimum(a, b)], 1)
+    return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+
+
 def components(edges: DataFrame, *, name: str = "stars") -> DataFrame:
-    """node, component (smallest node reachable) for every node of the edges a > b, by alternating stars."""
+    """node, component (smallest node reachable, itself included) of every node of the edges a > b, by alternating stars."""
     seen = None
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -237,259 +221,30 @@ def components(edges: DataFrame, *, name: str = "stars") -> DataFrame:
         mark = new.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         edges = new
         if mark == seen:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            ends = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            return ends.union(ends.select("component", "component").distinct())
         seen = mark
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 3, bits: int = 64, radius: int = 2, segments: int | None = None, distinct: bool = False, keep=None, **options) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 3, bits: int = 64, radius: int = 2) -> DataFrame:
     """A row a document: ``key``, fingerprint (hex), component_id (the smallest key reachable over links).
 
     Lower-cases A-Z, parts words at blanks and \\t-\\r, takes word shingles with repeats.  Texts without words, empty
-    and null ones have the zero fingerprint and link like any other; equal rows are one class; null keys are left out;
-    an empty table gives no rows; extra columns are ignored.  With ``keep(links, temporary)``, which may drop links before components
-    are taken (a check on the texts themselves), only texts with equal words are one class without a check.
+    and null ones have the zero fingerprint and link like any other; equal rows are one class, rows with equal keys and
+    other texts are not; null keys are kept, link like others, and name a component (null) only where it has no other;
+    an empty table gives no rows; extra columns are ignored.
     """
-    prints = written(fingerprints(docs.filter(F.col(key).isNotNull()), text=text, key=key, shingle=shingle, bits=bits, distinct=distinct), "prints")
-    by = ["fp"] if keep is None else ["fp", "digest"]
-    classes = written(prints.groupBy(*by).agg(F.min("_key").alias("rep")), "classes")
-    found = written(links(classes, bits=bits, radius=radius, segments=segments, **options), "links")
-    done = [found]
-    if keep is not None:
-        found = written(keep(found, done), "kept")
-        done.append(found)
+    prints = written(fingerprints(docs, text=text, key=key, shingle=shingle, bits=bits), "prints")
+    classes = written(prints.groupBy("fp").agg(F.min("_key").alias("least")).withColumn("rep", F.monotonically_increasing_id()), "classes")
+    found = written(links(classes, bits=bits, radius=radius), "links")
     parts = components(found)
-    discard(*done)  # the components are a table of their own by now
-    named = classes.join(parts, classes["rep"] == parts["node"], "left").select(*by, F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, by).select(F.col("_key").alias(key), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
-
-
-def _shingles(text: str, shingle: int) -> np.ndarray:
-    """Hashes of a text's set of word shingles; a text with fewer words is one shingle."""
-    import xxhash
-
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    k = min(shingle, len(words))
-    return np.array([xxhash.xxh64_intdigest(g) for g in {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}], np.uint64)
-
-
-def _sketch(hashes: np.ndarray) -> bytes:
-    """128-bit SimHash of hashes."""
-    votes = np.zeros(128, np.int64)
-    for at in range(0, len(hashes), 1 << 14):
-        x = hashes[at : at + (1 << 14)]
-        votes += np.unpackbits(np.stack([x, mix64(x)], 1).view(np.uint8).reshape(len(x), 16), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(2 * votes > len(hashes)).tobytes()
-
-
-def _far(least: float) -> int:
-    """A distance of sketches that a likeness of ``least`` stays below by five deviations."""
-    return int(128 * np.arccos(2 * least / (1 + least)) / np.pi + 5 * np.sqrt(32))
-
-
-def alike(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8):
-    """A ``keep`` for ``near_duplicates``: links whose texts' sets of word shingles have a Jaccard likeness of ``least``.
-
-    Only the linked texts are looked at.  Links are first thinned by the number of shingles and by a 128-bit SimHash of
-    the shingles, at a distance that a likeness of ``least`` stays below by five deviations; the sets' 32-bit hashes then
-    meet the links that are left.  Texts with fewer words are one shingle.
-    """
-    far = _far(least)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "_t"):
-            sets, sketches = [], []
-            for t in pc.fill_null(b.column("_t"), "").to_pylist():
-                h = _shingles(t, shingle)
-                sets.append(np.unique(h.astype(np.uint32)).view(np.int32))
-                sketches.append(_sketch(h))
-            pairs = [np.frombuffer(x, np.int64) for x in sketches]
-            yield pa.RecordBatch.from_arrays([b.column("_k"), pa.array([len(x) for x in sets], pa.int32()), *(pa.array([x[i] for x in pairs], pa.int64()) for i in range(2)), pa.array(sets, pa.list_(pa.int32()))], ["_k", "n", "s", "u", "grams"])
-
-    def keep(found: DataFrame, temporary: list[DataFrame]) -> DataFrame:
-        nodes = found.select(F.col("a").alias("_k")).union(found.select(F.col("b").alias("_k"))).distinct()
-        rows = docs.select(F.col(key).cast("long").alias("_k"), F.col(text).cast("string").alias("_t")).join(nodes, "_k", "left_semi").dropDuplicates(["_k"])
-        grams = written(rows.mapInArrow(run, "_k long, n int, s long, u long, grams array<int>"), "grams")
-        side = lambda x, *c: grams.select(F.col("_k").alias(x), *[F.col(i).alias(f"{i}{x}") for i in c])
-        thin = found.join(side("a", "n", "s", "u"), "a").join(side("b", "n", "s", "u"), "b")
-        distance = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) + F.bit_count(F.col("ua").bitwiseXOR(F.col("ub")))
-        thin = written(thin.filter((distance <= far) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("a", "b"), "thinned")
-        temporary += [grams, thin]
-        both = thin.join(side("a", "grams"), "a").join(side("b", "grams"), "b").withColumn("_same", F.size(F.array_intersect("gramsa", "gramsb")))
-        return both.filter(F.col("_same") >= F.lit(least) * (F.size("gramsa") + F.size("gramsb") - F.col("_same"))).select("a", "b")
-
-    return keep
-
-
-def common_shingles(docs: DataFrame, *, text: str, key: str, shingle: int, sample: int = 2000, least: int = 3, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (ascending) and counts of the ``most`` commonest shingles of ``sample`` documents, those of ``least`` or more.
-
-    They only settle which shingles a prefix takes last, so a sample changes the work and not the links.
-    """
-    keys = docs.select(F.col(key).cast("long").alias("_k")).filter("_k is not null").orderBy(F.xxhash64("_k"), "_k").limit(sample)
-    rows = docs.select(F.col(key).cast("long").alias("_k"), F.col(text).cast("string").alias("_t")).join(F.broadcast(keys.distinct()), "_k", "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "_t"):
-            found = [_shingles(t, shingle) for t in pc.fill_null(b.column("_t"), "").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
-
-    top = rows.mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(most).collect()
-    h, n = np.array([r["h"] for r in top], np.int64).view(np.uint64), np.array([r["count"] for r in top], np.int64)
-    return h[np.argsort(h)], n[np.argsort(h)]
-
-
-def prefixes(docs: DataFrame, *, text: str, key: str, shingle: int, least: float) -> DataFrame:
-    """_key, digest (of the words), n (shingles), s and u (sketch), keys: the text's n - least * n + 1 rarest shingles.
-
-    All texts take them in one order (uncommon ones by hash, then common ones by count), so two texts with a likeness of
-    ``least`` have one of their keys in common: else the first of them would miss more than (1 - least) * n shingles.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text=text, key=key, shingle=shingle))  # at most 65,536 entries
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, counts = shared.value
-        for b in blocks(batches, "_text"):
-            texts = pc.fill_null(b.column("_text"), "").to_pylist()
-            digests = [hashlib.md5(b" ".join(t.encode("utf-8", "surrogatepass").lower().split())).digest() for t in texts]
-            sizes, sketches, keys = [], [], []
-            for t in texts:
-                h = _shingles(t, shingle)
-                rank = np.zeros(len(h), np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                    rank = np.where(common[at] == h, counts[at], 0)
-                sizes.append(len(h))
-                sketches.append(np.frombuffer(_sketch(h), np.int64))
-                keys.append(h[np.lexsort((h, rank))][: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("_key"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), *(pa.array([x[i] for x in sketches], pa.int64()) for i in range(2)), pa.array(keys, pa.list_(pa.int64()))], ["_key", "digest", "n", "s", "u", "keys"])
-
-    return docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text")).mapInArrow(run, "_key long, digest binary, n int, s long, u long, keys array<long>")
-
-
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of rows sorted by the first one, cut only between its values; s and u, the last two, become one column."""
-    held = None
-    for batch in batches:
-        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        new = [*new[:-2], np.stack(new[-2:], 1).view(np.uint64)]
-        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-        if len(held[0]):
-            last = int(np.searchsorted(held[0], held[0][-1]))  # the last bucket may go on
-            if last:
-                yield [x[:last] for x in held]
-                held = [x[last:] for x in held]
-    if held is not None and len(held[0]):
-        yield held
-
-
-def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distinct pairs, the larger key first."""
-    pairs = np.stack([np.maximum(a, b), np.minimum(a, b)], 1)
-    return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-
-
-def first_links(keyed: DataFrame, *, least: float, small: int, closest: int, block: int = 1024) -> DataFrame:
-    """a, b, key of rows key, rep, n, s, u: links (no key), and the members a of every bucket whose links aren't all there.
-
-    Buckets of up to ``small`` rows give all their links.  Larger ones give the links to the next row and to the
-    ``closest`` ones of its block in the sketches' order, and their members, for ``other_links``.
-    """
-    far = _far(least)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, reps, n, prints in _buckets(batches):
-            cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-            sizes = np.diff(cut)
-            size = np.repeat(sizes, sizes)
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-
-            def add(i, j):
-                fit = np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j])
-                i, j = i[fit], j[fit]
-                fit = _distance(prints[i], prints[j]) <= far
-                a.append(reps[i[fit]])
-                b.append(reps[j[fit]])
-
-            for k in range(1, min(small, int(sizes.max()))):
-                i = np.flatnonzero((keys[k:] == keys[:-k]) & ((size[k:] <= small) | (k == 1)))
-                add(i, i + k)
-            for lo, m in zip(cut[:-1][sizes > small], sizes[sizes > small], strict=True):
-                order = lo + np.lexsort(prints[lo : lo + m].T)
-                for at in range(0, m, block):
-                    rows = order[at : at + block]
-                    if len(rows) > 1 and (near := closest_links(prints[rows], far, closest)):
-                        i, j = rows[np.array(near).T]
-                        add(i, j)
-            pairs = _pairs(np.concatenate(a), np.concatenate(b))
-            many = size > small
-            none = pa.nulls(len(pairs), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none], ["a", "b", "key"])
-            yield pa.RecordBatch.from_arrays([pa.array(reps[many]), pa.nulls(int(many.sum()), pa.int64()), pa.array(keys[many])], ["a", "b", "key"])
-
-    return keyed.select("key", "rep", "n", "s", "u").repartition("key").sortWithinPartitions("key", "rep").mapInArrow(run, "a long, b long, key long")
+    discard(found)
+    named = _named(classes, parts).select("fp", "component_id")
+    return prints.join(named, "fp").select(F.col("_key").alias(key), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def other_links(members: DataFrame, *, least: float) -> DataFrame:
-    """All links a > b between rows of a bucket that are in different parts: rows key, rep, part, n, s, u."""
-    far = _far(least)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, reps, part, n, prints in _buckets(batches):
-            cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                step = max(1, BLOCK_PAIRS // (hi - lo))
-                for at in range(lo, hi, step):
-                    to = min(hi, at + step)
-                    fit = part[at:to, None] != part[None, at:hi]
-                    fit &= np.minimum(n[at:to, None], n[None, at:hi]) >= least * np.maximum(n[at:to, None], n[None, at:hi])
-                    i, j = np.nonzero(fit)
-                    near = _distance(prints[at + i], prints[at + j]) <= far
-                    if near.any():
-                        pairs = _pairs(reps[at + i[near]], reps[at + j[near]])
-                        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    dealt = members.select("key", "rep", "part", "n", "s", "u").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8, small: int = 24, closest: int = 2) -> DataFrame:
-    """A row a document: ``key``, component_id: the smallest key reachable over links, pairs of texts whose sets of word
-    shingles have a Jaccard likeness of ``least``.  Null keys are left out; texts with equal words are one class.
-
-    Candidates share a key of ``prefixes`` and have sketches within five deviations, which alone could miss a link; the
-    check on the texts is ``alike``.  A first round takes all candidates of small buckets and a few of large ones; a
-    second one takes all that are left of these, those between different components.
-    """
-    spark = docs.sparkSession
-    prints = written(prefixes(docs.filter(F.col(key).isNotNull()), text=text, key=key, shingle=shingle, least=least), "prints")
-    row = F.min(F.struct(F.col("_key").alias("rep"), "n", "s", "u", "keys")).alias("r")
-    reps = prints.groupBy("digest").agg(row).select("r.*")
-    found = written(first_links(reps.select("rep", "n", "s", "u", F.explode("keys").alias("key")), least=least, small=small, closest=closest), "found")
-    done = [prints, found]
-    keep = alike(docs, text=text, key=key, shingle=shingle, least=least)
-    kept = written(keep(found.filter("key is null").select("a", "b").distinct(), done), "kept")
-    done.append(kept)
-    parts = components(kept)
-    members = found.filter("key is not null").select("key", F.col("a").alias("rep"))
-    members = members.join(parts, members["rep"] == parts["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
-    mixed = members.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-    members = members.join(mixed, "key").join(prints.select(F.col("_key").alias("rep"), "n", "s", "u").dropDuplicates(["rep"]), "rep")
-    more = written(other_links(members, least=least), "others")
-    done.append(more)
-    if not more.isEmpty():
-        done.append(parts)
-        rest = written(keep(more, done), "kept")
-        done.append(rest)
-        parts = components(kept.union(rest))
-    groups = prints.groupBy("digest").agg(F.min("_key").alias("rep"))
-    named = groups.join(parts, groups["rep"] == parts["node"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = written(prints.select("_key", "digest").join(named, "digest").select(F.col("_key").alias(key), "component_id"), "components")
-    discard(*done)
-    return out
-
-
-def deduplicated(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose key is the smallest of its group of near copies (all rows with it, and null keys)."""
-    parts = near_copies(docs, text=text, key=key, shingle=shingle, least=least)
-    gone = parts.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+def _named(classes: DataFrame, parts: DataFrame) -> DataFrame:
+    """The classes (rep, least) with component (null where nothing is linked) and component_id, its smallest key."""
+    linked = classes.join(parts, classes["rep"] == parts["node"], "left").drop("node")
+    heads = linked.filter("component is not null").groupBy("component").agg(F.min("least").alias("_head")).withColumnRenamed("component", "_c")
+    return linked.join(heads, F.col("component") == F.col("_c"), "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("_head"))).drop("_c", "_head")

@@ -41,6 +41,16 @@ def test_against_all_pairs(spark):
     assert near_duplicates(df.limit(0)).collect() == []
 
 
+def test_null_and_equal_keys_and_a_long_text(spark):
+    from tessera.llm.simhash_near import near_duplicates
+
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(2, "a b c d"), (2, "completely other words here"), (None, "a b c d"), (None, "alone"), (7, "a b c d"), (7, "a b c d"), (9, long), (4, long)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, component_id long")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in near_duplicates(df).collect()), key=str)
+    assert got == sorted([(2, 2), (2, 2), (None, 2), (None, None), (7, 2), (7, 2), (9, 4), (4, 4)], key=str)
+
+
 def test_forest_of_large_buckets(monkeypatch):
     from tessera.llm import simhash_near
 
