@@ -65,13 +65,15 @@ def freed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, *, compact: bool = True) -> DataFrame:
     """Cut the lineage: write ``df`` once to the shared folder and read it back (survives lost executors).
 
-    The shuffle files of the write go with its end, as nothing will read them again.
+    The shuffle files of the write go with its end, as nothing will read them again.  Small tables of many tasks become
+    few files by one more exchange; ``compact=False`` spares it where the table is large, or where its rows hold numbers
+    that a second run of a task might give otherwise.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
     with freed(spark):
-        df.write.parquet(path)
+        (df.hint("rebalance") if compact else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
