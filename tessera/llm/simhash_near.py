@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     an empty table gives no rows; extra columns are ignored.
     """
     prints = written(fingerprints(docs, text=text, key=key, shingle=shingle, bits=bits), "prints")
-    classes = written(prints.groupBy("fp").agg(F.min("_key").alias("least")).withColumn("rep", F.monotonically_increasing_id()), "classes")
+    classes = written(prints.groupBy("fp").agg(F.min("_key").alias("least")).withColumn("rep", F.monotonically_increasing_id()), "classes", compact=False)
     found = written(links(classes, bits=bits, radius=radius), "links")
     parts = components(found)
     discard(found)
