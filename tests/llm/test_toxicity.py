@@ -8,11 +8,46 @@ import numpy as np
 import pytest
 
 
+def hits(text, model):
+    from tessera.llm.toxicity import clauses
+
+    return [x for c in clauses(text, model) for x in c]
+
+
+def plain(text, model):
+    """Kinds and weights of all hits, each by looking around it."""
+    from tessera.llm import toxicity as t
+
+    words = t._PIECE.findall(text)
+    is_mark = lambda i, *kinds: t.MARKS.get(words[i]) in kinds
+    out = []
+    for i, w in enumerate(words):
+        threat, weight = model.threats.get(w), model.threats.get(w) or model.weight(w)
+        if w in t.MARKS or not weight:
+            continue
+        line = max([j for j in range(i) if is_mark(j, t.BREAK)], default=-1) + 1
+        quoted = sum(is_mark(j, t.QUOTE) for j in range(line, i)) % 2 == 1
+        last = max([j for j in range(line, i) if is_mark(j, t.END, t.QUOTE)], default=line - 1) + 1
+        reach = 0
+        for j in range(last, i):
+            said = words[j] in t.REPORTS and not model.weight(words[j])
+            reach = 8 if said or (reach and is_mark(j, t.COLON)) else max(0, reach - 1)
+        near = lambda j, n, i=i: abs(j - i) <= n and not any(is_mark(k, t.END, t.COLON, t.BREAK) for k in range(min(i, j), max(i, j)))
+        of = lambda kind, j: words[j] in kind and not model.weight(words[j]) and words[j] not in model.threats
+        negated = any(of(t.NEGATIONS, j) and near(j, 3) for j in range(i))
+        left = any(of(t.TARGETS, j) and near(j, 4) for j in range(i))
+        right = any(of(t.TARGETS, j) and near(j, 4) for j in range(i + 1, len(words)))
+        ahead = (0.4 if quoted or reach else 1) * (0.3 if negated else 1) * (1.5 if left else 1)
+        kind = ("t" if threat else "i") + "+" * (left or right) + "-" * negated + '"' * bool(quoted or reach)
+        out.append((kind, weight * ahead * (1.5 if right and not ahead > 1 else 1)))
+    return out
+
+
 def test_grammar_marks():
-    from tessera.llm.toxicity import Model, clause_scores
+    from tessera.llm.toxicity import Model
 
     m = Model({"clown": 4.0, "réeux*": 5.0})
-    one = lambda s: clause_scores(s, m)
+    one = lambda s: hits(s, m)
     assert one("the clown came") == [("i", 4.0)]
     assert one("you are a clown") == [("i+", 6.0)]
     assert one("clown that you are") == [("i+", 6.0)]
@@ -23,6 +58,39 @@ def test_grammar_marks():
     assert one("réeuxment") == [("i", 5.0)] and one("réeu") == []
 
 
+def test_scopes_go_over_borders_of_clauses():
+    from tessera.llm.toxicity import Model
+
+    m = Model({"clown": 4.0})
+    weights = lambda s: [w for _, w in hits(s, m)]
+    assert weights("he said: you are a clown") == weights("he said you are a clown") == pytest.approx([4 * 0.4 * 1.5])
+    assert weights('"you are late. you are a clown" and then') == pytest.approx([4 * 0.4 * 1.5])
+    assert weights('"late." you are a clown') == pytest.approx([6.0])
+    assert weights('an open " mark\nyou are a clown') == pytest.approx([6.0])
+    assert weights("he said so. you are a clown") == pytest.approx([6.0])
+    assert weights("it is not: a clown") == pytest.approx([4.0])
+
+
+def test_score_against_looking_around_each_hit():
+    from tessera.llm import toxicity as t
+
+    m, rng = t.Model({"clown": 4.0, "fool*": 2.0}, {"kill": 3.0}), random.Random(11)
+    some = ["clown", "foolish", "kill", "you", "they", "not", "said", "wrote", "other", "word", "a", ".", ":", "!", "\n", '"', "”"]
+    for _ in range(400):
+        text = " ".join(rng.choices(some, k=rng.randrange(1, 40)))
+        got = hits(text, m)
+        want = plain(text, m)
+        assert [k for k, _ in got] == [k for k, _ in want] and [w for _, w in got] == pytest.approx([w for _, w in want])
+
+
+def test_threats_are_learnt():
+    from tessera.llm.toxicity import learn_lexicon
+
+    texts = ["i will wreck you", "we are going to wreck them all", "you wretch are late", "that wretch again"] * 6 + ["nice day"] * 40
+    insults, threats = learn_lexicon(texts, np.array([1.0] * 24 + [0.0] * 40))
+    assert "wreck" in threats and "wreck" not in insults and "wretch" in insults and "wretch" not in threats and "kill" in threats
+
+
 def test_composition_equals_running_in_turn():
     from tessera.llm.toxicity import ALPHABET, GRAMMAR, NEGATED, REPORTED, TARGETED
 
@@ -49,6 +117,16 @@ def test_nulls_and_nothing(spark):
     assert fit([], np.zeros(0)).coef is not None
 
 
+def test_repeated_keys_are_fitted_once(spark):
+    from tessera.llm.toxicity import train
+
+    rows = [(i, "you idiot clown" if i % 2 else "nice day") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] * 3 + [(5, 0), (None, 1), (6, None)], "doc_id long, toxic int")
+    one = train(spark.createDataFrame(rows * 2 + [(3, "nice day"), (None, "you")], "doc_id long, text string").repartition(5), labels)
+    two = train(spark.createDataFrame([(3, "nice day"), *rows[::-1]], "doc_id long, text string"), labels.repartition(3))
+    assert one.lexicon == two.lexicon and (one.coef == two.coef).all()
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the test tables")
 def test_held_out_accuracy(spark):
     from tessera.llm.queries import op10_toxicity
