@@ -212,18 +212,21 @@ def _varied(codes: np.ndarray, labels: np.ndarray, variant: int) -> np.ndarray:
     return x
 
 
-def train(docs: DataFrame, *, text: str, key: str, sample: int = 400, window: int = 24) -> tuple[np.ndarray, np.ndarray]:
-    """Fit on windows of at most ``2 * sample`` documents (the documented bound)."""
-    rows = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")).filter("_t is not null and length(_t) < 1000000")
+def train(docs: DataFrame, *, text: str, key: str, sample: int = 400, window: int = 24, most_chars: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Fit on windows of at most ``2 * sample`` documents of less than ``most_chars`` characters (the documented bound).
+
+    Documents are ranked by the hash of their key; where a key has several texts, the one with the smallest hash is taken.
+    """
+    rows = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")).filter(F.col("_k").isNotNull() & (F.char_length("_t") < most_chars))
     likely = F.lit(False)
     for word in ("passw", "secret", "token", "api", "AKIA", "key"):
         likely = likely | F.col("_t").contains(word)
     found = []
     for part in (rows.filter(likely & F.col("_t").rlike("[0-9][^ ]{5}|AKIA")), rows):
         # keys alone are ranked, so that a task sends no texts; then the texts of these keys
-        keys = [r["_k"] for r in part.filter("_k is not null").select("_k").orderBy(F.xxhash64("_k"), "_k").limit(sample).collect()]
-        texts = part.filter(F.col("_k").isin(keys)).limit(2 * sample).collect() if keys else []
-        found += [r["_t"] for r in sorted(texts, key=lambda r: (r["_k"], r["_t"]))]
+        keys = [r["_k"] for r in part.select("_k").distinct().orderBy(F.xxhash64("_k"), "_k").limit(sample).collect()]
+        texts = part.filter(F.col("_k").isin(keys)).groupBy("_k").agg(F.min(F.struct(F.xxhash64("_t"), "_t")).alias("_m")).select("_k", "_m._t").collect() if keys else []
+        found += [r["_t"] for r in sorted(texts, key=lambda r: r["_k"])]
     xs, ys = [], []
     for at in range(0, len(found), 50):
         data, offsets = flat(pa.array(found[at : at + 50], pa.large_string()))

@@ -51,3 +51,18 @@ def test_viterbi_is_exact():
         first = np.array([1, 0, 0, 0, 1, 0, 0], bool)
         best = max(itertools.product(range(3), repeat=7), key=lambda p: sum(e[i, y] for i, y in enumerate(p)) + sum(t[p[i - 1], p[i]] for i in range(7) if not first[i]))
         assert tuple(viterbi(e, t, first)) == best
+
+
+def test_null_keys_repeated_rows_and_a_very_long_text(spark):
+    """Rows are answered one by one, and the fitted model does not depend on how rows lie."""
+    from tessera.llm.secret_crf import find_secrets, train
+
+    secret = 'token = "' + "a1b2c3d4" * 5 + '"'
+    long = "the word é " * 120_000 + secret
+    rows = [(None, secret), (None, None), (None, "AKIA" + "B7" * 9), (1, secret), (1, secret), (1, "other " + secret), (2, long), (3, "the and of a " * 30)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_hex long")
+    got = sorted((r["doc_id"] or 0, r["n_assign"], r["n_access"], r["n_hex"]) for r in find_secrets(df).collect())
+    assert got == [(0, 0, 0, 0), (0, 0, 1, 0), (0, 1, 0, 1), (1, 1, 0, 1), (1, 1, 0, 1), (1, 1, 0, 1), (2, 1, 0, 1), (3, 0, 0, 0)]
+    a = train(df, text="text", key="doc_id")
+    b = train(df.orderBy("text").repartition(5), text="text", key="doc_id")
+    assert all((x == y).all() for x, y in zip(a, b, strict=True))
