@@ -2,13 +2,14 @@
 
 A text is cut into leaves of whole pre-tokens.  A cut lies before a blank that stands between two other characters than
 white space: the splitting pattern ends a pre-token there whatever is around, so leaves encode alone as they do in
-the text, and counts add up.  Each document's tree holds the characters and tokens of its leaves and sums over pairs of
-nodes, level by level.
+the text, and counts add up.  Each document's tree is balanced by height; its nodes hold the characters and tokens below
+them.  A stretch of leaves that no edit has come near is one node, which is opened only on the way to an edit.
 
 An edit descends by character sums to the leaves it touches, takes a neighbour along where it comes within two characters
 of a cut (the boundary context that could make the cut invalid), cuts the changed text anew, encodes only pieces that are
-not old leaves, and updates the sums on the paths to the root.  The stored state is the leaves' two integer lists beside
-the text, so trees survive between jobs.
+not old leaves, and joins the trees before and after them with these, which makes new nodes on the paths to the root alone:
+neither the other leaves nor the other sums nor the rest of the text are copied.  The stored state is the leaves' two
+integer lists beside the text, so trees survive between jobs.
 """
 
 from __future__ import annotations
@@ -71,86 +72,166 @@ class Encoder:
         return [len(self.encoding.encode_ordinary(p)) for p in pieces]
 
 
-class Tree:
-    """Sums over leaves by level: level 0 holds the leaves' (characters, tokens), each next level sums of pairs."""
+class Node:
+    """A part of a tree: its characters, its tokens and its height (0: a leaf)."""
+
+    __slots__ = ("chars", "tokens", "height", "left", "right", "piece")
+
+    def __init__(self, chars: int, tokens: int, height: int = 0, left: Node | None = None, right: Node | None = None, piece: str = ""):
+        self.chars, self.tokens, self.height, self.left, self.right, self.piece = chars, tokens, height, left, right, piece
+
+    def open(self) -> tuple[Node, Node]:
+        return self.left, self.right
+
+    def leaves(self) -> Iterator[tuple[str, list[int], list[int]]]:
+        """Text, characters and tokens of stretches of leaves, in order."""
+        todo = [self]
+        while todo:
+            node = todo.pop()
+            if isinstance(node, Stretch):
+                yield node.all()
+            elif node.height:
+                todo += [node.right, node.left]
+            else:
+                yield node.piece, [node.chars], [node.tokens]
+
+
+class Stretch(Node):
+    """Leaves lo..hi of a text as they were stored, which halve when they are opened."""
+
+    __slots__ = ("text", "ends", "sums", "lo", "hi")
+
+    def __init__(self, text: str, ends: np.ndarray, sums: np.ndarray, lo: int, hi: int):
+        super().__init__(int(ends[hi] - ends[lo]), int(sums[hi] - sums[lo]), (hi - lo - 1).bit_length())
+        self.text, self.ends, self.sums, self.lo, self.hi = text, ends, sums, lo, hi
+
+    def open(self) -> tuple[Node, Node]:
+        if self.left is None:
+            half = (self.lo + self.hi + 1) // 2
+            self.left, self.right = Stretch(self.text, self.ends, self.sums, self.lo, half), Stretch(self.text, self.ends, self.sums, half, self.hi)
+        return self.left, self.right
+
+    def all(self) -> tuple[str, list[int], list[int]]:
+        lo, hi = self.lo, self.hi
+        return self.text[self.ends[lo] : self.ends[hi]], np.diff(self.ends[lo : hi + 1]).tolist(), np.diff(self.sums[lo : hi + 1]).tolist()
+
+
+def _over(left: Node, right: Node) -> Node:
+    return Node(left.chars + right.chars, left.tokens + right.tokens, 1 + max(left.height, right.height), left, right)
+
+
+def join(left: Node | None, right: Node | None) -> Node | None:
+    """One tree of both, balanced if they are; new nodes are made along one path, as long as the heights differ."""
+    if left is None or right is None:
+        return left or right
+    if left.height > right.height + 1:
+        a, b = left.open()
+        t = join(b, right)
+        if t.height <= a.height + 1:
+            return _over(a, t)
+        x, y = t.open()
+        if x.height <= y.height:
+            return _over(_over(a, x), y)
+        p, q = x.open()
+        return _over(_over(a, p), _over(q, y))
+    if right.height > left.height + 1:
+        a, b = right.open()
+        t = join(left, a)
+        if t.height <= b.height + 1:
+            return _over(t, b)
+        x, y = t.open()
+        if y.height <= x.height:
+            return _over(x, _over(y, b))
+        p, q = y.open()
+        return _over(_over(x, p), _over(q, b))
+    return _over(left, right)
+
+
+def cut_at(tree: Node, position: int) -> tuple[Node | None, Node, Node | None]:
+    """The leaf that holds a position (the last one, if past the end), and the trees before and after it."""
+    before, after = [], []
+    while tree.height:
+        a, b = tree.open()
+        if position < a.chars:
+            after.append(b)
+            tree = a
+        else:
+            before.append(a)
+            tree, position = b, position - a.chars
+    left = right = None
+    for x in reversed(before):
+        left = join(x, left)
+    for x in reversed(after):
+        right = join(right, x)
+    return left, tree, right
 
-    def __init__(self, chars: list[int], tokens: list[int]):
-        level = np.stack([np.array(chars, np.int64), np.array(tokens, np.int64)], 1).reshape(-1, 2)
-        self.levels = [level]
-        while len(level) > 1:
-            level = np.concatenate([level, np.zeros((len(level) % 2, 2), np.int64)]).reshape(-1, 2, 2).sum(1)
-            self.levels.append(level)
 
-    @property
-    def total(self) -> tuple[int, int]:
-        return tuple(map(int, self.levels[-1][0])) if len(self.levels[-1]) else (0, 0)
-
-    def leaf_at(self, position: int) -> tuple[int, int]:
-        """The leaf that holds a character position (the last leaf, if past the end) and where that leaf begins."""
-        node, begin = 0, 0
-        for level in self.levels[-2::-1]:
-            node *= 2
-            if node + 1 < len(level) and position >= begin + level[node, 0] and level[node + 1 :, 0].any():
-                begin += int(level[node, 0])
-                node += 1
-        return node, begin
-
-    def replace(self, a: int, b: int, chars: list[int], tokens: list[int]) -> None:
-        """Leaves a..b become these.  As many leaves: their paths are updated; else the levels are summed again."""
-        if len(chars) == b - a:
-            self.levels[0][a:b] = np.stack([chars, tokens], 1)
-            lo, hi = a, b
-            for below, level in zip(self.levels, self.levels[1:], strict=False):
-                lo, hi = lo // 2, (hi + 1) // 2
-                for node in range(lo, hi):
-                    level[node] = below[2 * node : 2 * node + 2].sum(0)
-        else:
-            leaves = self.levels[0]
-            new = np.stack([np.array(chars, np.int64), np.array(tokens, np.int64)], 1).reshape(-1, 2)
-            leaves = np.concatenate([leaves[:a], new, leaves[b:]])
-            self.__init__(leaves[:, 0].tolist(), leaves[:, 1].tolist())
+def _piece(leaf: Node) -> str:
+    return leaf.all()[0] if isinstance(leaf, Stretch) else leaf.piece
 
 
 class Document:
-    """A text with its tree."""
+    """A text as the leaves of its tree (None: no text)."""
 
     def __init__(self, text: str, chars: list[int], tokens: list[int]):
-        self.text, self.tree, self.encoded = text, Tree(chars, tokens), 0
+        ends, sums = np.r_[0, np.cumsum(np.array(chars, np.int64))], np.r_[0, np.cumsum(np.array(tokens, np.int64))]
+        self.tree = Stretch(text, ends, sums, 0, len(chars)) if text else None
+        self.encoded = 0
 
     @classmethod
     def build(cls, text: str, encoder: Encoder) -> Document:
-        border = cuts(text)
-        pieces = [text[a:b] for a, b in zip(border, border[1:], strict=False)]
-        return cls(text, [len(p) for p in pieces], encoder.count(pieces))
+        return cls(text, *counted(text, encoder))
+
+    @property
+    def total(self) -> tuple[int, int]:
+        return (self.tree.chars, self.tree.tokens) if self.tree else (0, 0)
+
+    def state(self) -> tuple[str, list[int], list[int]]:
+        """The text, and its leaves' characters and tokens."""
+        parts = list(self.tree.leaves()) if self.tree else []
+        return "".join(p for p, _, _ in parts), [x for _, c, _ in parts for x in c], [x for _, _, n in parts for x in n]
 
     def edit(self, start: int, delete: int, insert: str, encoder: Encoder) -> None:
         """Replace ``delete`` characters from ``start`` on (both clipped to the text) by ``insert``."""
-        n = len(self.text)
+        n = self.total[0]
         start = min(max(0, start), n)
         end = min(n, start + max(0, delete))
-        leaves = self.tree.levels[0]
-        a, begin = self.tree.leaf_at(start)
-        if start - begin < 2 and a:
-            a -= 1
-            begin -= int(leaves[a, 0])
-        b, last = self.tree.leaf_at(end)
-        stop = last + int(leaves[b, 0])
-        if stop - end < 2 and b + 1 < len(leaves):
-            b += 1
-            stop += int(leaves[b, 0])
-        b += 1
-        new = self.text[begin:start] + insert + self.text[end:stop]
-        at, old = begin, {}
-        for chars, tokens in leaves[a:b].tolist():
-            old[self.text[at : at + chars]] = tokens
-            at += chars
+        before, after, touched = None, None, []  # touched: where a leaf begins, and the leaf
+        if self.tree:
+            before, leaf, after = cut_at(self.tree, start)
+            begin = before.chars if before else 0
+            touched, stop = [(begin, leaf)], begin + leaf.chars
+            if start - begin < 2 and before:
+                before, leaf, _ = cut_at(before, before.chars)
+                touched.insert(0, (begin - leaf.chars, leaf))
+            if end >= stop and after:  # what lies between the two leaves goes as a whole
+                gone, leaf, after = cut_at(after, end - stop)
+                stop += gone.chars if gone else 0
+                touched.append((stop, leaf))
+                stop += leaf.chars
+            if stop - end < 2 and after:
+                _, leaf, after = cut_at(after, 0)
+                touched.append((stop, leaf))
+        known = {_piece(leaf): leaf.tokens for _, leaf in touched}
+        head = "".join(_piece(leaf)[: max(0, start - at)] for at, leaf in touched)
+        tail = "".join(_piece(leaf)[max(0, end - at) :] for at, leaf in touched)
+        new = head + insert + tail
         border = cuts(new)
-        pieces = [new[x:y] for x, y in zip(border, border[1:], strict=False)]
-        todo = [p for p in pieces if p not in old]
+        pieces = [p for p in (new[x:y] for x, y in zip(border, border[1:], strict=False)) if p]
+        todo = [p for p in pieces if p not in known]
         self.encoded += sum(map(len, todo))
-        known = old | dict(zip(todo, encoder.count(todo), strict=True))
-        self.text = self.text[:begin] + new + self.text[stop:]
-        self.tree.replace(a, b, [len(p) for p in pieces], [known[p] for p in pieces])
+        known |= dict(zip(todo, encoder.count(todo), strict=True))
+        inner = None
+        for p in pieces:
+            inner = join(inner, Node(len(p), known[p], piece=p))
+        self.tree = join(join(before, inner), after)
+
+
+def counted(text: str, encoder: Encoder) -> tuple[list[int], list[int]]:
+    """Characters and tokens of a text's leaves."""
+    border = cuts(text)
+    pieces = [p for p in (text[a:b] for a, b in zip(border, border[1:], strict=False)) if p]
+    return [len(p) for p in pieces], encoder.count(pieces)
 
 
 _TREE = [T.StructField("leaf_chars", T.ArrayType(T.IntegerType())), T.StructField("leaf_tokens", T.ArrayType(T.IntegerType()))]
@@ -171,9 +252,9 @@ def token_trees(docs: DataFrame, tokenizer_path: str, pattern: str, *, text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer_path, pattern)
         for b in blocks(batches, t):
-            trees = [Document.build(x, encoder).tree for x in pc.fill_null(b.column(t), "").to_pylist()]
+            trees = [counted(x, encoder) for x in pc.fill_null(b.column(t), "").to_pylist()]
             k = b.num_columns - 1
-            yield pa.RecordBatch.from_arrays([*b.columns[:k], _ints([x.levels[0][:, 0].tolist() for x in trees]), _ints([x.levels[0][:, 1].tolist() for x in trees]), pa.array([x.total[1] for x in trees], pa.int64())], [*b.schema.names[:k], "leaf_chars", "leaf_tokens", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], _ints([c for c, _ in trees]), _ints([n for _, n in trees]), pa.array([sum(n) for _, n in trees], pa.int64())], [*b.schema.names[:k], "leaf_chars", "leaf_tokens", "n_tokens"])
 
     return plain.select("*", F.col(f"`{text}`").cast("string").alias(t)).mapInArrow(run, T.StructType([*plain.schema.fields, *_TREE, T.StructField("n_tokens", T.LongType())]))
 
@@ -181,7 +262,7 @@ def token_trees(docs: DataFrame, tokenizer_path: str, pattern: str, *, text: str
 def apply_edits(trees: DataFrame, tokenizer_path: str, pattern: str, *, text: str = "text", edits: str = "edits") -> DataFrame:
     """Apply each row's edits in turn: the text, leaf_chars, leaf_tokens and n_tokens are those after the edits.
 
-    ``trees`` comes from ``token_trees`` and has the column ``edits`` (see EDITS; null: none), whose starts refer to the
+    ``trees`` comes from ``token_trees`` (where leaves are null or don't fit the text, they are made anew) and has the column ``edits`` (see EDITS; null: none), whose starts refer to the
     text as the edits before left it.  Adds n_tokens_before and n_encoded_chars, the characters that were encoded again.
     """
     rest = [c for c in trees.columns if c not in (text, edits, "leaf_chars", "leaf_tokens", "n_tokens", "n_tokens_before", "n_encoded_chars")]
@@ -194,12 +275,13 @@ def apply_edits(trees: DataFrame, tokenizer_path: str, pattern: str, *, text: st
         for b in blocks(batches, own[0]):
             done = []
             for t, c, n, e in zip(*(b.column(own[i]).to_pylist() for i in (0, 1, 2, 4)), strict=True):
-                d = Document(t or "", c, n)
+                t = t or ""
+                d = Document(t, c, n) if c is not None and n is not None and sum(c) == len(t) else Document.build(t, encoder)
                 for x in e or ():
                     d.edit(x["start"] or 0, x["n_delete"] or 0, x["insert"] or "", encoder)
                 done.append(d)
-            leaves = [d.tree.levels[0] for d in done]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array([d.text for d in done], pa.string()), _ints([x[:, 0].tolist() for x in leaves]), _ints([x[:, 1].tolist() for x in leaves]), pa.array([d.tree.total[1] for d in done], pa.int64()), b.column(own[3]), pa.array([d.encoded for d in done], pa.int64())], [f.name for f in fields])
+            texts, chars, tokens = zip(*(d.state() for d in done), strict=True)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(texts, pa.string()), _ints(chars), _ints(tokens), pa.array([d.total[1] for d in done], pa.int64()), b.column(own[3]), pa.array([d.encoded for d in done], pa.int64())], [f.name for f in fields])
 
     return given.mapInArrow(run, T.StructType(fields))
 

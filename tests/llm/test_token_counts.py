@@ -1,5 +1,7 @@
 """Counts after edits against encoding the whole edited text."""
 
+import os
+
 import numpy as np
 import pytest
 
@@ -14,6 +16,31 @@ def encoder():
     return Encoder.of(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
 
 
+def balanced(node):
+    """Sums and heights are those of the parts, and heights differ by one at most."""
+    if node is None or not node.height:
+        return
+    a, b = node.open()
+    assert (node.chars, node.tokens) == (a.chars + b.chars, a.tokens + b.tokens) and abs(a.height - b.height) <= 1
+    assert node.height >= 1 + max(a.height, b.height)
+    balanced(a)
+    balanced(b)
+
+
+def test_an_edit_opens_one_path(encoder):
+    from tessera.llm.token_counts import Document, Node
+
+    d, made = Document.build("the quick brown fox " * 200_000, encoder), []
+    old, init = d.tree, Node.__init__
+    Node.__init__ = lambda self, *a, **k: (made.append(1), init(self, *a, **k))[1]
+    try:
+        d.edit(2_000_000, 40, " leaps over", encoder)
+        d.edit(1_000, 5, "", encoder)
+    finally:
+        Node.__init__ = init
+    assert old.height > 12 and len(made) < 20 * old.height and d.encoded < 3000
+
+
 def test_trees_and_edits_equal_whole_texts(encoder, monkeypatch):
     from tessera.llm import token_counts as m
 
@@ -23,15 +50,15 @@ def test_trees_and_edits_equal_whole_texts(encoder, monkeypatch):
     for _ in range(120):
         text = "".join(rng.choice(ALPHABET, int(rng.integers(0, 120))))
         d = m.Document.build(text, encoder)
-        assert d.tree.total == (len(text), whole(text))
+        assert d.total == (len(text), whole(text))
         for _ in range(12):
             at, gone = int(rng.integers(0, len(text) + 3)), int(rng.integers(0, 9))
             new = "".join(rng.choice(ALPHABET, int(rng.integers(0, 7))))
             text = text[:at] + new + text[at + gone :]
             d.edit(at, gone, new, encoder)
-            assert d.text == text and d.tree.total == (len(text), whole(text))
-            for below, level in zip(d.tree.levels, d.tree.levels[1:]):
-                assert level.sum(0).tolist() == below.sum(0).tolist()
+            got, chars, tokens = d.state()
+            assert got == text and d.total == (len(text), whole(text)) == (sum(chars), sum(tokens))
+            balanced(d.tree)
 
 
 def test_edits_encode_little(spark, encoder):
@@ -48,3 +75,22 @@ def test_edits_encode_little(spark, encoder):
         assert sum(r["leaf_tokens"]) == r["n_tokens"] and r["n_encoded_chars"] < 3000
     assert [r["text"] for r in got if r["doc_id"] == 2] == ["born"]
     assert token_trees(df.limit(0), path, P.PATTERN).collect() == []
+    bare = df.selectExpr("doc_id", "text", "cast(null as array<int>) as leaf_chars", "array(1) as leaf_tokens", "1L as n_tokens", "array(named_struct('start', 1L, 'n_delete', cast(null as bigint), 'insert', 'x')) as edits")
+    for r in apply_edits(bare, path, P.PATTERN).collect():
+        assert "x" in r["text"] and r["n_tokens"] == sum(r["leaf_tokens"]) == len(encoder.encoding.encode_ordinary(r["text"]))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_the_registered_query_counts_edited_texts(spark, encoder):
+    from tessera.llm.queries import op3_token_counts
+
+    count = lambda t: len(encoder.encoding.encode_ordinary(t))
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = op3_token_counts(spark, "/root/testdata/sf0.001").collect()
+    assert {r["doc_id"] for r in got} == set(texts)
+    for r in got:
+        t = texts[r["doc_id"]]
+        n = len(t)
+        e = t[: n // 4] + t[n // 4 + 30 :]
+        e = e[: n // 2] + " an inserted remark, 42" + e[n // 2 :]
+        assert (r["n_tokens"], r["n_tokens_edited"]) == (count(t), count(e + t[:25]))
