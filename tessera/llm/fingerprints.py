@@ -7,7 +7,8 @@ texts have equal fingerprints, and texts without terms have fingerprint zero.
 
 Neighbours are found by block tables: the bits are cut into six blocks, and any two fingerprints within a radius of three
 agree in at least three blocks; each of the 20 choices of three blocks is one permuted table, with that choice's bits as
-key.  Equal fingerprints are one class, and only true links leave the join.
+key.  Equal fingerprints are one class.  A link counts in the first table that shows it, so links are summed where they are
+found and never exchanged.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import ranges_for, written
 
 LANES = 0x0000000100000001
 BLOCKS = (11, 11, 11, 11, 10, 10)
-#: Documents in a bucket of neighbours by key, and cells of the grid of keys from which buckets are made.
-BUCKET_DOCS = 4000
-CELLS = 1 << 16
+#: Buckets of neighbours by key, in multiples of the ranges that the table's size asks for; rows drawn for each border.
+BUCKETS = 2
+DRAWN = 16
 _TERMS = r"[^\p{L}\p{N}]+"
 
 
@@ -60,31 +61,28 @@ def as_hex(fp: Column) -> Column:
 
 
 def _bucketed(use: DataFrame) -> DataFrame:
-    """Deal rows to buckets of neighbouring keys; each bucket also gets, as a ghost, the first rows of the next one.
+    """Deal rows to buckets of neighbours by key and hash of the text; each also gets, as a ghost, the next one's first row.
 
-    The grid has CELLS cells, so what comes to the driver and what is broadcast is bounded whatever the table holds.
+    Borders are quantiles of rows drawn by hash, so buckets are even whatever the keys are, and a hot key has many.  The
+    driver holds DRAWN rows a border, and buckets follow the size of the table.
     """
-    spark = use.sparkSession
-    span = use.agg(F.min("_k").alias("lo"), F.max("_k").alias("hi"), F.count("*").alias("n")).first()
-    if not span["n"]:
-        return use.withColumn("_b", F.lit(0)).withColumn("_g", F.lit(0))
-    lo, width = span["lo"], max(1, -(-(span["hi"] - span["lo"] + 1) // CELLS)) if span["lo"] is not None else 1
-    cell = F.when(F.col("_k").isNull(), -1).otherwise(F.expr(f"cast((_k - {lo or 0}L) div {width}L as int)"))
-    counts = sorted(use.select(cell.alias("c"), "_k").groupBy("c").agg(F.count("*").alias("n"), F.min("_k").alias("first")).collect())
-    rows, firsts, bucket, held = [], [], 0, 0
-    for r in counts:
-        if held and held + r["n"] > BUCKET_DOCS:
-            bucket, held = bucket + 1, 0
-        if not held:
-            firsts.append(r["first"])
-        rows.append((r["c"], bucket))
-        held += r["n"]
-    ghosts = [(k, (i - 1) % len(firsts)) for i, k in enumerate(firsts)]
-    own = F.broadcast(spark.createDataFrame(rows, "_c int, _b int"))
-    first = F.broadcast(spark.createDataFrame(ghosts, "_f long, _before int"))
-    placed = use.withColumn("_cell", cell).join(own, F.col("_cell") == F.col("_c")).join(first, F.col("_k").eqNullSafe(F.col("_f")), "left")
+    spark, buckets = use.sparkSession, BUCKETS * ranges_for(use)
+    place = F.struct(F.col("_k").isNotNull().alias("known"), F.coalesce("_k", F.lit(0)).alias("k"), F.xxhash64("_t").alias("h"))
+    placed = use.withColumn("_at", place)
+    drawn = sorted(tuple(r["_at"]) for r in placed.select("_at").orderBy(F.xxhash64("_at"), "_at").limit(DRAWN * buckets).collect())
+    borders = sorted({drawn[i * len(drawn) // buckets] for i in range(1, buckets)}) if drawn else []
+    wide = max(1, int(len(borders) ** 0.5))
+    kind = "struct<known:boolean,k:bigint,h:bigint>"
+    fine = [borders[i : i + wide] for i in range(0, len(borders), wide)]
+    table = F.broadcast(spark.createDataFrame([([x[0] for x in fine], fine)], f"_coarse array<{kind}>, _fine array<array<{kind}>>"))
+    below = lambda borders: F.size(F.filter(borders, lambda x: x <= F.col("_at")))
+    dealt = placed.crossJoin(table).withColumn("_c", below(F.col("_coarse")))
+    dealt = dealt.withColumn("_b", F.when(F.col("_c") == 0, 0).otherwise((F.col("_c") - 1) * wide + below(F.get("_fine", F.col("_c") - 1)))).drop("_coarse", "_fine", "_c")
+    firsts = sorted((r["_b"], tuple(r["f"])) for r in dealt.groupBy("_b").agg(F.min("_at").alias("f")).collect())  # a row a bucket
+    ghosts = F.broadcast(spark.createDataFrame([(f, firsts[i - 1][0]) for i, (_, f) in enumerate(firsts)], f"_f {kind}, _before int"))
     twice = F.when(F.col("_before").isNull(), F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("g")))).otherwise(F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("g")), F.struct(F.col("_before").alias("b"), F.lit(1).alias("g"))))
-    return placed.withColumn("_x", F.explode(twice)).select("_k", "_t", F.col("_x.b").alias("_b"), F.col("_x.g").alias("_g"))
+    met = dealt.join(ghosts, F.col("_at") == F.col("_f"), "left")
+    return met.withColumn("_x", F.explode(twice)).select("_k", "_t", F.col("_x.b").alias("_b"), F.col("_x.g").alias("_g"))
 
 
 def fingerprints_with_edit(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -114,19 +112,28 @@ def near_classes(prints: DataFrame, *, fp: str = "fp", radius: int = 3) -> DataF
     """fp, n_near: for each distinct fingerprint the number of other rows within the radius (at most 3), via block tables."""
     if not 0 <= radius <= 3:
         raise ValueError("six blocks serve a radius of 0 to 3")
-    classes = prints.groupBy(F.col(fp).alias("fp")).agg(F.count("*").alias("n"))
-    edges, at = [], 0
+    classes = written(prints.groupBy(F.col(fp).alias("fp")).agg(F.count("*").alias("n")), "classes")
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
+    blocks, at = [], 0
     for size in BLOCKS:
-        edges.append(((1 << size) - 1) << at)
+        blocks.append(((1 << size) - 1) << at)
         at += size
-    masks = [sum(edges[i] for i in c) for c in combinations(range(6), 3)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    tables = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("_table", "_bits")
+    choices = list(combinations(range(6), 3))
+    tables = F.posexplode(F.array(*[F.col("fp").bitwiseAND(signed(sum(blocks[i] for i in c))) for c in choices])).alias("_table", "_bits")
     indexed = classes.select("fp", "n", tables)
     a, b = indexed.alias("a"), indexed.alias("b")
-    near = (F.col("a._table") == F.col("b._table")) & (F.col("a._bits") == F.col("b._bits")) & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius)
-    links = a.join(b, near).select(F.col("a.fp").alias("x"), F.col("a.n").alias("nx"), F.col("b.fp").alias("y"), F.col("b.n").alias("ny")).distinct()
-    both = links.select(F.col("x").alias("fp"), F.col("ny").alias("m")).union(links.select(F.col("y").alias("fp"), F.col("nx").alias("m"))).union(classes.select("fp", (F.col("n") - 1).alias("m")))
+    differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+    # the first table of a pair is that of the first three blocks in which it agrees
+    first = F.lit(False)
+    for k, c in enumerate(choices):
+        own = F.col("a._table") == k
+        for i in range(c[2]):
+            if i not in c:
+                own = own & (differ.bitwiseAND(signed(blocks[i])) != 0)
+        first = first | own
+    near = (F.col("a._table") == F.col("b._table")) & (F.col("a._bits") == F.col("b._bits")) & (F.col("a.fp") != F.col("b.fp")) & (F.bit_count(differ) <= radius) & first
+    counted = a.join(b, near).groupBy(F.col("a.fp").alias("fp")).agg(F.sum("b.n").alias("m"))
+    both = counted.union(classes.select("fp", (F.col("n") - 1).alias("m")))
     return both.groupBy("fp").agg(F.sum("m").alias("n_near"))
 
 
@@ -137,5 +144,5 @@ def document_fingerprints(docs: DataFrame, *, text: str = "text", key: str = "do
     is its own next; an empty table gives no rows; other columns are ignored.
     """
     rows = written(fingerprints_with_edit(docs, text=text, key=key), "fingerprints")
-    near = near_classes(rows, radius=radius)
+    near = written(near_classes(rows, radius=radius), "near")
     return rows.join(near, "fp").select(F.col("_k").alias(key), "n_chars", "edited_sha256", as_hex(F.col("fp")).alias("fingerprint"), as_hex(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_near")

@@ -20,7 +20,7 @@ def plain(text):
 def test_against_plain(spark, monkeypatch):
     from tessera.llm import fingerprints as m
 
-    monkeypatch.setattr(m, "BUCKET_DOCS", 7)
+    monkeypatch.setattr(m, "ranges_for", lambda df: 4)
     rng = np.random.default_rng(10)
     vocab = ["the", "Où", "élan", "x1", "walk,", "ÄÖ"] + [f"w{i}" for i in range(50)]
     texts = [" ".join(rng.choice(vocab, int(n))) for n in rng.integers(0, 60, 40)] + [None, "", "...", "one", "𝒳y z"]
@@ -45,6 +45,26 @@ def test_against_plain(spark, monkeypatch):
     assert m.document_fingerprints(df.filter("doc_id = %d" % rows[5][0])).collect()[0]["near_next"] == 1.0
 
 
+def test_null_and_hot_keys_an_outlier_and_a_long_text(spark, monkeypatch):
+    """Rows go by key, null first, and then by hash of the text, however the keys are spread."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm import fingerprints as m
+
+    monkeypatch.setattr(m, "ranges_for", lambda df: 5)
+    rows = [(None, f"null {i}") for i in range(8)] + [(7, f"seven {i} here") for i in range(30)] + [(7, "same"), (7, "same"), (2**62, "far away"), (8, "long wörds " * 60_000)] + [(i, f"t {i}") for i in range(5)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, _b long")
+    hashes = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    line = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
+    want = []
+    for i, (k, t) in enumerate(line):
+        other, q = line[(i + 1) % len(line)][1], len(t) // 4
+        edited = t[: len(t) - q] + other[:q]
+        want.append((str(k), f"{plain(t):016x}", f"{plain(edited):016x}", hashlib.sha256(edited.encode()).hexdigest()))
+    got = m.document_fingerprints(df).collect()
+    assert sorted((str(r["doc_id"]), r["fingerprint"], r["edited_fingerprint"], r["edited_sha256"]) for r in got) == sorted(want)
+
+
 def test_block_tables_find_all(spark):
     from tessera.llm.fingerprints import near_classes
 
