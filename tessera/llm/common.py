@@ -143,7 +143,7 @@ def _powers(n: int, seed: int) -> list[np.ndarray]:
             p = np.full(size, x, np.uint64)
             p[0] = 1
             known.append(np.multiply.accumulate(p))
-        while len(_SPANS) > 3:  # seeds of runs that are over
+        while len(_SPANS) > 1:  # seeds of runs that are over; two are in use at most
             _SPANS.pop(next(iter(_SPANS)))
         _SPANS[seed] = known
     return [known[0], known[1][:n], known[2][:n]]

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import blocks, fresh_path, ranges_for, store_of, written
 
 #: Words whose ids a worker remembers in each of two generations, and the characters of the longest of them.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 CACHE_CHARS = 64
 #: Longer texts are encoded in pieces of about this many characters.
 CHUNK_CHARS = 1 << 20
@@ -55,7 +55,7 @@ def _byte_letters() -> dict[int, str]:
 class _Words(dict):
     """Packed ids by space-parted word, in two generations: a full one becomes the older one, so what is in use stays.
 
-    At most ``2 * CACHE_WORDS`` words of up to ``CACHE_CHARS`` characters are held, some 100 MB.
+    At most ``2 * CACHE_WORDS`` words of up to ``CACHE_CHARS`` characters are held, some 60 MB.
     """
 
     def __init__(self, model, split, code: str):
