@@ -172,12 +172,91 @@ def l34_bce(spark, sf_dir):
     return token_table(spark, sf_dir).select("vec_id", F.round(T.bce_loss(T.masked_sum(T.ADV), (F.col("label") % 2).cast("double"), 0.05), 6).alias("loss"))
 
 
+def _rollouts(spark, sf_dir) -> DataFrame:
+    """The token table where every eleventh row has no token."""
+    return token_table(spark, sf_dir).withColumn(T.MASK, F.transform(T.MASK, lambda m: F.when(F.col("vec_id") % 11 == 0, 0).otherwise(m).cast("int")))
+
+
+def _corrections(level: str, reject: str):
+    def query(spark, sf_dir):
+        return rounded(T.correction_metrics(_rollouts(spark, sf_dir), weights=level, threshold=1.06, reject=reject, upper=1.08, lower=0.95, veto=0.91, normalize=True), 4)
+
+    return query
+
+
+def _corrected(reject: str, veto: float | None = None):
+    """What a correction leaves of every row: tokens, and the sum of their weights."""
+
+    def query(spark, sf_dir):
+        t = T.corrected(_rollouts(spark, sf_dir), weights="token", threshold=1.06, reject=reject, upper=1.08, lower=0.95, veto=veto)
+        return t.select("vec_id", F.aggregate(T.MASK, F.lit(0), lambda a, x: a + x).cast("long").alias("n"), F.round(T.masked_sum("rollout_is_weights"), 5).alias("weight"))
+
+    return query
+
+
+def l08_corrected_loss(spark, sf_dir):
+    t = _rollouts(spark, sf_dir)
+    one = T.rollout_corrected_loss(t, weights="token", threshold=1.5, reject="geometric", upper=1.05, lower=0.95)
+    two = T.get_policy_loss("rollout_correction")(t, "seq-mean-token-sum", weights="sequence", threshold=1.2, veto=0.5)
+    return rounded(one).crossJoin(rounded(two).withColumnsRenamed({"pg_loss": "seq_loss", "ppo_kl": "seq_kl"}))
+
+
+def l28_bypassed(spark, sf_dir):
+    """Bypass with either loss: the rollout's log-probabilities take the place of the old ones."""
+    t, name = T.bypassed(token_table(spark, sf_dir))
+    u, other = T.bypassed(token_table(spark, sf_dir), policy_gradient=True)
+    return rounded(T.get_policy_loss(name)(t).select(F.col("pg_loss").alias("ppo_loss"), F.col("ppo_kl").alias("ppo_kl"))).crossJoin(rounded(T.get_policy_loss(other)(u).select("pg_loss")))
+
+
+def w01_gae_returns(spark, sf_dir):
+    t = T.gae_batch(token_table(spark, sf_dir).drop(T.RETURNS).withColumn("r", F.col(T.ADV)).drop(T.ADV), "r", T.VALUES, gamma=0.9, lam=0.8)
+    return t.select("vec_id", F.posexplode(F.arrays_zip(T.ADV, T.RETURNS)).alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("x.advantages", 5).alias("advantage"), F.round("x.returns", 5).alias("ret"))
+
+
+def l11_entropy_loss(spark, sf_dir):
+    """Entropies of softmax(|e_i|, 0) over the tokens, reduced by each mode."""
+    t = token_table(spark, sf_dir).withColumn("entropy", F.transform("e", lambda x: T.entropy(F.array(F.abs(x), F.lit(0.0)))))
+    s = t.select(T.sums(["entropy"], v=lambda x: x["entropy"]).alias("s"))
+    return rounded(s.agg(*[T.aggregate_loss("s", "v", m, WIDTH).alias(m.replace("-", "_")) for m in ("token-mean", "seq-mean-token-sum", "seq-mean-token-mean")]))
+
+
+def l36_combined_loss(spark, sf_dir):
+    return rounded(T.combined_loss(token_table(spark, sf_dir).withColumn("entropy", F.transform("e", lambda x: F.abs(x))), "entropy", entropy_coef=0.01, kl_coef=0.2, kind="low_var_kl"))
+
+
+def l42_response_logprobs(spark, sf_dir):
+    """Log-probabilities of each position's label among three logits."""
+    t = token_table(spark, sf_dir).withColumns({"logits": F.transform("e", lambda x: F.array(x, -x, F.lit(0.5))), "labels": F.transform("e", lambda x: F.when(x > 0.2, 0).when(x < -0.2, 1).otherwise(2))})
+    return t.select("vec_id", F.posexplode(T.token_logprobs("logits", "labels")).alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("x", 5).alias("logprob"))
+
+
+def l44_kept_logits(spark, sf_dir):
+    """Scaled by temperature, then the top 10, then the smallest set that holds 0.7 of the mass; how many logits are left."""
+    t = token_table(spark, sf_dir).select("vec_id", T.scaled_logits("e", 0.25).alias("z"))
+    t = t.select("vec_id", T.top_k_logits("z", 10).alias("z")).select("vec_id", T.top_p_logits("z", 0.7).alias("z"))
+    return t.select("vec_id", F.size(F.filter("z", lambda x: x.isNotNull())).alias("kept"), F.round(F.aggregate(F.filter("z", lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+
+def l17_kl_controllers(spark, sf_dir):
+    """The adaptive and the fixed coefficient after the events, as batches in order of their number."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.expr("event_id div 200").alias("step")).agg(F.avg("value").alias("kl"), F.count("*").alias("n"))
+    return T.controlled(e, "step", "kl", "n", T.kl_controller("adaptive", 0.2, 50.0, 1_000.0)).withColumn("coef", F.round("coef", 8)).crossJoin(spark.createDataFrame([(T.kl_controller("fixed", 0.3).update(9.0, 5),)], "fixed double"))
+
+
+def a04_mean_max_min_std(spark, sf_dir):
+    t = token_table(spark, sf_dir).select(F.explode(T.ADV).alias("x"))
+    return rounded(t.agg(F.avg("x").alias("mean"), F.max("x").alias("max"), F.min("x").alias("min"), F.stddev_samp("x").alias("std")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (a01_masked_mean, a03_masked_var, a06_loss_modes, w19_whiten, l10_value_loss, l12_divergences, l16_kl_penalty, l16_batch_kl, l20_token_weights, l20_sequence_weights, l21_rejection, l25_weight_metrics, l26_off_policy, l13_entropy, l38_logprob_at, l30_batch_logps, l33_topk_kl, l31_sppo, l32_flow, l35_sft, w01_gae, w09_discounted_returns, w10_reverse_cumsum, w18_position_ids, r11_eos_mask, x08_overlong_penalty, l29_dpo, l34_bce)
+    for f in (a01_masked_mean, a03_masked_var, a06_loss_modes, w19_whiten, l10_value_loss, l12_divergences, l16_kl_penalty, l16_batch_kl, l20_token_weights, l20_sequence_weights, l21_rejection, l25_weight_metrics, l26_off_policy, l13_entropy, l38_logprob_at, l30_batch_logps, l33_topk_kl, l31_sppo, l32_flow, l35_sft, w01_gae, w09_discounted_returns, w10_reverse_cumsum, w18_position_ids, r11_eos_mask, x08_overlong_penalty, l29_dpo, l34_bce, l08_corrected_loss, l28_bypassed, w01_gae_returns, l11_entropy_loss, l36_combined_loss, l42_response_logprobs, l44_kept_logits, l17_kl_controllers, a04_mean_max_min_std)
 }
 QUERIES |= {"l01_ppo_loss": _loss("vanilla"), "l03_gspo_loss": _loss("gspo"), "l04_gpg_loss": _loss("gpg"), "l07_geo_mean_loss": _loss("geo_mean"), "l06_kl_cov_loss": _loss("kl_cov", ratio=0.01), "l05_clip_cov_loss": _loss("clip_cov", ratio=0.01)}
 
+QUERIES |= {f"l24_{level}_{reject}_metrics": _corrections(level, reject) for level, reject in (("token", "token"), ("sequence", "sequence"), ("token", "geometric"))}
+QUERIES |= {"l22_token_rejected": _corrected("token"), "l22_geometric_rejected": _corrected("geometric"), "l22_sequence_vetoed": _corrected("sequence", 0.91)}
+
 _TOK = """WITH base AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 tok AS (SELECT vec_id, label, i AS pos, e[i + 1] AS e, -abs(e[i + 1]) AS old, -abs(e[64 - i]) AS new, e[(i + 1) % 64 + 1] AS adv, -abs(e[i + 1] + 0.1) AS ref,
   e[i + 1] / 2 AS val, e[i + 1] / 2 + e[(i + 1) % 64 + 1] / 2 AS ret, -e[i + 1] / 2 AS vp, CASE WHEN i < 10 + vec_id % 55 AND i % 7 <> 3 THEN 1 ELSE 0 END AS m FROM base, range(64) r(i))"""
@@ -190,11 +269,58 @@ def _row(expr: str) -> str:
 
 _CLIP = "greatest(-adv * exp(least(greatest(new - old, -20), 20)), -adv * least(greatest(exp(least(greatest(new - old, -20), 20)), 0.8), 1.2))"
 _PAR = "clip AS (SELECT *, -adv * exp(least(greatest(new - old, -20), 20)) AS one, -adv * least(greatest(exp(least(greatest(new - old, -20), 20)), 0.8), 1.2) AS two, -adv * 3.0 AS three FROM tok)"
+_ROL = _TOK.replace("THEN 1 ELSE 0 END AS m FROM base", "AND vec_id % 11 <> 0 THEN 1 ELSE 0 END AS m FROM base")
+#: Row by row over lists: a self-join of all tokens would not end.
+_W19 = """WITH base AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+tok AS (SELECT vec_id, list_transform(range(64), lambda i: e[(i + 1) % 64 + 1]) AS a, list_transform(range(64), lambda i: CASE WHEN i < 10 + vec_id % 55 AND i % 7 <> 3 THEN 1 ELSE 0 END) AS m FROM base),
+r AS (SELECT list_sum(m) AS n, list_sum(list_transform(list_zip(a, m), lambda p: p[1] * p[2])) AS s, list_sum(list_transform(list_zip(a, m), lambda p: p[1] * p[1] * p[2])) AS q FROM tok),
+mu AS (SELECT sum(s) / (sum(n) + 1e-8) AS mu, (sum(q) / sum(n) - (sum(s) / sum(n)) ^ 2) * sum(n) / (sum(n) - 1) AS var FROM r)
+SELECT vec_id, unnest(range(64)) AS pos, unnest(list_transform(a, lambda x: round((x - mu) / sqrt(var + 1e-8), 5))) AS white FROM tok, mu"""
+_W01 = f"""{_TOK}, k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY pos DESC) AS j, lead(val) OVER (PARTITION BY vec_id ORDER BY pos) AS nv FROM tok WHERE m = 1),
+d AS (SELECT vec_id, pos, j, (adv + 0.9 * coalesce(nv, 0) - val) / 0.72 ^ j AS d FROM k), a AS (SELECT vec_id, pos, sum(d) OVER (PARTITION BY vec_id ORDER BY j) * 0.72 ^ j AS a FROM d),
+f AS (SELECT t.vec_id, t.pos, m, val, coalesce(first_value(a IGNORE NULLS) OVER (PARTITION BY t.vec_id ORDER BY t.pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS a FROM tok t LEFT JOIN a ON a.vec_id = t.vec_id AND a.pos = t.pos),
+mu AS (SELECT sum(a * m) / (sum(m) + 1e-8) AS mu, var_samp(a) FILTER (m = 1) AS var FROM f)
+SELECT vec_id, pos, round((a - mu) / sqrt(var + 1e-8), 5) AS advantage, round(a + val, 5) AS ret FROM f, mu"""
+
+
+def _metric_sql(level: str, reject: str) -> str:
+    """The metrics of a correction, from token sums (t), rows (s) and the off-policy query."""
+
+    def stats(kind: str, prefix: str, hi: str, lo: str) -> str:
+        c = f"least(greatest(w, {lo}), {hi})"
+        seq = "sw" if kind == "token" else {"sequence": "ws", "geometric": "wg"}[kind] + " * n / (n + 1e-8)"
+        if kind == "token":
+            own = {"max": "(SELECT max(w) FILTER (m = 1) FROM t)", "min": "(SELECT min(w) FILTER (m = 1) FROM t)", "ratio_fraction_high": f"(SELECT sum((w > {hi})::INT * m) / {_N} FROM t)", "ratio_fraction_low": f"(SELECT sum((w < {lo})::INT * m) / {_N} FROM t)", "mean": f"(SELECT sum(w * m) / {_N} FROM t)", "c": f"(SELECT sum({c} * m) / {_N} FROM t)", "q": f"(SELECT sum({c} * {c} * m) / {_N} FROM t)"}
+        else:
+            x, w = {"sequence": ("d", "ws"), "geometric": ("d / (n + 1e-8)", "wg")}[kind]
+            c = f"least(greatest({w}, {lo}), {hi})"
+            own = {"max": f"exp(least(max({x}), 20))", "min": f"exp(min({x}))", "ratio_fraction_high": f"avg(({x} > ln({hi}))::INT)", "ratio_fraction_low": f"avg(({x} < ln({lo}))::INT)", "mean": f"sum({w} * n) / (sum(n) + 1e-8)", "c": f"(sum({c} * n) / (sum(n) + 1e-8))", "q": f"(sum({c} * {c} * n) / (sum(n) + 1e-8))"}
+        cc, qq = own.pop("c"), own.pop("q")
+        own |= {"std": f"sqrt(greatest({qq} - {cc} * {cc}, 0))", "eff_sample_size": f"({cc} + 1e-8) ^ 2 / {qq}", "seq_mean": f"avg({seq})", "seq_std": f"stddev_samp({seq})", "seq_max": f"max({seq})", "seq_min": f"min({seq})", "seq_max_deviation": f"max(abs({seq} - 1))", "seq_fraction_high": f"avg(({seq} > {hi})::INT)", "seq_fraction_low": f"avg(({seq} < {lo})::INT)"}
+        return ", ".join(f"round({v}, 4) AS {prefix}_{k}" for k, v in own.items())
+
+    factor = f"(SELECT sum(least(w * m, 1.06)) / {_N} FROM t)" if level == "token" else "avg(least(ws, 1.06) * n / (n + 1e-8)) FILTER (n > 0)"
+    gone = {"token": ("sum(tok_out) / (sum(n) + 1e-8)", "avg((tok_out > 0)::INT)"), "sequence": ("sum(CASE WHEN ws BETWEEN 0.95 AND 1.08 THEN 0 ELSE n END) / (sum(n) + 1e-8)", "avg((NOT ws BETWEEN 0.95 AND 1.08)::INT)"), "geometric": ("sum(CASE WHEN wg BETWEEN 0.95 AND 1.08 THEN 0 ELSE n END) / (sum(n) + 1e-8)", "avg((NOT wg BETWEEN 0.95 AND 1.08)::INT)")}[reject]
+    return f"""{_ROL}, t AS (SELECT *, exp(old - ref) AS w FROM tok),
+    s AS (SELECT vec_id, sum(m) AS n, sum((old - ref) * m) AS d, sum(old * m) / {_N} AS a, sum(ref * m) / {_N} AS b, sum(w * m) / {_N} AS sw, exp(least(greatest(sum((old - ref) * m), -20), 20)) AS ws, exp(sum((old - ref) * m) / {_N}) AS wg, sum((NOT w BETWEEN 0.95 AND 1.08)::INT * m) AS tok_out, sum((w < 0.91)::INT * m) AS bad FROM t GROUP BY 1),
+    g AS (SELECT sum((ref - old) * m) / {_N} AS kl, sum((exp(old - ref) - (old - ref) - 1) * m) / {_N} AS k3, sum(exp(2 * (old - ref)) * m) / {_N} - 1 AS chi FROM tok)
+    SELECT sum(n)::DOUBLE AS n_tokens, {stats(level, 'rollout_is', '1.06', '(1 / 1.06)')}, round({factor}, 4) AS rollout_is_batch_norm_factor, {stats(reject, 'rollout_rs', '1.08', '0.95')}, round({gone[0]}, 4) AS rollout_rs_masked_fraction, round({gone[1]}, 4) AS rollout_rs_seq_masked_fraction, round(avg((bad > 0)::INT), 4) AS rollout_is_veto_fraction, round(sum(bad) / (sum(n) + 1e-8), 4) AS rollout_is_catastrophic_token_fraction,
+    round(avg(exp(-a)), 4) AS training_ppl, round(avg(-a), 4) AS training_log_ppl, round(any_value(kl), 4) AS kl, round(any_value(k3), 4) AS k3_kl, round(avg(exp(-b)), 4) AS rollout_ppl, round(avg(-b), 4) AS rollout_log_ppl, round(avg(b - a), 4) AS log_ppl_diff, round(avg(abs(b - a)), 4) AS log_ppl_abs_diff, round(max(b - a), 4) AS log_ppl_diff_max, round(min(b - a), 4) AS log_ppl_diff_min, round(avg(exp(b - a)), 4) AS ppl_ratio, round(any_value(chi), 4) AS chi2_token, round(avg(exp(2 * least(greatest(d, -20), 20))) - 1, 4) AS chi2_seq FROM s, g"""
+
+
+def _rejected_sql(ok: str) -> str:
+    return f"{_ROL}, s AS (SELECT vec_id, sum((old - ref) * m) AS d, sum(m) AS n, max((exp(old - ref) < 0.91)::INT * m) AS bad FROM tok GROUP BY 1), k AS (SELECT vec_id, m * ({ok})::INT AS k, least(exp(old - ref) * m, 1.06) AS w FROM tok JOIN s USING (vec_id)) SELECT vec_id, CAST(sum(k) AS BIGINT) AS n, round(sum(w * k), 5) AS weight FROM k GROUP BY 1"
+
+
 ORACLES = {
+    "l22_token_rejected": _rejected_sql("exp(old - ref) BETWEEN 0.95 AND 1.08"),
+    "l22_geometric_rejected": _rejected_sql("exp(d / (n + 1e-8)) BETWEEN 0.95 AND 1.08"),
+    "l22_sequence_vetoed": _rejected_sql("exp(least(greatest(d, -20), 20)) BETWEEN 0.95 AND 1.08 AND bad = 0"),
+    **{f"l24_{level}_{reject}_metrics": _metric_sql(level, reject) for level, reject in (("token", "token"), ("sequence", "sequence"), ("token", "geometric"))},
     "a01_masked_mean": f"{_TOK} SELECT vec_id, round(sum(adv * m), 5) AS total, round(sum(adv * m) / {_N}, 5) AS mean FROM tok GROUP BY vec_id",
     "a03_masked_var": f"{_TOK}, mu AS (SELECT sum(adv * m) / {_N} AS mu FROM tok) SELECT CAST(sum(m) AS DOUBLE) AS n, round(any_value(mu), 5) AS mean, round(sum((adv - mu) ^ 2 * m) / {_N} * sum(m) / (sum(m) - 1), 5) AS var FROM tok, mu",
     "a06_loss_modes": f"{_TOK}, s AS (SELECT vec_id, sum(adv * adv * m) AS l, sum(m) AS n FROM tok GROUP BY vec_id) SELECT round(sum(l) / sum(n), 5) AS token_mean, round(avg(l) FILTER (n > 0), 5) AS seq_mean_token_sum, round(avg(l / (n + 1e-8)) FILTER (n > 0), 5) AS seq_mean_token_mean, round(sum(l) / 64, 5) AS seq_mean_token_sum_norm FROM s",
-    "w19_whiten": f"{_TOK}, mu AS (SELECT sum(adv * m) / {_N} AS mu FROM tok), v AS (SELECT any_value(mu) AS mu, sum((adv - mu) ^ 2 * m) / {_N} * sum(m) / (sum(m) - 1) AS var FROM tok, mu) SELECT vec_id, pos, round((adv - mu) / sqrt(var + 1e-8), 5) AS white FROM tok, v",
+    "w19_whiten": _W19,
     "l01_ppo_loss": f"{_TOK}, {_PAR} SELECT round(sum(CASE WHEN adv < 0 THEN least(three, greatest(one, two)) ELSE greatest(one, two) END * m) / sum(m), 5) AS pg_loss, round(sum((two > one)::INT * m) / {_N}, 5) AS pg_clipfrac, round(sum((old - new) * m) / {_N}, 5) AS ppo_kl, round(sum((greatest(one, two) > three AND adv < 0)::INT * m) / {_N}, 5) AS pg_clipfrac_lower FROM clip",
     "l03_gspo_loss": f"{_TOK}, q AS (SELECT vec_id, exp(least(sum((new - old) * m) / greatest(sum(m), 1), 10)) AS ratio FROM tok GROUP BY 1), c AS (SELECT t.*, -adv * ratio AS one, -adv * least(greatest(ratio, 0.8), 1.2) AS two FROM tok t JOIN q USING (vec_id)), s AS (SELECT vec_id, sum(greatest(one, two) * m) / {_N} AS l, sum(m) AS n FROM c GROUP BY 1) SELECT (SELECT round(avg(l) FILTER (n > 0), 5) FROM s) AS pg_loss, round(sum((two > one)::INT * m) / {_N}, 5) AS pg_clipfrac, round(sum((old - new) * m) / {_N}, 5) AS ppo_kl, 0.0::DOUBLE AS pg_clipfrac_lower FROM c",
     "l04_gpg_loss": f"{_TOK} SELECT round(sum(-new * adv * m) / sum(m), 5) AS pg_loss FROM tok",
@@ -216,6 +342,16 @@ ORACLES = {
     "l31_sppo": f"{_TOK}, s AS (SELECT vec_id, sum((new - old) * m) AS d, any_value(label) AS r FROM tok GROUP BY 1) SELECT round(avg((d - r) ^ 2), 3) AS loss FROM s",
     "l32_flow": f"{_TOK}, s AS (SELECT vec_id, sum((new - old) * m) AS d, sum(new * m) / {_N} AS p, sum(ref * m) / {_N} AS q, any_value(label) / 10.0 AS r FROM tok GROUP BY 1) SELECT round(avg(least(exp(d), 10) * (0.5 + p - 15 * r - q) ^ 2), 3) AS loss FROM s",
     "l35_sft": f"{_TOK} SELECT round(-sum(new * m) / sum(m), 5) AS loss FROM tok",
+    "l05_clip_cov_loss": f"{_TOK}, mu AS (SELECT sum(adv * m) / {_N} AS ma, sum(new * m) / {_N} AS ml, CAST(greatest(1, floor(sum(m) * 0.01)) AS BIGINT) AS k FROM tok), c AS (SELECT t.*, k, (adv - ma) * (new - ml) AS cov, -adv * exp(new - old) AS one, -adv * least(greatest(exp(new - old), 0.8), 1.2) AS two, (((vec_id * 48271 + pos * 69621 + 12345) % 2147483647) * 48271) % 2147483647 AS draw FROM tok t, mu WHERE m = 1), b AS (SELECT vec_id, pos, row_number() OVER (ORDER BY draw, vec_id, pos) AS rk FROM c WHERE cov > 1 AND cov < 5 AND NOT two > one) SELECT round(sum(CASE WHEN rk <= k THEN 0 ELSE greatest(one, two) END) / count(*), 5) AS pg_loss FROM c LEFT JOIN b USING (vec_id, pos)",
+    "l08_corrected_loss": f"{_ROL}, s AS (SELECT vec_id, sum((new - old) * m) AS d, sum(m) AS n FROM tok GROUP BY 1), g AS (SELECT t.*, least(exp(least(greatest(new - old, -20), 20)) * m, 1.5) AS w, CASE WHEN exp(least(greatest(d / (n + 1e-8), -20), 20)) BETWEEN 0.95 AND 1.05 THEN m ELSE 0 END AS gm, least(exp(least(greatest(d, -20), 20)) * m, 1.2) AS sw FROM tok t JOIN s USING (vec_id)), q AS (SELECT vec_id, sum(-adv * new * sw * m) AS l, sum(m) AS n FROM g GROUP BY 1) SELECT round(sum(-adv * new * w * gm) / sum(gm), 5) AS pg_loss, round(sum((old - new) * gm) / (sum(gm) + 1e-8), 5) AS ppo_kl, (SELECT round(avg(l) FILTER (n > 0), 5) FROM q) AS seq_loss, round(sum((old - new) * m) / {_N}, 5) AS seq_kl FROM g",
+    "l28_bypassed": f"{_TOK}, c AS (SELECT *, -adv * exp(least(greatest(new - ref, -20), 20)) AS one, -adv * least(greatest(exp(least(greatest(new - ref, -20), 20)), 0.8), 1.2) AS two, -adv * 3.0 AS three FROM tok) SELECT round(sum(CASE WHEN adv < 0 THEN least(three, greatest(one, two)) ELSE greatest(one, two) END * m) / sum(m), 5) AS ppo_loss, round(sum((ref - new) * m) / {_N}, 5) AS ppo_kl, round(sum(-adv * new * m) / sum(m), 5) AS pg_loss FROM c",
+    "w01_gae_returns": _W01,
+    "l11_entropy_loss": f"{_TOK}, h AS (SELECT vec_id, m, ln(exp(abs(e)) + 1) - abs(e) * exp(abs(e)) / (exp(abs(e)) + 1) AS h FROM tok), s AS (SELECT vec_id, sum(h * m) AS l, sum(m) AS n FROM h GROUP BY 1) SELECT round(sum(l) / sum(n), 5) AS token_mean, round(avg(l) FILTER (n > 0), 5) AS seq_mean_token_sum, round(avg(l / (n + 1e-8)) FILTER (n > 0), 5) AS seq_mean_token_mean FROM s",
+    "l36_combined_loss": f"{_TOK}, {_PAR}, k AS (SELECT *, least(greatest(ref - new, -20), 20) AS x FROM clip), g AS (SELECT sum(CASE WHEN adv < 0 THEN least(three, greatest(one, two)) ELSE greatest(one, two) END * m) / sum(m) AS pg, sum(abs(e) * m) / sum(m) AS ent, sum(least(greatest(exp(x) - x - 1, -10), 10) * m) / sum(m) AS kl FROM k) SELECT round(pg, 5) AS pg_loss, round(ent, 5) AS entropy, round(kl, 5) AS kl_loss, round(pg - 0.01 * ent + 0.2 * kl, 5) AS loss FROM g",
+    "l42_response_logprobs": f"{_TOK} SELECT vec_id, pos, round(CASE WHEN e > 0.2 THEN e WHEN e < -0.2 THEN -e ELSE 0.5 END - ln(exp(e) + exp(-e) + exp(0.5::DOUBLE)), 5) AS logprob FROM tok",
+    "l44_kept_logits": f"{_TOK}, k AS (SELECT vec_id, e / 0.25 AS z, row_number() OVER (PARTITION BY vec_id ORDER BY e DESC) AS r FROM tok), p AS (SELECT vec_id, z, r, exp(z) / sum(exp(z)) OVER (PARTITION BY vec_id) AS p FROM k WHERE r <= 10), c AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) SELECT vec_id, CAST(count(*) FILTER (before <= 0.7) AS INT) AS kept, round(sum(z) FILTER (before <= 0.7), 5) AS total FROM c GROUP BY 1",
+    "l17_kl_controllers": "WITH e AS (SELECT event_id // 200 AS step, avg(value) AS kl, count(*) AS n FROM events GROUP BY 1) SELECT step, round(0.2 * exp(sum(ln(1 + least(greatest(kl / 50 - 1, -0.2), 0.2) * n / 1000)) OVER (ORDER BY step)), 8) AS coef, 0.3::DOUBLE AS fixed FROM e",
+    "a04_mean_max_min_std": f"{_TOK} SELECT round(avg(adv), 5) AS mean, round(max(adv), 5) AS max, round(min(adv), 5) AS min, round(stddev_samp(adv), 5) AS std FROM tok",
     "w01_gae": f"{_TOK}, k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY pos DESC) AS j, lead(val) OVER (PARTITION BY vec_id ORDER BY pos) AS nv FROM tok WHERE m = 1), d AS (SELECT vec_id, pos, adv + 0.9 * coalesce(nv, 0) - val AS d, j FROM k), a AS (SELECT x.vec_id, x.pos, sum(y.d * 0.72 ^ (x.j - y.j)) AS a FROM d x JOIN d y ON x.vec_id = y.vec_id AND y.pos >= x.pos GROUP BY 1, 2) SELECT t.vec_id, t.pos, round(coalesce((SELECT a FROM a WHERE a.vec_id = t.vec_id AND a.pos = (SELECT min(pos) FROM a b WHERE b.vec_id = t.vec_id AND b.pos >= t.pos)), 0), 5) AS advantage FROM tok t",
     "w09_discounted_returns": f"{_TOK}, g AS (SELECT *, coalesce(sum(1 - m) OVER (PARTITION BY vec_id ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM tok) SELECT x.vec_id, x.pos, round(sum(y.adv * 0.9 ^ (y.pos - x.pos)), 5) AS ret FROM g x JOIN g y ON x.vec_id = y.vec_id AND x.g = y.g AND y.pos >= x.pos GROUP BY 1, 2",
     "w10_reverse_cumsum": f"{_TOK} SELECT vec_id, pos, round(sum(adv * m) OVER (PARTITION BY vec_id ORDER BY pos DESC), 5) AS ret FROM tok",

@@ -63,14 +63,18 @@ def total_mean(s: str, k: str) -> Column:
 
 
 def masked_stats(df: DataFrame, values: str, mask: str = MASK) -> DataFrame:
-    """One row: n, mean (with epsilon) and the variance with Bessel's correction; n of 0 or 1 raises."""
-    first = df.agg(total_mean("_s", "v").alias("_mean")) if "_s" in df.columns else df.select(sums([values], mask, v=lambda t: t[values]).alias("_s")).agg(total_mean("_s", "v").alias("_mean"))
-    dev = df.crossJoin(F.broadcast(first)).withColumn("_mu", F.array_repeat("_mean", F.size(values)))
-    s = dev.select("_mean", sums([values, "_mu"], mask, q=lambda t: (t[values] - t["_mu"]) * (t[values] - t["_mu"])).alias("_s"))
-    n = F.sum("_s.n")
-    out = s.agg(F.first("_mean").alias("mean"), n.alias("n"), total_mean("_s", "q").alias("_v"))
+    """One row: n, mean (with epsilon) and the variance with Bessel's correction; n of 0 or 1 raises.
+
+    One pass: a row gives its number, sum and sum of squares about its own mean, which add up without cancelling.
+    """
+    first = df.select(values, mask, sums([values], mask, v=lambda t: t[values]).alias("_s"))
+    own = first.withColumn("_mu", F.array_repeat(F.coalesce(F.try_divide("_s.v", "_s.n"), F.lit(0.0)), F.size(values)))
+    rows = own.select("_s.n", "_s.v", sums([values, "_mu"], mask, q=lambda t: (t[values] - t["_mu"]) * (t[values] - t["_mu"]))["q"].alias("q"), F.coalesce(F.try_divide(F.col("_s.v") * F.col("_s.v"), F.col("_s.n")), F.lit(0.0)).alias("m"))
+    total = rows.agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum("q").alias("q"), F.sum("m").alias("m"))
+    mean = F.col("v") / (F.col("n") + EPS)
+    about = F.col("q") + F.greatest(F.col("m") - F.col("v") * F.col("v") / F.col("n"), F.lit(0.0)) + F.col("n") * F.pow(F.col("v") / F.col("n") - mean, 2)
     bad = F.raise_error(F.lit("masked_var: the mask has fewer than two elements")).cast("double")
-    return out.select("n", "mean", F.when(F.col("n") <= 1, bad).otherwise(F.col("_v") * F.col("n") / (F.col("n") - 1)).alias("var"))
+    return total.select("n", mean.alias("mean"), F.when(F.coalesce(F.col("n"), F.lit(0)) <= 1, bad).otherwise(about / (F.col("n") + EPS) * F.col("n") / (F.col("n") - 1)).alias("var"))
 
 
 def masked_whiten(df: DataFrame, values: str, out: str, mask: str = MASK, shift_mean: bool = True) -> DataFrame:
@@ -233,41 +237,101 @@ def geo_mean_loss(df: DataFrame, mode: str = "token-mean", width: float | None =
     return df.select(s.alias("s")).agg(F.avg(row * F.exp(F.col("s.w") / n) if weights else row).alias("pg_loss"), total_mean("s", "hi").alias("pg_clipfrac"), total_mean("s", "kl").alias("ppo_kl"), total_mean("s", "lo").alias("pg_clipfrac_lower"))
 
 
-def _covariances(df: DataFrame) -> DataFrame:
-    """Long form of the masked tokens with their covariance term; needs ``row_id``.  Means are a broadcast row."""
-    mean = df.select(sums([NEW, ADV], a=lambda t: t[ADV], l=lambda t: t[NEW]).alias("s")).agg(total_mean("s", "a").alias("_ma"), total_mean("s", "l").alias("_ml"))
-    long = df.select("row_id", F.posexplode(F.arrays_zip(OLD, NEW, ADV, MASK)).alias("pos", "t")).select("row_id", "pos", "t.*").filter(F.col(MASK) != 0)
-    return long.crossJoin(F.broadcast(mean)).withColumn("cov", (F.col(ADV) - F.col("_ma")) * (F.col(NEW) - F.col("_ml")))
+#: Bins of one round of the search for a cut.
+BINS = 4096
+
+
+def smallest(tokens: DataFrame, key: str, k: int) -> tuple[float, int, int]:
+    """The ``k``-th token by (key, row_id, pos) of a table of tokens: at or below it are exactly k (1 <= k <= their number).
+
+    Each round counts the tokens by bin of the range that is left, so only BINS counts leave it; ties of the key are
+    settled in the same way by row and then by position.
+    """
+    rest, cut = tokens, []
+    for name, kind in ((key, "double"), ("row_id", "long"), ("pos", "long")):
+        x = F.col(name)
+        lo, hi = rest.agg(F.min(x), F.max(x)).first()
+        while lo < hi:
+            width = (hi - lo) / BINS if kind == "double" else -(-(hi - lo + 1) // BINS)
+            if lo + width <= lo:  # the last two numbers of the range are neighbours
+                width = hi - lo
+            at = F.least(F.floor((x - lo) / width) if kind == "double" else F.expr(f"({name} - {lo}) div {width}"), F.lit(BINS - 1)).cast("int")
+            counts = sorted(rest.filter(x.between(lo, hi)).groupBy(at.alias("b")).agg(F.count("*").alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).collect())
+            for r in counts:
+                if k <= r["n"]:
+                    break
+                k -= r["n"]
+            lo, hi = r["lo"], r["hi"]
+        cut.append(lo)
+        rest = rest.filter(x == F.lit(lo))
+    return tuple(cut)
+
+
+def _upto(row: Column, pos: Column, key: Column, cut: tuple[float, int, int]) -> Column:
+    c, r, p = (F.lit(x) for x in cut)
+    return (key < c) | ((key == c) & ((row < r) | ((row == r) & (pos <= p))))
+
+
+def _positioned(df: DataFrame) -> DataFrame:
+    """The rows with the masked means of advantages and log-probabilities, and each token's row and position as arrays."""
+    mean = df.select(sums([NEW, ADV], a=lambda t: t[ADV], l=lambda t: t[NEW], k=lambda t: F.lit(1.0)).alias("s")).agg(total_mean("s", "a").alias("_a"), total_mean("s", "l").alias("_l"))
+    rows = df.crossJoin(F.broadcast(mean))
+    fill = lambda x: F.array_repeat(x, F.size(MASK))
+    return rows.withColumns({"_pos": F.transform(MASK, lambda x, i: i.cast("long")), "_row": fill(F.col("row_id").cast("long")), "_ma": fill(F.col("_a")), "_ml": fill(F.col("_l"))})
+
 
+def _covariance(t: Column) -> Column:
+    return (t[ADV] - t["_ma"]) * (t[NEW] - t["_ml"])
 
-def _long_loss(long: DataFrame, loss: Column, mode: str, width: float | None) -> DataFrame:
-    rows = long.groupBy("row_id").agg(F.struct(F.sum(loss).alias("loss"), F.sum(F.lit(1.0)).alias("n")).alias("s"))
-    return rows.agg(aggregate_loss("s", "loss", mode, width).alias("pg_loss"))
+
+_AT = ("_row", "_pos", "_ma", "_ml")
+
+
+def _tokens(rows: DataFrame, columns: Sequence[str], key: Token, keep: Token) -> DataFrame:
+    """row_id, pos and key of the masked tokens that ``keep`` keeps; they are never exchanged."""
+    each_one = rows.select(F.explode(F.arrays_zip(*dict.fromkeys([*columns, MASK, *_AT]))).alias("t"))
+    t = F.col("t")
+    return each_one.filter(live(t) & keep(t)).select(F.col("t._row").alias("row_id"), F.col("t._pos").alias("pos"), key(t).alias("_key"))
 
 
 @policy_loss("kl_cov")
 def kl_cov_loss(df: DataFrame, mode: str = "token-mean", width: float | None = None, *, ratio: float = 0.0002, coef: float = 1.0) -> DataFrame:
-    """The max(1, int(n * ratio)) tokens of largest covariance bear coef * |log-ratio| on top (ties by row and position)."""
-    long = _covariances(df)
-    n = long.count()
-    k = max(1, int(n * ratio))
-    top = long.orderBy(F.desc("cov"), "row_id", "pos").limit(k).select(F.col("row_id").alias("_r"), F.col("pos").alias("_p"))
-    marked = long.join(top, (F.col("row_id") == F.col("_r")) & (F.col("pos") == F.col("_p")), "left")
-    d = F.col(NEW) - F.col(OLD)
-    loss = -F.col(ADV) * F.exp(d) + F.when(F.col("_r").isNotNull(), coef * F.abs(d)).otherwise(0.0)
-    return _long_loss(marked, loss, mode, width)
+    """The max(1, int(n * ratio)) tokens of largest covariance bear coef * |log-ratio| on top (ties by row and position).
+
+    Needs ``row_id``.  The cut is found by counts; the loss is then one fold a row.
+    """
+    rows = _positioned(df)
+    n = df.select(sums([MASK], n1=lambda t: F.lit(1.0)).alias("s")).agg(F.sum("s.n")).first()[0]
+    cut = smallest(_tokens(rows, [NEW, ADV], lambda t: -_covariance(t), lambda t: F.lit(True)), "_key", max(1, int(n * ratio)))
+    d = lambda t: t[NEW] - t[OLD]
+    more = lambda t: F.when(_upto(t["_row"], t["_pos"], -_covariance(t), cut), coef * F.abs(d(t))).otherwise(0.0)
+    s = sums([OLD, NEW, ADV, *_AT], loss=lambda t: -t[ADV] * F.exp(d(t)) + more(t))
+    return rows.select(s.alias("s")).agg(aggregate_loss("s", "loss", mode, width).alias("pg_loss"))
+
+
+def token_draw(row: Column, pos: Column, seed: int) -> Column:
+    """A number below 2^31 that shuffles tokens; plain integer arithmetic, so that any engine gives the same."""
+    x = F.pmod(row * 48271 + pos * 69621 + F.lit(seed * 16807 + 12345), F.lit(2147483647))
+    return F.pmod(x * 48271, F.lit(2147483647)).cast("double")
 
 
 @policy_loss("clip_cov")
 def clip_cov_loss(df: DataFrame, mode: str = "token-mean", width: float | None = None, *, low: float = 0.2, high: float = 0.2, ratio: float = 0.0002, lb: float = 1.0, ub: float = 5.0, seed: int = 0) -> DataFrame:
-    """A seeded random choice of max(1, int(n * ratio)) unclipped tokens within the covariance band counts nothing."""
-    long, d = _covariances(df), F.col(NEW) - F.col(OLD)
-    one, two = -F.col(ADV) * F.exp(d), -F.col(ADV) * clamp(F.exp(d), 1 - low, 1 + high)
-    k = max(1, int(long.count() * ratio))
-    band = long.filter((F.col("cov") > lb) & (F.col("cov") < ub) & ~(two > one))
-    gone = band.orderBy(F.xxhash64(F.lit(seed), "row_id", "pos"), "row_id", "pos").limit(k).select(F.col("row_id").alias("_r"), F.col("pos").alias("_p"))
-    marked = long.join(gone, (F.col("row_id") == F.col("_r")) & (F.col("pos") == F.col("_p")), "left")
-    return _long_loss(marked, F.when(F.col("_r").isNull(), F.greatest(one, two)).otherwise(0.0), mode, width)
+    """A seeded choice of max(1, int(n * ratio)) unclipped tokens within the covariance band counts nothing.
+
+    Needs ``row_id``.  The choice takes the tokens whose ``token_draw`` is smallest, and all if there are fewer.
+    """
+    rows = _positioned(df)
+    one = lambda t: -t[ADV] * F.exp(t[NEW] - t[OLD])
+    two = lambda t: -t[ADV] * clamp(F.exp(t[NEW] - t[OLD]), 1 - low, 1 + high)
+    band = lambda t: (_covariance(t) > lb) & (_covariance(t) < ub) & ~(two(t) > one(t))
+    draw = lambda t: token_draw(t["_row"], t["_pos"], seed)
+    found = rows.select(sums([OLD, NEW, ADV, *_AT], band=lambda t: band(t).cast("double")).alias("s")).agg(F.sum("s.n").alias("n"), F.sum("s.band").alias("band")).first()
+    k = int(min(found["band"] or 0, max(1, int(found["n"] * ratio))))
+    cut = smallest(_tokens(rows, [OLD, NEW, ADV], draw, band), "_key", k) if k else None
+    gone = (lambda t: band(t) & _upto(t["_row"], t["_pos"], draw(t), cut)) if k else lambda t: F.lit(False)
+    s = sums([OLD, NEW, ADV, *_AT], loss=lambda t: F.when(gone(t), 0.0).otherwise(F.greatest(one(t), two(t))))
+    return rows.select(s.alias("s")).agg(aggregate_loss("s", "loss", mode, width).alias("pg_loss"))
 
 
 def value_loss(df: DataFrame, clip: float = 0.2, mode: str = "token-mean", width: float | None = None) -> DataFrame:
@@ -346,6 +410,124 @@ def weight_metrics(df: DataFrame, upper: float, lower: float, rollout: str = REF
     )
 
 
+def _row_statistics(rollout: str, train: str, bounds: dict[str, tuple[float, float]], veto: float | None) -> Column:
+    """All sums over a row's tokens that the metrics of a correction need; ``bounds``: name -> (upper, lower)."""
+    r = lambda t: t[train] - t[rollout]
+    w = lambda t: F.exp(clamp(r(t), -SAFETY, SAFETY))
+    parts: dict[str, Token] = {"d": r, "w": w}
+    for name, (upper, lower) in bounds.items():
+        parts |= {
+            f"{name}_c": lambda t, u=upper, l=lower: clamp(w(t), l, u), f"{name}_q": lambda t, u=upper, l=lower: clamp(w(t), l, u) * clamp(w(t), l, u),
+            f"{name}_hi": lambda t, u=upper: (w(t) > u).cast("double"), f"{name}_lo": lambda t, l=lower: (w(t) < l).cast("double"),
+        }
+    if veto is not None:
+        parts["bad"] = lambda t: (r(t) < F.log(F.lit(float(veto)))).cast("double")
+    return sums([train, rollout], **parts)
+
+
+def _level_metrics(level: str, name: str, prefix: str, upper: float, lower: float) -> dict[str, Column]:
+    """Statistics of weights at a level, as aggregates over rows with s (``_row_statistics``), top and low."""
+    n, total = F.col("s.n"), F.sum("s.n") + EPS
+    if level == "token":
+        mean, share, square = F.sum("s.w") / total, F.sum(f"s.{name}_c") / total, F.sum(f"s.{name}_q") / total
+        seq = F.col("s.w") / (n + EPS)
+        out = {"max": F.max("top"), "min": F.min("low"), "ratio_fraction_high": F.sum(f"s.{name}_hi") / total, "ratio_fraction_low": F.sum(f"s.{name}_lo") / total}
+    else:
+        x = F.col("s.d") if level == "sequence" else F.col("s.d") / (n + EPS)
+        w = F.exp(clamp(x, -SAFETY, SAFETY))
+        c = clamp(w, lower, upper)
+        mean, share, square = F.sum(w * n) / total, F.sum(c * n) / total, F.sum(c * c * n) / total
+        seq = w * n / (n + EPS)
+        high, low = F.log(F.lit(float(upper))), F.log(F.lit(float(lower)))
+        out = {"max": F.exp(F.least(F.max(x), F.lit(SAFETY))), "min": F.exp(F.min(x)), "ratio_fraction_high": F.avg((x > high).cast("double")), "ratio_fraction_low": F.avg((x < low).cast("double"))}
+    out |= {
+        "mean": mean, "std": F.when(F.sum("s.n") > 1, F.sqrt(F.greatest(square - share * share, F.lit(0.0)))).otherwise(0.0), "eff_sample_size": (share + EPS) * (share + EPS) / square,
+        "seq_mean": F.avg(seq), "seq_std": F.coalesce(F.stddev_samp(seq), F.lit(0.0)), "seq_max": F.max(seq), "seq_min": F.min(seq), "seq_max_deviation": F.max(F.abs(seq - 1)),
+        "seq_fraction_high": F.avg((seq > upper).cast("double")), "seq_fraction_low": F.avg((seq < lower).cast("double")),
+    }
+    return {f"{prefix}_{k}": v for k, v in out.items()}
+
+
+def _accepted(level: str, upper: float, lower: float) -> tuple[Column, Column]:
+    """Of a row (s): how many of its tokens are rejected, and whether any is."""
+    n = F.col("s.n")
+    if level == "token":
+        out = F.col("s.rs_hi") + F.col("s.rs_lo")
+        return out, out > 0
+    w = F.exp(clamp(F.col("s.d") if level == "sequence" else F.col("s.d") / (n + EPS), -SAFETY, SAFETY))
+    return F.when(w.between(lower, upper), 0.0).otherwise(n), ~w.between(lower, upper)
+
+
+def correction_metrics(df: DataFrame, *, weights: str | None = None, threshold: float = 2.0, reject: str | None = None, upper: float | None = None, lower: float | None = None, veto: float | None = None, normalize: bool = False, rollout: str = REF, train: str = OLD) -> DataFrame:
+    """One row: the statistics of weights, of the rejection and of the veto, and the off-policy metrics, of one pass."""
+    upper, lower = upper if upper is not None else threshold, lower if lower is not None else 1 / (upper if upper is not None else threshold)
+    bounds = ({"is": (threshold, 1 / threshold)} if weights else {}) | ({"rs": (upper, lower)} if reject else {})
+    pairs = F.filter(F.arrays_zip(train, rollout, MASK), lambda t: live(t))
+    ratio = F.transform(pairs, lambda t: F.exp(clamp(t[train] - t[rollout], -SAFETY, SAFETY)))
+    held = F.aggregate(ratio, F.lit(0.0), lambda a, x: a + F.least(x, F.lit(float(threshold))))
+    rows = df.select(_row_statistics(rollout, train, bounds, veto).alias("s"), F.array_max(ratio).alias("top"), F.array_min(ratio).alias("low"), held.alias("held"))
+    out: dict[str, Column] = {}
+    if weights:
+        out |= _level_metrics(weights, "is", "rollout_is", threshold, 1 / threshold)
+        if normalize:
+            if weights == "sequence":  # a sequence's weight is the same for all its tokens
+                w = F.least(F.exp(clamp(F.col("s.d"), -SAFETY, SAFETY)), F.lit(float(threshold))) * F.col("s.n") / (F.col("s.n") + EPS)
+                held = F.sum(F.when(F.col("s.n") > 0, w)) / F.greatest(F.sum((F.col("s.n") > 0).cast("double")), F.lit(EPS))
+            else:
+                held = F.sum("held") / (F.sum("s.n") + EPS)
+            out["rollout_is_batch_norm_factor"] = F.when(held > EPS, held).otherwise(1.0)
+    if reject:
+        out |= _level_metrics(reject, "rs", "rollout_rs", upper, lower)
+        gone, any_gone = _accepted(reject, upper, lower)
+        out |= {"rollout_rs_masked_fraction": F.sum(gone) / (F.sum("s.n") + EPS), "rollout_rs_seq_masked_fraction": F.avg(any_gone.cast("double"))}
+    out |= {"rollout_is_veto_fraction": F.avg((F.col("s.bad") > 0).cast("double")) if veto is not None else F.lit(0.0), "rollout_is_catastrophic_token_fraction": F.sum("s.bad") / (F.sum("s.n") + EPS) if veto is not None else F.lit(0.0)}
+    empty = F.raise_error(F.lit("the mask has no token")).cast("double")
+    checked = rows.agg(F.when(F.coalesce(F.sum("s.n"), F.lit(0.0)) == 0, empty).otherwise(F.sum("s.n")).alias("n_tokens"), *[c.alias(k) for k, c in out.items()])
+    return checked.crossJoin(off_policy_metrics(df, rollout, train))
+
+
+def corrected(df: DataFrame, *, weights: str | None = None, threshold: float = 2.0, reject: str | None = None, upper: float | None = None, lower: float | None = None, veto: float | None = None, normalize: bool = False, rollout: str = REF, train: str = OLD) -> DataFrame:
+    """The batch with its response mask after rejection and veto, and rollout_is_weights if ``weights`` names a level.
+
+    Weights and ratios are taken under the mask as it was.
+    """
+    if weights not in (None, "token", "sequence") or reject not in (None, "token", "sequence", "geometric"):
+        raise ValueError(f"no such levels: {weights}, {reject}")
+    if reject and upper is None:
+        raise ValueError("a rejection needs its upper threshold")
+    rows = importance_weights(df, weights, threshold, normalize, rollout=rollout, train=train) if weights else df
+    if reject:
+        return rejection_mask(rows, reject, upper, lower, veto, rollout, train)
+    return vetoed(rows, veto, rollout, train) if veto is not None else rows
+
+
+def vetoed(df: DataFrame, veto: float, rollout: str = REF, train: str = OLD) -> DataFrame:
+    """Rows with any token ratio below ``veto`` lose their whole mask."""
+    if veto <= 0:
+        raise ValueError("the veto threshold must be positive")
+    bad = F.exists(F.arrays_zip(train, rollout, MASK), lambda t: (F.exp(t[train] - t[rollout]) < veto) & live(t))
+    return df.withColumn(MASK, F.when(bad, F.transform(MASK, lambda x: F.lit(0).cast("int"))).otherwise(F.col(MASK)))
+
+
+def bypassed(df: DataFrame, *, rollout: str = REF, train: str = OLD, policy_gradient: bool = False) -> tuple[DataFrame, str]:
+    """The batch with the rollout's log-probabilities as the old ones, and the loss that goes with it."""
+    if rollout not in df.columns:
+        raise ValueError(f"the batch has no {rollout}")
+    return df.withColumn(train, F.col(rollout)), "rollout_correction" if policy_gradient else "vanilla"
+
+
+@policy_loss("rollout_correction")
+def rollout_corrected_loss(df: DataFrame, mode: str = "token-mean", width: float | None = None, *, scale: float = 1.0, **correction) -> DataFrame:
+    """Policy gradient without clipping: -A * log-prob, by the weights of the current policy against the rollout (which is
+    the old one here), under the mask that a rejection leaves.  ``correction``: see ``corrected``."""
+    rows = corrected(df, rollout=OLD, train=NEW, **correction)
+    if not correction.get("reject"):  # a veto alone doesn't change the loss's mask
+        rows = corrected(df, rollout=OLD, train=NEW, **{k: v for k, v in correction.items() if k != "veto"})
+    by = "rollout_is_weights" if correction.get("weights") else None
+    s = sums([OLD, NEW, ADV, *([by] if by else [])], loss=lambda t: -t[ADV] * t[NEW] * _weight(t, by), kl=lambda t: t[OLD] - t[NEW])
+    return rows.select(s.alias("s")).agg((aggregate_loss("s", "loss", mode, width) * scale).alias("pg_loss"), total_mean("s", "kl").alias("ppo_kl"))
+
+
 # --- logits, pairs, sequences ---
 def log_softmax_at(logits: str, label: Column) -> Column:
     """Log-softmax of an array of logits at a 0-based label."""
@@ -354,12 +536,53 @@ def log_softmax_at(logits: str, label: Column) -> Column:
     return F.get(F.col(logits), label) - top - F.log(total)
 
 
-def entropy(logits: str) -> Column:
+def entropy(logits: str | Column) -> Column:
+    logits = F.col(logits) if isinstance(logits, str) else logits
     top = F.array_max(logits)
-    s = F.aggregate(F.col(logits), F.struct(F.lit(0.0).alias("z"), F.lit(0.0).alias("x")), lambda a, x: F.struct((a["z"] + F.exp(x - top)).alias("z"), (a["x"] + F.exp(x - top) * x).alias("x")))
+    s = F.aggregate(logits, F.struct(F.lit(0.0).alias("z"), F.lit(0.0).alias("x")), lambda a, x: F.struct((a["z"] + F.exp(x - top)).alias("z"), (a["x"] + F.exp(x - top) * x).alias("x")))
     return top + F.log(s["z"]) - s["x"] / s["z"]
 
 
+def token_logprobs(logits: str, labels: str) -> Column:
+    """Log-softmax of every position's logits (an array of arrays) at its 0-based label."""
+
+    def one(t: Column) -> Column:
+        top = F.array_max(t[logits])
+        return F.get(t[logits], t[labels]) - top - F.log(F.aggregate(t[logits], F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+
+    return F.transform(F.arrays_zip(logits, labels), one)
+
+
+def top_k_logits(logits: str, k: int) -> Column:
+    """The logits that are no smaller than the ``k``-th largest; null elsewhere."""
+    least = F.element_at(F.sort_array(logits, asc=False), F.least(F.lit(k), F.size(logits)))
+    return F.transform(logits, lambda x: F.when(x >= least, x))
+
+
+def top_p_logits(logits: str, p: float) -> Column:
+    """The largest logits until their probability exceeds ``p``, the one that passes it included; null elsewhere."""
+    there = F.filter(logits, lambda x: x.isNotNull())
+    top, ranked = F.array_max(there), F.sort_array(there, asc=False)
+    total = F.aggregate(there, F.lit(0.0), lambda a, x: a + F.exp(x - top))
+    zero = F.struct(F.lit(0.0).alias("mass"), F.lit(None).cast("double").alias("least"))
+    walk = F.aggregate(ranked, zero, lambda a, x: F.struct((a["mass"] + F.exp(x - top) / total).alias("mass"), F.when(a["mass"] <= p, x.cast("double")).otherwise(a["least"]).alias("least")))
+    return F.transform(logits, lambda x: F.when(x >= walk["least"], x))
+
+
+def combined_loss(df: DataFrame, entropies: str, *, name: str = "vanilla", mode: str = "token-mean", width: float | None = None, entropy_coef: float = 0.0, kl_coef: float = 0.0, kind: str = "low_var_kl", **options) -> DataFrame:
+    """A policy loss less the entropy and plus the divergence from the reference, each by its coefficient; one row."""
+    s = sums([entropies, NEW, REF], h=lambda t: t[entropies], k=lambda t: kl(t[NEW], t[REF], kind))
+    more = df.select(s.alias("s")).agg(aggregate_loss("s", "h", mode, width).alias("entropy"), aggregate_loss("s", "k", mode, width).alias("kl_loss"))
+    both = get_policy_loss(name)(df, mode, width, **options).select("pg_loss").crossJoin(more)
+    return both.withColumn("loss", F.col("pg_loss") - entropy_coef * F.col("entropy") + kl_coef * F.col("kl_loss"))
+
+
+def controlled(steps: DataFrame, step: str, current: str, n: str, controller: AdaptiveKL | FixedKL) -> DataFrame:
+    """step, coef: the coefficient after each step's batch, a row a step of a training run."""
+    rows = [(r[step], float(controller.update(r[current], r[n]))) for r in steps.orderBy(step).collect()]
+    return steps.sparkSession.createDataFrame(rows, "step long, coef double")
+
+
 def scaled_logits(logits: str, temperature: float) -> Column:
     return F.transform(logits, lambda x: x / temperature)
 
@@ -436,7 +659,7 @@ def overlong_penalty(length: Column, most: int, buffer: int, factor: float = 1.0
 
 # --- folds along a sequence, from its end ---
 def gae(rewards: str, values: str, mask: str = MASK, gamma: float = 1.0, lam: float = 1.0) -> Column:
-    """Struct of advantages (before whitening) and returns; masked positions carry the next value and the sum along."""
+    """Advantages before whitening; masked positions carry the next value and the sum along (see ``gae_batch``)."""
     zipped = F.reverse(F.arrays_zip(rewards, values, mask))
     zero = F.struct(F.array().cast("array<double>").alias("out"), F.lit(0.0).alias("next"), F.lit(0.0).alias("last"))
 
@@ -448,6 +671,13 @@ def gae(rewards: str, values: str, mask: str = MASK, gamma: float = 1.0, lam: fl
     return F.reverse(F.aggregate(zipped, zero, step)["out"])
 
 
+def gae_batch(df: DataFrame, rewards: str, values: str, mask: str = MASK, gamma: float = 1.0, lam: float = 1.0) -> DataFrame:
+    """The batch with returns (advantages before whitening plus values) and advantages, whitened over all masked tokens."""
+    rows = df.withColumn("_gae", gae(rewards, values, mask, gamma, lam))
+    rows = rows.withColumn(RETURNS, F.transform(F.arrays_zip("_gae", values), lambda t: t["_gae"] + t[values]))
+    return masked_whiten(rows, "_gae", ADV, mask).drop("_gae")
+
+
 def discounted_returns(rewards: str, mask: str = MASK, gamma: float = 1.0, reset: bool = True) -> Column:
     """Reward-to-go; with ``reset`` the running sum starts anew after a masked position."""
     zipped = F.reverse(F.arrays_zip(rewards, mask))
