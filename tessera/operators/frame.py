@@ -61,6 +61,46 @@ class SampleFrame:
     def info(self) -> dict[str, str]:
         return dict(self.df.dtypes)
 
+    @staticmethod
+    def of(df: DataFrame, keys: Sequence[str], meta: dict | None = None) -> SampleFrame:
+        """A frame of a table, in the order of ``keys``."""
+        return SampleFrame(with_row_id(df, keys), meta)
+
+    def sizes(self) -> DataFrame:
+        """column, bytes: what the values of each column take, without their framing."""
+        wide = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4, "bigint": 8, "double": 8, "timestamp": 8}
+
+        def of(c: Column, kind: str) -> Column:
+            if kind.startswith("array<"):
+                inner = kind[6:-1]
+                if inner in wide:
+                    return F.size(c) * wide[inner]
+                return F.aggregate(c, F.lit(0), lambda a, x: a + of(x, inner))
+            return F.octet_length(c) if kind in ("string", "binary") else F.lit(wide.get(kind, 8))
+
+        total = self.df.agg(*[F.sum(F.when(F.col(c).isNull(), 0).otherwise(of(F.col(c), t))).cast("long").alias(c) for c, t in self.df.dtypes if c != ROW])
+        return total.unpivot([], self.columns, "column", "bytes")
+
+    def problems(self, lengths: Sequence[str] = ()) -> DataFrame:
+        """check, n: rows against the invariants - row ids dense from 0, and arrays of ``lengths`` equally long in a row."""
+        ids = self.df.groupBy(ROW).agg(F.count("*").alias("n")).agg(F.sum(F.col("n") - 1).alias("repeated"), F.count("*").alias("ids"), F.coalesce(F.max(ROW) + 1, F.lit(0)).alias("span"), F.count_if(F.col(ROW) < 0).alias("below"))
+        ids = ids.select(F.coalesce("repeated", F.lit(0)).cast("long").alias("repeated_ids"), (F.greatest(F.col("span") - F.col("ids"), F.lit(0)) + F.col("below")).cast("long").alias("missing_ids"))
+        sizes = [F.size(c) for c in lengths]
+        odd = sum((F.count_if(F.coalesce(x != sizes[0], F.lit(True))) for x in sizes[1:]), F.lit(0).cast("long")) if sizes else F.lit(0).cast("long")
+        return ids.crossJoin(self.df.agg(odd.cast("long").alias("unequal_lengths"))).unpivot([], ["repeated_ids", "missing_ids", "unequal_lengths"], "check", "n")
+
+    def __getitem__(self, key) -> SampleFrame:
+        """By position, slice, list of positions, boolean list, or a condition."""
+        if isinstance(key, Column):
+            return self.where(key)
+        if isinstance(key, slice):
+            return self.slice(key.start, key.stop, key.step or 1)
+        if isinstance(key, int):
+            return self.take([key])
+        if key and all(isinstance(k, bool) for k in key):
+            return self.take([i for i, k in enumerate(key) if k])
+        return self.take(list(key))
+
     # --- columns ---
     def select(self, columns: Sequence[str] | None = None, meta: Sequence[str] | None = None) -> SampleFrame:
         kept = self.columns if columns is None else list(columns)
@@ -130,7 +170,8 @@ class SampleFrame:
         return SampleFrame(out, meta)
 
     def union_columns(self, other: SampleFrame) -> SampleFrame:
-        """Positional one-to-one merge: as many rows, and columns of both must be equal (NaN equals NaN)."""
+        """Positional one-to-one merge: as many rows, and columns of both must be equal (NaN equals NaN), else the action
+        on the result raises."""
         for k in self.meta.keys() & other.meta.keys():
             if self.meta[k] != other.meta[k]:
                 raise ValueError(f"meta {k!r} differs")
@@ -140,9 +181,9 @@ class SampleFrame:
         odd = F.col(ROW).isNull() | F.col("_row").isNull()
         for c in both:
             odd = odd | ~F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-        if bad := joined.filter(odd).limit(1).count():
-            raise ValueError(f"frames differ in rows or in a column of both ({both})") if bad else None
-        return SampleFrame(joined.drop("_row", *[f"_r_{c}" for c in both]), {**self.meta, **other.meta})
+        wrong = F.raise_error(F.lit(f"frames differ in rows or in a column of both ({both})")).cast("boolean")
+        checked = joined.filter(F.when(odd, wrong).otherwise(F.lit(True)))  # raises where the plan runs
+        return SampleFrame(checked.drop("_row", *[f"_r_{c}" for c in both]), {**self.meta, **other.meta})
 
     def equals(self, other: SampleFrame) -> bool:
         if sorted(self.columns) != sorted(other.columns) or self.meta != other.meta:
@@ -258,8 +299,10 @@ def r01_mask(spark, sf_dir):
 
 
 def u01_concat(spark, sf_dir):
+    """The second half of the orders, then the first."""
     o = _orders(spark, sf_dir)
-    return SampleFrame.concat([o.slice(0, 50), o.slice(200, 230)]).df.select(ROW, "o_orderkey")
+    half = o.count() // 2
+    return SampleFrame.concat([o.slice(half, None), o.slice(0, half)]).df.select(ROW, "o_orderkey")
 
 
 def u03_repeat_interleave(spark, sf_dir):
@@ -280,17 +323,22 @@ def t01_chunks(spark, sf_dir):
 
 
 def t05_pad_to_divisor(spark, sf_dir):
-    padded, _ = _orders(spark, sf_dir).slice(0, 100).pad_to_divisor(64)
+    padded, _ = _orders(spark, sf_dir).pad_to_divisor(64)
     return padded.df.select(ROW, "o_orderkey")
 
 
+def _in_fours(spark, sf_dir) -> SampleFrame:
+    """All orders, padded until they fold into groups of four."""
+    padded, _ = _orders(spark, sf_dir).select(["o_orderkey", "o_custkey"]).pad_to_divisor(4)
+    return padded.fold(padded.count() // 4)
+
+
 def u06_fold_unfold(spark, sf_dir):
-    f = _orders(spark, sf_dir).select(["o_orderkey", "o_custkey"]).slice(0, 1200).fold(300)
-    return f.unfold(4).df.select(ROW, "o_orderkey", "o_custkey")
+    return _in_fours(spark, sf_dir).unfold(4).df.select(ROW, "o_orderkey", "o_custkey")
 
 
 def u06_fold(spark, sf_dir):
-    f = _orders(spark, sf_dir).select(["o_orderkey", "o_custkey"]).slice(0, 1200).fold(300)
+    f = _in_fours(spark, sf_dir)
     return f.df.select(ROW, F.array_join("o_orderkey", ",").alias("keys"))
 
 
@@ -305,20 +353,21 @@ def u05_unfold_columns(spark, sf_dir):
 
 
 _O = "(SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id FROM orders)"
+_FOURS = f"o AS (SELECT *, count(*) OVER () AS n FROM {_O}), p AS (SELECT row_id, o_orderkey, o_custkey FROM o UNION ALL SELECT row_id + n, o_orderkey, o_custkey FROM o WHERE row_id < (4 - n % 4) % 4)"
 QUERIES = {f.__name__: f for f in (s01_row_ids, r02_slice, r01_gather, r01_mask, u01_concat, u03_repeat_interleave, u03_repeat_tile, u04_repeat_each, t01_chunks, t05_pad_to_divisor, u06_fold_unfold, u06_fold, j01_union_columns, u05_unfold_columns)}
 ORACLES = {
     "s01_row_ids": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS row_id FROM lineitem",
     "r02_slice": f"SELECT (n - 100 - row_id) // 7 AS row_id, o_orderkey FROM (SELECT *, count(*) OVER () AS n FROM {_O}) WHERE row_id <= n - 100 AND (n - 100 - row_id) % 7 = 0",
     "r01_gather": f"SELECT w.i AS row_id, o_orderkey FROM (VALUES (0::BIGINT, 5), (1, 0), (2, 5), (3, -1), (4, 17)) w(i, p) JOIN (SELECT *, count(*) OVER () AS n FROM {_O}) o ON o.row_id = CASE WHEN w.p < 0 THEN n + w.p ELSE w.p END",
     "r01_mask": "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id, o_orderkey FROM orders WHERE o_custkey % 10 = 3",
-    "u01_concat": f"SELECT row_id, o_orderkey FROM {_O} WHERE row_id < 50 UNION ALL SELECT row_id - 150, o_orderkey FROM {_O} WHERE row_id BETWEEN 200 AND 229",
+    "u01_concat": f"SELECT CASE WHEN row_id < n // 2 THEN row_id + n - n // 2 ELSE row_id - n // 2 END AS row_id, o_orderkey FROM (SELECT *, count(*) OVER () AS n FROM {_O})",
     "u03_repeat_interleave": f"SELECT row_id * 2 + k AS row_id, o_orderkey FROM {_O}, (VALUES (0), (1)) t(k)",
     "u03_repeat_tile": f"SELECT row_id + k * n AS row_id, o_orderkey FROM (SELECT *, count(*) OVER () AS n FROM {_O}), (VALUES (0), (1)) t(k)",
     "u04_repeat_each": "SELECT row_number() OVER (ORDER BY o_orderkey, k) - 1 AS row_id, o_orderkey FROM orders, (VALUES (1), (2)) t(k) WHERE k <= o_custkey % 3",
     "t01_chunks": f"SELECT CAST(row_id // CAST(ceil(n / 7.0) AS BIGINT) AS INT) AS chunk, count(*) AS n, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM (SELECT *, count(*) OVER () AS n FROM {_O}) GROUP BY 1",
-    "t05_pad_to_divisor": f"SELECT row_id, o_orderkey FROM {_O} WHERE row_id < 100 UNION ALL SELECT row_id + 100, o_orderkey FROM {_O} WHERE row_id < 28",
-    "u06_fold_unfold": f"SELECT row_id, o_orderkey, o_custkey FROM {_O} WHERE row_id < 1200",
-    "u06_fold": f"SELECT row_id // 4 AS row_id, string_agg(o_orderkey, ',' ORDER BY row_id) AS keys FROM {_O} WHERE row_id < 1200 GROUP BY 1",
+    "t05_pad_to_divisor": f"WITH o AS (SELECT *, count(*) OVER () AS n FROM {_O}) SELECT row_id, o_orderkey FROM o UNION ALL SELECT row_id + n, o_orderkey FROM o WHERE row_id < (64 - n % 64) % 64",
+    "u06_fold_unfold": f"WITH {_FOURS} SELECT row_id, o_orderkey, o_custkey FROM p",
+    "u06_fold": f"WITH {_FOURS} SELECT row_id // 4 AS row_id, string_agg(o_orderkey, ',' ORDER BY row_id) AS keys FROM p GROUP BY 1",
     "j01_union_columns": f"SELECT row_id, o_orderkey, o_custkey, o_totalprice FROM {_O}",
     "u05_unfold_columns": "SELECT r * 4 + k AS row_id, vec_id, CAST(len(embedding) // 4 AS INT) AS n, round(list_sum(list_transform(embedding[k * 16 + 1 : k * 16 + 16], lambda x: x::DOUBLE)), 4) AS total FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM embeddings), (VALUES (0), (1), (2), (3)) t(k)",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions import answers, rewards
-from .operators import advantages, arrays, balance, frame, metrics, token_queries
+from .operators import advantages, arrays, balance, frame, frame_queries, metrics, token_queries
 from .plans import curation
 from .sources import tables
 from .streaming import samples
@@ -15,6 +15,6 @@ from .streaming import samples
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (advantages, answers, arrays, balance, curation, frame, metrics, rewards, samples, tables, token_queries):
+for module in (advantages, answers, arrays, balance, curation, frame, frame_queries, metrics, rewards, samples, tables, token_queries):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
