@@ -2,11 +2,11 @@
 
 
 def test_every_order_has_a_partition(spark, tmp_path):
-    from tessera.operators.balance import t09_balanced
+    from tessera.operators.balance import _balanced
 
     keys = [*range(1, 64), *range(64, 128), *range(128, 131)]  # 63, 64 and 3 orders
     spark.createDataFrame([(k, 37 * k) for k in keys], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
-    rows = t09_balanced(spark, str(tmp_path)).collect()
+    rows = _balanced(spark, str(tmp_path)).collect()
     assert sorted(r["row"] for r in rows) == keys
     sizes = {}
     for r in rows:
