@@ -138,10 +138,42 @@ def reduce_metrics(df: DataFrame, key: str = "key", value: str = "value") -> Dat
     return out.select(key, F.when(F.col(key).contains("max"), F.col("_x")).when(F.col(key).contains("min"), F.col("_n")).otherwise(F.col("_a")).alias(value))
 
 
-def spread_metrics(df: DataFrame, value: str, prefix: str) -> list[Column]:
-    """mean, max, min, and linearly interpolated 50th, 95th and 99th percentiles, as aggregates."""
-    q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return [F.avg(value).alias(f"{prefix}_mean"), F.max(value).alias(f"{prefix}_max"), F.min(value).alias(f"{prefix}_min"), *[q[i].alias(f"{prefix}_{n}") for i, n in enumerate(("p50", "p95", "p99"))]]
+def exact_percentiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """``by`` and p0, p1, ...: linearly interpolated percentiles, exact, in memory that doesn't follow the number of values.
+
+    Values are counted, so equal ones are one row; the running count over them (by ranges of values, with the counts of
+    the ranges before) tells which two values stand around each rank.
+    """
+    from .frame import with_row_id
+
+    v = F.col(value).cast("double")
+    counts = df.filter(v.isNotNull()).groupBy(*by, v.alias("_v")).agg(F.count("*").alias("_n"))
+    line = with_row_id(counts, [*by, "_v"], "_i") if by else with_row_id(counts, ["_v"], "_i")
+    cell = F.expr("_i div 4096")
+    sums = line.groupBy(*by, cell.alias("_c")).agg(F.sum("_n").alias("_s"))
+    part = [*[F.col(c) for c in by]]
+    upper = Window.partitionBy(*(part or [F.lit(0)])).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)  # a row for 4,096 values
+    starts = sums.withColumn("_before", F.coalesce(F.sum("_s").over(upper), F.lit(0))).drop("_s")
+    total = df.filter(v.isNotNull()).groupBy(*by).agg(F.count("*").alias("_all"))
+    inner = Window.partitionBy(*part, "_c").orderBy("_i")
+    keys = [*by, "_c"]
+    ranked = line.withColumn("_c", cell).join(starts, keys).withColumn("_to", F.col("_before") + F.sum("_n").over(inner))
+    ranked = ranked.join(total, list(by)) if by else ranked.crossJoin(F.broadcast(total))
+    out = []
+    for i, share in enumerate(shares):
+        at = (F.col("_all") - 1) * F.lit(float(share))
+        for name, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            out.append(F.max(F.when((rank >= F.col("_to") - F.col("_n")) & (rank < F.col("_to")), F.col("_v"))).alias(f"_{name}{i}"))
+        out.append(F.max(at - F.floor(at)).alias(f"_f{i}"))
+    g = ranked.groupBy(*by).agg(*out)
+    return g.select(*by, *[(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(f"p{i}") for i in range(len(shares))])
+
+
+def spread_metrics(df: DataFrame, value: str, prefix: str, by: Sequence[str] = ()) -> DataFrame:
+    """mean, max, min, and linearly interpolated 50th, 95th and 99th percentiles, by group."""
+    plain = df.groupBy(*by).agg(F.avg(value).alias(f"{prefix}_mean"), F.max(value).alias(f"{prefix}_max"), F.min(value).alias(f"{prefix}_min"))
+    q = exact_percentiles(df, value, (0.5, 0.95, 0.99), by).withColumnsRenamed({"p0": f"{prefix}_p50", "p1": f"{prefix}_p95", "p2": f"{prefix}_p99"})
+    return plain.join(q, list(by)) if by else plain.crossJoin(q)
 
 
 def staleness(df: DataFrame, version: str, current: int) -> DataFrame:
@@ -151,12 +183,117 @@ def staleness(df: DataFrame, version: str, current: int) -> DataFrame:
 
 
 # --- batch metrics ---
-def batch_metrics(df: DataFrame, score: str, reward: str, prompt_length: str, response_length: str, max_prompt: int, max_response: int) -> DataFrame:
-    """One row: families of score, reward and lengths; scores leave out aborted rows (no response), which are counted."""
-    s, ok = F.col(response_length), F.col(response_length) > 0
-    of = lambda c, name: [F.avg(F.when(ok, F.col(c))).alias(f"{name}_mean"), F.max(F.when(ok, F.col(c))).alias(f"{name}_max"), F.min(F.when(ok, F.col(c))).alias(f"{name}_min")]
-    size = lambda c, name, most: [F.avg(c).alias(f"{name}_mean"), F.max(c).alias(f"{name}_max"), F.min(c).alias(f"{name}_min"), F.avg((F.col(c) >= most).cast("double")).alias(f"{name}_clip_ratio")]
-    return df.agg(*of(score, "score"), *of(reward, "reward"), *size(response_length, "response_length", max_response), *size(prompt_length, "prompt_length", max_prompt), F.avg((s == 0).cast("double")).alias("aborted_ratio"))
+def _family(c: Column | str, name: str) -> list[Column]:
+    return [F.avg(c).alias(f"{name}_mean"), F.max(c).alias(f"{name}_max"), F.min(c).alias(f"{name}_min")]
+
+
+def _lengths(c: Column, name: str, most: int) -> list[Column]:
+    return [*_family(c, name), F.avg((c == most).cast("double")).alias(f"{name}_clip_ratio")]
+
+
+def batch_metrics(df: DataFrame, score: str, reward: str, prompt_length: str, response_length: str, max_prompt: int, max_response: int, *, mask: str | None = None, advantages: str | None = None, returns: str | None = None, values: str | None = None, counts: Sequence[str] = ()) -> DataFrame:
+    """One row: families of score, reward, lengths, masked advantages, returns and values, and of ``counts`` columns (turns,
+    tool calls).
+
+    Scores and the non-aborted lengths leave out aborted rows (no response), which are counted; a batch of aborted rows
+    alone raises.  A clip ratio is the share of rows whose length is exactly the limit.  With values there is
+    explained_var, 1 - var(returns - values) / (var(returns) + 1e-5), over the tokens under the mask.  Token columns are
+    reduced within their rows, and only sums leave a task.
+    """
+    from .tokens import sums
+
+    n, ok = F.col(response_length), F.col(response_length) > 0
+    alive = lambda c: F.when(ok, F.col(c))
+    out = [*_family(alive(score), "score"), *_family(alive(reward), "reward"), *_lengths(n, "response_length", max_response), *_lengths(alive(response_length), "response_length_non_aborted", max_response), *_lengths(F.col(prompt_length), "prompt_length", max_prompt)]
+    out += [F.avg((n == 0).cast("double")).alias("aborted_ratio"), *[x for c in counts for x in _family(c, c)]]
+    tokens = {k: v for k, v in (("advantages", advantages), ("returns", returns), ("values", values)) if v}
+    if tokens:
+        def number(t, c):
+            return F.coalesce(t[c].cast("double"), F.lit(0.0))
+
+        parts = {k: (lambda t, c=c: number(t, c)) for k, c in tokens.items()}
+        if values and returns:
+            parts |= {"rr": lambda t: number(t, returns) * number(t, returns), "d": lambda t: number(t, returns) - number(t, values), "dd": lambda t: (number(t, returns) - number(t, values)) * (number(t, returns) - number(t, values))}
+        df = df.withColumn("_s", sums(list(tokens.values()), mask, **parts))
+        for k, c in tokens.items():
+            kept = F.filter(F.arrays_zip(c, mask), lambda t: t[mask] != 0)[c]
+            df = df.withColumns({f"_hi_{k}": F.array_max(kept), f"_lo_{k}": F.array_min(kept)})
+            out += [(F.sum(f"_s.{k}") / F.sum("_s.n")).alias(f"{k}_mean"), F.max(f"_hi_{k}").alias(f"{k}_max"), F.min(f"_lo_{k}").alias(f"{k}_min")]
+        if values and returns:
+            var = lambda q, x: (F.sum(f"_s.{q}") - F.sum(f"_s.{x}") * F.sum(f"_s.{x}") / F.sum("_s.n")) / (F.sum("_s.n") - 1)
+            out.append((1 - var("dd", "d") / (var("rr", "returns") + 1e-5)).alias("explained_var"))
+    dead = F.raise_error(F.lit("all samples are aborted")).cast("boolean")
+    done = df.agg(F.count_if(ok).alias("_ok"), *out)
+    return done.filter(F.when(F.col("_ok") == 0, dead).otherwise(F.lit(True))).drop("_ok")
+
+
+def pair_metrics(df: DataFrame, prompt_length: str, response_length: str, max_prompt: int, max_response: int) -> DataFrame:
+    """One row for preference training: families of score and reward, means of dpo_logits, chosen_logps and rejected_logps,
+    each where the column is there, and the lengths."""
+    out = [x for c in ("score", "reward") if c in df.columns for x in _family(c, c)]
+    out += [F.avg(c).alias(c) for c in ("dpo_logits", "chosen_logps", "rejected_logps") if c in df.columns]
+    return df.agg(*out, *_lengths(F.col(response_length), "response_length", max_response), *_lengths(F.col(prompt_length), "prompt_length", max_prompt))
+
+
+#: Stages whose time is told by token of the whole sequence; "gen" counts response tokens alone.
+WHOLE_STAGES = ("ref", "values", "adv", "update_critic", "update_actor")
+
+
+def timing_metrics(df: DataFrame, timing: DataFrame, prompt_length: str, response_length: str) -> DataFrame:
+    """name, value: timing_s/<stage> for every stage of ``timing`` (stage, seconds), and timing_per_token_ms/<stage> for those
+    that work on tokens."""
+    n = df.agg(F.sum(response_length).alias("_r"), F.sum(F.col(response_length) + F.col(prompt_length)).alias("_all"))
+    t = timing.crossJoin(F.broadcast(n))
+    tokens = F.when(F.col("stage") == "gen", F.col("_r")).when(F.col("stage").isin(*WHOLE_STAGES), F.col("_all"))
+    per = t.withColumn("value", F.try_divide(F.col("seconds") * 1000, tokens)).filter("value is not null")
+    return t.select(F.concat(F.lit("timing_s/"), "stage").alias("name"), F.col("seconds").cast("double").alias("value")).unionByName(per.select(F.concat(F.lit("timing_per_token_ms/"), "stage").alias("name"), "value"))
+
+
+def throughput_metrics(df: DataFrame, tokens: str, seconds: float, devices: int) -> DataFrame:
+    total = F.sum(tokens)
+    return df.agg(total.alias("total_num_tokens"), F.lit(float(seconds)).alias("time_per_step"), (total / (F.lit(float(seconds)) * devices)).alias("throughput"))
+
+
+def special_metrics(rolled: DataFrame, window: Sequence[str], devices: int, key: str = "key", value: str = "value") -> DataFrame:
+    """After a roll-up: throughput, the spread of sequence lengths and the idle ratio, from the metrics that they follow from."""
+    of = lambda name: F.max(F.when(F.col(key) == name, F.col(value)))
+    g = rolled.groupBy(*window).agg(of("global_seqlen/max").alias("_x"), of("global_seqlen/min").alias("_n"), of("perf/total_num_tokens").alias("_t"), of("perf/time_per_step").alias("_s"), of("timing_s/gen").alias("_g"), of("timing_s/step").alias("_st"))
+    new = g.select(*window, F.explode(F.create_map(F.lit("global_seqlen/minmax_diff"), F.col("_x") - F.col("_n"), F.lit("perf/throughput"), F.try_divide("_t", F.col("_s") * devices), F.lit("trainer/idle_ratio"), F.try_divide("_g", "_st"))).alias(key, "_new")).filter("_new is not null")
+    both = rolled.select(*window, key, value).join(new, [*window, key], "full")
+    # throughput and spread are only set anew where they are there; the idle ratio is added
+    keep = F.col(value).isNotNull() | (F.col(key) == "trainer/idle_ratio")
+    return both.filter(keep).select(*window, key, F.coalesce("_new", value).alias(value))
+
+
+def gathered(df: DataFrame, key: str, value: str, order: str, prefix: str = "") -> DataFrame:
+    """All values of a key as one list, in order."""
+    g = df.groupBy(F.concat(F.lit(prefix), key).alias(key)).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("_l"))
+    return g.select(key, F.col("_l.v").alias(value))
+
+
+def pivoted(df: DataFrame, row: str, columns: Sequence[str]) -> DataFrame:
+    """One row: every column as the list of its values, in the order of ``row``."""
+    g = df.agg(F.sort_array(F.collect_list(F.struct(F.col(row).alias("_row"), *columns))).alias("_l"))
+    return g.select(*[F.col(f"_l.{c}").alias(c) for c in columns])
+
+
+def count_report(df: DataFrame, value: str, ok: Column) -> DataFrame:
+    """value, n, share_ok: how often each value comes, and the share of rows under the condition."""
+    return df.groupBy(value).agg(F.count("*").alias("n"), F.avg(ok.cast("double")).alias("share_ok"))
+
+
+def model_flops(df: DataFrame, length: str, *, hidden: int, layers: int, heads: int, kv_heads: int, inner: int, vocabulary: int, seconds: float, gated: bool = True) -> DataFrame:
+    """One row: tokens and achieved TFLOPS of a dense decoder - six a parameter and token, and twelve a head dimension for
+    each pair of positions."""
+    size = hidden // heads
+    linear = hidden * (heads * size + 2 * kv_heads * size + heads * size)
+    dense = (hidden * inner * (3 if gated else 2) + linear) * layers + 2 * vocabulary * hidden
+    n = F.col(length).cast("double")
+    return df.agg(F.sum(length).alias("tokens"), ((6.0 * dense * F.sum(n) + 12.0 * size * heads * layers * F.sum(n * n)) / seconds / 1e12).alias("tflops"))
+
+
+def squared_norm(values: Column | str) -> Column:
+    return F.sum(F.col(values) * F.col(values) if isinstance(values, str) else values * values)
 
 
 def explained_variance(df: DataFrame, returns: str, values: str) -> DataFrame:
@@ -194,7 +331,7 @@ def slowest(df: DataFrame, times: Sequence[str], attributes: Sequence[str]) -> D
 
 def top_share(df: DataFrame, value: str, percent: float) -> DataFrame:
     """Minimum, maximum, and the share of rows at or above the (1 - percent / 100) quantile."""
-    q = df.agg(F.percentile(value, F.lit(1 - percent / 100)).alias("_q"))
+    q = exact_percentiles(df, value, (1 - percent / 100,)).withColumnRenamed("p0", "_q")
     return df.crossJoin(F.broadcast(q)).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg((F.col(value) >= F.col("_q")).cast("double")).alias("share"))
 
 
@@ -202,7 +339,8 @@ def top_share(df: DataFrame, value: str, percent: float) -> DataFrame:
 def accuracy_report(df: DataFrame, value: str, bins: int = 5) -> DataFrame:
     """One row: mean, median, extremes, sample deviation, distinct values and counts in equal bins of [0, 1], the last closed."""
     b = F.least(F.floor(F.col(value) * bins), F.lit(bins - 1))
-    return df.agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.max(value).alias("max"), F.min(value).alias("min"), F.stddev_samp(value).alias("std"), F.count_distinct(value).alias("distinct"), *[F.count_if(b == i).alias(f"bin{i}") for i in range(bins)])
+    median = exact_percentiles(df, value, (0.5,)).withColumnRenamed("p0", "median")
+    return median.crossJoin(df.agg(F.avg(value).alias("mean"), F.max(value).alias("max"), F.min(value).alias("min"), F.stddev_samp(value).alias("std"), F.count_distinct(value).alias("distinct"), *[F.count_if(b == i).alias(f"bin{i}") for i in range(bins)]))
 
 
 LENGTH_BUCKETS = (0, 100, 500, 1000, 2000, 5000)
@@ -276,7 +414,7 @@ def a14_reduce_metrics(spark, sf_dir):
 
 def a19_spread(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return _six(e.groupBy("event_type").agg(*spread_metrics(e, "value", "value")), 4)
+    return _six(spread_metrics(e, "value", "value", ["event_type"]), 4)
 
 
 def a39_staleness(spark, sf_dir):
@@ -285,7 +423,71 @@ def a39_staleness(spark, sf_dir):
 
 def a08_batch_metrics(spark, sf_dir):
     li = _lines(spark, sf_dir).withColumn("len", F.floor(F.col("l_quantity") - 2).cast("int")).withColumn("len", F.greatest("len", F.lit(0)))
-    return _six(batch_metrics(li, "l_discount", "l_tax", "l_linenumber", "len", 6, 40), 5)
+    return _six(batch_metrics(li, "l_discount", "l_tax", "l_linenumber", "len", 6, 40, counts=["l_suppkey"]), 5)
+
+
+def a08_token_metrics(spark, sf_dir):
+    """The families of advantages, returns and values under the mask, and the explained variance."""
+    from .token_queries import token_table
+
+    t = token_table(spark, sf_dir).withColumn("len", F.aggregate("response_mask", F.lit(0), lambda a, x: a + x))
+    m = batch_metrics(t.withColumn("s", F.col("label").cast("double")), "s", "s", "label", "len", 5, 47, mask="response_mask", advantages="advantages", returns="returns", values="values")
+    return _six(m.select(*[c for c in m.columns if c.startswith(("adv", "ret", "val", "expl"))]), 5)
+
+
+def a09_timing(spark, sf_dir):
+    """Stages' times by token; a stage without a rule has its seconds alone."""
+    li = _lines(spark, sf_dir)
+    stages = spark.createDataFrame([("gen", 30.0), ("ref", 5.0), ("adv", 0.5), ("step", 60.0)], "stage string, seconds double")
+    return _six(timing_metrics(li, stages, "l_linenumber", "l_quantity"))
+
+
+def a10_throughput(spark, sf_dir):
+    return _six(throughput_metrics(_lines(spark, sf_dir), "l_quantity", 12.5, 8), 4)
+
+
+def a20_gathered(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return gathered(e, "event_type", "user_id", "event_id", "train/").select("event_type", F.size("user_id").cast("long").alias("n"), F.md5(F.array_join("user_id", ",")).alias("digest"))
+
+
+def a21_pivoted(spark, sf_dir):
+    r = pivoted(spark.read.parquet(f"{sf_dir}/nation.parquet"), "n_nationkey", ["n_nationkey", "n_name"])
+    return r.select(F.array_join("n_nationkey", ",").alias("keys"), F.array_join("n_name", ",").alias("names"))
+
+
+def a27_count_report(spark, sf_dir):
+    return _six(count_report(_lines(spark, sf_dir), "l_quantity", F.col("l_returnflag") == "R"))
+
+
+def a34_reduced_timing(spark, sf_dir):
+    """Means by key over ranks, as reported by each of them."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    per = e.groupBy("event_type", (F.col("user_id") % 8).alias("rank")).agg(F.sum("value").alias("seconds"))
+    return _six(per.groupBy("event_type").agg(F.avg("seconds").alias("seconds"), F.count("*").alias("ranks")), 4)
+
+
+def a38_pair_metrics(spark, sf_dir):
+    li = _lines(spark, sf_dir).withColumns({"score": F.col("l_discount") * 2, "chosen_logps": -F.col("l_tax"), "len": F.col("l_quantity").cast("int")})
+    return _six(pair_metrics(li, "l_linenumber", "len", 7, 50), 5)
+
+
+def a41_flops(spark, sf_dir):
+    return _six(model_flops(_lines(spark, sf_dir), "l_quantity", hidden=1024, layers=24, heads=16, kv_heads=4, inner=2816, vocabulary=32000, seconds=3.0), 6)
+
+
+def a43_special_metrics(spark, sf_dir):
+    """Roll-ups by window of 500 events, with what follows from them."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    names = ("global_seqlen/max", "global_seqlen/min", "global_seqlen/minmax_diff", "perf/total_num_tokens", "perf/time_per_step", "perf/throughput", "timing_s/gen", "timing_s/step")
+    key = F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("user_id") % 8 + 1).cast("int"))
+    rolled = rollup(e.select(F.expr("event_id div 500").alias("version"), key.alias("key"), "value", F.col("event_id").alias("step")), ["version"])
+    return _six(special_metrics(rolled, ["version"], 16), 4)
+
+
+def a45_squared_norm(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.explode("embedding").alias("g"))
+    return _six(e.agg(squared_norm(F.col("g").cast("double")).alias("norm")), 4)
 
 
 def a08_explained_variance(spark, sf_dir):
@@ -348,7 +550,7 @@ def a40_clamped_sum(spark, sf_dir):
     return _six(m.groupBy("l_orderkey").agg(F.sum(F.greatest(F.least(F.col("v") * w, F.lit(1.0)), F.lit(-1.0))).alias("reward")), 5)
 
 
-QUERIES = {f.__name__: f for f in (a16_group_mean_std, a17_group_codes, a13_majority, a11_validation_means, a12_validation_bootstrap, a18_rollup, a14_reduce_metrics, a19_spread, a39_staleness, a08_batch_metrics, a08_explained_variance, a22_mean_of_means, a23_item_accuracy, a24_accuracy_report, a25_text_report, a29_masked_difference, a30_token_difference, a32_slowest, a33_top_share, a36_pair_accuracy, a37_sign_accuracy, a40_clamped_sum)}
+QUERIES = {f.__name__: f for f in (a08_token_metrics, a09_timing, a10_throughput, a20_gathered, a21_pivoted, a27_count_report, a34_reduced_timing, a38_pair_metrics, a41_flops, a43_special_metrics, a45_squared_norm, a16_group_mean_std, a17_group_codes, a13_majority, a11_validation_means, a12_validation_bootstrap, a18_rollup, a14_reduce_metrics, a19_spread, a39_staleness, a08_batch_metrics, a08_explained_variance, a22_mean_of_means, a23_item_accuracy, a24_accuracy_report, a25_text_report, a29_masked_difference, a30_token_difference, a32_slowest, a33_top_share, a36_pair_accuracy, a37_sign_accuracy, a40_clamped_sum)}
 
 _EV = "ev AS (SELECT event_id // 500 AS version, ['timing_s/gen', 'score/mean', 'len/max', 'len/min', 'tokens/total', 'training/global_step', 'other'][user_id % 7 + 1] AS key, value, event_id AS step FROM events)"
 _ORD = "l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey"
@@ -362,7 +564,17 @@ ORACLES = {
     "a14_reduce_metrics": f"WITH {_EV} SELECT key, round(CASE WHEN key LIKE '%max%' THEN max(value) WHEN key LIKE '%min%' THEN min(value) ELSE avg(value) END, 4) AS value FROM ev GROUP BY 1",
     "a19_spread": "SELECT event_type, round(avg(value), 4) AS value_mean, round(max(value), 4) AS value_max, round(min(value), 4) AS value_min, round(quantile_cont(value, 0.5), 4) AS value_p50, round(quantile_cont(value, 0.95), 4) AS value_p95, round(quantile_cont(value, 0.99), 4) AS value_p99 FROM events GROUP BY 1",
     "a39_staleness": "SELECT count(*) FILTER (5 - l_linenumber >= 1) AS stale, count(DISTINCT l_linenumber) AS versions, max(l_linenumber) - min(l_linenumber) AS span, round(avg((5 - l_linenumber >= 1)::INT), 6) AS stale_ratio FROM lineitem",
-    "a08_batch_metrics": f"WITH t AS (SELECT *, greatest(floor(l_quantity - 2), 0)::INT AS len FROM lineitem) SELECT {_FAM('l_discount', 'score')}, {_FAM('l_tax', 'reward')}, round(avg(len), 5) AS response_length_mean, max(len) AS response_length_max, min(len) AS response_length_min, round(avg((len >= 40)::INT), 5) AS response_length_clip_ratio, round(avg(l_linenumber), 5) AS prompt_length_mean, max(l_linenumber) AS prompt_length_max, min(l_linenumber) AS prompt_length_min, round(avg((l_linenumber >= 6)::INT), 5) AS prompt_length_clip_ratio, round(avg((len = 0)::INT), 5) AS aborted_ratio FROM t",
+    "a08_batch_metrics": f"WITH t AS (SELECT *, greatest(floor(l_quantity - 2), 0)::INT AS len FROM lineitem) SELECT {_FAM('l_discount', 'score')}, {_FAM('l_tax', 'reward')}, round(avg(len), 5) AS response_length_mean, max(len) AS response_length_max, min(len) AS response_length_min, round(avg((len = 40)::INT), 5) AS response_length_clip_ratio, {_FAM('len', 'response_length_non_aborted')}, round(avg((len = 40)::INT) FILTER (len > 0), 5) AS response_length_non_aborted_clip_ratio, round(avg(l_linenumber), 5) AS prompt_length_mean, max(l_linenumber) AS prompt_length_max, min(l_linenumber) AS prompt_length_min, round(avg((l_linenumber = 6)::INT), 5) AS prompt_length_clip_ratio, round(avg((len = 0)::INT), 5) AS aborted_ratio, round(avg(l_suppkey), 5) AS l_suppkey_mean, max(l_suppkey) AS l_suppkey_max, min(l_suppkey) AS l_suppkey_min FROM t",
+    "a09_timing": "WITH n AS (SELECT sum(l_quantity) AS r, sum(l_quantity + l_linenumber) AS a FROM lineitem) SELECT 'timing_s/' || s AS name, v AS value FROM (VALUES ('gen', 30.0::DOUBLE), ('ref', 5.0), ('adv', 0.5), ('step', 60.0)) t(s, v) UNION ALL SELECT 'timing_per_token_ms/gen', round(30000 / r, 6) FROM n UNION ALL SELECT 'timing_per_token_ms/ref', round(5000 / a, 6) FROM n UNION ALL SELECT 'timing_per_token_ms/adv', round(500 / a, 6) FROM n",
+    "a10_throughput": "SELECT round(sum(l_quantity), 4) AS total_num_tokens, 12.5::DOUBLE AS time_per_step, round(sum(l_quantity) / 100, 4) AS throughput FROM lineitem",
+    "a20_gathered": "SELECT 'train/' || event_type AS event_type, count(*) AS n, md5(string_agg(user_id, ',' ORDER BY event_id)) AS digest FROM events GROUP BY 1",
+    "a21_pivoted": "SELECT string_agg(n_nationkey, ',' ORDER BY n_nationkey) AS keys, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation",
+    "a27_count_report": "SELECT l_quantity, count(*) AS n, round(avg((l_returnflag = 'R')::INT), 6) AS share_ok FROM lineitem GROUP BY 1",
+    "a34_reduced_timing": "WITH p AS (SELECT event_type, user_id % 8 AS r, sum(value) AS s FROM events GROUP BY 1, 2) SELECT event_type, round(avg(s), 4) AS seconds, count(*) AS ranks FROM p GROUP BY 1",
+    "a38_pair_metrics": "WITH t AS (SELECT *, trunc(l_quantity)::INT AS len FROM lineitem) SELECT round(avg(l_discount * 2), 5) AS score_mean, round(max(l_discount * 2), 5) AS score_max, round(min(l_discount * 2), 5) AS score_min, round(avg(-l_tax), 5) AS chosen_logps, round(avg(len), 5) AS response_length_mean, max(len) AS response_length_max, min(len) AS response_length_min, round(avg((len = 50)::INT), 5) AS response_length_clip_ratio, round(avg(l_linenumber), 5) AS prompt_length_mean, max(l_linenumber) AS prompt_length_max, min(l_linenumber) AS prompt_length_min, round(avg((l_linenumber = 7)::INT), 5) AS prompt_length_clip_ratio FROM t",
+    "a41_flops": "SELECT round(sum(l_quantity), 6) AS tokens, round((6.0 * ((1024 * 2816 * 3 + 1024 * (1024 + 512 + 1024)) * 24 + 2 * 32000 * 1024) * sum(l_quantity) + 12.0 * 1024 * 24 * sum(l_quantity * l_quantity)) / 3.0 / 1e12, 6) AS tflops FROM lineitem",
+    "a43_special_metrics": "WITH e AS (SELECT event_id // 500 AS version, user_id % 8 AS k, value, event_id FROM events), r AS (SELECT version, max(value) FILTER (k = 0) AS x, min(value) FILTER (k = 1) AS n, max(value) FILTER (k = 2) AS d, sum(value) FILTER (k = 3) AS t, sum(value) FILTER (k = 4) AS s, avg(value) FILTER (k = 5) AS p, sum(value) FILTER (k = 6) AS g, sum(value) FILTER (k = 7) AS st FROM e GROUP BY 1), u AS (SELECT version, unnest(['global_seqlen/max', 'global_seqlen/min', 'global_seqlen/minmax_diff', 'perf/total_num_tokens', 'perf/time_per_step', 'perf/throughput', 'timing_s/gen', 'timing_s/step', 'trainer/idle_ratio']) AS key, unnest([x, n, CASE WHEN d IS NULL THEN NULL ELSE coalesce(x - n, d) END, t, s, CASE WHEN p IS NULL THEN NULL ELSE coalesce(t / (s * 16), p) END, g, st, g / st]) AS value FROM r) SELECT version, key, round(value, 4) AS value FROM u WHERE value IS NOT NULL",
+    "a45_squared_norm": "SELECT round(sum(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS norm FROM embeddings",
     "a08_explained_variance": "SELECT round(1 - var_samp(l_extendedprice - l_quantity) / (var_samp(l_extendedprice) + 1e-5), 5) AS explained_var FROM lineitem",
     "a22_mean_of_means": "WITH p AS (SELECT l_orderkey, avg(l_discount) AS r FROM lineitem GROUP BY 1) SELECT o_orderpriority, round(avg(r), 6) AS reward, count(*) AS prompts FROM p JOIN orders ON o_orderkey = l_orderkey GROUP BY 1",
     "a23_item_accuracy": "SELECT l_orderkey, CAST(sum((l_returnflag = 'R')::INT) AS BIGINT) AS correct, count(*) AS n, round(avg((l_returnflag = 'R')::INT), 6) AS accuracy, arg_min(l_partkey, l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey) AS first_part FROM lineitem GROUP BY 1",
@@ -380,6 +592,7 @@ def _token_oracles() -> dict[str, str]:
     from .token_queries import _TOK
 
     return {
+        "a08_token_metrics": f"{_TOK} SELECT " + ", ".join(f"round({f}({c}) FILTER (m = 1), 5) AS {n}_{k}" for c, n in (("adv", "advantages"), ("ret", "returns"), ("val", "values")) for f, k in (("avg", "mean"), ("max", "max"), ("min", "min"))) + ", round(1 - var_samp(ret - val) FILTER (m = 1) / (var_samp(ret) FILTER (m = 1) + 1e-5), 5) AS explained_var FROM tok",
         "a29_masked_difference": f"{_TOK}, d AS (SELECT exp(old) AS x, exp(ref) AS y FROM tok WHERE m = 1) SELECT round(max(abs(x - y)), 5) AS diff_max, round(avg(abs(x - y)), 5) AS diff_mean, round(stddev_samp(abs(x - y)), 5) AS diff_std, round(corr(x, y), 5) AS pearson FROM d",
         "a30_token_difference": f"{_TOK} SELECT vec_id, count(*) FILTER (m = 1 AND floor(e) <> floor(e + 0.3)) AS n FROM tok GROUP BY 1",
     }
