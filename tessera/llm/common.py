@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.session import shared_path, written  # noqa: F401
 
@@ -40,6 +41,28 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bits of the bit map of ``bit_words``: its rows are 2^18 at most, whatever it is made from.
+MAP_BITS = 24
+
+
+def _bit(hashes: Column) -> tuple[Column, Column]:
+    at = F.pmod(hashes, F.lit(1 << MAP_BITS))
+    return F.shiftright(at, 6), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
+
+
+def bit_words(table: DataFrame, hashes: Column) -> DataFrame:
+    """word, bits: a bit map of fixed size of the hashes, to be broadcast; rows that it shows may be in the table."""
+    word, bit = _bit(hashes)
+    return written(table.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")), "bits")
+
+
+def may_be_in(df: DataFrame, words: DataFrame, hashes: Column, out: str) -> DataFrame:
+    """``df`` with ``out``: false where the hash is surely not in the table that ``words`` was made from."""
+    word, bit = _bit(hashes)
+    met = df.join(F.broadcast(words), word == F.col("_word"), "left")
+    return met.withColumn(out, F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_bits")
+
+
 def store_of(uri: str):
     """(file system, path in it) of a place in the shared folder, for what workers write and read themselves."""
     from pyarrow import fs
