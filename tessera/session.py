@@ -13,14 +13,21 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows that a Python worker is handed at once in ``written``; whole texts are long.
+#: Rows that a Python worker is handed at once; whole texts are long.
 BATCH_ROWS = 1000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once an application: their workers import its modules."""
+    """Send this package to the executors, once an application: their workers import its modules.
+
+    Where the session still has Spark's default for the rows of an Arrow batch, it gets ``BATCH_ROWS``: ten thousand whole
+    texts at once are a large part of a worker's memory.
+    """
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -54,7 +61,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 @contextmanager
 def freed(spark: SparkSession) -> Iterator[None]:
     """What runs inside drops its shuffle files at its end, and hands Python smaller batches of rows."""
-    with_these = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}
+    with_these = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", ARROW_ROWS: str(BATCH_ROWS)}
     before = {k: spark.conf.get(k) for k in with_these}
     try:
         for k, v in with_these.items():
