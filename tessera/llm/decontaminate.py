@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, blocks, flat, free_name, mix64, runs, span_hashes
+from .common import ALNUM, LOWER, blocks, flat, free_name, lean, mix64, runs, span_hashes
 
 #: Items are broadcast in blocks of at most this many bytes of text.
 ITEM_BYTES = 16 << 20
@@ -182,7 +182,7 @@ def _seeded(texts: DataFrame, items: Items, share: float, least: int) -> Items:
 
     counts = np.zeros(len(items.grams), np.int64)
     if len(counts):
-        for r in texts.select("_t").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():  # at most the items' n-grams
+        for r in texts.select("_t").mapInArrow(lean(count), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():  # at most the items' n-grams
             counts[r["place"]] = r["n"]
     items.keep_rare(counts, share, least)
     return items
@@ -217,7 +217,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str
                     d, i, score, lo, hi = zip(*got, strict=True)
                     yield pa.RecordBatch.from_arrays([b.column("_k").take(pa.array(d)), pa.array(i, pa.int64()), pa.array(score, pa.float64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["doc_id", "item_id", "score", "start", "end"])
 
-        found.append(use.mapInArrow(scan, SCHEMA))
+        found.append(use.mapInArrow(lean(scan), SCHEMA))
     return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], SCHEMA)
 
 
@@ -237,5 +237,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
                 clean[[x[0] for x in _leaks(b, shared.value, min_score, t)]] = False
                 yield b.filter(pa.array(clean))
 
-        given = given.mapInArrow(keep, given.schema)
+        given = given.mapInArrow(lean(keep), given.schema)
     return given.select(*[F.col(f"`{c}`") for c in names])

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_class, flat, runs
+from .common import blocks, byte_class, flat, lean, runs
 
 KINDS = ("assign", "access", "hex", "crf")
 #: Fixed patterns; letters of the first in either case.
@@ -301,5 +301,5 @@ def find_secrets(docs: DataFrame, *, text: str = "text", key: str = "doc_id", sa
                 rows["spans"].append(_joined(points))
             yield pa.RecordBatch.from_arrays([b.column("_k"), *(pa.array(x, pa.int64()) for x in rows["n"][:3]), pa.array(rows["sha"]), pa.array(rows["spans"]), pa.array(rows["n"][3], pa.int64())], ["_k", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf"])
 
-    found = docs.select(F.col(key).cast("long").alias("_k"), F.col(text).cast("string").alias("_t")).mapInArrow(run, "_k long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long")
+    found = docs.select(F.col(key).cast("long").alias("_k"), F.col(text).cast("string").alias("_t")).mapInArrow(lean(run), "_k long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long")
     return found.withColumnRenamed("_k", key)

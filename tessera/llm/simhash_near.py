@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, discard, written
+from .common import blocks, discard, lean, written
 
 SEED = 42
 #: Buckets up to this size are compared row by row; larger ones are first cut by equal pieces of the fingerprint.
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, *, text: str, key: str, shingle: int, bits: in
             prints = [fingerprint(t, shingle, bits) for t in pc.fill_null(b.column("_text"), "").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("_key"), pa.array(prints, pa.binary())], ["_key", "fp"])
 
-    return docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text")).mapInArrow(run, "_key long, fp binary")
+    return docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text")).mapInArrow(lean(run), "_key long, fp binary")
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -195,9 +195,9 @@ def links(classes: DataFrame, *, bits: int, radius: int, small: int = SMALL) ->
             pairs = _pairs(np.concatenate(a), np.concatenate(b))
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    keyed = classes.select("rep", "fp").mapInArrow(variants, "key long, rep long, fp binary")
+    keyed = classes.select("rep", "fp").mapInArrow(lean(variants), "key long, rep long, fp binary")
     dealt = keyed.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(verify, "a long, b long").distinct()
+    return dealt.mapInArrow(lean(verify), "a long, b long").distinct()
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, free_name
+from .common import blocks, free_name, lean
 
 #: Characters of a leaf at least, where a cut is possible.
 LEAF_CHARS = 256
@@ -256,7 +256,7 @@ def token_trees(docs: DataFrame, tokenizer_path: str, pattern: str, *, text: str
             k = b.num_columns - 1
             yield pa.RecordBatch.from_arrays([*b.columns[:k], _ints([c for c, _ in trees]), _ints([n for _, n in trees]), pa.array([sum(n) for _, n in trees], pa.int64())], [*b.schema.names[:k], "leaf_chars", "leaf_tokens", "n_tokens"])
 
-    return plain.select("*", F.col(f"`{text}`").cast("string").alias(t)).mapInArrow(run, T.StructType([*plain.schema.fields, *_TREE, T.StructField("n_tokens", T.LongType())]))
+    return plain.select("*", F.col(f"`{text}`").cast("string").alias(t)).mapInArrow(lean(run), T.StructType([*plain.schema.fields, *_TREE, T.StructField("n_tokens", T.LongType())]))
 
 
 def apply_edits(trees: DataFrame, tokenizer_path: str, pattern: str, *, text: str = "text", edits: str = "edits") -> DataFrame:
@@ -283,7 +283,7 @@ def apply_edits(trees: DataFrame, tokenizer_path: str, pattern: str, *, text: st
             texts, chars, tokens = zip(*(d.state() for d in done), strict=True)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(texts, pa.string()), _ints(chars), _ints(tokens), pa.array([d.total[1] for d in done], pa.int64()), b.column(own[3]), pa.array([d.encoded for d in done], pa.int64())], [f.name for f in fields])
 
-    return given.mapInArrow(run, T.StructType(fields))
+    return given.mapInArrow(lean(run), T.StructType(fields))
 
 
 def with_edits(trees: DataFrame, edits: DataFrame, *, key: str = "doc_id", seq: str = "seq") -> DataFrame:

@@ -29,10 +29,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, fresh_path, ranges_for, store_of, written
+from .common import blocks, fresh_path, lean, ranges_for, store_of, written
 
 #: Words whose ids a worker remembers in each of two generations, and the characters of the longest of them.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 120_000
 CACHE_CHARS = 64
 #: Longer texts are encoded in pieces of about this many characters.
 CHUNK_CHARS = 1 << 20
@@ -188,7 +188,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, *, text: str
     schema = "part long, bin string, idx string, n_docs long, n_tokens long"
     use = docs.select(F.col(key).cast("long").alias("_k"), F.col(text).cast("string").alias("_t")).withColumn("_h", F.xxhash64("_t"))
     ranged = use.repartitionByRange(ranges_for(use), "_k", "_h").sortWithinPartitions("_k", "_h")
-    parts = sorted(written(ranged.mapInArrow(write, schema), "token-parts").collect())  # a row a partition
+    parts = sorted(written(ranged.mapInArrow(lean(write), schema), "token-parts").collect())  # a row a partition
     base, rows = 0, []
     for p in parts:
         rows.append((*p, base, np.dtype(dtype).itemsize))
@@ -224,4 +224,4 @@ def read_tokens(manifest: DataFrame, *, key: str = "doc_id", with_ids: bool = Fa
                         rows["ids"] = pa.array([ids[off[i] : off[i + 1]].astype(np.int64) for i in range(at, to)], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_pydict(rows)
 
-    return manifest.mapInArrow(read, f"{key} long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return manifest.mapInArrow(lean(read), f"{key} long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, blocks, flat, free_name, mix_int, runs
+from .common import ALNUM, blocks, flat, free_name, lean, mix_int, runs
 
 #: Fixed word lists of the grammar: English, German, French, Spanish.
 TARGETS = frozenset("you your yours he him his she her they them their this that these those people du dich dir ihr euch er sie ihn tu te toi vous il elle ils elles lui tú usted ustedes él ella ellos vosotros".split())
@@ -307,4 +307,4 @@ def score_toxicity(docs: DataFrame, model: Model, *, text: str = "text", out: st
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     given = plain.select("*", F.col(f"`{text}`").cast("string").alias(t))
-    return given.mapInArrow(run, StructType([*plain.schema.fields, StructField(out, DoubleType())]))
+    return given.mapInArrow(lean(run), StructType([*plain.schema.fields, StructField(out, DoubleType())]))
