@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import importlib.util
+import os
+import tempfile
 import time
 from collections.abc import Callable, Iterator
 
@@ -159,9 +161,68 @@ def x06_scattered(spark, sf_dir):
     return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.array_position("token_level_scores", F.col("l_discount")).alias("place"), F.round(F.aggregate("token_level_scores", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (f34_score_by_source, x06_scattered)}
-_N = "CASE WHEN o_orderkey % 5 = 0 THEN '12' ELSE (o_orderkey // 1000) || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') END"
+def _responses(spark, sf_dir) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.select("o_orderkey", (F.col("o_custkey") % 9).cast("int").alias("len"), F.round(F.col("o_totalprice") / 1000, 3).alias("price"))
+
+
+def x07_batch_scores(spark, sf_dir):
+    """A scoring function over batches of rows; the score stands at the last token, and nowhere without one."""
+    rows = get_manager("batch")(_responses(spark, sf_dir), lambda f: f["price"] - f["len"], "len", 8)
+    return rows.select("o_orderkey", F.round("score", 4).alias("score"), F.round("acc", 4).alias("acc"), F.round(F.aggregate("token_level_scores", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+def x09_guarded_scores(spark, sf_dir):
+    """Row by row: a scorer that fails, and one that is late, give 0."""
+
+    def score(row: dict) -> float:
+        if row["o_orderkey"] % 7 == 0:
+            raise RuntimeError("no score")
+        if row["o_orderkey"] % 5000 == 1:
+            time.sleep(3.0)
+        return row["len"] * 2.0
+
+    rows = get_manager("prime")(_responses(spark, sf_dir), score, "len", 8, timeout=1.5)
+    return rows.select("o_orderkey", "score")
+
+
+def x11_overlong_scores(spark, sf_dir):
+    rows = get_manager("dapo")(_responses(spark, sf_dir), F.col("price"), "len", 8, most=8, buffer=4, factor=0.5)
+    return rows.select("o_orderkey", F.round("score", 5).alias("score"))
+
+
+def x12_given_scores(spark, sf_dir):
+    """Scores of a reward model that are there already are kept."""
+    rows = _responses(spark, sf_dir).withColumn("rm_score", F.when(F.col("len") > 4, F.lit(9.5)))
+    return get_manager("naive")(rows, F.col("price"), "len", 8).select("o_orderkey", "score")
+
+
+def x05_registries(spark, sf_dir):
+    """What is registered, by kind."""
+    from tessera.operators.advantages import ESTIMATORS
+    from tessera.operators.tokens import POLICY_LOSSES
+
+    rows = [("manager", n) for n in MANAGERS] + [("loss", n) for n in POLICY_LOSSES] + [("estimator", n) for n in ESTIMATORS]
+    return spark.createDataFrame(rows, "kind string, name string").groupBy("kind").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"))
+
+
+def x14_loaded_function(spark, sf_dir):
+    """A user's scoring function from a file, with a bound argument, over whole batches."""
+    path = os.path.join(tempfile.mkdtemp(), "scorer.py")  # on the driver, where it is loaded
+    with open(path, "w") as f:
+        f.write("def score(frame, factor=1):\n    return frame['len'] * factor\n")
+    f = load_function(path, "score", factor=3)
+    return get_manager("batch")(_responses(spark, sf_dir), f, "len", 8).select("o_orderkey", "score")
+
+
+QUERIES = {f.__name__: f for f in (f34_score_by_source, x06_scattered, x07_batch_scores, x09_guarded_scores, x11_overlong_scores, x12_given_scores, x05_registries, x14_loaded_function)}
+_R = "(SELECT o_orderkey, (o_custkey % 9)::INT AS len, round(o_totalprice / 1000, 3) AS price FROM orders)"
 ORACLES = {
-    "f34_score_by_source": f"SELECT o_orderkey, CASE o_orderkey % 3 WHEN 2 THEN 1.0 WHEN 1 THEN CASE WHEN (o_orderkey // 1000) || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') = (o_orderkey % 10000)::VARCHAR THEN 1.0 ELSE -1.0 END ELSE CASE WHEN {_N} = (o_orderkey % 10000)::VARCHAR THEN 1.0 ELSE 0.0 END END::DOUBLE AS score FROM orders",
+    "f34_score_by_source": f"SELECT o_orderkey, CASE o_orderkey % 3 WHEN 2 THEN (o_orderkey % 8 = 0)::INT WHEN 1 THEN CASE WHEN coalesce({answers._PRED}, '') = (o_orderkey % 10000)::VARCHAR THEN 1 ELSE -1 END ELSE coalesce(({answers._STRICT} = (o_orderkey % 10000)::VARCHAR)::INT, 0) END::DOUBLE AS score FROM orders",
+    "x07_batch_scores": f"SELECT o_orderkey, round(price - len, 4) AS score, round(price - len, 4) AS acc, CASE WHEN len > 0 AND len <= 8 THEN round(price - len, 4) ELSE 0 END AS total FROM {_R}",
+    "x09_guarded_scores": f"SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 5000 = 1 THEN 0 ELSE len * 2 END::DOUBLE AS score FROM {_R}",
+    "x11_overlong_scores": f"SELECT o_orderkey, round(price + least(-(len - 4) / 4.0 * 0.5, 0), 5) AS score FROM {_R}",
+    "x12_given_scores": f"SELECT o_orderkey, CASE WHEN len > 4 THEN 9.5 ELSE price END::DOUBLE AS score FROM {_R}",
+    "x14_loaded_function": f"SELECT o_orderkey, (len * 3)::DOUBLE AS score FROM {_R}",
     "x06_scattered": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_discount = 0 THEN 1 ELSE l_linenumber END::BIGINT AS place, round(l_discount, 4) AS total FROM lineitem",
 }
