@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .functions import answers, grading, rewards
 from .operators import advantages, arrays, balance, frame, frame_queries, metrics, token_queries
 from .plans import curation
-from .sources import tables
+from .sources import round_trips, tables
 from .streaming import samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (advantages, answers, arrays, balance, curation, frame, frame_queries, grading, metrics, rewards, samples, tables, token_queries):
+for module in (advantages, answers, arrays, balance, curation, frame, frame_queries, grading, metrics, rewards, round_trips, samples, tables, token_queries):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)

@@ -105,7 +105,7 @@ def load_frame(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
 
 # --- queries ---
 def s01_read_prompts(spark, sf_dir):
-    return read_prompts(spark, [f"{sf_dir}/documents.parquet"], ["doc_id"], most=200, max_length=2000, length=F.col("n_chars")).select("doc_id", "n_chars")
+    return read_prompts(spark, [f"{sf_dir}/documents.parquet"], ["doc_id"], max_length=2000, length=F.col("n_chars")).select("doc_id", "n_chars")
 
 
 def s20_offline_scores(spark, sf_dir):
@@ -130,7 +130,7 @@ def s18_flattened(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (s01_read_prompts, s20_offline_scores, s12_masked, s16_metric_lines, s18_flattened)}
 ORACLES = {
-    "s01_read_prompts": "SELECT doc_id, n_chars FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 200) WHERE n_chars <= 2000",
+    "s01_read_prompts": "SELECT doc_id, n_chars FROM documents WHERE n_chars <= 2000",
     "s20_offline_scores": "SELECT doc_id, source, length(text)::INT AS length FROM documents",
     "s12_masked": "SELECT conv_id, turn, md5(regexp_replace(text, '[aeiou]', '*', 'g')) AS masked FROM conversations",
     "s16_metric_lines": """SELECT '{"step":' || (event_id // 1000) || ',"data":{"n":' || count(*) || ',"top":' || max(user_id) || '}}' AS value FROM events GROUP BY event_id // 1000""",
