@@ -130,7 +130,7 @@ def _windows(doc_at: np.ndarray, item_at: np.ndarray, m: int, size: int) -> list
     return [(int(lo[a]), int(hi[a:b].max()), len(np.unique(at[a:b]))) for a, b in zip(cut, np.r_[cut[1:], len(lo)], strict=True)]
 
 
-def _leaks(b: pa.RecordBatch, items: Items, min_score: float, text: str = "_t") -> list[tuple]:
+def _leaks(b: pa.RecordBatch, items: Items, min_score: float, hits: int, text: str = "_t") -> list[tuple]:
     h, starts, ends, first, offsets = words(b.column(text))
     pos, place = items.find(h, first)
     if not len(pos):
@@ -149,8 +149,8 @@ def _leaks(b: pa.RecordBatch, items: Items, min_score: float, text: str = "_t")
         d, i = int(doc[a]), int(item[a])
         w, base = items.words[i], int(first[d])
         best = (0, 0, 0)
-        for lo, hi, hits in _windows(pos[a:z] - base, at[a:z], len(w), int(first[d + 1]) - base):
-            if hits < min(2, int(items.seeds[i])):
+        for lo, hi, met in _windows(pos[a:z] - base, at[a:z], len(w), int(first[d + 1]) - base):
+            if met < min(hits, int(items.seeds[i])):
                 continue
             score, end = align(w, h[base + lo : base + hi])
             if score > best[0]:
@@ -161,9 +161,9 @@ def _leaks(b: pa.RecordBatch, items: Items, min_score: float, text: str = "_t")
             _, back = align(w[::-1], h[base + lo : base + end][::-1])
             if data is None:
                 data = flat(b.column(text))[0]
-            text, from_byte, to_byte = offsets[d], starts[base + end - back], ends[base + end - 1]
+            from_byte, to_byte = starts[base + end - back], ends[base + end - 1]
             count = lambda x, y: int(((data[x:y] & 0xC0) != 0x80).sum())
-            start = count(text, from_byte)
+            start = count(offsets[d], from_byte)
             out.append((d, items.ids[i], score, start, start + count(from_byte, to_byte)))
     return out
 
@@ -189,20 +189,31 @@ def _seeded(texts: DataFrame, items: Items, share: float, least: int) -> Items:
 
 
 def item_blocks(texts: DataFrame, benchmark: DataFrame, *, item: str = "item_id", item_text: str = "text", n: int = 3, share: float = 0.7, least: int = 8) -> Iterator[Items]:
-    """The items with their seeds, in blocks of a bounded size; one block unless they exceed ITEM_BYTES."""
-    rows = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).filter("t is not null")
+    """The items with their seeds, in blocks of ITEM_BYTES of text (a longer item is a block of its own).
+
+    Equal rows are one item.  Blocks are dealt by hash, and their size is checked: what exceeds it is cut further.
+    """
+    rows = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).filter("t is not null").distinct()
     parts = int((rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // ITEM_BYTES) + 1
     for k in range(parts):
-        got = rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).orderBy("i", "t").collect()
-        if got:
-            yield _seeded(texts, Items([r["i"] for r in got], [r["t"] for r in got], n), share, least)
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id", min_score: float = 0.5, **options) -> DataFrame:
+        ids, held, size = [], [], 0
+        for r in rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).orderBy("i", "t").toLocalIterator():
+            bytes_of = len((r["t"]).encode("utf-8", "surrogatepass"))
+            if ids and size + bytes_of > ITEM_BYTES:
+                yield _seeded(texts, Items(ids, held, n), share, least)
+                ids, held, size = [], [], 0
+            ids.append(r["i"])
+            held.append(r["t"])
+            size += bytes_of
+        if ids:
+            yield _seeded(texts, Items(ids, held, n), share, least)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id", min_score: float = 0.5, hits: int = 2, **options) -> DataFrame:
     """A row for each document and item whose alignment reaches ``min_score``: doc_id, item_id, score, start, end.
 
-    ``start`` and ``end`` bound the best aligned part in code points.  A window counts with two different seeds (one, if
-    the item has one).  Items and documents without words match nothing, nulls are empty, repeated rows give repeated
+    ``start`` and ``end`` bound the best aligned part in code points.  A window is aligned with ``hits`` different seeds
+    (one, if the item has one); with ``hits=1, share=1.0`` every window that has any n-gram of an item is.  Items and documents without words match nothing, nulls are empty, repeated rows give repeated
     answers, empty tables give no rows, and further columns are ignored.
     """
     spark = docs.sparkSession
@@ -213,7 +224,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in blocks(batches, "_t"):
-                if got := _leaks(b, shared.value, min_score):
+                if got := _leaks(b, shared.value, min_score, hits):
                     d, i, score, lo, hi = zip(*got, strict=True)
                     yield pa.RecordBatch.from_arrays([b.column("_k").take(pa.array(d)), pa.array(i, pa.int64()), pa.array(score, pa.float64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["doc_id", "item_id", "score", "start", "end"])
 
@@ -221,7 +232,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str
     return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], SCHEMA)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", min_score: float = 0.5, **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", min_score: float = 0.5, hits: int = 2, **options) -> DataFrame:
     """The rows of ``docs``, all columns, without those that have a leak (see ``leaks``).
 
     A row's fate hangs on its own text, so it is dropped where it is scanned: no exchange, and keys may be null or repeat.
@@ -234,7 +245,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in blocks(batches, t):
                 clean = np.ones(b.num_rows, bool)
-                clean[[x[0] for x in _leaks(b, shared.value, min_score, t)]] = False
+                clean[[x[0] for x in _leaks(b, shared.value, min_score, hits, t)]] = False
                 yield b.filter(pa.array(clean))
 
         given = given.mapInArrow(lean(keep), given.schema)

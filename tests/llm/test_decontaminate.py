@@ -51,3 +51,31 @@ def test_leaks_equal_brute_force(spark):
     clean = decontaminate(docs, bench)
     assert {r["doc_id"] for r in clean.collect()} == {d for d, _ in rows} - {d for d, _ in want} and clean.columns == docs.columns
     assert leaks(docs.limit(0), bench).collect() == [] and leaks(docs, bench.limit(0)).collect() == []
+
+
+def test_large_benchmarks_come_in_checked_blocks(spark, monkeypatch):
+    """Small blocks find what one block finds; equal items are one, and an item beyond the bound is a block of its own."""
+    from tessera.llm import decontaminate as m
+
+    rng = np.random.default_rng(21)
+    words = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(words, 30))) for i in range(25)] + [(99, " ".join(rng.choice(words, 400)))]
+    docs = [(i, " ".join(rng.choice(words, 40)) + " " + items[i % 26][1] + " tail") for i in range(60)] + [(None, items[3][1]), (5, None), (5, "")]
+    d = spark.createDataFrame([(*r, "x") for r in docs], "doc_id long, text string, item_id string")
+    b = spark.createDataFrame(items + items[:3], "item_id long, text string")
+    whole = sorted(map(str, m.leaks(d, b).collect()))
+    monkeypatch.setattr(m, "ITEM_BYTES", 600)
+    assert len(list(m.item_blocks(d.selectExpr("text as _t"), b))) > 5
+    assert sorted(map(str, m.leaks(d, b).collect())) == whole and len(whole) >= 61
+    assert m.decontaminate(d, b).count() == 2
+    assert m.leaks(d, b.limit(0)).collect() == [] and m.leaks(d.limit(0), b).collect() == []
+
+
+def test_one_shared_gram_is_enough_when_asked(spark):
+    from tessera.llm.decontaminate import leaks
+
+    item = " ".join(f"a{i}" for i in range(12))
+    text = "a0 a1 a2 x0 a3 a4 x1 a5 a6 x2 a7 a8 x3 a9 a10 x4 a11"  # one trigram is left, yet the alignment is good
+    d, b = spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert leaks(d, b).collect() == []
+    assert [r["item_id"] for r in leaks(d, b, hits=1, share=1.0).collect()] == [7]
