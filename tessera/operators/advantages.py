@@ -188,28 +188,25 @@ def filter_and_downsample(df: DataFrame, b: Batch, low: float, high: float, over
 
 
 def run_numbers(df: DataFrame, key: str, order: str, out: str = "run_no") -> DataFrame:
-    """0, 1, 2 ... while ``key`` stays equal in the order of rows: gaps and islands.
+    """0, 1, 2 ... while ``key`` stays equal (null to null) in the order of rows: gaps and islands.
 
-    Rows are cut into ranges of the order first; only where a range begins does the run before it matter, and these
-    border rows, one a range, are what a second, small window sees.
+    Rows are cut into cells of consecutive rows; a row's run begins at the last change in its cell, or else at the last
+    one in the cells before it, which one row a cell tells.
     """
-    from .frame import with_row_id
+    from .frame import running, with_row_id
 
-    rows = with_row_id(df, [order], "_pos")
-    size = 4096
-    rows = rows.withColumn("_cell", F.expr(f"_pos div {size}"))
+    rows = with_row_id(df, [order], "_pos").withColumn("_cell", F.expr("_pos div 4096"))
     cell = Window.partitionBy("_cell").orderBy("_pos")
-    rows = rows.withColumn("_new", (F.lag(key).over(cell).isNull() | ~F.col(key).eqNullSafe(F.lag(key).over(cell))).cast("int"))
-    rows = rows.withColumn("_start", F.max(F.when(F.col("_new") == 1, F.col("_pos"))).over(cell.rowsBetween(Window.unboundedPreceding, 0)))
-    # a cell's last run, and whether its first run goes on from the cell before
-    ends = rows.groupBy("_cell").agg(F.min_by(key, "_pos").alias("_k0"), F.max_by(key, "_pos").alias("_k1"), F.max("_start").alias("_s1"), F.max("_pos").alias("_p1"), F.min("_pos").alias("_p0"))
-    line = Window.orderBy("_cell")  # a row for each 4,096 rows
-    same = F.lag("_k1").over(line).eqNullSafe(F.col("_k0")) & F.lag("_k1").over(line).isNotNull()
-    ends = ends.withColumn("_on", same).withColumn("_base", F.max(F.when(~F.col("_on") | (F.lag("_s1").over(line) > F.lag("_p0").over(line)), F.when(F.col("_on"), F.lag("_s1").over(line)).otherwise(F.col("_p0")))).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    first = ends.select("_cell", F.when(F.col("_on"), F.col("_base")).otherwise(F.col("_p0")).alias("_from"), "_p0")
-    rows = rows.join(first, "_cell")
-    start = F.when(F.col("_start") == F.col("_p0"), F.col("_from")).otherwise(F.col("_start"))
-    return rows.withColumn(out, F.col("_pos") - start).drop("_pos", "_cell", "_new", "_start", "_from", "_p0")
+    inner = F.when((F.row_number().over(cell) > 1) & ~F.col(key).eqNullSafe(F.lag(key).over(cell)), F.col("_pos"))
+    rows = rows.withColumn("_change", inner)
+    ends = rows.groupBy("_cell").agg(F.min_by(F.struct(key), "_pos").alias("_k0"), F.max_by(F.struct(key), "_pos").alias("_k1"), F.max("_change").alias("_last"), F.min("_pos").alias("_p0"))
+    before = ends.select((F.col("_cell") + 1).alias("_next"), F.col("_k1").alias("_kb"))
+    ends = ends.join(before, F.col("_cell") == F.col("_next"), "left")
+    begins = F.col("_kb").isNull() | ~F.col("_k0").eqNullSafe(F.col("_kb"))
+    ends = ends.select("_cell", F.when(begins, F.col("_p0")).alias("_own"), F.coalesce("_last", F.when(begins, F.col("_p0"))).alias("_value"))
+    starts = running(ends, "_cell", "_value", "_carried", "max").select("_cell", F.coalesce("_own", "_carried").alias("_first"))
+    start = F.coalesce(F.max("_change").over(cell.rowsBetween(Window.unboundedPreceding, 0)), F.col("_first"))
+    return rows.join(starts, "_cell").withColumn(out, F.col("_pos") - start).drop("_pos", "_cell", "_change", "_first")
 
 
 def select_best(df: DataFrame, group: str, item: str, accuracy: str) -> DataFrame:

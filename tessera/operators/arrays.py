@@ -63,18 +63,17 @@ def resampled(df: DataFrame, row: str, weight: Column, seed: int = 0) -> DataFra
     Systematic draws: copy j of n goes to the row whose share of the running weight covers (j + u) / n, so a row's number of
     copies is within one of its expectation.  The running weight comes from ranges of rows and their sums.
     """
-    from .frame import with_row_id
+    from .frame import running, with_row_id
 
     rows = with_row_id(df, [row], "_pos").withColumn("_w", weight.cast("double"))
     size = 4096
     cell = F.expr(f"_pos div {size}")
     sums = rows.groupBy(cell.alias("_c")).agg(F.sum("_w").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    line = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row for each 4,096
-    starts = sums.select("_c", (F.sum("_s").over(line) - F.col("_s")).alias("_before"))
+    starts = running(sums, "_c", "_s", "_b").select("_c", F.coalesce("_b", F.lit(0.0)).alias("_before"))
     total = sums.agg(F.sum("_s").alias("_total"), F.sum("_n").alias("_rows"))
     w = Window.partitionBy("_cell").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("_cell", cell).join(starts, F.col("_cell") == F.col("_c")).crossJoin(F.broadcast(total)).withColumn("_to", F.col("_before") + F.sum("_w").over(w))
-    u = (F.pmod(F.xxhash64(F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003
+    u = F.lit(((seed * 48271 + 12345) % 1_000_003 + 0.5) / 1_000_003)  # plain arithmetic, so that any engine gives the same
     upto = lambda x: F.ceil(x / F.col("_total") * F.col("_rows") - u)
     copies = (upto(F.col("_to")) - upto(F.col("_to") - F.col("_w"))).cast("int")
     return placed.withColumn("_k", copies).filter("_k > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_k")))).select(*df.columns)
@@ -151,9 +150,9 @@ def w13_block_leave_one_out(spark, sf_dir):
 
 
 def w22_resampled(spark, sf_dir):
-    """Draws by quantity: rows in, rows out."""
+    """Draws by weight: how often each order comes."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_custkey") % 10).alias("w"))
-    return resampled(o, "o_orderkey", F.col("w")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("w") == 0).alias("weightless"))
+    return resampled(o, "o_orderkey", F.col("w"), seed=3).groupBy("o_orderkey").agg(F.count("*").alias("copies"))
 
 
 def r16_matching_lines(spark, sf_dir):
@@ -171,6 +170,6 @@ ORACLES = {
     "u28_completed_mask": f"WITH {_L} SELECT l_orderkey, (7 * CASE WHEN list_position(m, 1) IS NULL OR list_position(m, 1) = 0 THEN n ELSE list_position(m, 1) END)::INT AS n FROM l",
     "f54_sft_loss_mask": f"WITH {_L} SELECT l_orderkey, array_to_string(list_transform(range(n), lambda i: CASE WHEN i < 1 OR i = n - 1 THEN 0 ELSE 1 END), ',') AS mask FROM l",
     "w13_block_leave_one_out": "WITH o AS (SELECT *, (row_number() OVER (ORDER BY o_orderkey) - 1) // 4 AS b FROM orders) SELECT o_orderkey, round(o_totalprice - (sum(o_totalprice) OVER (PARTITION BY b) - o_totalprice) / 3, 4) AS reward FROM o",
-    "w22_resampled": "SELECT count(*) AS n, 0::BIGINT AS weightless FROM orders",
+    "w22_resampled": f"WITH o AS (SELECT o_orderkey, (o_custkey % 10)::DOUBLE AS w, sum(o_custkey % 10) OVER (ORDER BY o_orderkey)::DOUBLE AS t, sum(o_custkey % 10) OVER ()::DOUBLE AS s, count(*) OVER () AS n FROM orders), c AS (SELECT o_orderkey, CAST(ceil(t / s * n - {((3 * 48271 + 12345) % 1_000_003 + 0.5) / 1_000_003!r}::DOUBLE) - ceil((t - w) / s * n - {((3 * 48271 + 12345) % 1_000_003 + 0.5) / 1_000_003!r}::DOUBLE) AS BIGINT) AS copies FROM o) SELECT * FROM c WHERE copies > 0",
     "r16_matching_lines": "SELECT doc_id, i - 1 AS line, md5(s[i]) AS digest FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents), range(1, 30001) r(i) WHERE i <= len(s) AND contains(s[i], 'icense')",
 }

@@ -40,6 +40,31 @@ def with_row_id(df: DataFrame, keys: Sequence[str], name: str = ROW, ranges: int
     return dealt.withColumn(name, base + F.row_number().over(order) - 1).drop("_range")
 
 
+#: Cells that one window of ``running`` sees.
+LEVEL = 4096
+
+
+def running(cells: DataFrame, cell: str, value: str, out: str, kind: str = "sum") -> DataFrame:
+    """``cells`` with ``out``: the sum or the maximum of ``value`` over all smaller cells; null where there is none.
+
+    Cells are numbered from 0 on.  Blocks of LEVEL cells are scanned side by side, and their totals in the same way, so no
+    window ever sees more than LEVEL rows.
+    """
+    f = F.sum if kind == "sum" else F.max
+    top = cells.agg(F.max(cell)).first()[0]
+    up, own, total = f"{cell}_up", f"{out}_own", f"{value}_up"
+    if top is None or top < LEVEL:
+        line = Window.partitionBy(F.lit(0)).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+        return cells.withColumn(out, f(value).over(line))
+    blocks = cells.withColumn(up, F.expr(f"{cell} div {LEVEL}"))
+    line = Window.partitionBy(up).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    totals = running(blocks.groupBy(up).agg(f(value).alias(total)), up, total, f"{out}_up", kind).select(up, f"{out}_up")
+    both = blocks.withColumn(own, f(value).over(line)).join(totals, up)
+    a, b = F.col(own), F.col(f"{out}_up")
+    merged = F.greatest(a, b) if kind == "max" else F.when(a.isNull() & b.isNull(), None).otherwise(F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+    return both.withColumn(out, merged).drop(own, f"{out}_up", up)
+
+
 class SampleFrame:
     """A DataFrame with a dense row id, and batch-level constants in ``meta``."""
 

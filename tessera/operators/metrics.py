@@ -144,7 +144,7 @@ def exact_percentiles(df: DataFrame, value: str, shares: Sequence[float], by: Se
     Values are counted, so equal ones are one row; the running count over them (by ranges of values, with the counts of
     the ranges before) tells which two values stand around each rank.
     """
-    from .frame import with_row_id
+    from .frame import running, with_row_id
 
     v = F.col(value).cast("double")
     counts = df.filter(v.isNotNull()).groupBy(*by, v.alias("_v")).agg(F.count("*").alias("_n"))
@@ -152,8 +152,11 @@ def exact_percentiles(df: DataFrame, value: str, shares: Sequence[float], by: Se
     cell = F.expr("_i div 4096")
     sums = line.groupBy(*by, cell.alias("_c")).agg(F.sum("_n").alias("_s"))
     part = [*[F.col(c) for c in by]]
-    upper = Window.partitionBy(*(part or [F.lit(0)])).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)  # a row for 4,096 values
-    starts = sums.withColumn("_before", F.coalesce(F.sum("_s").over(upper), F.lit(0))).drop("_s")
+    if by:  # a row for 4,096 values of a group
+        upper = Window.partitionBy(*part).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sums.withColumn("_before", F.coalesce(F.sum("_s").over(upper), F.lit(0))).drop("_s")
+    else:
+        starts = running(sums, "_c", "_s", "_b").select("_c", F.coalesce("_b", F.lit(0)).alias("_before"))
     total = df.filter(v.isNotNull()).groupBy(*by).agg(F.count("*").alias("_all"))
     inner = Window.partitionBy(*part, "_c").orderBy("_i")
     keys = [*by, "_c"]

@@ -167,10 +167,14 @@ def t21_best_turn(spark, sf_dir):
 
 
 def t18_hash_order(spark, sf_dir):
-    """A seeded order whose split sizes add up."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    """A seeded split: no row in both parts or in none, shares as asked for, and the same from another partitioning."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
     a, b = hash_split(o, ["o_orderkey"], 0.9)
-    return a.select("o_orderkey").union(b.select("o_orderkey"))
+    again, _ = hash_split(o.repartition(5, "o_orderkey"), ["o_orderkey"], 0.9)
+    n = o.count()
+    count = lambda d, name: d.agg(F.count("*").alias(name))
+    out = count(a.intersect(b), "both").crossJoin(count(a.union(b).distinct(), "all")).crossJoin(count(a.exceptAll(again), "moved"))
+    return out.crossJoin(a.agg((F.abs(F.count("*") / n - 0.9) < 0.01).alias("near")))
 
 
 def j08_selection(spark, sf_dir):
@@ -179,16 +183,55 @@ def j08_selection(spark, sf_dir):
     return best.select("l_suppkey", "best_item", *[F.round(c, 6).alias(c) for c in ("best_acc", "acc_mean", "acc_std")])
 
 
+def top_similar(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, *, block_bytes: int = 32 << 20, digits: int = 6) -> DataFrame:
+    """q_id, key, score, rank: the ``k`` vectors of highest cosine for every query vector (a stated set of rows; itself out).
+
+    Queries go in blocks of ``block_bytes``, each broadcast after its size is known; a task multiplies its vectors by the
+    block and keeps the ``k`` best of each query, so what is exchanged is ``k`` rows a query and task.  Ties go to the
+    smaller key; scores are rounded before they are ranked.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    unit = lambda x: x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+    width = int(vectors.agg(F.max(F.size(vector))).first()[0] or 1)
+    blocks = max(1, -(-queries.count() * width * 8 // block_bytes))
+    found = None
+    for i in range(blocks):
+        rows = queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == i).select(key, F.col(vector).cast("array<double>")).collect()  # about block_bytes
+        if not rows:
+            continue
+        shared = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows]), unit(np.array([r[1] for r in rows]))))
+
+        def run(batches, shared=shared):
+            ids, q = shared.value
+            best: list = []
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                own = b.column(0).to_numpy()
+                score = np.round(q @ unit(np.array(b.column(1).to_pylist(), float)).T, digits)
+                score[ids[:, None] == own[None]] = -np.inf
+                part = (np.broadcast_to(own, score.shape), score)
+                every = [np.concatenate([x, y], 1) for x, y in zip(best, part, strict=True)] if best else list(part)
+                order = np.lexsort((every[0], -every[1]), axis=1)[:, :k]
+                best = [np.take_along_axis(x, order, 1) for x in every]
+            if best:
+                keep = np.isfinite(best[1])
+                yield pa.RecordBatch.from_pydict({"q_id": np.repeat(ids, keep.sum(1)), key: best[0][keep], "score": best[1][keep]})
+
+        part = vectors.select(key, F.col(vector).cast("array<double>")).mapInArrow(run, f"q_id long, {key} long, score double")
+        found = part if found is None else found.union(part)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], f"q_id long, {key} long, score double, rank int")
+    w = Window.partitionBy("q_id").orderBy(F.desc("score"), key)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def x31_top_similar(spark, sf_dir):
-    """Batched retrieval: the three nearest vectors by cosine for every twentieth vector (a stated query set, broadcast)."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    e = e.withColumn("u", F.transform("v", lambda x: x / norm)).select("vec_id", "u")
-    q = F.broadcast(e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), F.col("u").alias("q")))
-    dot = F.aggregate(F.zip_with("u", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    near = e.join(q, F.col("vec_id") != F.col("q_id")).withColumn("score", F.round(dot, 6))
-    w = Window.partitionBy("q_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(w)).filter("rank <= 3").select("q_id", "vec_id", "score", "rank")
+    """Batched retrieval: the three nearest vectors by cosine for every twentieth vector (the stated query set)."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return top_similar(e, "vec_id", "embedding", e.filter("vec_id % 20 = 0"), 3)
 
 
 QUERIES = {f.__name__: f for f in (p19_prompt_rows, p27_conversations, p24_pair_rows, r10_length_filtered, u11_flattened, u12_first_by, u14_oversampled, t21_best_turn, t18_hash_order, j08_selection, x31_top_similar)}
@@ -201,7 +244,7 @@ ORACLES = {
     "u12_first_by": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text",
     "u14_oversampled": "SELECT key, CAST(sum(n) AS BIGINT) AS n FROM (SELECT r_regionkey AS key, 3 AS n FROM region UNION ALL SELECT n_nationkey, 2 FROM nation) GROUP BY 1",
     "t21_best_turn": "SELECT l_orderkey, l_linenumber, l_quantity, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_quantity DESC, l_partkey, l_suppkey) = 1",
-    "t18_hash_order": "SELECT o_orderkey FROM orders",
+    "t18_hash_order": 'SELECT 0::BIGINT AS "both", count(*) AS "all", 0::BIGINT AS moved, true AS near FROM orders',
     "j08_selection": "WITH a AS (SELECT l_suppkey, l_linenumber, avg((l_returnflag = 'R')::INT) AS acc FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY acc DESC, l_linenumber) AS k FROM a) SELECT l_suppkey, max(l_linenumber) FILTER (k = 1) AS best_item, round(max(acc), 6) AS best_acc, round(avg(acc), 6) AS acc_mean, round(stddev_pop(acc), 6) AS acc_std FROM r GROUP BY 1",
     "x31_top_similar": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings) SELECT q.vec_id AS q_id, e.vec_id, round(list_dot_product(e.v, q.v) / e.n / q.n, 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(e.v, q.v) / e.n / q.n, 6) DESC, e.vec_id)::INT AS rank FROM e JOIN e q ON q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id QUALIFY rank <= 3",
 }

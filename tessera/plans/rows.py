@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..operators.arrays import fixed_width, padded, truncated
 from ..operators.frame import ROW, SampleFrame, with_row_id
 from ..operators.tokens import position_ids
+from .curation import renamed_legacy
 
 Encode = Callable[[list[str]], list[list[int]]]
 
@@ -121,15 +122,6 @@ def until_quota(batches: Iterator[DataFrame], keep: Callable[[DataFrame], DataFr
     return out.join(first, F.col(key) == F.col("_key"), "left_semi")
 
 
-def renamed_legacy(df: DataFrame, required: Sequence[str], legacy: dict[str, str]) -> DataFrame:
-    """``df`` with old names replaced; a required column that is missing under either name raises."""
-    names = {old: new for old, new in legacy.items() if old in df.columns and new not in df.columns}
-    out = df.withColumnsRenamed(names)
-    if missing := [c for c in required if c not in out.columns]:
-        raise ValueError(f"columns are missing: {missing}")
-    return out
-
-
 def is_chat_prompt(df: DataFrame, column: str) -> bool:
     """Whether the column is there and its first row is a list of turns with role and content."""
     if column not in df.columns:

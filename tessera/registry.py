@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .functions import answers, grading, rewards
 from .operators import advantages, arrays, balance, dispatch, frame, frame_queries, metrics, token_queries
-from .plans import curation, rows
+from .plans import curation, rows, shape_queries
 from .sources import round_trips, tables
 from .streaming import samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (advantages, answers, arrays, balance, curation, dispatch, frame, frame_queries, grading, metrics, rewards, round_trips, rows, samples, tables, token_queries):
+for module in (advantages, answers, arrays, balance, curation, dispatch, frame, frame_queries, grading, metrics, rewards, round_trips, rows, samples, shape_queries, tables, token_queries):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
