@@ -75,6 +75,21 @@ def test_chat_round_trip(spark, monkeypatch, block):
     assert chat_format.read_back(chat_format.format_chats(df.limit(0))).collect() == []
 
 
+def test_chats_with_ties_repeated_rows_and_other_columns(spark):
+    """Equal turns go by role and text, nulls first; repeated rows are turns of their own."""
+    from tessera.llm import chat_format
+
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, None, "z"), (1, 0, "assistant", None), (1, 0, "assistant", "x"), (1, 0, "assistant", "x"), (1, None, "user", "first"), (2, 5, "assistant", "é" * 300_000)]
+    df = spark.createDataFrame([(*r, 7, "p") for r in rows], "conv_id long, turn long, role string, text string, part long, formatted string").repartition(4)
+    got = {r["conv_id"]: r for r in chat_format.read_back(chat_format.format_chats(df)).collect()}
+    for c in (1, 2):
+        mine = sorted((r for r in rows if r[0] == c), key=lambda r: tuple((x is not None, x) if x is not None else (False, 0) for x in r[1:2]) + tuple((x is not None, x or "") for x in r[2:]))
+        assert got[c]["n_turns"] == len(mine)
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in mine).encode()).hexdigest()
+        loss = "".join(r[3] or "" for r in mine if r[2] == "assistant")
+        assert got[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest() and got[c]["loss_chars"] == len(loss)
+
+
 def test_targets_share_everything():
     from tessera.llm.mixing import splitting_tree, targets
 
