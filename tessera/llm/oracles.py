@@ -14,4 +14,17 @@ ORACLES: dict[str, str] = {
                CAST(sum(20 + length(regexp_replace(role, '([<\[])(\\*)(/?(s>|INST\]))', '\1\2\\\3', 'g'))
                            + length(regexp_replace(text, '([<\[])(\\*)(/?(s>|INST\]))', '\1\2\\\3', 'g'))) AS BIGINT) AS formatted_chars
         FROM t GROUP BY conv_id""",
+    # every 50-byte string of every text, its smallest doc_id, and what the later ones cover
+    "op6_suffix_dedup": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), n AS (SELECT doc_id, b, octet_length(b) AS n FROM d),
+        w AS (SELECT doc_id, i, array_slice(b, i + 1, i + 50) AS s FROM n, range(0, (SELECT max(n) FROM n)) r(i) WHERE i <= n - 50),
+        f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY 1), h AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE doc_id > m),
+        r AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS new FROM h),
+        g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM r),
+        k AS (SELECT doc_id, g, min(i) AS a, max(i) + 50 AS z FROM g GROUP BY 1, 2),
+        p AS (SELECT k.doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY k.doc_id ORDER BY a), 0) AS y FROM k),
+        c AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS last, list(y ORDER BY a) AS ys, list(a ORDER BY a) AS xs FROM p GROUP BY 1)
+        SELECT n.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+         sha256(CASE WHEN c.doc_id IS NULL THEN b ELSE list_reduce(list_concat(list_transform(list_zip(ys, xs), lambda t: array_slice(b, t[1] + 1, t[2])), [array_slice(b, last + 1, n)]), lambda x, y: x || y) END) AS kept_sha256
+        FROM n LEFT JOIN c USING (doc_id)""",
 }
