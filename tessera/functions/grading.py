@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .answers import boxed, format_reward, latex_normalized, let, unboxed
+from ..session import written
+from .answers import answer_line_score, boxed, format_reward, latex_normalized, let, tail, unboxed
 
 #: Units that the normalizer removes, in order; and the names of intervals.
 UNITS = ("degree", "cm", "centimeter", "meter", "mile", "second", "minute", "hour", "day", "week", "month", "year", "foot", "feet", "inch", "yard", "liter")
@@ -348,6 +349,105 @@ def boxed_grade(df: DataFrame, text: str, truths: str, prefix: str = "") -> Data
     return done.withColumns({f"{prefix}score": F.col(f"{prefix}acc").cast("double"), f"{prefix}format_score": F.col("_there").cast("double")}).drop("_id", "_there")
 
 
+#: What stands before an answer, what stands behind one, and words just before it.
+ANSWER_AFTER = ("answer:", "answer is", "answers are")
+ANSWER_BEFORE = ("is answer", "is the answer", "are answers", "are the answers")
+ANSWER_WORDS = ("be ", "is ", "are ", "=", ": ", "get ", "be\n", "is\n", "are\n", ":\n", "get\n")
+
+
+def _after_last(text: Column, mark: str) -> Column:
+    """The trimmed text behind the last ``mark`` in any case; the text itself without one."""
+
+    def cut(x: Column) -> Column:
+        low = F.lower(x)
+        return F.when(low.contains(mark), _stripped(F.substring(x, F.char_length(x) - F.char_length(F.substring_index(low, mark, -1)) + 1, F.char_length(x)))).otherwise(x)
+
+    return let(text, cut)
+
+
+def _before_last(text: Column, mark: str) -> Column:
+    def cut(x: Column) -> Column:
+        low = F.lower(x)
+        return F.when(low.contains(mark), _stripped(F.substring(x, F.lit(1), F.char_length(x) - F.char_length(F.substring_index(low, mark, -1)) - len(mark)))).otherwise(x)
+
+    return let(text, cut)
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?s)^\s+|\s+$", "")
+
+
+def matched_answer(text: Column) -> Column:
+    """Struct of matched and answer: what the text calls its answer, or its box, to the end of the sentence, without the words
+    before it.  Only an answer with a digit is matched."""
+
+    def boxed_inside(x: Column) -> Column:
+        inner = lambda b: F.regexp_extract(b, r"(?s)^\\(?:boxed|fbox)[^{]*\{(.*)\}$", 1)
+        return let(let(boxed(x), inner), lambda v: F.when(F.coalesce(v, F.lit("")) != "", _stripped(v)).otherwise(x))
+
+    def whole(t: Column) -> Column:
+        x = t
+        for mark in ANSWER_AFTER:
+            x = _after_last(x, mark)
+        for mark in ANSWER_BEFORE:
+            x = _before_last(x, mark)
+        x = _before_last(boxed_inside(x), ". ")
+        for mark in ANSWER_WORDS:
+            x = _after_last(x, mark)
+        marks = "|".join(re.escape(m) for m in (*ANSWER_AFTER, *ANSWER_BEFORE, *ANSWER_WORDS))
+        said = F.lower(t).rlike(marks) | boxed(t).isNotNull()
+        return let(F.struct(said.alias("said"), x.alias("answer")), lambda r: F.struct((r["said"] & r["answer"].rlike("[0-9]")).alias("matched"), r["answer"].alias("answer")))
+
+    return let(text, whole)
+
+
+def prime_math_score(df: DataFrame, text: str, truth: str, prefix: str = "") -> DataFrame:
+    """correct, format and extracted: graded as an answer, or else as equal mathematics (pi as itself, then as 3.14).
+
+    What is extracted and graded is written once, as the branches of the rest would work it out again.
+    """
+    c, f, e = f"{prefix}correct", f"{prefix}format", f"{prefix}extracted"
+    rows = written(df.withColumn(e, matched_answer(F.col(text))["answer"]), "extracted")
+    rows = written(grade_answer(rows, e, truth, "_graded"), "graded")
+    easy = rows.filter(F.col("_graded")).withColumns({c: F.lit(True), f: F.lit(True)}).drop("_graded")
+    hard = math_equal(rows.filter(~F.col("_graded")).drop("_graded"), e, truth, "_same")
+    short = lambda x: F.replace(x, F.lit("\\pi"), F.lit("3.14"))
+    hard = math_equal(hard.withColumns({"_a": short(F.col(e)), "_b": short(F.col(truth))}), "_a", "_b", "_other")
+    hard = hard.withColumns({c: F.col("_same") | F.col("_other"), f: F.col(text).contains("Step 2:") & F.col(text).contains("\\box")})
+    return easy.unionByName(hard.select(*easy.columns))
+
+
+def verified(text: Column, truth: Column, *, strict: bool = False) -> Column:
+    """The box of the last 100 characters is the truth, or else the answer line normalizes to it."""
+    if strict:
+        return F.coalesce(unboxed(boxed(tail(text, 100))) == truth, F.lit(False))
+    return answer_line_score(text, truth)["acc"]
+
+
+def boxed_near_end(text: Column, truth: Column) -> Column:
+    """The normalized box of the last 300 characters is the normalized truth."""
+    return F.coalesce(latex_normalized(unboxed(boxed(tail(text)))) == latex_normalized(truth), F.lit(False))
+
+
+def same_lines(lines: Column, text: Column) -> Column:
+    """A list of output lines against a text, trimmed."""
+    return F.trim(F.array_join(lines, "\n")) == F.trim(text)
+
+
+def best_resize(width: Column, height: Column, scale: int, patch: int, upscale: bool = False) -> Column:
+    """Struct of width and height: about ``scale`` squared pixels at the image's ratio, in whole patches."""
+
+    def whole(n: Column) -> Column:
+        return F.greatest(F.bround(n / patch).cast("int") * patch, F.lit(patch))
+
+    def sized(t: Column) -> Column:
+        over = (t["w"] * t["h"] > scale * scale) | F.lit(upscale)
+        h = F.when(over, F.floor(scale / F.sqrt(t["w"] / t["h"]))).otherwise(t["h"])
+        return let(F.struct(h.alias("h"), F.when(over, t["w"] / t["h"]).alias("r"), t["w"].alias("w")), lambda u: F.struct(whole(F.when(u["r"].isNotNull(), F.floor(u["h"] * u["r"])).otherwise(u["w"])).alias("width"), whole(u["h"]).alias("height")))
+
+    return let(F.struct(width.alias("w"), height.alias("h")), sized)
+
+
 # --- queries: orders as answers, eight shapes by key mod 8 ---
 def _graded(spark, sf_dir) -> DataFrame:
     """given and truth of the same value in another dress (even keys), or of another value (odd keys)."""
@@ -411,10 +511,38 @@ def f70_intervals(spark, sf_dir):
     return t.select("o_orderkey", format_intervals(F.col("t")).alias("t"))
 
 
-QUERIES = {f.__name__: f for f in (f14_graded, f16_normal, f17_tuples, f20_math_equal, f28_geometry_score, f41_boxed_grade, f68_evaluable, f70_intervals)}
+def f15_matched(spark, sf_dir):
+    """Answers that are told in six ways; a text without a digit has none."""
+    k = F.col("o_orderkey").cast("string")
+    said = [F.concat(F.lit("First 3. The Answer: "), k, F.lit(" ")), F.concat(F.lit("so "), k, F.lit(" is the answer")), F.concat(F.lit("we have \\boxed{ "), k, F.lit("} now. Done")), F.concat(F.lit("then x = 2, y = "), k, F.lit(". Then we stop")), F.lit("the answer is none"), F.concat(F.lit("we get "), k)]
+    t = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.element_at(F.array(*said), (F.col("o_orderkey") % 6 + 1).cast("int")).alias("t"))
+    return t.select("o_orderkey", matched_answer(F.col("t")).alias("m")).select("o_orderkey", "m.*")
+
+
+def f19_prime_math(spark, sf_dir):
+    t = _graded(spark, sf_dir).withColumn("text", F.concat(F.when(F.col("shape") > 3, "Step 2: ").otherwise(""), F.lit("so the answer is \\boxed{"), "given", F.lit("}")))
+    return prime_math_score(t, "text", "truth").select("o_orderkey", "correct", "format")
+
+
+def f73_verified(spark, sf_dir):
+    k = F.col("o_orderkey").cast("string")
+    t = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.concat(F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("\\boxed{\\frac"), F.lit("{"), k, F.lit("}{2}}"))).otherwise("none"), F.lit("\nAnswer: "), k, F.when(F.col("o_orderkey") % 3 == 0, F.repeat(F.lit(" x"), 400)).otherwise("")).alias("t"))
+    return t.select("o_orderkey", boxed_near_end(F.col("t"), F.concat(k, F.lit("/2"))).alias("box"), verified(F.col("t"), k).alias("line"), verified(F.col("t"), F.concat(F.lit("\\frac{"), k, F.lit("}{2}")), strict=True).alias("strict"), same_lines(F.array(k, F.lit("b ")), F.concat(F.lit(" "), k, F.lit("\nb"))).alias("lines"))
+
+
+def f85_resized(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_custkey") % 900 + 20).alias("w"), (F.col("o_orderkey") % 700 + 30).alias("h"))
+    return o.select("o_orderkey", best_resize(F.col("w"), F.col("h"), 448, 14).alias("s")).select("o_orderkey", "s.*")
+
+
+QUERIES = {f.__name__: f for f in (f15_matched, f19_prime_math, f73_verified, f85_resized, f14_graded, f16_normal, f17_tuples, f20_math_equal, f28_geometry_score, f41_boxed_grade, f68_evaluable, f70_intervals)}
 _N = "(o_orderkey % 90 + 10)"
 ORACLES = {
     "f14_graded": "SELECT o_orderkey, o_orderkey % 2 = 0 AS ok FROM orders",
+    "f15_matched": "SELECT o_orderkey, o_orderkey % 6 <> 4 AS matched, CASE WHEN o_orderkey % 6 = 4 THEN 'none' WHEN o_orderkey % 6 = 1 THEN 'so ' || o_orderkey ELSE o_orderkey::VARCHAR END AS answer FROM orders",
+    "f19_prime_math": "SELECT o_orderkey, o_orderkey % 2 = 0 AS correct, o_orderkey % 2 = 0 OR o_orderkey // 2 % 8 > 3 AS format FROM orders",
+    "f73_verified": "SELECT o_orderkey, o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 AS box, o_orderkey % 3 <> 0 AS line, o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 AS strict, true AS lines FROM orders",
+    "f85_resized": "WITH s AS (SELECT o_orderkey, o_custkey % 900 + 20 AS w, o_orderkey % 700 + 30 AS h FROM orders), t AS (SELECT o_orderkey, w, h, floor(448 / sqrt(w / h)) AS g, w * h > 448 * 448 AS over FROM s), u AS (SELECT o_orderkey, CASE WHEN over THEN floor(g * (w / h)) ELSE w END AS w, CASE WHEN over THEN g ELSE h END AS h FROM t) SELECT o_orderkey, greatest(round_even(w / 14, 0) * 14, 14)::INT AS width, greatest(round_even(h / 14, 0) * 14, 14)::INT AS height FROM u",
     "f16_normal": f"SELECT o_orderkey, CASE o_orderkey // 2 % 8 WHEN 0 THEN {_N}::VARCHAR WHEN 1 THEN '(' || {_N} || ')/(3)' WHEN 2 THEN '(' || {_N} || ', 2+3)' WHEN 3 THEN {_N} || '000' WHEN 4 THEN '2*x + ' || {_N} WHEN 5 THEN 'sqrt(' || {_N} || ')' WHEN 6 THEN {_N} || ' , 7' ELSE '7+' || {_N} || '/100' END AS given FROM orders",
     "f17_tuples": f"SELECT o_orderkey, CASE o_orderkey // 2 % 8 WHEN 2 THEN 2 ELSE 1 END::INT AS n, CASE o_orderkey // 2 % 8 WHEN 2 THEN {_N} || '|2+3' ELSE {_N} || '000 meters' END AS parts FROM orders WHERE o_orderkey // 2 % 8 IN (2, 3)",
     "f20_math_equal": "SELECT o_orderkey, o_orderkey % 2 = 0 AS ok FROM orders",
