@@ -224,5 +224,6 @@ ORACLES = {
     "x11_overlong_scores": f"SELECT o_orderkey, round(price + least(-(len - 4) / 4.0 * 0.5, 0), 5) AS score FROM {_R}",
     "x12_given_scores": f"SELECT o_orderkey, CASE WHEN len > 4 THEN 9.5 ELSE price END::DOUBLE AS score FROM {_R}",
     "x14_loaded_function": f"SELECT o_orderkey, (len * 3)::DOUBLE AS score FROM {_R}",
+    "x05_registries": "SELECT * FROM (VALUES ('manager', 5::BIGINT, 'batch,dapo,naive,prime,rate_limited'), ('loss', 7, 'clip_cov,geo_mean,gpg,gspo,kl_cov,rollout_correction,vanilla'), ('estimator', 8, 'group_baseline,grpo,grpo_mean_only,grpo_passk,grpo_vectorized,opo,rloo,rloo_vectorized')) t(kind, n, names)",
     "x06_scattered": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_discount = 0 THEN 1 ELSE l_linenumber END::BIGINT AS place, round(l_discount, 4) AS total FROM lineitem",
 }
