@@ -112,33 +112,38 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, doc, codes + _AT.astype(np.int32)
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 def fit(codes: np.ndarray, labels: np.ndarray, rounds: int = 120, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (features x 3) and transitions (3 x 3) of the CRF from windows: codes (n, L, f), labels (n, L) in O, B, I."""
+    """Weights (features x 3) and transitions (3 x 3) of the CRF from windows: codes (n, L, f), labels (n, L) in O, B, I.
+
+    Tokens with equal features are scored and counted once.  Forward and backward sums are scaled at every step, so they
+    stay products of small matrices.
+    """
     n, length, f = codes.shape
+    kinds, kind = np.unique(codes.reshape(-1, f), axis=0, return_inverse=True)
+    kind = kind.reshape(n, length)
     w, t = np.zeros((sum(SIZES), 3)), np.zeros((3, 3))
     gw, gt = np.full_like(w, 1e-6), np.full_like(t, 1e-6)
     gold_w, gold_t = np.zeros_like(w), np.zeros_like(t)
     for y in range(3):
         gold_w[:, y] = np.bincount(codes[labels == y].ravel(), minlength=len(w))
     np.add.at(gold_t, (labels[:, :-1].ravel(), labels[:, 1:].ravel()), 1)
-    flat_codes = codes.reshape(-1, f)
+    steps = np.ascontiguousarray(kind.T)
     for _ in range(rounds):
-        e = w[codes].sum(2)
-        a, b = np.empty_like(e), np.zeros_like(e)
-        a[:, 0] = e[:, 0]
-        for i in range(1, length):
-            a[:, i] = _logsum(a[:, i - 1, :, None] + t, 1) + e[:, i]
+        score = w[kinds].sum(1)
+        emit = np.exp(score - score.max(1, keepdims=True))[steps]  # (L, n, 3)
+        move = np.exp(t)
+        ahead, behind, scale = np.empty_like(emit), np.ones_like(emit), np.empty((length, n, 1))
+        for i in range(length):
+            x = emit[i] if not i else (ahead[i - 1] @ move) * emit[i]
+            scale[i] = x.sum(1, keepdims=True)
+            ahead[i] = x / scale[i]
         for i in range(length - 2, -1, -1):
-            b[:, i] = _logsum(t + (e[:, i + 1] + b[:, i + 1])[:, None, :], 2)
-        z = _logsum(a[:, -1], 1)
-        p = np.exp(a + b - z[:, None, None])
-        pair = np.exp(a[:, :-1, :, None] + t + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]).sum((0, 1))
-        have = np.stack([np.bincount(flat_codes.ravel(), np.repeat(p[:, :, y].ravel(), f), len(w)) for y in range(3)], 1)
+            behind[i] = ((behind[i + 1] * emit[i + 1]) @ move.T) / scale[i + 1]
+        p = ahead * behind
+        after = (emit * behind / scale)[1:].reshape(-1, 3)
+        pair = (ahead[:-1].reshape(-1, 3).T @ after) * move
+        share = np.stack([np.bincount(steps.ravel(), p[:, :, y].ravel(), len(kinds)) for y in range(3)], 1)
+        have = np.stack([np.bincount(kinds.ravel(), np.repeat(share[:, y], f), len(w)) for y in range(3)], 1)
         dw, dt = (gold_w - have) / n - ridge * w, (gold_t - pair) / n - ridge * t
         gw += dw**2
         gt += dt**2
