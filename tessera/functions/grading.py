@@ -1,7 +1,7 @@
 """Grading of mathematical answers: numbers with tolerance and percent, tuples, intervals, matrices, and expressions.
 
-Cleaning, splitting and comparing numbers are column expressions.  Whatever they settle never reaches Python; what is left
-goes, in a branch of the plan of its own, through Arrow batches.  Expressions are compared without a symbolic engine: both are
+Cleaning, splitting and comparing numbers are column expressions.  What they settle Python only passes on; what is left is
+tested there, in Arrow batches.  Expressions are compared without a symbolic engine: both are
 parsed by a small grammar and evaluated at fixed points, where equal expressions agree.
 """
 
@@ -50,8 +50,7 @@ def graded_normal(text: Column) -> Column:
     x = F.regexp_replace(text, r"(?s)^\\text\{(.+?)\}$", "$1")
     for a, b in (("\\%", "%"), ("\\$", "$"), ("$", ""), ("%", ""), (" or ", " , "), (" and ", " , "), *MAGNITUDES):
         x = F.replace(x, F.lit(a), F.lit(b))
-    for unit in UNITS:
-        x = F.regexp_replace(x, rf"{unit}(es)?(s)? *(\^[0-9]+)?", "")
+    x = F.regexp_replace(x, rf"({'|'.join(UNITS)})(es)?(s)? *(\^[0-9]+)?", "")
     x = F.regexp_replace(x, r"\^ *\\circ", "")
     x = F.regexp_replace(x, r"(?s)^\{(.*)\}$", "$1")
     x = F.regexp_replace(x, r",\\! *", "")
@@ -285,17 +284,27 @@ def same_parts(a: list[str], b: list[str]) -> bool:
     return all(one(u, v) for u, v in zip(a, b, strict=True))
 
 
-def _decided(rows: DataFrame, a: Column, b: Column, test, out: str) -> DataFrame:
-    """``rows`` with ``out`` by a test of two values, in Arrow batches; only these two leave the JVM beside the rows."""
+def _decided(rows: DataFrame, settled: Column, a: Column, b: Column, test, out: str) -> DataFrame:
+    """``rows`` with ``out``: what is settled, or else a test of two values in Arrow batches.
+
+    The two values are null where nothing is left to test, so Python only passes such rows on; and as there is one branch,
+    nothing is worked out twice.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [test(x, y) for x, y in zip(batch.column(k - 2).to_pylist(), batch.column(k - 1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: k - 2], pa.array(found, pa.bool_())], [*names, out])
+            found = batch.column(k).to_pylist()
+            first, second = (batch.column(k + i).to_pylist() for i in (1, 2))
+            for i, x in enumerate(found):
+                if x is None:
+                    found[i] = test(first[i], second[i])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(found, pa.bool_())], [*names, out])
 
     plain = rows.drop(out)
-    names, k = plain.columns, len(plain.columns) + 2
-    given = plain.withColumns({"_first": a, "_second": b})
+    names, k = plain.columns, len(plain.columns)
+    given = plain.withColumn("_settled", settled)
+    left = F.col("_settled").isNull()
+    given = given.withColumns({"_first": F.when(left, a), "_second": F.when(left, b)})
     return given.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField(out, T.BooleanType())]))
 
 
@@ -309,10 +318,7 @@ def math_equal(df: DataFrame, prediction: str, reference: str, out: str) -> Data
     rows = rows.withColumns({"_x": number(F.col("_p")), "_y": number(F.col("_r"))})
     squeezed = lambda c: F.replace(F.lower(F.trim(c)), F.lit(" "), F.lit(""))
     settled = F.when(F.col("_p").isNull() | F.col("_r").isNull(), False).when(squeezed("_p") == squeezed("_r"), True).when(F.col("_x").isNotNull() & F.col("_y").isNotNull(), close_numbers(F.col("_x"), F.col("_y"))).when(F.col("_p") == "", False)
-    rows = rows.withColumn(out, settled)
-    rest = rows.filter(F.col(out).isNull())
-    rest = _decided(rest, format_intervals(F.col("_p")), F.col("_r"), same_math, out)
-    return rows.filter(F.col(out).isNotNull()).unionByName(rest).drop("_p", "_r", "_x", "_y")
+    return _decided(rows, settled, format_intervals(F.col("_p")), F.col("_r"), same_math, out).drop("_p", "_r", "_x", "_y")
 
 
 def grade_answer(df: DataFrame, given: str, truth: str, out: str) -> DataFrame:
@@ -323,10 +329,7 @@ def grade_answer(df: DataFrame, given: str, truth: str, out: str) -> DataFrame:
     odd = (F.size("_ts") != F.size("_gs")) | ((F.size("_ts") > 1) & (ends("_t") != ends("_g")))
     open_ended = F.exists(F.arrays_zip("_gs", "_ts"), lambda z: ~allows_evaluation(z["_gs"]) | ~allows_evaluation(z["_ts"]))
     settled = F.when(F.col(given).isNull() | F.col(truth).isNull(), False).when(latex_normalized(F.col(given)) == latex_normalized(F.col(truth)), True).when(F.col("_g") == F.col("_t"), True).when((F.col("_g") == "") | odd | open_ended, False)
-    rows = rows.withColumn(out, settled)
-    rest = rows.filter(F.col(out).isNull())
-    rest = _decided(rest, F.col("_gs"), F.col("_ts"), same_parts, out)
-    return rows.filter(F.col(out).isNotNull()).unionByName(rest).drop("_g", "_t", "_gs", "_ts")
+    return _decided(rows, settled, F.col("_gs"), F.col("_ts"), same_parts, out).drop("_g", "_t", "_gs", "_ts")
 
 
 def geometry_score(df: DataFrame, text: str, truth: str, out: str, *, use_box: bool = True, format_weight: float = 0.1) -> DataFrame:
