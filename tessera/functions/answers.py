@@ -516,7 +516,11 @@ def f26_qa_score(spark, sf_dir):
 
 
 def f33_trimmed_equal(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", trimmed_equal(F.concat(F.lit(" "), "o_orderstatus"), F.lit("F ")).alias("same"))
+    """Blanks on either side do not count; another status, an inner blank and a null do."""
+    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    one = F.concat(F.repeat(F.lit(" "), (k % 3).cast("int")), status, F.repeat(F.lit(" "), (k % 2).cast("int")))
+    other = F.when(k % 5 == 0, "X").when(k % 5 == 1, F.concat(status, F.lit(" ."))).when(k % 5 == 2, F.lit(None).cast("string")).otherwise(F.concat(status, F.lit("  ")))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", trimmed_equal(one, other).alias("same"))
 
 
 def f46_message_tokens(spark, sf_dir):
@@ -526,9 +530,12 @@ def f46_message_tokens(spark, sf_dir):
 
 
 def f51_props(spark, sf_dir):
+    """None to three calls, of which the last is broken in some texts, and what is left of the text."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    t = F.concat(F.lit('ok <tool_call>{"name": "'), F.col("event_type"), F.lit('", "arguments": '), F.col("props"), F.lit("}</tool_call> x <tool_call>{broken</tool_call>"))
-    return e.select("event_id", F.transform(tool_calls(t), lambda c: c["name"])[0].alias("name"), F.size(tool_calls(t)).alias("calls"), F.trim(without_tool_calls(t)).alias("rest"))
+    n = (F.col("event_id") % 4).cast("int")
+    call = F.concat(F.lit('<tool_call>{"name": "'), F.col("event_type"), F.lit('", "arguments": '), F.col("props"), F.lit("}</tool_call>"))
+    t = F.concat(F.lit("ok "), F.repeat(call, n), F.when(F.col("event_id") % 3 == 0, "<tool_call>{broken</tool_call>").otherwise(""), F.lit(" then "), F.col("event_id").cast("string"))
+    return e.select("event_id", F.get(tool_calls(t), F.lit(0))["name"].alias("name"), F.size(tool_calls(t)).alias("calls"), F.get(tool_calls(t), n - 1)["arguments"]["k"].alias("k"), without_tool_calls(t).alias("rest"))
 
 
 def f40_repetition(spark, sf_dir):
@@ -560,7 +567,7 @@ ORACLES = {
     "f82_points": "WITH t AS (SELECT o_orderkey, (o_custkey % 50)::DOUBLE AS x, (o_orderkey % 40)::DOUBLE AS y FROM orders), b AS (SELECT *, 30 - x AS w, y - 5 AS h FROM t) SELECT o_orderkey, w > 0 AND h > 0 AND greatest(w, h) <= 100 * least(w, h) AS valid, CASE WHEN 20 BETWEEN x AND 30 AND 10 BETWEEN 5 AND y THEN 2 WHEN x BETWEEN x AND 30 AND y BETWEEN 5 AND y THEN 3 ELSE 0 END::BIGINT AS inside, abs((20 - 40) * (y - 1) - (x - 40) * (10 - 1)) <= 1e-9 AS line FROM b",
     "f22_qa_normalized": r"SELECT item_id, array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g')), '\s+'), lambda w: w NOT IN ('a', 'an', 'the')), ' ') AS normal FROM benchmark",
     "f26_qa_score": "SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS exact, CASE WHEN o_orderkey % 8 = 0 AND lower(o_orderpriority) LIKE '%urgent%' THEN 1.0 ELSE 0.0 END::DOUBLE AS part FROM orders",
-    "f33_trimmed_equal": "SELECT o_orderkey, o_orderstatus = 'F' AS same FROM orders",
+    "f33_trimmed_equal": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 2 THEN NULL ELSE o_orderkey % 5 > 2 END AS same FROM orders",
     "f46_message_tokens": "WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations) SELECT conv_id, coalesce(sum(len(regexp_split_to_array(trim(text, ' '), '\\s+'))) FILTER (i > 1), 0)::INT AS tokens, md5(string_agg('**' || upper(role[1]) || lower(role[2:]) || '**: ' || text, chr(10) ORDER BY turn) FILTER (role <> 'system')) AS digest FROM t GROUP BY 1",
-    "f51_props": "SELECT event_id, event_type AS name, 1::INT AS calls, 'ok  x' AS rest FROM events",
+    "f51_props": "SELECT event_id, CASE WHEN event_id % 4 > 0 THEN event_type END AS name, (event_id % 4)::INT AS calls, CASE WHEN event_id % 4 > 0 THEN json_extract_string(props, '$.k') END AS k, 'ok  then ' || event_id AS rest FROM events",
 }
