@@ -132,7 +132,8 @@ def near_classes(prints: DataFrame, *, fp: str = "fp", radius: int = 3) -> DataF
                 own = own & (differ.bitwiseAND(signed(blocks[i])) != 0)
         first = first | own
     near = (F.col("a._table") == F.col("b._table")) & (F.col("a._bits") == F.col("b._bits")) & (F.col("a.fp") != F.col("b.fp")) & (F.bit_count(differ) <= radius) & first
-    counted = a.join(b, near).groupBy(F.col("a.fp").alias("fp")).agg(F.sum("b.n").alias("m"))
+    # a sort-merge join: Spark would judge the side to be broadcast by the classes, of which it holds each twenty times
+    counted = a.join(b.hint("merge"), near).groupBy(F.col("a.fp").alias("fp")).agg(F.sum("b.n").alias("m"))
     both = counted.union(classes.select("fp", (F.col("n") - 1).alias("m")))
     return both.groupBy("fp").agg(F.sum("m").alias("n_near"))
 
