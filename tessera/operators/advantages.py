@@ -166,6 +166,34 @@ def _sppo(df: DataFrame, b: Batch, out: str) -> DataFrame:
 BATCH_ESTIMATORS: dict[str, Callable[[DataFrame, Batch, str], DataFrame]] = {"gpg": _gpg, "reinforce_plus_plus_baseline": _reinforce_baseline, "sppo": _sppo}
 
 
+def token_advantages(df: DataFrame, name: str, *, rewards: str, mask: str = "response_mask", values: str | None = None, baselines: str | None = None, batch: Batch | None = None, gamma: float = 1.0, lam: float = 1.0) -> DataFrame:
+    """Token columns ``advantages`` and ``returns`` by the estimator of that name.
+
+    "gae" needs values, "remax" baselines (a reward a row), "reinforce_plus_plus" neither; any group estimator takes a row's
+    sum of rewards as its score and gives every token under the mask the same.
+    """
+    from . import tokens as T
+
+    if name == "gae":
+        if not values:
+            raise ValueError("gae needs values")
+        return T.gae_batch(df, rewards, values, mask, gamma, lam)
+    on = lambda c: T.each([c, mask], lambda t: t[c] * t[mask])
+    if name == "reinforce_plus_plus":
+        rows = df.withColumn("returns", T.discounted_returns(rewards, mask, gamma))
+        return T.masked_whiten(rows, "returns", "_white", mask).withColumn("advantages", on("_white")).drop("_white")
+    if name == "remax":
+        if not baselines:
+            raise ValueError("remax needs baselines")
+        rows = df.withColumn("_r", on(rewards)).withColumn("returns", T.discounted_returns("_r", mask, 1.0, reset=False))
+        rows = rows.withColumn("_b", F.transform(mask, lambda m: m * F.col(baselines)))
+        return rows.withColumn("advantages", T.each(["returns", "_b"], lambda t: t["returns"] - t["_b"])).drop("_r", "_b")
+    b = batch or Batch()
+    rows = advantages(df.withColumn(b.score, F.aggregate(rewards, F.lit(0.0), lambda a, x: a + x)), name, b, "_a")
+    rows = rows.withColumn("advantages", F.transform(mask, lambda m: m * F.col("_a")))
+    return rows.withColumn("returns", F.col("advantages")).drop("_a")
+
+
 def pair_preference(df: DataFrame, b: Batch, row: str = "row_id", out: str = "preferred") -> DataFrame:
     """Of rows 2k and 2k + 1 the one of higher score (the first, if equal) is preferred; an odd number of rows raises."""
     w = Window.partitionBy(F.expr(f"{row} div 2")).orderBy(F.desc(b.score), row)
