@@ -194,6 +194,34 @@ def token_advantages(df: DataFrame, name: str, *, rewards: str, mask: str = "res
     return rows.withColumn("returns", F.col("advantages")).drop("_a")
 
 
+def mixed_leave_one_out(df: DataFrame, row: str, n: int, *, rewards: str | None = None, accuracy: str | None = None, length: str = "length", mask: str = "response_mask", reward_share: float = 1.0, accuracy_share: float = 1.0) -> DataFrame:
+    """Token columns ``returns`` (reward-to-go) and ``advantages`` (whitened) of ``n`` consecutive rows a prompt.
+
+    Two sources of reward, each against the others of its block: token rewards under the mask, whose baseline is the sum of
+    the rows' means, and the accuracy at a row's last token (``length``).  Each is scaled by n / (n - 1), less its baseline
+    over n - 1, weighted and added.
+    """
+    from . import tokens as T
+
+    if not (rewards or accuracy) or n < 2:
+        raise ValueError("rewards or accuracies, and two rows a prompt, are needed")
+    w = Window.partitionBy(F.floor(F.col(row) / n))
+    rows = df.withColumn("_at", F.transform(mask, lambda m, i: i))
+    parts: list[Callable[[Column], Column]] = []
+    if rewards:
+        s = T.sums([rewards], mask, v=lambda t: t[rewards])
+        rows = rows.withColumn("_mean", F.try_divide(s["v"], s["n"])).withColumn("_base", F.array_repeat(F.sum("_mean").over(w) / (n - 1), F.size(mask)))
+        parts.append(lambda t: F.when(t[mask] != 0, t[rewards] * (n / (n - 1)) - t["_base"]).otherwise(0.0) * reward_share)
+    if accuracy:
+        own = (F.col(accuracy) * (n / (n - 1)) - F.sum(accuracy).over(w) / (n - 1)) * accuracy_share
+        rows = rows.withColumn("_own", own).withColumn("_end", F.transform("_at", lambda i: F.when(i == F.col(length) - 1, F.col("_own")).otherwise(0.0)))
+        parts.append(lambda t: t["_end"])
+    used = [mask, *([rewards, "_base"] if rewards else []), *(["_end"] if accuracy else [])]
+    rows = rows.withColumn("_total", T.each(used, lambda t: sum((p(t) for p in parts), F.lit(0.0)) * t[mask]))
+    rows = rows.withColumn("returns", T.discounted_returns("_total", mask, 1.0, reset=False))
+    return T.masked_whiten(rows, "returns", "advantages", mask).drop("_at", "_mean", "_base", "_own", "_end", "_total")
+
+
 def pair_preference(df: DataFrame, b: Batch, row: str = "row_id", out: str = "preferred") -> DataFrame:
     """Of rows 2k and 2k + 1 the one of higher score (the first, if equal) is preferred; an odd number of rows raises."""
     w = Window.partitionBy(F.expr(f"{row} div 2")).orderBy(F.desc(b.score), row)

@@ -248,6 +248,16 @@ def a04_mean_max_min_std(spark, sf_dir):
     return rounded(t.agg(F.avg("x").alias("mean"), F.max("x").alias("max"), F.min("x").alias("min"), F.stddev_samp("x").alias("std")))
 
 
+def w13_mixed(spark, sf_dir):
+    """Token rewards and accuracies of four rows a prompt, a third and two thirds."""
+    from .advantages import mixed_leave_one_out
+
+    t = token_table(spark, sf_dir).drop(T.RETURNS).withColumnRenamed(T.ADV, "rewards").withColumns({"acc": (F.col("label") % 2).cast("double"), "length": F.col("vec_id") % 55 + 10})
+    done = mixed_leave_one_out(t, "vec_id", 4, rewards="rewards", accuracy="acc", reward_share=1 / 3, accuracy_share=2 / 3)
+    pairs = F.arrays_zip(F.col("advantages").alias("a"), F.col("returns").alias("r"))
+    return done.select("vec_id", F.posexplode(pairs).alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("x.a", 5).alias("advantage"), F.round("x.r", 5).alias("ret"))
+
+
 def _estimated(name: str, **options):
     """Advantages and returns of the token table by an estimator; rewards are the advantages' column."""
 
@@ -269,6 +279,7 @@ QUERIES = {
 QUERIES |= {"l01_ppo_loss": _loss("vanilla"), "l03_gspo_loss": _loss("gspo"), "l04_gpg_loss": _loss("gpg"), "l07_geo_mean_loss": _loss("geo_mean"), "l06_kl_cov_loss": _loss("kl_cov", ratio=0.01), "l05_clip_cov_loss": _loss("clip_cov", ratio=0.01)}
 
 QUERIES |= {f"l24_{level}_{reject}_metrics": _corrections(level, reject) for level, reject in (("token", "token"), ("sequence", "sequence"), ("token", "geometric"))}
+QUERIES |= {"w13_mixed": w13_mixed}
 QUERIES |= {"w12_reinforce_plus_plus": _estimated("reinforce_plus_plus", gamma=0.9), "w12_remax": _estimated("remax", baselines="baseline"), "w12_group_relative": _estimated("grpo")}
 QUERIES |= {"l22_token_rejected": _corrected("token"), "l22_geometric_rejected": _corrected("geometric"), "l22_sequence_vetoed": _corrected("sequence", 0.91)}
 
@@ -329,6 +340,7 @@ def _rejected_sql(ok: str) -> str:
 
 ORACLES = {
     "w12_reinforce_plus_plus": f"{_TOK}, g AS (SELECT *, coalesce(sum(1 - m) OVER (PARTITION BY vec_id ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM tok), r AS (SELECT vec_id, pos, m, sum(adv * 0.9 ^ pos) OVER (PARTITION BY vec_id, g ORDER BY pos DESC) / 0.9 ^ pos AS ret FROM g), mu AS (SELECT sum(ret * m) / {_N} AS mu, var_samp(ret) FILTER (m = 1) AS v FROM r) SELECT vec_id, pos, round((ret - mu) / sqrt(v + 1e-8) * m, 5) AS advantage, round(ret, 5) AS ret FROM r, mu",
+    "w13_mixed": f"{_TOK}, b AS (SELECT vec_id, vec_id // 4 AS k, sum(adv * m) / sum(m) AS mean, any_value(label) % 2 AS acc FROM tok GROUP BY 1, 2), w AS (SELECT vec_id, sum(mean) OVER (PARTITION BY k) / 3 AS base, acc * (4 / 3) - sum(acc) OVER (PARTITION BY k) / 3 AS own FROM b), t AS (SELECT tok.vec_id, pos, m, ((adv * (4 / 3) - base) * m / 3 + CASE WHEN pos = vec_id % 55 + 9 THEN own * 2 / 3 ELSE 0 END) * m AS x FROM tok JOIN w USING (vec_id)), r AS (SELECT vec_id, pos, m, sum(x) OVER (PARTITION BY vec_id ORDER BY pos DESC) AS ret FROM t), mu AS (SELECT sum(ret * m) / {_N} AS mu, var_samp(ret) FILTER (m = 1) AS v FROM r) SELECT vec_id, pos, round((ret - mu) / sqrt(v + 1e-8), 5) AS advantage, round(ret, 5) AS ret FROM r, mu",
     "w12_remax": f"{_TOK}, r AS (SELECT vec_id, pos, m, sum(adv * m) OVER (PARTITION BY vec_id ORDER BY pos DESC) AS ret FROM tok) SELECT vec_id, pos, round(ret - vec_id % 7 / 10 * m, 5) AS advantage, round(ret, 5) AS ret FROM r",
     "w12_group_relative": f"{_TOK}, s AS (SELECT vec_id, any_value(label) AS label, sum(adv) AS s FROM tok GROUP BY 1), a AS (SELECT vec_id, (s - CASE WHEN count(*) OVER w = 1 THEN 0 ELSE avg(s) OVER w END) / (CASE WHEN count(*) OVER w = 1 THEN 1 ELSE stddev_samp(s) OVER w END + 1e-6) AS a FROM s WINDOW w AS (PARTITION BY label)) SELECT vec_id, pos, round(a * m, 5) AS advantage, round(a * m, 5) AS ret FROM tok JOIN a USING (vec_id)",
     "l22_token_rejected": _rejected_sql("exp(old - ref) BETWEEN 0.95 AND 1.08"),

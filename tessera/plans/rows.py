@@ -142,6 +142,13 @@ def continued(prompts: SampleFrame, outputs: SampleFrame, *, text: str, response
     return each.join(mean, token)
 
 
+def answered(questions: SampleFrame, outputs: SampleFrame, responses: str, out: str = "token_id") -> DataFrame:
+    """Questions with their outputs by position, a row a response: sample_id, response and a dense ``out`` over all of them."""
+    both = questions.union_columns(outputs).df
+    rest = [c for c in both.columns if c != responses]
+    return with_row_id(both.select(*rest, F.posexplode(responses).alias("sample_id", "response")), [ROW, "sample_id"], out)
+
+
 def repeats_summed(df: DataFrame, position: str, value: str, rows: int) -> DataFrame:
     """row, total: sums over the repeats of a list that holds all rows, and then all rows again."""
     return df.groupBy((F.col(position) % rows).alias("row")).agg(F.sum(value).alias("total"))
@@ -259,6 +266,14 @@ def j09_continued(spark, sf_dir):
     return done.select(ROW, F.col("sample_id").cast("long").alias("sample_id"), "full_text", "score", F.round("token_accuracy", 8).alias("token_accuracy"))
 
 
+def j08_answered(spark, sf_dir):
+    """Orders as questions and the lines' parts as their responses, from one to seven each."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_partkey")).alias("responses"))
+    rows = with_row_id(li, ["l_orderkey"])
+    done = answered(SampleFrame(rows.select(ROW, "l_orderkey")), SampleFrame(rows.select(ROW, "responses")), "responses")
+    return done.select("token_id", ROW, "l_orderkey", F.col("sample_id").cast("long").alias("sample_id"), "response")
+
+
 def j12_repeats(spark, sf_dir):
     o = with_row_id(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"), ["o_orderkey"])
     return repeats_summed(o, ROW, "o_custkey", 100)
@@ -306,7 +321,7 @@ def _raw_chats(spark, sf_dir) -> DataFrame:
     return g.select("conv_id", F.transform("l", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
 
 
-QUERIES = {f.__name__: f for f in (f58_prompt_tensors, f55_chat_tensors, r06_within_tokens, u10_collated, u09_jagged, r08_quota, r17_renamed, r18_chat_prompts, j09_continued, j12_repeats, p31_payloads, p35_formatted, p44_generation_rows, m16_interactions)}
+QUERIES = {f.__name__: f for f in (f58_prompt_tensors, f55_chat_tensors, r06_within_tokens, u10_collated, u09_jagged, r08_quota, r17_renamed, r18_chat_prompts, j08_answered, j09_continued, j12_repeats, p31_payloads, p35_formatted, p44_generation_rows, m16_interactions)}
 _CLEAN = r"regexp_replace(coalesce(text, ''), '[^\x21-\x7e]+', ' ', 'g')"
 _IDS = f"list_transform(list_filter(string_split({_CLEAN}, ' '), lambda w: w <> ''), lambda w: length(w))"
 ORACLES = {
@@ -318,6 +333,7 @@ ORACLES = {
     "r08_quota": "WITH b AS (SELECT event_id // 500 AS b, user_id, max(value) - min(value) AS w FROM events GROUP BY 1, 2 HAVING max(value) - min(value) > 100), k AS (SELECT e.event_id, e.user_id, b.b FROM events e JOIN b ON e.event_id // 500 = b.b AND e.user_id = b.user_id), f AS (SELECT user_id, min(b) AS b, min(event_id) AS f FROM k GROUP BY 1), c AS (SELECT b, sum(count(*)) OVER (ORDER BY b) AS n FROM f GROUP BY 1), l AS (SELECT min(b) AS last FROM c WHERE n >= 60), q AS (SELECT user_id FROM f, l WHERE b <= last ORDER BY f LIMIT 60) SELECT event_id, user_id FROM k, l WHERE b <= last AND user_id IN (SELECT user_id FROM q)",
     "r17_renamed": "SELECT o_orderkey AS id, o_orderpriority AS question FROM orders",
     "r18_chat_prompts": "SELECT * FROM (VALUES ('chats', true), ('missing', false), ('numbers', false), ('empty', false)) t(\"check\", ok)",
+    "j08_answered": "SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey) - 1 AS token_id, dense_rank() OVER (ORDER BY l_orderkey) - 1 AS row_id, l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) - 1 AS sample_id, l_partkey AS response FROM lineitem",
     "j09_continued": "WITH o AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id FROM orders), e AS (SELECT row_id, i AS sample_id, o_orderkey || ':' || (o_custkey + i) % 10 AS full_text, ((o_custkey + i) % 10 = o_orderkey % 10)::INT::DOUBLE AS score, o_orderpriority AS t FROM o, range(3) r(i)) SELECT row_id, sample_id, full_text, score, round(avg(score) OVER (PARTITION BY t), 8) AS token_accuracy FROM e",
     "j12_repeats": "SELECT r % 100 AS row, CAST(sum(o_custkey) AS BIGINT) AS total FROM (SELECT o_custkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders) GROUP BY 1",
     "p31_payloads": "WITH d AS (SELECT event_id, props, strftime(ts, '%Y-%m-%d') AS day FROM events) SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN json_extract_string(props, '$.k') END AS k FROM d WHERE day > (SELECT min(day) FROM d)",
