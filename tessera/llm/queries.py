@@ -97,4 +97,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_crf, op2_decontaminate, op3_token_counts, op4_simhash_near, op5_token_files, op6_suffix_dedup, op7_fingerprints, op8_chat_format, op9_mix_sources, op10_toxicity)}
+def op11_hyper_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hyper_minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, least=0.8)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import clustered
+
+    return clustered(table(spark, sf_dir, "embeddings"), dims=64, k=8, rounds=10, seed=3, scale=1024)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import document_audit
+
+    return document_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_crf, op2_decontaminate, op3_token_counts, op4_simhash_near, op5_token_files, op6_suffix_dedup, op7_fingerprints, op8_chat_format, op9_mix_sources, op10_toxicity, op11_hyper_minhash, op12_centroids, op13_filter_audit)}
