@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,6 +32,15 @@ def let(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
+def stepped(df: DataFrame, columns: dict[str, Column], steps: Sequence[Callable[[Column], Column]]) -> DataFrame:
+    """``df`` with columns that go through the steps, each a projection: what a step uses more than once is not worked out
+    again (Catalyst keeps such projections apart), and all of it stays in generated code."""
+    for step in steps:
+        df = df.withColumns({name: step(x) for name, x in columns.items()})
+        columns = {name: F.col(name) for name in columns}
+    return df
+
+
 def tail(text: Column, n: int = TAIL_CHARS) -> Column:
     return F.when(F.char_length(text) > n, F.substring(text, -n, n)).otherwise(text)
 
@@ -98,8 +107,7 @@ def unboxed(box: Column) -> Column:
     return let(box, lambda b: F.coalesce(some(F.regexp_extract(b, r"(?s)^\\boxed (.*)$", 1)), some(F.regexp_extract(b, r"(?s)^\\boxed\{(.*)\}$", 1))))
 
 
-def latex_normalized(text: Column) -> Column:
-    """Clean-up of short LaTeX answers: line breaks, sizes, degrees, units, percent, leading zero, fractions, roots, a/b."""
+def _latex_cleaned(text: Column) -> Column:
     for a, b in LATEX_REPLACED:
         text = F.replace(text, F.lit(a), F.lit(b))
     text = F.regexp_replace(text, r"(?s)\\text\{ .*$", "")
@@ -107,11 +115,27 @@ def latex_normalized(text: Column) -> Column:
         text = F.replace(text, F.lit(a), F.lit(b))
     text = F.regexp_replace(text, r"^\.", "0.")
     text = F.regexp_replace(text, r"^[^=]{0,2}=([^=]*)$", "$1")
-    text = F.replace(F.regexp_replace(text, r"\\sqrt([^{])", r"\\sqrt{$1}"), F.lit(" "), F.lit(""))
-    fractions = lambda x: F.regexp_replace(F.regexp_replace(x, r"\\frac([^{])([^{])", r"\\frac{$1}{$2}"), r"\\frac([^{])\{", r"\\frac{$1}{")
-    text = let(text, lambda x: F.when(x.rlike(r"\\frac[^{]$"), x).otherwise(fractions(x)))
-    text = let(text, lambda x: F.when(x == "0.5", "\\frac{1}{2}").otherwise(x))
-    return F.regexp_replace(text, r"^(0|-?[1-9][0-9]*)/(0|-?[1-9][0-9]*)$", r"\\frac{$1}{$2}")
+    return F.replace(F.regexp_replace(text, r"\\sqrt([^{])", r"\\sqrt{$1}"), F.lit(" "), F.lit(""))
+
+
+def _latex_fractions(x: Column) -> Column:
+    full = F.regexp_replace(F.regexp_replace(x, r"\\frac([^{])([^{])", r"\\frac{$1}{$2}"), r"\\frac([^{])\{", r"\\frac{$1}{")
+    return F.when(x.rlike(r"\\frac[^{]$"), x).otherwise(full)
+
+
+def _latex_quotients(x: Column) -> Column:
+    return F.regexp_replace(F.when(x == "0.5", "\\frac{1}{2}").otherwise(x), r"^(0|-?[1-9][0-9]*)/(0|-?[1-9][0-9]*)$", r"\\frac{$1}{$2}")
+
+
+#: Clean-up of short LaTeX answers: line breaks, sizes, degrees, units, percent, leading zero, fractions, roots, a/b.
+LATEX_STEPS = (_latex_cleaned, _latex_fractions, _latex_quotients)
+
+
+def latex_normalized(text: Column) -> Column:
+    """All of ``LATEX_STEPS`` as one expression; ``stepped`` makes projections of them."""
+    for step in LATEX_STEPS:
+        text = let(text, step)
+    return text
 
 
 def latex_equal(a: Column, b: Column) -> Column:

@@ -1,24 +1,22 @@
 """Grading of mathematical answers: numbers with tolerance and percent, tuples, intervals, matrices, and expressions.
 
-Cleaning, splitting and comparing numbers are column expressions.  What they settle Python only passes on; what is left is
-tested there, in Arrow batches.  Expressions are compared without a symbolic engine: both are
-parsed by a small grammar and evaluated at fixed points, where equal expressions agree.
+Cleaning, splitting and comparing numbers are column expressions, in steps that each are a projection, so what a step uses
+more than once is worked out once, in generated code.  Only the two values that are left to test go to Python, in Arrow
+batches, and null where nothing is left.  Expressions are compared by ``algebra``: in a normal form over exact fractions.
 """
 
 from __future__ import annotations
 
-import cmath
 import math
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import written
-from .answers import answer_line_score, boxed, format_reward, latex_normalized, let, tail, unboxed
+from .algebra import same_term
+from .answers import LATEX_STEPS, answer_line_score, boxed, format_reward, latex_normalized, let, stepped, tail, unboxed
 
 #: Units that the normalizer removes, in order; and the names of intervals.
 UNITS = ("degree", "cm", "centimeter", "meter", "mile", "second", "minute", "hour", "day", "week", "month", "year", "foot", "feet", "inch", "yard", "liter")
@@ -44,33 +42,68 @@ def is_fraction(text: Column) -> Column:
     return text.rlike(r"^-?[0-9]+.?/0*[1-9][0-9]*.?$")
 
 
-def graded_normal(text: Column) -> Column:
-    """An answer for comparison: unwrapped text, no money, percent, units and degrees, words for lists and magnitudes in
-    symbols, plain integers, short LaTeX as infix, mixed numbers as sums, lower case."""
+#: What an answer's replacements are, in order.
+GRADED_REPLACED = (("\\%", "%"), ("\\$", "$"), ("$", ""), ("%", ""), (" or ", " , "), (" and ", " , "), *MAGNITUDES)
+#: LaTeX that is short enough for a pattern, in infix.
+_SHORT_LATEX = ((r"\\(d|t)?frac\{([^{}]*)\}\{([^{}]*)\}", "($2)/($3)"), (r"\\sqrt\{([^{}]*)\}", "sqrt($1)"), (r"\\pi", "pi"), (r"\\infty", "inf"), (r"\\cdot|\\times|·|×", "*"), (r"\\left|\\right|\\!|\\,", ""))
+
+
+def _cleaned(text: Column) -> Column:
     x = F.regexp_replace(text, r"(?s)^\\text\{(.+?)\}$", "$1")
-    for a, b in (("\\%", "%"), ("\\$", "$"), ("$", ""), ("%", ""), (" or ", " , "), (" and ", " , "), *MAGNITUDES):
+    for a, b in GRADED_REPLACED:
         x = F.replace(x, F.lit(a), F.lit(b))
     x = F.regexp_replace(x, rf"({'|'.join(UNITS)})(es)?(s)? *(\^[0-9]+)?", "")
     x = F.regexp_replace(x, r"\^ *\\circ", "")
     x = F.regexp_replace(x, r"(?s)^\{(.*)\}$", "$1")
-    x = F.regexp_replace(x, r",\\! *", "")
-    whole = lambda v: F.coalesce(F.abs(v.try_cast("double") - F.round(v.try_cast("double"))) <= 1e-7, F.lit(False)) & (F.abs(v.try_cast("double")) < 1e15)
-    x = let(x, lambda v: F.when(whole(v), F.round(v.try_cast("double")).cast("long").cast("string")).otherwise(v))
-    for a, b in ((r"\\(d|t)?frac\{([^{}]*)\}\{([^{}]*)\}", "($2)/($3)"), (r"\\sqrt\{([^{}]*)\}", "sqrt($1)"), (r"\\pi", "pi"), (r"\\infty", "inf"), (r"\\cdot|\\times|·|×", "*"), (r"\\left|\\right|\\!|\\,", "")):
+    return F.regexp_replace(x, r",\\! *", "")
+
+
+def _whole_number(x: Column) -> Column:
+    v = x.try_cast("double")
+    return F.when(F.coalesce((F.abs(v - F.round(v)) <= 1e-7) & (F.abs(v) < 1e15), F.lit(False)), F.round(v).cast("long").cast("string")).otherwise(x)
+
+
+def _infix(x: Column) -> Column:
+    for a, b in _SHORT_LATEX:
         x = F.regexp_replace(x, a, b)
     x = F.regexp_replace(F.regexp_replace(x, "- *", "-"), r"([0-9]) +([0-9])", "$1+$2")
-    x = F.lower(F.trim(x))
-    return let(x, lambda v: F.when(is_integer(v), without_thousands(v).try_cast("double").cast("long").cast("string")).otherwise(v))
+    return F.lower(F.trim(x))
+
+
+def _plain_integer(x: Column) -> Column:
+    v = without_thousands(x).try_cast("double")
+    return F.when(F.coalesce(F.abs(v - F.round(v)) <= 1e-7, F.lit(False)), v.cast("long").cast("string")).otherwise(x)
+
+
+#: An answer for comparison: unwrapped text, no money, percent, units and degrees, words for lists and magnitudes in symbols,
+#: plain integers, short LaTeX as infix, mixed numbers as sums, lower case.
+GRADED_STEPS = (_cleaned, _whole_number, _infix, _plain_integer)
+
+
+def graded_normal(text: Column) -> Column:
+    """All of ``GRADED_STEPS`` as one expression; ``stepped`` makes projections of them."""
+    for step in GRADED_STEPS:
+        text = let(text, step)
+    return text
+
+
+def _tuple_parts(x: Column) -> Column:
+    inner = F.substring(x, F.lit(2), F.char_length(x) - 2)
+    listed = (F.char_length(x) > 2) & x.rlike(r"(?s)^[(\[].*[)\]]$") & ~inner.rlike(r"[()\[\]]")
+    return F.when(x == "", F.array().cast("array<string>")).when(listed, F.split(F.trim(F.regexp_replace(inner, r" *, *", ",")), ",")).otherwise(F.array(x))
+
+
+TUPLE_STEPS = (without_thousands, _tuple_parts)
+
+
+def unwrapped_text(text: Column) -> Column:
+    """A trimmed answer, out of an enclosing text command."""
+    return F.trim(F.regexp_replace(F.trim(text), r"(?s)^\\text\{(.+?)\}$", "$1"))
 
 
 def split_tuple(text: Column) -> Column:
     """The parts of a tuple or interval without brackets inside; any other text is its only part, an empty one has none."""
-    def parts(x: Column) -> Column:
-        inner = F.substring(x, F.lit(2), F.char_length(x) - 2)
-        listed = (F.char_length(x) > 2) & x.rlike(r"(?s)^[(\[].*[)\]]$") & ~inner.rlike(r"[()\[\]]")
-        return F.when(x == "", F.array().cast("array<string>")).when(listed, F.transform(F.split(inner, ","), lambda p: F.trim(p))).otherwise(F.array(x))
-
-    return let(without_thousands(text), parts)
+    return let(without_thousands(text), _tuple_parts)
 
 
 def format_intervals(text: Column) -> Column:
@@ -109,122 +142,7 @@ def allows_evaluation(text: Column) -> Column:
     return (letters <= 2) & ~text.rlike(r"\^[0-9]+\^|\^[0-9][0-9]+|\^\{|\^\(")
 
 
-# --- expressions ---
-_TOKEN = re.compile(r"\s*(\d+\.\d*|\.\d+|\d+|[a-zA-Z]+|\*\*|[-+*/^()!])")
-_FUNCTIONS = {"sqrt": cmath.sqrt, "sin": cmath.sin, "cos": cmath.cos, "tan": cmath.tan, "log": cmath.log, "ln": cmath.log, "exp": cmath.exp, "abs": abs}
-_NAMES = {"pi": math.pi, "e": math.e, "i": 1j, "inf": math.inf}
-#: Where expressions are compared; a variable's value follows from its letter and the point.
-POINTS = (0.37, 1.91, -0.73, 2.43, 0.11)
-
-
-def _parsed(text: str):
-    """A function of the point, by precedence climbing; juxtaposition multiplies.  ValueError if the text is no expression."""
-    tokens, at = [], 0
-    text = text.rstrip()
-    while at < len(text):
-        m = _TOKEN.match(text, at)
-        if not m:
-            raise ValueError(text)
-        tokens.append(m[1])
-        at = m.end()
-    place = 0
-
-    def peek():
-        return tokens[place] if place < len(tokens) else None
-
-    def take(expected=None):
-        nonlocal place
-        t = peek()
-        if t is None or expected and t != expected:
-            raise ValueError(text)
-        place += 1
-        return t
-
-    def total():
-        out = product()
-        while peek() in ("+", "-"):
-            sign = 1 if take() == "+" else -1
-            out = (lambda f, g, s: lambda p: f(p) + s * g(p))(out, product(), sign)
-        return out
-
-    def product():
-        out = signed()
-        while (t := peek()) is not None and t not in ("+", "-", ")"):
-            if t == "/":
-                take()
-                out = (lambda f, g: lambda p: f(p) / g(p))(out, signed())
-            else:
-                if t == "*":
-                    take()
-                out = (lambda f, g: lambda p: f(p) * g(p))(out, signed())
-        return out
-
-    def signed():
-        if peek() in ("+", "-"):
-            sign = -1 if take() == "-" else 1
-            inner = signed()
-            return lambda p: sign * inner(p)
-        return power()
-
-    def power():
-        base = atom()
-        if peek() in ("^", "**"):
-            take()
-            exponent = signed()
-            return lambda p: base(p) ** exponent(p)
-        return base
-
-    def atom():
-        t = take()
-        if t == "(":
-            inner = total()
-            take(")")
-        elif t[0].isdigit() or t[0] == ".":
-            value = float(t)
-            inner = lambda p: value
-        elif t in _FUNCTIONS:
-            function, argument = _FUNCTIONS[t], atom()
-            inner = lambda p: function(argument(p))
-        elif t in _NAMES:
-            constant = _NAMES[t]
-            inner = lambda p: constant
-        elif t.isalpha():
-            factors = list(t)
-            inner = lambda p: math.prod(1.3 * p + 0.17 * ord(c) for c in factors)
-        else:
-            raise ValueError(text)
-        while peek() == "!":
-            take()
-            inner = (lambda f: lambda p: math.gamma(f(p).real + 1))(inner)
-        return inner
-
-    out = total()
-    if place < len(tokens):
-        raise ValueError(text)
-    return out
-
-
-def same_expression(a: str, b: str, tolerance: float = 1e-9) -> bool:
-    """Whether two expressions have equal values at all points where both have one (at one at least)."""
-    try:
-        f, g = _parsed(a), _parsed(b)
-    except (ValueError, RecursionError):
-        return False
-    met = 0
-    for p in POINTS:
-        try:
-            x, y = complex(f(p)), complex(g(p))
-        except (ValueError, OverflowError, ZeroDivisionError, TypeError):
-            continue
-        if not (cmath.isfinite(x) and cmath.isfinite(y)):
-            if x != y:
-                return False
-        elif abs(x - y) > tolerance * max(1.0, abs(x), abs(y)):
-            return False
-        met += 1
-    return met > 0
-
-
+# --- what is left to Python: lists, matrices and terms ---
 def _float(text: str) -> float | None:
     try:
         return float(text.replace("{,}", "").replace(",", ""))
@@ -232,12 +150,6 @@ def _float(text: str) -> float | None:
         return None
 
 
-def _infix(text: str) -> str:
-    text = re.sub(r"\\(?:d|t)?frac\{([^{}]*)\}\{([^{}]*)\}", r"((\1)/(\2))", text)
-    text = re.sub(r"\\sqrt\{([^{}]*)\}", r"sqrt(\1)", text)
-    return re.sub(r"\\(?:cdot|times)", "*", text).replace("\\pi", " pi ").replace("{", "(").replace("}", ")").replace("\\", "")
-
-
 def _parts(text: str) -> list[str] | None:
     """The items of a bracketed or bare list; a matrix gives its rows' items."""
     if m := re.fullmatch(r"(?s)\\begin\{[pb]matrix\}(.*)\\end\{[pb]matrix\}", text):
@@ -265,7 +177,7 @@ def same_math(a: str | None, b: str | None, percent: bool = True, tolerance: flo
         if p is None or q is None or len(p) != len(q) or len(closed) == 2 and closed[0] != closed[1]:
             return False
         return all(same_math(u, v, percent, tolerance) for u, v in zip(p, q, strict=True))
-    return same_expression(_infix(a), _infix(b), max(1e-9, tolerance * 1e-3))
+    return same_term(a, b, tolerance)
 
 
 def same_parts(a: list[str], b: list[str]) -> bool:
@@ -279,33 +191,26 @@ def same_parts(a: list[str], b: list[str]) -> bool:
     def one(u: str, v: str) -> bool:
         if fraction.fullmatch(u) and fraction.fullmatch(v):
             return u == v
-        return whole(u) == whole(v) and (u == v or same_expression(u, v))
+        return whole(u) == whole(v) and (u == v or same_term(u, v))
 
     return all(one(u, v) for u, v in zip(a, b, strict=True))
 
 
 def _decided(rows: DataFrame, settled: Column, a: Column, b: Column, test, out: str) -> DataFrame:
-    """``rows`` with ``out``: what is settled, or else a test of two values in Arrow batches.
+    """``rows`` with ``out``: what is settled, or else a test of two values, which alone go to Python, in Arrow batches.
 
-    The two values are null where nothing is left to test, so Python only passes such rows on; and as there is one branch,
-    nothing is worked out twice.
+    The two values are null where nothing is left to test.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = batch.column(k).to_pylist()
-            first, second = (batch.column(k + i).to_pylist() for i in (1, 2))
-            for i, x in enumerate(found):
-                if x is None:
-                    found[i] = test(first[i], second[i])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(found, pa.bool_())], [*names, out])
-
-    plain = rows.drop(out)
-    names, k = plain.columns, len(plain.columns)
-    given = plain.withColumn("_settled", settled)
+    @F.arrow_udf("boolean")
+    def tested(first: pa.Array, second: pa.Array) -> pa.Array:
+        pairs = zip(first.to_pylist(), second.to_pylist(), strict=True)
+        return pa.array([None if x is None or y is None else test(x, y) for x, y in pairs], pa.bool_())
+
+    given = rows.drop(out).withColumn("_settled", settled)
     left = F.col("_settled").isNull()
     given = given.withColumns({"_first": F.when(left, a), "_second": F.when(left, b)})
-    return given.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField(out, T.BooleanType())]))
+    return given.withColumn(out, F.coalesce("_settled", tested("_first", "_second"), F.lit(False))).drop("_settled", "_first", "_second")
 
 
 # --- graders: DataFrame in, a boolean column more ---
@@ -323,13 +228,30 @@ def math_equal(df: DataFrame, prediction: str, reference: str, out: str) -> Data
 
 def grade_answer(df: DataFrame, given: str, truth: str, out: str) -> DataFrame:
     """Equal after either normalization, or item by item: integers and fractions as they stand, others as expressions."""
-    rows = df.withColumns({"_g": graded_normal(F.col(given)), "_t": graded_normal(F.col(truth))})
-    rows = rows.withColumns({"_gs": split_tuple(F.col("_g")), "_ts": split_tuple(F.col("_t"))})
+    rows = stepped(df, {"_g": F.col(given), "_t": F.col(truth)}, GRADED_STEPS)
+    rows = stepped(rows, {"_gl": F.col(given), "_tl": F.col(truth)}, LATEX_STEPS)
+    rows = stepped(rows, {"_gs": F.col("_g"), "_ts": F.col("_t")}, TUPLE_STEPS)
     ends = lambda c: F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1))
     odd = (F.size("_ts") != F.size("_gs")) | ((F.size("_ts") > 1) & (ends("_t") != ends("_g")))
     open_ended = F.exists(F.arrays_zip("_gs", "_ts"), lambda z: ~allows_evaluation(z["_gs"]) | ~allows_evaluation(z["_ts"]))
-    settled = F.when(F.col(given).isNull() | F.col(truth).isNull(), False).when(latex_normalized(F.col(given)) == latex_normalized(F.col(truth)), True).when(F.col("_g") == F.col("_t"), True).when((F.col("_g") == "") | odd | open_ended, False)
-    return _decided(rows, settled, F.col("_gs"), F.col("_ts"), same_parts, out).drop("_g", "_t", "_gs", "_ts")
+    settled = F.when(F.col(given).isNull() | F.col(truth).isNull(), False).when(F.col("_gl") == F.col("_tl"), True).when(F.col("_g") == F.col("_t"), True).when((F.col("_g") == "") | odd | open_ended, False)
+    return _decided(rows, settled, F.col("_gs"), F.col("_ts"), same_parts, out).drop("_g", "_t", "_gl", "_tl", "_gs", "_ts")
+
+
+def symbolic_equal(df: DataFrame, a: str, b: str, out: str, *, tolerance: float = TOLERANCE) -> DataFrame:
+    """Whether two texts (LaTeX or infix) are equal terms; constants also within the relative tolerance.
+
+    A null, and a text that is no term, equals nothing but its own text.
+    """
+    settled = F.when(F.col(a).isNull() | F.col(b).isNull(), False).when(F.trim(a) == F.trim(b), True)
+    return _decided(df, settled, F.col(a), F.col(b), lambda x, y: same_term(x, y, tolerance), out)
+
+
+def simplified_equal(df: DataFrame, truth: str, given: str, out: str) -> DataFrame:
+    """Whether the difference of two normalized answers is zero, where it has two letters at most and no power of a power."""
+    both = F.concat(F.lit("("), F.col(truth), F.lit(")-("), F.col(given), F.lit(")"))
+    settled = F.when(F.coalesce(~allows_evaluation(both), F.lit(True)), False)
+    return _decided(df, settled, F.col(truth), F.col(given), same_term, out)
 
 
 def geometry_score(df: DataFrame, text: str, truth: str, out: str, *, use_box: bool = True, format_weight: float = 0.1) -> DataFrame:
@@ -474,7 +396,7 @@ def f16_normal(spark, sf_dir):
 
 
 def f17_tuples(spark, sf_dir):
-    t = _graded(spark, sf_dir).filter("shape in (2, 3)").select("o_orderkey", split_tuple(F.col("given")).alias("parts"))
+    t = _graded(spark, sf_dir).select("o_orderkey", split_tuple(F.col("given")).alias("parts"))
     return t.select("o_orderkey", F.size("parts").alias("n"), F.array_join("parts", "|").alias("parts"))
 
 
@@ -538,16 +460,62 @@ def f85_resized(spark, sf_dir):
     return o.select("o_orderkey", best_resize(F.col("w"), F.col("h"), 448, 14).alias("s")).select("o_orderkey", "s.*")
 
 
-QUERIES = {f.__name__: f for f in (f15_matched, f19_prime_math, f73_verified, f85_resized, f14_graded, f16_normal, f17_tuples, f20_math_equal, f28_geometry_score, f41_boxed_grade, f68_evaluable, f70_intervals)}
+def _terms(spark, sf_dir) -> DataFrame:
+    """Small numbers a, b, c, d and f of orders, and a shape of terms."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.selectExpr("o_orderkey", "o_orderkey % 4 + 1 AS a", "o_custkey % 3 + 1 AS b", "o_orderkey div 4 % 3 + 1 AS c", "o_custkey div 3 % 4 + 1 AS d", "o_orderkey div 12 % 6 + 1 AS f", "cast(o_orderkey div 72 % 10 as int) AS shape")
+
+
+def _filled(pattern: str) -> Column:
+    """A text with the columns named in <> put in."""
+    pieces = re.split(r"<(\w+)>", pattern)
+    return F.concat(*[F.col(x).cast("string") if i % 2 else F.lit(x) for i, x in enumerate(pieces) if i % 2 or x])
+
+
+def f71_symbolic_equal(spark, sf_dir):
+    """Nested fractions, products against sums, roots, and terms that differ by less than any point shows."""
+    t = _terms(spark, sf_dir).withColumns({"sq": F.expr("a * a * b"), "cd": F.expr("c * d"), "s": F.expr("c - d")})
+    given = (r"\frac{\frac{<a>}{<b>}}{<c>}", "(x+<a>)(x-<b>)", r"\sqrt{<sq>}", r"\frac{<a>}{\sqrt{<b>}}", r"\frac{x^2-<a>^2}{x-<b>}", r"\frac{<a>}{1+\frac{<b>}{x}}", "x+<a>", "-(<a>y-<b>x)^2", r"(\sqrt{<a>}+\sqrt{<b>})^2", r"\frac{<a>}{<b>}\cdot 2^{<c>}")
+    truth = (r"\frac{<d>}{<f>}", "x^2 + (<s>)x - <f>", r"<c>\sqrt{<d>}", r"\frac{<c>\sqrt{<d>}}{<f>}", "x+<c>", r"\frac{<c>x}{x+<d>}", r"x+<c>+\frac{<d>-1}{10000000000000}", "2*<c>*<f>xy - <c>^2y^2 - <f>^2x^2", r"<f>+2\sqrt{<cd>}", "2^<d>")
+    pick = lambda xs: F.element_at(F.array(*map(_filled, xs)), F.col("shape") + 1)
+    return symbolic_equal(t.select("o_orderkey", pick(given).alias("g"), pick(truth).alias("t")), "g", "t", "ok", tolerance=1e-9).select("o_orderkey", "ok")
+
+
+def f18_simplified(spark, sf_dir):
+    """Infix answers with one, two and three letters, of which the last are not evaluated, nor are high powers."""
+    t = _terms(spark, sf_dir)
+    given = ("(x+<a>)*(x+<b>)", "(<a>*x-<b>*y)/<c>", "x*(y+z)*<a>", "sqrt(<a>)*sqrt(<b>)", "x^10*<a>")
+    truth = ("x^2+<c>*x+<f>", "<a>*x/<d>-<b>*y/<d>", "<c>*(x*y+x*z)", "sqrt(<c>*<d>)", "x^10*<c>")
+    pick = lambda xs: F.element_at(F.array(*map(_filled, xs)), F.col("shape") % 5 + 1)
+    return simplified_equal(t.select("o_orderkey", pick(given).alias("g"), pick(truth).alias("t")), "t", "g", "ok").select("o_orderkey", "ok")
+
+
+def f21_answer_normalized(spark, sf_dir):
+    """Answers as they stand in model output: wrapped, spaced, with units, short fractions and roots."""
+    t = _terms(spark, sf_dir)
+    shapes = (r" \text{<a> <b>} ", r"\tfrac<a><b>", r"x = .<a>", r"<a>/<b>", r"\sqrt<a> + 1", r"<a>^\circ", r"<a><b>\text{ cm}", r"\left( <a> , <b> \right)", r"0.5", r"<a>\%")
+    pick = F.element_at(F.array(*map(_filled, shapes)), F.col("shape") + 1)
+    return t.select("o_orderkey", latex_normalized(unwrapped_text(pick)).alias("answer"))
+
+
+QUERIES = {f.__name__: f for f in (f18_simplified, f21_answer_normalized, f71_symbolic_equal, f15_matched, f19_prime_math, f73_verified, f85_resized, f14_graded, f16_normal, f17_tuples, f20_math_equal, f28_geometry_score, f41_boxed_grade, f68_evaluable, f70_intervals)}
 _N = "(o_orderkey % 90 + 10)"
+_T = "SELECT o_orderkey, o_orderkey % 4 + 1 AS a, o_custkey % 3 + 1 AS b, o_orderkey // 4 % 3 + 1 AS c, o_custkey // 3 % 4 + 1 AS d, o_orderkey // 12 % 6 + 1 AS f, o_orderkey // 72 % 10 AS shape FROM orders"
 ORACLES = {
+    "f71_symbolic_equal": f"""WITH t AS ({_T}) SELECT o_orderkey, CASE shape WHEN 0 THEN a * f = d * b * c WHEN 1 THEN a - b = c - d AND a * b = f WHEN 2 THEN a * a * b = c * c * d
+        WHEN 3 THEN a * a * f * f = c * c * d * b WHEN 4 THEN a = b AND b = c WHEN 5 THEN a = c AND b = d WHEN 6 THEN a = c AND d = 1 WHEN 7 THEN a = c AND b = f
+        WHEN 8 THEN abs(a + b + 2 * sqrt(a * b) - f - 2 * sqrt(c * d)) < 1e-9 ELSE a * 2 ** c = b * 2 ** d END AS ok FROM t""",
+    "f18_simplified": f"""WITH t AS ({_T}) SELECT o_orderkey, CASE shape % 5 WHEN 0 THEN a + b = c AND a * b = f WHEN 1 THEN c = d WHEN 2 THEN false WHEN 3 THEN a * b = c * d ELSE false END AS ok FROM t""",
+    "f21_answer_normalized": f"""WITH t AS ({_T}) SELECT o_orderkey, CASE shape WHEN 0 THEN a || b WHEN 1 THEN '\\frac{{' || a || '}}{{' || b || '}}' WHEN 2 THEN '0.' || a WHEN 3 THEN '\\frac{{' || a || '}}{{' || b || '}}'
+        WHEN 4 THEN '\\sqrt{{' || a || '}}+1' WHEN 5 THEN a::VARCHAR WHEN 6 THEN a || b WHEN 7 THEN '(' || a || ',' || b || ')' WHEN 8 THEN '\\frac{{1}}{{2}}' ELSE a::VARCHAR END AS answer FROM t""",
     "f14_graded": "SELECT o_orderkey, o_orderkey % 2 = 0 AS ok FROM orders",
     "f15_matched": "SELECT o_orderkey, o_orderkey % 6 <> 4 AS matched, CASE WHEN o_orderkey % 6 = 4 THEN 'none' WHEN o_orderkey % 6 = 1 THEN 'so ' || o_orderkey ELSE o_orderkey::VARCHAR END AS answer FROM orders",
     "f19_prime_math": "SELECT o_orderkey, o_orderkey % 2 = 0 AS correct, o_orderkey % 2 = 0 OR o_orderkey // 2 % 8 > 3 AS format FROM orders",
     "f73_verified": "SELECT o_orderkey, o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 AS box, o_orderkey % 3 <> 0 AS line, o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 AS strict, true AS lines FROM orders",
     "f85_resized": "WITH s AS (SELECT o_orderkey, o_custkey % 900 + 20 AS w, o_orderkey % 700 + 30 AS h FROM orders), t AS (SELECT o_orderkey, w, h, floor(448 / sqrt(w / h)) AS g, w * h > 448 * 448 AS over FROM s), u AS (SELECT o_orderkey, CASE WHEN over THEN floor(g * (w / h)) ELSE w END AS w, CASE WHEN over THEN g ELSE h END AS h FROM t) SELECT o_orderkey, greatest(round_even(w / 14, 0) * 14, 14)::INT AS width, greatest(round_even(h / 14, 0) * 14, 14)::INT AS height FROM u",
     "f16_normal": f"SELECT o_orderkey, CASE o_orderkey // 2 % 8 WHEN 0 THEN {_N}::VARCHAR WHEN 1 THEN '(' || {_N} || ')/(3)' WHEN 2 THEN '(' || {_N} || ', 2+3)' WHEN 3 THEN {_N} || '000' WHEN 4 THEN '2*x + ' || {_N} WHEN 5 THEN 'sqrt(' || {_N} || ')' WHEN 6 THEN {_N} || ' , 7' ELSE '7+' || {_N} || '/100' END AS given FROM orders",
-    "f17_tuples": f"SELECT o_orderkey, CASE o_orderkey // 2 % 8 WHEN 2 THEN 2 ELSE 1 END::INT AS n, CASE o_orderkey // 2 % 8 WHEN 2 THEN {_N} || '|2+3' ELSE {_N} || '000 meters' END AS parts FROM orders WHERE o_orderkey // 2 % 8 IN (2, 3)",
+    "f17_tuples": f"""SELECT o_orderkey, CASE o_orderkey // 2 % 8 WHEN 2 THEN 2 ELSE 1 END::INT AS n, CASE o_orderkey // 2 % 8 WHEN 0 THEN {_N} || '.0' WHEN 1 THEN '\\frac{{' || {_N} || '}}{{3}}' WHEN 2 THEN {_N} || '|2+3' WHEN 3 THEN {_N} || '000 meters'
+        WHEN 4 THEN '2*x + ' || {_N} WHEN 5 THEN '\\sqrt{{' || {_N} || '}}' WHEN 6 THEN '\\text{{' || {_N} || ' and 7}}' ELSE '7 ' || {_N} || '/100' END AS parts FROM orders""",
     "f20_math_equal": "SELECT o_orderkey, o_orderkey % 2 = 0 AS ok FROM orders",
     "f28_geometry_score": "SELECT o_orderkey, round(0.9 * (o_orderkey % 2 = 0)::INT + 0.1 * (o_orderkey // 2 % 2 = 0)::INT, 6)::DOUBLE AS score FROM orders",
     "f41_boxed_grade": "SELECT o_orderkey, (o_orderkey % 2 = 0 AND o_orderkey // 2 % 8 <> 7)::INT::DOUBLE AS score, (o_orderkey // 2 % 8 <> 7)::INT::DOUBLE AS format_score, o_orderkey % 2 = 0 AND o_orderkey // 2 % 8 <> 7 AS acc FROM orders",

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import answers, grading
+from tessera.functions.algebra import parsed, same_form, same_term
 
 
 def plain_box(text):
@@ -36,7 +37,7 @@ def test_boxes_of_all_shapes(spark):
 
 @pytest.mark.parametrize(("a", "b", "same"), [("2x+1", "1+x*2", True), ("(a+b)^2", "a^2+2a*b+b^2", True), ("sqrt(8)", "2sqrt(2)", True), ("1/3", "0.333", False), ("x/y", "y/x", False), ("3!", "6", True), ("-2^2", "-4", True), ("2^-1", "1/2", True), ("sin(x)^2+cos(x)^2", "1", True), ("x +", "x", False), ("", "", False), ("1/0", "2/0", False)])
 def test_expressions(a, b, same):
-    assert grading.same_expression(a, b) == same
+    assert same_term(a, b) == same
 
 
 @pytest.mark.parametrize(("a", "b", "same"), [("50%", "0.5", True), ("0.5", "50", True), ("1,234", "1234.01", True), ("$3", "3", True), ("[1, 2)", "[1, 2]", False), ("(1, 1/2)", "(1,0.5)", True), ("\\frac{1}{2}", "0.5", True), (None, "1", False), ("", "", True), ("\\begin{pmatrix}1\\\\2\\end{pmatrix}", "\\begin{pmatrix}1\\\\2.00001\\end{pmatrix}", True), ("2", "3", False)])
@@ -51,3 +52,33 @@ def test_grades_of_many_answers(spark):
     for r in grading.grade_answer(df, "given", "truth", "ok").collect():
         assert r["ok"] == r["want"], r
     assert grading.grade_answer(df.limit(0), "given", "truth", "ok").collect() == []
+
+
+EQUAL = [(r"\frac{\frac{1}{2}}{3}", "1/6"), (r"\sqrt{12}", r"2\sqrt3"), (r"\frac{1}{\sqrt{2}}", r"\frac{\sqrt{2}}{2}"), (r"\frac{x^2-4}{x-2}", "x+2"), (r"\frac{1}{1+\frac1x}", r"\frac{x}{x+1}"), ("-(y-x)^2", "2xy-x^2-y^2"), (r"(\sqrt2+\sqrt3)^2", r"5+2\sqrt{6}"), ("i^2", "-1"), (r"\sqrt[3]{16}", r"2\sqrt[3]{2}"), ("5!", "120"), ("sqrt(x)*sqrt(x)", "x"), (r"\tan x\cos x", r"\sin x"), (r"\sin^2 x+\cos^2 x", "1"), ("x_1+x_{1}", "2x_1"), (r"\sqrt{\frac{3}{4}}", r"\frac{\sqrt{3}}{2}"), (r"\frac{2}{3}\pi", r"\frac{2\pi}{3}"), ("(1+x)^3", "x^3+3x^2+3x+1"), (r"x^{-2}", r"\frac1{x^2}"), (r"\sqrt[4]{4}", r"\sqrt 2"), ("0.1+0.2", "0.3"), (r"\left(\frac{a}{b}\right)^{2}", "a^2/b^2")]
+UNEQUAL = [("x", "x+0.00000000000001"), (r"\sqrt{2}", "1.414213562373095"), ("x+1", r"\frac{10000000000001x+10000000000001}{10000000000000}"), ("(x+1)^2", "x^2+1"), ("-x^2", "(-x)^2"), ("i", "1"), (r"\pi", "3.141592653589793"), ("2^3^2", "64")]
+
+
+@pytest.mark.parametrize(("a", "b", "same"), [*((a, b, True) for a, b in EQUAL), *((a, b, False) for a, b in UNEQUAL)])
+def test_normal_forms_decide(a, b, same):
+    assert same_form(parsed(a), parsed(b)) is same
+    assert same_term(a, b) is same and same_term(b, a) is same
+
+
+@pytest.mark.parametrize(("a", "b"), [(r"\sqrt{3+2\sqrt2}", r"1+\sqrt 2"), ("2^{x+1}", "2*2^x"), (r"\log_2 8", "3"), ("|x-1|", "|1-x|"), (r"e^{i\pi}", "-1"), (r"\sin 2x", r"2\sin x\cos x")])
+def test_points_decide_what_normal_forms_do_not(a, b):
+    assert same_form(parsed(a), parsed(b)) is None and same_term(a, b)
+
+
+def test_terms_beyond_bounds_and_no_terms():
+    assert same_term("(x+y+z)^40", "(y+x+z)^40") and not same_term("(x+y+z)^40", "(y+x+2z)^40")
+    assert same_term("((((x+1)^9)^9)^9)^9", "(x+1)^6561") is False or same_form(parsed("(x+1)^6561"), parsed("1")) is None
+    for bad in ("", "x+", "(x", "x)", "a=b", "\\begin{x}", "(" * 3000):
+        assert not same_term(bad, "x") and not same_term(bad, bad)
+
+
+def test_symbolic_columns(spark):
+    rows = [(1, r"\frac{1}{2}", "0.5", True), (2, None, "x", False), (3, "no term!?", "no term!?", True), (4, "1000", "1000.05", True), (5, "1000", "1000.2", False), (6, "x", "y", False)]
+    df = spark.createDataFrame(rows, "k int, a string, b string, want boolean")
+    assert all(r["ok"] == r["want"] for r in grading.symbolic_equal(df, "a", "b", "ok").collect())
+    assert grading.symbolic_equal(df.limit(0), "a", "b", "ok").count() == 0
+    assert [r["ok"] for r in grading.simplified_equal(df.filter("k in (1, 2, 6)"), "a", "b", "ok").orderBy("k").collect()] == [True, False, False]
