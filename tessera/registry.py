@@ -10,11 +10,11 @@ from .functions import answers, grading, rewards
 from .operators import advantages, arrays, balance, dispatch, frame, frame_queries, metrics, token_queries
 from .plans import agents, curation, rows, shape_queries
 from .sources import round_trips, tables
-from .streaming import samples
+from .streaming import samples, turns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (advantages, agents, answers, arrays, balance, curation, dispatch, frame, frame_queries, grading, metrics, rewards, round_trips, rows, samples, shape_queries, tables, token_queries):
+for module in (advantages, agents, answers, arrays, balance, curation, dispatch, frame, frame_queries, grading, metrics, rewards, round_trips, rows, samples, shape_queries, tables, token_queries, turns):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)

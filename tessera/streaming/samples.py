@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import shared_path, written
 
@@ -163,27 +162,6 @@ class BoundedQueue:
             yield found.next()
 
 
-def count_windows(stream: DataFrame, key: str, order: str, value: str, size: int) -> DataFrame:
-    """For each key, windows of exactly ``size`` values in ``order``; a short tail stays in the state and never comes out."""
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, orders, values = state.get if state.exists else (0, [], [])
-        orders, values, out = list(orders), list(values), []
-        for f in frames:
-            orders += f["_o"].tolist()
-            values += f["_v"].tolist()
-        ranked = sorted(range(len(orders)), key=orders.__getitem__)
-        orders, values = [orders[i] for i in ranked], [values[i] for i in ranked]
-        while len(values) >= size:
-            out.append((k[0], number, orders[0], orders[size - 1], float(sum(values[:size]))))
-            orders, values, number = orders[size:], values[size:], number + 1
-        state.update((number, orders, values))
-        yield pd.DataFrame(out, columns=["key", "window", "first", "last", "total"])
-
-    use = stream.select(F.col(key).cast("string").alias("_k"), F.col(order).cast("long").alias("_o"), F.col(value).cast("double").alias("_v"))
-    return use.groupBy("_k").applyInPandasWithState(step, "key string, window long, first long, last long, total double", "number long, orders array<long>, vals array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
 def bucket_step(level: float, now: float, cost: float, at: float, rate: float, capacity: float) -> tuple[float, float]:
     """When a request may go, and the level behind it."""
     level = min(capacity, level + max(0.0, at - now) * rate)
@@ -271,10 +249,6 @@ def _events(spark, sf_dir) -> DataFrame:
     return source(spark, path, spark.read.parquet(path).schema)
 
 
-def m09_count_windows(spark, sf_dir):
-    return drained(count_windows(_events(spark, sf_dir), "event_type", "event_id", "user_id", 100), "windows")
-
-
 def m10_step_windows(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return step_windows(e.withColumn("step", F.col("event_id")), "step", 250).groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.max("user_id").alias("top"))
@@ -381,7 +355,7 @@ def m17_improvement(spark, sf_dir):
     return improvement_penalty(e, "user_id", "event_id", "value").select("event_id", "penalty")
 
 
-QUERIES = {f.__name__: f for f in (m03_statistics, m06_versions, m07_resumed_first, m21_side_channel, m24_restarted, m01_bounded_queue, m09_count_windows, m10_step_windows, m12_stream_aggregate, m14_rate_limited, m15_turn_states, m17_improvement)}
+QUERIES = {f.__name__: f for f in (m03_statistics, m06_versions, m07_resumed_first, m21_side_channel, m24_restarted, m01_bounded_queue, m10_step_windows, m12_stream_aggregate, m14_rate_limited, m15_turn_states, m17_improvement)}
 ORACLES = {
     "m01_bounded_queue": "SELECT i AS seq, event_id, user_id FROM (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n FROM events) WHERE i BETWEEN n - 500 AND n - 201",
     "m03_statistics": "SELECT unnest(['size', 'produced', 'consumed', 'dropped', 'version', 'next', 'full']) AS name, unnest([2 * n - n // 4 - n, 2 * n, n // 4 + n, 0, 3, n // 4, 1]) AS value FROM (SELECT count(*) AS n FROM events)",
@@ -390,7 +364,6 @@ ORACLES = {
     "m14_rate_limited": "WITH e AS (SELECT event_type, event_id, (user_id % 7 + 1)::DOUBLE AS c, epoch_us(ts) / 1e6 AS t FROM events), l AS (SELECT event_type, list({'id': event_id, 'c': c, 't': t, 'now': t, 'lvl': 10.0::DOUBLE, 'out': [t]} ORDER BY t, event_id) AS l FROM e GROUP BY 1), f AS (SELECT event_type, list_transform(l, lambda x: x.id) AS ids, list_reduce(list_concat([{'id': -1::BIGINT, 'c': 0.0::DOUBLE, 't': l[1].t, 'now': l[1].t, 'lvl': 10.0::DOUBLE, 'out': []::DOUBLE[]}], l), lambda a, x: {'id': x.id, 'c': x.c, 't': x.t, 'now': greatest(a.now, x.t) + greatest(least(x.c, 10.0) - least(10.0, a.lvl + greatest(0.0, x.t - a.now) * 0.5), 0.0) / 0.5, 'lvl': greatest(least(x.c, 10.0), least(10.0, a.lvl + greatest(0.0, x.t - a.now) * 0.5)) - x.c, 'out': list_append(a.out, greatest(a.now, x.t) + greatest(least(x.c, 10.0) - least(10.0, a.lvl + greatest(0.0, x.t - a.now) * 0.5), 0.0) / 0.5)}) AS r FROM l) SELECT event_type AS key, unnest(ids) AS ord, round(unnest(r.out), 3) AS at FROM f",
     "m21_side_channel": "SELECT CASE WHEN user_id % 5 = 0 THEN 'valid' ELSE 'train' END AS sink, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS events FROM events GROUP BY 1",
     "m24_restarted": "SELECT user_id, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS events FROM events GROUP BY 1",
-    "m09_count_windows": "WITH t AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i FROM events) SELECT event_type AS key, i // 100 AS window, min(event_id) AS first, max(event_id) AS last, CAST(sum(user_id) AS DOUBLE) AS total FROM t GROUP BY 1, 2 HAVING count(*) = 100",
     "m10_step_windows": "SELECT event_id // 250 AS window, count(*) AS n, max(user_id) AS top FROM events GROUP BY 1",
     "m12_stream_aggregate": "SELECT event_type, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1",
     "m15_turn_states": "WITH t AS (SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'prompt' WHEN role = 'assistant' THEN 'answer' ELSE 'user' END AS e FROM conversations) SELECT conv_id, CASE WHEN arg_max(e, turn) = 'answer' THEN 'INTERACTING' ELSE 'GENERATING' END AS state, count(*) FILTER (e <> 'answer' AND (turn = 0 OR b = 'answer'))::INT AS generations FROM (SELECT *, lag(e) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM t) GROUP BY 1",
