@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import bit_words, blocks, discard, lean, may_be_in, mix64, written
 from .near_copies import TEXT_BYTES, shingled, verified_links
-from .simhash_near import _named, _pairs, components, sorted_groups
+from .simhash_near import _named, _pairs, components, sorted_groups, star_links
 
 BUCKETS, ROWS, MANTISSA = 128, 4, 10
 BANDS = BUCKETS // ROWS
@@ -35,6 +35,8 @@ TINY = 24
 LIMIT = 2048
 #: Under a key with up to so many sets all candidates come out.
 SMALL = 4
+#: Links that a task holds before it makes stars of them.
+STAR_LINKS = 1 << 20
 #: Hashes of bands; fixed, so that reruns agree.
 SEED = 11
 
@@ -134,16 +136,19 @@ def _counted(keyed: DataFrame) -> DataFrame:
     return keyed.join(sizes, "key")
 
 
-def meetings(sets: DataFrame, *, least: float, limit: int) -> tuple[DataFrame, DataFrame]:
-    """key, rep of keys with 2 to ``limit`` sets; and the links a > b of the stars of larger ones."""
+def meetings(sets: DataFrame, *, least: float, limit: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """key, rep of keys with 2 to ``limit`` sets; the links a > b of the stars of larger ones; and the tables that both read."""
     large = sets.filter(F.col("n") >= int(least * (TINY + 1)))
     banded_met = written(_counted(banded(large)), "bands", compact=False)
+    tables = [banded_met]
     tiny_met = written(_counted(by_rare_shingles(sets.filter(F.col("n") <= TINY), least)), "shingles", compact=False)
+    tables.append(tiny_met)
     kept, stars = [x.filter(F.col("_c") <= limit).select("key", "rep") for x in (banded_met, tiny_met)], [tiny_met.filter(F.col("_c") > limit)]
     hot = banded_met.filter(F.col("_c") > limit).select(F.col("key").alias("_first"), "rep")
     if not hot.isEmpty():
         second = hot.join(banded(large), "rep").filter("key <> _first").select(F.xxhash64("_first", "key").alias("key"), "rep")
         again = written(_counted(second), "second-bands", compact=False)
+        tables.append(again)
         kept.append(again.filter(F.col("_c") <= limit).select("key", "rep"))
         stars.append(again.filter(F.col("_c") > limit))
     links = [s.filter("rep <> _head").select(F.col("rep").alias("a"), F.col("_head").alias("b")) for s in stars]
@@ -152,13 +157,17 @@ def meetings(sets: DataFrame, *, least: float, limit: int) -> tuple[DataFrame, D
         some = some.union(x)
     for x in links[1:]:
         ends = ends.union(x)
-    return some, ends
+    return some, ends, tables
 
 
 def candidates(met: DataFrame, *, least: float, deviations: float | None) -> DataFrame:
-    """a > b of rows key, rep, n, regs: links that connect, under each key, what all its candidates connect."""
+    """a > b of rows key, rep, n, regs: links that connect, under each key, what all its candidates connect.
+
+    A task turns what it has found into stars, so little is left for the rounds between tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for keys, reps, n, words in sorted_groups(batches):
             regs = words.view(np.uint16).reshape(len(words), BUCKETS)
             cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
@@ -181,10 +190,18 @@ def candidates(met: DataFrame, *, least: float, deviations: float | None) -> Dat
                     b.append(np.full(int(near.sum()), reps[at]))
                     todo.extend(rest[near].tolist())
                     rest = rest[~near]
-            pairs = _pairs(np.concatenate(a), np.concatenate(b))
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            held.append(_pairs(np.concatenate(a), np.concatenate(b)))
+            if sum(map(len, held)) > STAR_LINKS:
+                yield stars(held)
+                held = []
+        yield stars(held)
+
+    def stars(held: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.concatenate([np.zeros((0, 2), np.int64), *held])
+        pairs = star_links(pairs[:, 0], pairs[:, 1])
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return met.select("key", "rep", "n", "regs").repartition("key").sortWithinPartitions("key", "rep").mapInArrow(lean(run), "a long, b long").distinct()
+    return met.select("key", "rep", "n", "regs").repartition("key").sortWithinPartitions("key", "rep").mapInArrow(lean(run), "a long, b long")
 
 
 def _row_of(k: Column, h: Column) -> Column:
@@ -206,12 +223,10 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     prints = written(sketched(texts, shingle=shingle), "prints", compact=False)
     one = F.min(F.struct(F.col("_k").isNull().alias("none"), F.col("_k").alias("least"), "_h", "n", "regs", "few")).alias("r")
     sets = written(prints.filter("n > 0").groupBy("digest").agg(one).select("digest", "r.*").withColumn("rep", F.monotonically_increasing_id()), "classes", compact=False)
-    rows = written(prints.select("_k", "n", "digest"), "rows")
-    discard(prints)
-    classes = written(sets.select("digest", "rep", "least", "_h"), "class-keys")
-    some, stars = meetings(sets.select("rep", "n", "regs", "few"), least=least, limit=limit)
+    classes = sets.select("digest", "rep", "least", "_h")
+    some, stars, met = meetings(sets.select("rep", "n", "regs", "few"), least=least, limit=limit)
     found = written(candidates(some.join(sets.select("rep", "n", "regs"), "rep"), least=least, deviations=deviations).union(stars), "candidates")
-    discard(sets, some)
+    discard(*met)
     clouds = components(found, name="clouds")
     members = written(classes.join(clouds, classes["rep"] == clouds["node"]).select("rep", F.col("component").alias("cloud"), "least", F.col("_h").alias("_mh")), "members")
 
@@ -229,11 +244,11 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     compared = written(linked.mapInArrow(lean(full), "cloud long, rep long, n int, grams binary"), "sets", compact=False)
     links = written(verified_links(compared.dropDuplicates(["rep"]), least=least), "links")
     discard(compared, members, words, found, clouds)
-    parts = components(links)
+    parts = components(links, stars=True)
     named = _named(classes, parts).select("digest", "component_id")
-    out = rows.join(named, "digest", "left")
+    out = prints.select("_k", "n", "digest").join(named, "digest", "left")
     # an empty set is a component of its own
     component = F.when(F.col("n") == 0, F.col("_k")).otherwise(F.col("component_id"))
     out = written(out.select(F.col("_k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("_k").eqNullSafe(component).alias("kept")), "hyper-minhash")
-    discard(rows, classes, links, parts)
+    discard(prints, sets, links, parts)
     return out

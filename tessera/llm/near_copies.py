@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, bit_words, blocks, discard, flat, free_name, lean, may_be_in, mix64, runs, span_hashes, written
-from .simhash_near import _distance, _named, _pairs, components, sorted_groups
+from .simhash_near import _distance, _named, _pairs, components, sorted_groups, star_links
 
 #: Counters of shingles, in one table a task, and the pieces that they are sent in.
 COUNTERS = 1 << 20
@@ -198,6 +198,7 @@ def exact_links(sets: list[np.ndarray], block: np.ndarray, across: bool, least:
     posted, holders = rare_code[order], rare_doc[order]
     lo, hi = np.searchsorted(posted, rare_code), np.searchsorted(posted, rare_code, side="right")
     part, marked, links = np.arange(len(sets)), np.zeros(len(count), bool), []
+    members = [np.array([i]) for i in range(len(sets))]
     for i in range(len(sets)):
         if own[i] == own[i + 1]:
             continue
@@ -212,13 +213,16 @@ def exact_links(sets: list[np.ndarray], block: np.ndarray, across: bool, least:
         marked[code[ends[i] - n[i] : ends[i]]] = False
         for j in met[both >= least * (n[met] + n[i] - both) - 1e-9].tolist():
             if part[j] != part[i]:
-                part[part == part[j]] = part[i]
+                to, gone = (part[i], part[j]) if len(members[part[i]]) >= len(members[part[j]]) else (part[j], part[i])
+                part[members[gone]] = to  # the smaller part's rows change theirs
+                members[to], members[gone] = np.concatenate([members[to], members[gone]]), None
                 links.append((i, j))
     return links
 
 
 def verified_links(sets: DataFrame, *, least: float) -> DataFrame:
-    """a > b of rows cloud, rep, n, grams (binary, ascending hashes): links that connect all near copies of a cloud."""
+    """a > b of rows cloud, rep, n, grams (binary, ascending hashes): links that connect all near copies of a cloud, as
+    stars where the cloud is one block."""
     sizes = sets.groupBy("cloud").agg(F.sum(F.col("n").cast("long")).alias("_all"))
     blocked = sets.join(sizes, "cloud").withColumn("_blocks", F.ceil(F.col("_all") / F.lit(CLOUD_SHINGLES)) * 2)
     blocked = blocked.withColumn("block", F.expr("if(_blocks <= 2, 0, pmod(xxhash64(rep), _blocks))").cast("int"))
@@ -232,7 +236,7 @@ def verified_links(sets: DataFrame, *, least: float) -> DataFrame:
             reps, block = np.array([r[3] for r in held], np.int64), np.array([r[2] for r in held], np.int64)
             links = exact_links([np.frombuffer(r[4], np.uint64) for r in held], block, held[0][0] != held[0][1], least)
             ends = reps[np.array(links, np.int64).reshape(-1, 2)]
-            pairs = _pairs(ends[:, 0], ends[:, 1])
+            pairs = star_links(ends[:, 0], ends[:, 1])
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
@@ -246,7 +250,7 @@ def verified_links(sets: DataFrame, *, least: float) -> DataFrame:
         if held:
             yield found()
 
-    return pairs.repartition("cloud", "lo", "hi").sortWithinPartitions("cloud", "lo", "hi").select("cloud", "lo", "hi", "block", "rep", "grams").mapInArrow(lean(run), "a long, b long").distinct()
+    return pairs.repartition("cloud", "lo", "hi").sortWithinPartitions("cloud", "lo", "hi").select("cloud", "lo", "hi", "block", "rep", "grams").mapInArrow(lean(run), "a long, b long")
 
 
 def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -284,7 +288,7 @@ def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shi
     sets = written(linked.mapInArrow(lean(run), "cloud long, rep long, n int, grams binary"), "sets", compact=False)
     kept = written(verified_links(sets.dropDuplicates(["rep"]), least=least), "links")
     discard(sets, members, words, found, clouds)
-    parts = components(kept)
+    parts = components(kept, stars=True)
     named = _named(classes, parts)
     heads = named.filter("component is not null").groupBy("component").agg(F.min(F.struct(F.col("least").isNull(), "least", "rep")).alias("_s")).select(F.col("component").alias("_c"), F.col("_s.rep").alias("_first"))
     fate = named.join(heads, F.col("component") == F.col("_c"), "left").select("digest", "component_id", F.col("least").alias("_own"), F.coalesce(F.col("rep") == F.col("_first"), F.lit(True)).alias("_head"))

@@ -206,9 +206,27 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
 
 
-def components(edges: DataFrame, *, name: str = "stars") -> DataFrame:
-    """node, component (smallest node reachable, itself included) of every node of the edges a > b, by alternating stars."""
-    seen = None
+def star_links(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Links (larger, smallest) that connect each end with the smallest of those that the given links connect it with."""
+    ends, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    union = _Union(len(ends))
+    for i, j in zip(*np.split(at, 2), strict=True):
+        union.join(int(i), int(j))
+    heads = np.array([union.root(i) for i in range(len(ends))], np.int64)
+    pairs = np.stack([ends, ends[heads]], 1) if len(ends) else np.zeros((0, 2), np.int64)
+    return pairs[pairs[:, 0] != pairs[:, 1]]
+
+
+def _mark(edges: DataFrame):
+    return edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+
+
+def components(edges: DataFrame, *, name: str = "stars", stars: bool = False) -> DataFrame:
+    """node, component (smallest node reachable, itself included) of every node of the edges a > b, by alternating stars.
+
+    Where the edges (distinct ones) are most likely ``stars`` already, one round shows it.
+    """
+    given, seen = edges, _mark(edges) if stars else None
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -216,9 +234,9 @@ def components(edges: DataFrame, *, name: str = "stars") -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
         new = written(small, name)
-        if seen is not None:
+        if edges is not given:
             discard(edges)
-        mark = new.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        mark = _mark(new)
         edges = new
         if mark == seen:
             ends = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
