@@ -87,8 +87,12 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     last = np.r_[first[1:], True]
     gap = np.where(last, 1, gap)
     before = np.r_[np.uint8(1), gap[:-1]]
-    low = bytes(data).lower()
-    at = np.searchsorted(starts, np.fromiter((m.start() for m in _KEY_WORDS.finditer(low)), np.int64), side="right") - 1
+    # documents are parted by a byte that no key word has, so none is read over a border
+    raw, border = bytes(data).lower(), offsets.tolist()
+    low = b"\n".join(raw[a:b] for a, b in zip(border[:-1], border[1:], strict=True))
+    found = np.fromiter((m.start() for m in _KEY_WORDS.finditer(low)), np.int64)
+    found -= np.searchsorted(offsets + np.arange(len(offsets)), found, side="right") - 1
+    at = np.searchsorted(starts, found, side="right") - 1
     key = np.zeros(n + 2, bool)
     key[at[at >= 0]] = True
     key = key[:n]

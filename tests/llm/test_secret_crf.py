@@ -66,3 +66,57 @@ def test_null_keys_repeated_rows_and_a_very_long_text(spark):
     a = train(df, text="text", key="doc_id")
     b = train(df.orderBy("text").repartition(5), text="text", key="doc_id")
     assert all((x == y).all() for x, y in zip(a, b, strict=True))
+
+
+def test_features_do_not_cross_borders():
+    """A block's documents have the features that each has alone."""
+    import pyarrow as pa
+
+    from tessera.llm.common import flat
+    from tessera.llm.secret_crf import features
+
+    rng = np.random.default_rng(6)
+    some = ["api_", "key", "pass", "word", "passw", "ord", "sec", "ret", " ", "zq81x7", ": ", "\n", "private_", "é9", ""]
+    texts = ["my api_", "key zq81zq81 end", "x pass", "word 1", "", None, *("".join(rng.choice(some, int(rng.integers(0, 9)))) for _ in range(300))]
+    together = features(*flat(pa.array(texts)))
+    for i, t in enumerate(texts):
+        alone = features(*flat(pa.array([t], pa.string())))
+        own = together[2] == i
+        assert (together[3][own] == alone[3]).all() and own.sum() == len(alone[0])
+
+
+def test_precision_and_recall_on_planted_secrets(spark):
+    """Secrets of the shapes that were learnt, in other surroundings, among ids, hashes with words before them and mail addresses."""
+    from tessera.llm.secret_crf import find_secrets, train
+
+    rng = np.random.default_rng(8)
+    words, hexes = ["the", "of", "Erin", "and", "reader,", "12", "lines"], list("0123456789abcdef")
+
+    def prose(n):
+        return list(rng.choice(words, n))
+
+    def value(n):
+        return "".join(rng.choice(hexes, n))
+
+    fit = []
+    for i in range(400):
+        w = prose(40)
+        if i % 2:
+            w.insert(int(rng.integers(40)), f'token = "{value(40)}"')
+        fit.append((i, " ".join(w)))
+    tests, planted = [], {}
+    for i in range(300):
+        w = prose(40)
+        if i % 3 == 0:  # too short for a base pattern, and no key word
+            planted[i] = value(int(rng.integers(18, 24)))
+            w.insert(20, planted[i])
+        elif i % 3 == 1:
+            w.insert(20, str(rng.choice([f"reader{rng.integers(99)}@mail.example", f"order-{rng.integers(10**6)}", "2024-01-02", "internationalization"])))
+        tests.append((i, " ".join(w)))
+    model = train(spark.createDataFrame(fit, "doc_id long, text string"), text="text", key="doc_id")
+    got = {r["doc_id"]: [s.split(":") for s in r["spans"].split(",") if s.startswith("crf")] for r in find_secrets(spark.createDataFrame(tests, "doc_id long, text string"), model=model).collect()}
+    text = dict(tests)
+    hits = sum(any(text[i][int(a) : int(b)] == s for _, a, b in got[i]) for i, s in planted.items())
+    false = sum(len(v) for i, v in got.items() if i not in planted)
+    print("recall", hits / len(planted), "false alarms", false)
+    assert hits >= 0.8 * len(planted) and false <= 10
