@@ -234,27 +234,35 @@ def counted(text: str, encoder: Encoder) -> tuple[list[int], list[int]]:
     return [len(p) for p in pieces], encoder.count(pieces)
 
 
-_TREE = [T.StructField("leaf_chars", T.ArrayType(T.IntegerType())), T.StructField("leaf_tokens", T.ArrayType(T.IntegerType()))]
+_TREE = [T.StructField("leaf_chars", T.ArrayType(T.IntegerType())), T.StructField("leaf_tokens", T.ArrayType(T.IntegerType())), T.StructField("leaf_digest", T.LongType())]
 EDITS = "array<struct<start:long,n_delete:long,insert:string>>"
 
 
+def _digest(text: str) -> int:
+    """Signed XXH64 of the text that leaves were made of."""
+    import xxhash
+
+    return int.from_bytes(xxhash.xxh64_digest(text.encode()), "big", signed=True)
+
+
 def _ints(lists: list) -> pa.Array:
     return pa.array(lists, pa.list_(pa.int32()))
 
 
 def token_trees(docs: DataFrame, tokenizer_path: str, pattern: str, *, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and leaf_chars, leaf_tokens, n_tokens (columns of these names are replaced).
+    """All columns of ``docs`` and leaf_chars, leaf_tokens, leaf_digest (of the text), n_tokens (such columns are replaced).
 
     Null texts count as empty (no token); keys may be null or repeat; an empty table gives no rows.
     """
-    plain, t = docs.drop("leaf_chars", "leaf_tokens", "n_tokens"), free_name("_t", docs.columns)
+    plain, t = docs.drop("leaf_chars", "leaf_tokens", "leaf_digest", "n_tokens"), free_name("_t", docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer_path, pattern)
         for b in blocks(batches, t):
-            trees = [counted(x, encoder) for x in pc.fill_null(b.column(t), "").to_pylist()]
+            texts = pc.fill_null(b.column(t), "").to_pylist()
+            trees = [counted(x, encoder) for x in texts]
             k = b.num_columns - 1
-            yield pa.RecordBatch.from_arrays([*b.columns[:k], _ints([c for c, _ in trees]), _ints([n for _, n in trees]), pa.array([sum(n) for _, n in trees], pa.int64())], [*b.schema.names[:k], "leaf_chars", "leaf_tokens", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], _ints([c for c, _ in trees]), _ints([n for _, n in trees]), pa.array([_digest(x) for x in texts], pa.int64()), pa.array([sum(n) for _, n in trees], pa.int64())], [*b.schema.names[:k], "leaf_chars", "leaf_tokens", "leaf_digest", "n_tokens"])
 
     return plain.select("*", F.col(f"`{text}`").cast("string").alias(t)).mapInArrow(lean(run), T.StructType([*plain.schema.fields, *_TREE, T.StructField("n_tokens", T.LongType())]))
 
@@ -262,26 +270,28 @@ def token_trees(docs: DataFrame, tokenizer_path: str, pattern: str, *, text: str
 def apply_edits(trees: DataFrame, tokenizer_path: str, pattern: str, *, text: str = "text", edits: str = "edits") -> DataFrame:
     """Apply each row's edits in turn: the text, leaf_chars, leaf_tokens and n_tokens are those after the edits.
 
-    ``trees`` comes from ``token_trees`` (where leaves are null or don't fit the text, they are made anew) and has the column ``edits`` (see EDITS; null: none), whose starts refer to the
+    ``trees`` comes from ``token_trees`` (where leaves are null or are not of this text, by its digest, they are made anew) and has the column ``edits`` (see EDITS; null: none), whose starts refer to the
     text as the edits before left it.  Adds n_tokens_before and n_encoded_chars, the characters that were encoded again.
     """
-    rest = [c for c in trees.columns if c not in (text, edits, "leaf_chars", "leaf_tokens", "n_tokens", "n_tokens_before", "n_encoded_chars")]
-    own = [free_name(n, trees.columns) for n in ("_t", "_c", "_n", "_b", "_e")]
-    given = trees.select(*[F.col(f"`{c}`") for c in rest], *[c.alias(n) for c, n in zip((F.col(f"`{text}`").cast("string"), F.col("leaf_chars"), F.col("leaf_tokens"), F.col("n_tokens"), F.col(f"`{edits}`").cast(EDITS)), own, strict=True)])
+    rest = [c for c in trees.columns if c not in (text, edits, "leaf_chars", "leaf_tokens", "leaf_digest", "n_tokens", "n_tokens_before", "n_encoded_chars")]
+    own = [free_name(n, trees.columns) for n in ("_t", "_c", "_n", "_b", "_e", "_d")]
+    digest = F.col("leaf_digest") if "leaf_digest" in trees.columns else F.lit(None).cast("long")
+    given = trees.select(*[F.col(f"`{c}`") for c in rest], *[c.alias(n) for c, n in zip((F.col(f"`{text}`").cast("string"), F.col("leaf_chars"), F.col("leaf_tokens"), F.col("n_tokens"), F.col(f"`{edits}`").cast(EDITS), digest), own, strict=True)])
     fields = [*(trees.schema[c] for c in rest), T.StructField(text, T.StringType()), *_TREE, T.StructField("n_tokens", T.LongType()), T.StructField("n_tokens_before", T.LongType()), T.StructField("n_encoded_chars", T.LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer_path, pattern)
         for b in blocks(batches, own[0]):
             done = []
-            for t, c, n, e in zip(*(b.column(own[i]).to_pylist() for i in (0, 1, 2, 4)), strict=True):
+            for t, c, n, e, of in zip(*(b.column(own[i]).to_pylist() for i in (0, 1, 2, 4, 5)), strict=True):
                 t = t or ""
-                d = Document(t, c, n) if c is not None and n is not None and sum(c) == len(t) else Document.build(t, encoder)
+                fits = c is not None and n is not None and len(c) == len(n) and sum(c) == len(t) and of == _digest(t)
+                d = Document(t, c, n) if fits else Document.build(t, encoder)
                 for x in e or ():
                     d.edit(x["start"] or 0, x["n_delete"] or 0, x["insert"] or "", encoder)
                 done.append(d)
             texts, chars, tokens = zip(*(d.state() for d in done), strict=True)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(texts, pa.string()), _ints(chars), _ints(tokens), pa.array([d.total[1] for d in done], pa.int64()), b.column(own[3]), pa.array([d.encoded for d in done], pa.int64())], [f.name for f in fields])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(texts, pa.string()), _ints(chars), _ints(tokens), pa.array([_digest(t) for t in texts], pa.int64()), pa.array([d.total[1] for d in done], pa.int64()), b.column(own[3]), pa.array([d.encoded for d in done], pa.int64())], [f.name for f in fields])
 
     return given.mapInArrow(lean(run), T.StructType(fields))
 

@@ -80,6 +80,21 @@ def test_edits_encode_little(spark, encoder):
         assert "x" in r["text"] and r["n_tokens"] == sum(r["leaf_tokens"]) == len(encoder.encoding.encode_ordinary(r["text"]))
 
 
+def test_leaves_of_another_text_are_made_anew(spark, encoder):
+    from pyspark.sql import functions as F
+
+    from tessera.llm.token_counts import apply_edits, token_trees
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    long = "a very long text, 42 " * 60_000
+    trees = token_trees(spark.createDataFrame([(1, "aaaa bbbb cccc"), (2, long)], "doc_id long, text string"), path, P.PATTERN)
+    other = trees.withColumns({"text": F.when(F.col("doc_id") == 1, "x9!x9!x9!x9!x9").otherwise(F.col("text")), "edits": F.expr("array(named_struct('start', 0L, 'n_delete', 0L, 'insert', 'z'))")})
+    got = {r["doc_id"]: r for r in apply_edits(other, path, P.PATTERN).collect()}
+    for k, text in ((1, "zx9!x9!x9!x9!x9"), (2, "z" + long)):
+        assert got[k]["text"] == text and got[k]["n_tokens"] == len(encoder.encoding.encode_ordinary(text))
+    assert got[2]["n_encoded_chars"] < 2000
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
 def test_the_registered_query_counts_edited_texts(spark, encoder):
     from tessera.llm.queries import op3_token_counts
