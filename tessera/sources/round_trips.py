@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_path, written
 from . import tables
 
 
-def read_steps(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines of a folder with ``step`` from the number in each file's name."""
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)\.jsonl?$", 1)
-    return spark.read.schema(schema).json(path).withColumn("step", name.cast("long"))
-
-
 def fan_out(rows: DataFrame, sinks: dict[str, object]) -> None:
     """The same metric rows to several sinks, each a function of the frame; the frame is made once."""
     kept = written(rows, "metrics")
@@ -77,23 +71,6 @@ def s10_generations(spark, sf_dir):
     return tables.read_generations(spark, root, "o_orderkey long, o_custkey long, o_orderpriority string, step long", mask="[0-9]-", strings=["o_orderpriority"]).filter("step = 2")
 
 
-def s13_steps(spark, sf_dir):
-    """Files named for their steps, in the order of the steps and of the lines' keys."""
-    root = shared_path(spark, "steps")
-    for step in (2, 10, 1):
-        part = f"{root}-{step}"
-        _orders(spark, sf_dir).filter(F.col("o_orderkey") % 11 == step).coalesce(1).write.json(part)
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path
-        fs = path(root).getFileSystem(conf)
-        made = next(s.getPath() for s in fs.listStatus(path(part)) if s.getPath().getName().startswith("part-"))
-        fs.mkdirs(path(root))
-        fs.rename(made, path(f"{root}/{step}.jsonl"))
-    got = read_steps(spark, root, "o_orderkey long, o_custkey long, o_orderpriority string")
-    return got.groupBy("step").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys")).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("step")).cast("long"))
-
-
 def s14_dual(spark, sf_dir):
     """The same rows from the Parquet and from the JSON lines of a dual sink."""
     root = shared_path(spark, "dual")
@@ -160,7 +137,7 @@ def s07_copied(spark, sf_dir):
     return spark.read.parquet(root).select("n_nationkey", "n_name")
 
 
-QUERIES = {f.__name__: f for f in (s02_chats, s03_nested, s04_pairs, s08_saved_batch, s10_generations, s13_steps, s14_dual, s15_exported, s17_sinks, s21_generated, s24_reused, s07_copied, t17_sampled)}
+QUERIES = {f.__name__: f for f in (s02_chats, s03_nested, s04_pairs, s08_saved_batch, s10_generations, s14_dual, s15_exported, s17_sinks, s21_generated, s24_reused, s07_copied, t17_sampled)}
 ORACLES = {
     "s02_chats": "WITH c AS (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1) SELECT turns::INT AS turns, CASE WHEN conv_id % 2 = 1 THEN '[]' END AS tools, NULL::VARCHAR AS enable_thinking, count(*) AS n, count(DISTINCT (SELECT md5(string_agg(turn || coalesce(role, '') || coalesce(text, ''), chr(1) ORDER BY turn)) FROM conversations x WHERE x.conv_id = c.conv_id)) AS digests FROM c GROUP BY 1, 2",
     "s03_nested": "SELECT o_orderkey, o_custkey AS id FROM orders",
@@ -168,7 +145,6 @@ ORACLES = {
     "s07_copied": "SELECT n_nationkey, n_name FROM nation",
     "s08_saved_batch": "SELECT o_orderkey, o_custkey, 7::BIGINT AS step, 'a,b' AS names FROM orders",
     "s10_generations": "SELECT o_orderkey, o_custkey, '*' || o_orderpriority[3:] AS o_orderpriority, 2::BIGINT AS step FROM orders WHERE o_orderkey % 4 = 2",
-    "s13_steps": "SELECT step, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, row_number() OVER (ORDER BY step) AS place FROM (SELECT o_orderkey % 11 AS step, o_orderkey FROM orders) WHERE step IN (1, 2, 10) GROUP BY 1",
     "s14_dual": "SELECT 0::BIGINT AS only_parquet, count(*) AS lines, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders",
     "s15_exported": "SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) - 1 AS sample_id, l_partkey AS response FROM lineitem",
     "s17_sinks": "SELECT event_id // 500 AS step, count(*) AS n, max(user_id) AS top, max(user_id) AS line_top FROM events GROUP BY 1",
