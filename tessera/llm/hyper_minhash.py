@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import bit_words, blocks, discard, lean, may_be_in, mix64, written
 from .near_copies import TEXT_BYTES, shingled, verified_links
-from .simhash_near import _named, _pairs, components, sorted_groups, star_links
+from .simhash_near import _named, _pairs, components, sorted_groups
 
 BUCKETS, ROWS, MANTISSA = 128, 4, 10
 BANDS = BUCKETS // ROWS
@@ -35,8 +35,6 @@ TINY = 24
 LIMIT = 2048
 #: Under a key with up to so many sets all candidates come out.
 SMALL = 4
-#: Links that a task holds before it makes stars of them.
-STAR_LINKS = 1 << 20
 #: Hashes of bands; fixed, so that reruns agree.
 SEED = 11
 
@@ -163,11 +161,10 @@ def meetings(sets: DataFrame, *, least: float, limit: int) -> tuple[DataFrame, D
 def candidates(met: DataFrame, *, least: float, deviations: float | None) -> DataFrame:
     """a > b of rows key, rep, n, regs: links that connect, under each key, what all its candidates connect.
 
-    A task turns what it has found into stars, so little is left for the rounds between tasks.
+    What is connected under a key is a star around its smallest set, so keys of the same sets give the same links.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
         for keys, reps, n, words in sorted_groups(batches):
             regs = words.view(np.uint16).reshape(len(words), BUCKETS)
             cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
@@ -180,28 +177,20 @@ def candidates(met: DataFrame, *, least: float, deviations: float | None) -> Dat
                 a.append(reps[i])
                 b.append(reps[i + k])
             for lo, m in zip(cut[:-1][sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-                rest, todo = np.arange(lo, lo + m), []
+                rest, todo, head = np.arange(lo, lo + m), [], lo
                 while len(rest):  # each row takes its candidates out of the rows that have none yet
                     if not todo:
-                        todo, rest = [rest[0]], rest[1:]
+                        head, todo, rest = rest[0], [rest[0]], rest[1:]
                     at = todo.pop()
                     near = may_link(regs[at], regs[rest], n[at], n[rest], least, deviations)
                     a.append(reps[rest[near]])
-                    b.append(np.full(int(near.sum()), reps[at]))
+                    b.append(np.full(int(near.sum()), reps[head]))  # the smallest of what is connected
                     todo.extend(rest[near].tolist())
                     rest = rest[~near]
-            held.append(_pairs(np.concatenate(a), np.concatenate(b)))
-            if sum(map(len, held)) > STAR_LINKS:
-                yield stars(held)
-                held = []
-        yield stars(held)
-
-    def stars(held: list[np.ndarray]) -> pa.RecordBatch:
-        pairs = np.concatenate([np.zeros((0, 2), np.int64), *held])
-        pairs = star_links(pairs[:, 0], pairs[:, 1])
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    return met.select("key", "rep", "n", "regs").repartition("key").sortWithinPartitions("key", "rep").mapInArrow(lean(run), "a long, b long")
+            pairs = _pairs(np.concatenate(a), np.concatenate(b))
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return met.select("key", "rep", "n", "regs").repartition("key").sortWithinPartitions("key", "rep").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _row_of(k: Column, h: Column) -> Column:
