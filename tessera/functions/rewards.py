@@ -198,12 +198,12 @@ def x12_given_scores(spark, sf_dir):
 
 
 def x05_registries(spark, sf_dir):
-    """What is registered, by kind."""
-    from tessera.operators.advantages import ESTIMATORS
-    from tessera.operators.tokens import POLICY_LOSSES
-
-    rows = [("manager", n) for n in MANAGERS] + [("loss", n) for n in POLICY_LOSSES] + [("estimator", n) for n in ESTIMATORS]
-    return spark.createDataFrame(rows, "kind string, name string").groupBy("kind").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"))
+    """The same rows under each manager that takes a column of scores, found by its name."""
+    rows, out = _responses(spark, sf_dir).withColumn("rm_score", F.lit(None).cast("double")), None
+    for name, options in (("naive", {}), ("dapo", {"most": 8, "buffer": 4})):
+        part = get_manager(name)(rows, F.col("price"), "len", 8, **options).select(F.lit(name).alias("manager"), "o_orderkey", F.round("score", 4).alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def x14_loaded_function(spark, sf_dir):
@@ -224,6 +224,6 @@ ORACLES = {
     "x11_overlong_scores": f"SELECT o_orderkey, round(price + least(-(len - 4) / 4.0 * 0.5, 0), 5) AS score FROM {_R}",
     "x12_given_scores": f"SELECT o_orderkey, CASE WHEN len > 4 THEN 9.5 ELSE price END::DOUBLE AS score FROM {_R}",
     "x14_loaded_function": f"SELECT o_orderkey, (len * 3)::DOUBLE AS score FROM {_R}",
-    "x05_registries": "SELECT * FROM (VALUES ('manager', 5::BIGINT, 'batch,dapo,naive,prime,rate_limited'), ('loss', 7, 'clip_cov,geo_mean,gpg,gspo,kl_cov,rollout_correction,vanilla'), ('estimator', 8, 'group_baseline,grpo,grpo_mean_only,grpo_passk,grpo_vectorized,opo,rloo,rloo_vectorized')) t(kind, n, names)",
+    "x05_registries": f"SELECT m AS manager, o_orderkey, round(price + CASE WHEN m = 'dapo' THEN least(-(len - 4) / 4.0, 0) ELSE 0 END, 4) AS score FROM {_R}, (SELECT unnest(['naive', 'dapo']) AS m)",
     "x06_scattered": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_discount = 0 THEN 1 ELSE l_linenumber END::BIGINT AS place, round(l_discount, 4) AS total FROM lineitem",
 }

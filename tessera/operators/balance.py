@@ -1,15 +1,16 @@
 """Layout by sequence length: k-way balanced partitions, token-budget batches and their inverse.
 
-Within a batch the partition is a small combinatorial problem over (row, length) pairs; batches are independent, so they
-are solved side by side, a group each.  A group is one training batch and is bounded by its size.
+Within a batch the partition is a small combinatorial problem over (row, length) pairs; batches are independent, so tasks
+take many of them at a time, sorted.  A batch is one training batch and is bounded by its size.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,21 +85,51 @@ def bins_needed(total: int, budget: int, at_least: int = 1, multiple: int = 1) -
     return -(-n // multiple) * multiple
 
 
+def by_batch(use: DataFrame, assign: Callable[[list[int], list[int], int], Iterable[tuple[int, int, int]]], names: Sequence[str]) -> DataFrame:
+    """batch, row and two numbers (named) that ``assign`` gives for the rows, lengths and k of each batch of ``use``.
+
+    Tasks take their batches sorted, many in one Arrow batch; a batch is cut only by the end of its rows.
+    """
+    schema = f"batch long, row long, {names[0]} int, {names[1]} int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def done(columns: list[np.ndarray]) -> pa.RecordBatch:
+            group, row, length, k = columns
+            cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if len(group) else np.zeros(1, np.int64)
+            out = [(int(group[lo]), *x) for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) for x in assign(row[lo:hi].tolist(), length[lo:hi].tolist(), int(k[lo]))]
+            parts = list(zip(*out, strict=True)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(parts, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["batch", "row", *names])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            columns = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
+            last = int(np.searchsorted(columns[0], columns[0][-1]))  # the last batch may go on
+            held = [c[last:] for c in columns]
+            if last:
+                yield done([c[:last] for c in columns])
+        if held:
+            yield done(held)
+
+    return use.select("batch", "row", "length", "k").repartition("batch").sortWithinPartitions("batch", "row").mapInArrow(run, schema)
+
+
 def balanced(df: DataFrame, batch: str, row: str, length: str, k: int, equal_size: bool = True) -> DataFrame:
     """(batch, row, partition, place): each batch's rows balanced over k partitions, in zigzag order within each.
 
     Without ``equal_size`` a batch of fewer rows than k gets a partition a row.
     """
-    use = df.select(F.col(batch).alias("batch"), F.col(row).alias("row"), F.col(length).cast("long").alias("length"))
+    use = df.select(F.col(batch).cast("long").alias("batch"), F.col(row).cast("long").alias("row"), F.col(length).cast("long").alias("length"), F.lit(k).alias("k"))
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("row")
-        x = g["length"].tolist()
-        rows, cost = g["row"].tolist(), [24576 * v + v * v for v in x]
-        out = [(g["batch"].iloc[0], rows[i], p, at) for p, part in enumerate(differencing(cost, k if equal_size else min(k, len(rows)), equal_size)) for at, i in enumerate(zigzag(part, cost))]
-        return pd.DataFrame(out, columns=["batch", "row", "partition", "place"])
+    def assign(rows: list[int], x: list[int], k: int) -> Iterator[tuple[int, int, int]]:
+        cost = [24576 * v + v * v for v in x]
+        for p, part in enumerate(differencing(cost, k if equal_size else min(k, len(rows)), equal_size)):
+            yield from ((rows[i], p, at) for at, i in enumerate(zigzag(part, cost)))
 
-    return use.groupBy("batch").applyInPandas(one, "batch long, row long, partition int, place int")
+    return by_batch(use, assign, ["partition", "place"])
 
 
 def token_batches(df: DataFrame, batch: str, row: str, length: str, budget: int, *, at_least: int = 1, multiple: int = 1, step: str | None = None, ordered: bool = True) -> DataFrame:
@@ -109,7 +140,7 @@ def token_batches(df: DataFrame, batch: str, row: str, length: str, budget: int,
     With ``ordered`` small micro batches stand at both ends.  The budget is on the mean: balancing keeps every micro batch
     near it, as the number of bins is its only constraint.  ``place`` is the row's place in its micro batch.
     """
-    use = df.select(F.col(batch).alias("batch"), F.col(row).alias("row"), F.col(length).cast("long").alias("length"), (F.col(step) if step else F.lit(None)).alias("step"))
+    use = df.select(F.col(batch).cast("long").alias("batch"), F.col(row).cast("long").alias("row"), F.col(length).cast("long").alias("length"), (F.col(step) if step else F.lit(None)).alias("step"))
     sizes = use.groupBy("batch").agg(F.first("step").alias("step"), F.count("*").alias("n"), F.sum("length").alias("total"), F.max("length").alias("most"))
     own = F.greatest(F.lit(at_least).cast("long"), F.least("n", F.ceil(F.col("total") / budget)))
     sizes = sizes.withColumn("k", F.max(own).over(Window.partitionBy("step")) if step else own).withColumn("k", F.ceil(F.col("k") / multiple) * multiple)
@@ -117,16 +148,14 @@ def token_batches(df: DataFrame, batch: str, row: str, length: str, budget: int,
     few = F.raise_error(F.format_string("%d rows don't make %d micro batches", "n", "k")).cast("long")
     sizes = sizes.select(F.col("batch").alias("_batch"), F.when(F.col("most") > budget, long).when(F.col("k") > F.col("n"), few).otherwise(F.col("k")).alias("k"))
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("row")
-        x, rows, k = g["length"].tolist(), g["row"].tolist(), int(g["k"].iloc[0])
+    def assign(rows: list[int], x: list[int], k: int) -> Iterator[tuple[int, int, int]]:
         cost = [24576 * v + v * v for v in x]
         parts = differencing(cost, k)
         load = [sum(cost[i] for i in p) for p in parts]
-        out = [(g["batch"].iloc[0], rows[i], at, place) for at, p in enumerate(zigzag(range(k), load) if ordered else range(k)) for place, i in enumerate(parts[p])]
-        return pd.DataFrame(out, columns=["batch", "row", "micro_batch", "place"])
+        for at, p in enumerate(zigzag(range(k), load) if ordered else range(k)):
+            yield from ((rows[i], at, place) for place, i in enumerate(parts[p]))
 
-    return use.join(sizes, F.col("batch") == F.col("_batch")).drop("_batch").groupBy("batch").applyInPandas(one, "batch long, row long, micro_batch int, place int")
+    return by_batch(use.join(sizes, F.col("batch") == F.col("_batch")), assign, ["micro_batch", "place"])
 
 
 def packed(df: DataFrame, batch: str, micro: str, place: str, row: str, tokens: str) -> DataFrame:
@@ -209,9 +238,12 @@ def t12_token_batches(spark, sf_dir):
 
 def t13_same_count(spark, sf_dir):
     """Four batches are the ranks of a step and get as many micro batches, in multiples of two, three at least."""
-    s = _sequences(spark, sf_dir).withColumn("step", F.expr("batch div 4"))
-    sized = s.join(s.groupBy("batch").agg(F.count("*").alias("c")), "batch").filter("c >= 16")
-    done = token_batches(sized, "batch", "row", "length", 2048, at_least=3, multiple=2, step="step")
+    s = _sequences(spark, sf_dir)
+    # a batch of few rows is a step of its own, as no batch can have more micro batches than rows
+    sized = s.join(s.groupBy("batch").agg(F.count("*").alias("c")), "batch")
+    large = sized.filter("c >= 16").withColumn("step", F.expr("batch div 4"))
+    small = sized.filter("c < 16").withColumn("step", F.col("batch"))
+    done = token_batches(large, "batch", "row", "length", 2048, at_least=3, multiple=2, step="step").union(token_batches(small, "batch", "row", "length", 2048, step="step"))
     return done.groupBy("batch").agg(F.count_distinct("micro_batch").alias("micro_batches"), F.count_distinct("row").alias("rows"))
 
 
@@ -247,7 +279,7 @@ ORACLES = {
     "t09_balanced": f"SELECT batch, count(*) AS n, least(count(*), 8) AS partitions, 0::BIGINT AS unequal, CAST(sum(length) AS BIGINT) AS tokens, true AS even FROM {_SEQ} GROUP BY 1",
     "t09_placed": f"SELECT DISTINCT batch, true AS up_down, true AS dense FROM {_SEQ}",
     "t12_token_batches": f"SELECT batch, count(*) AS n, CAST(ceil(sum(length) / 4096.0) AS BIGINT) AS micro_batches, CAST(sum(length) AS BIGINT) AS tokens, true AS even, true AS up_down FROM {_SEQ} GROUP BY 1",
-    "t13_same_count": f"WITH b AS (SELECT batch, batch // 4 AS step, count(*) AS rows, greatest(3, least(count(*), ceil(sum(length) / 2048.0))) AS k FROM {_SEQ} GROUP BY 1 HAVING count(*) >= 16) SELECT batch, CAST(ceil(max(k) OVER (PARTITION BY step) / 2) * 2 AS BIGINT) AS micro_batches, rows FROM b",
+    "t13_same_count": f"WITH b AS (SELECT batch, batch // 4 AS step, count(*) AS rows, greatest(3, least(count(*), ceil(sum(length) / 2048.0))) AS k FROM {_SEQ} GROUP BY 1 HAVING count(*) >= 16) SELECT batch, CAST(ceil(max(k) OVER (PARTITION BY step) / 2) * 2 AS BIGINT) AS micro_batches, rows FROM b UNION ALL SELECT batch, CAST(greatest(1, least(count(*), ceil(sum(length) / 2048.0))) AS BIGINT), count(*) FROM {_SEQ} GROUP BY 1 HAVING count(*) < 16",
     "t14_restored": "SELECT l_orderkey AS row, string_agg(l_partkey, ',' ORDER BY l_partkey) AS tokens FROM lineitem GROUP BY 1",
     "t26_inverse": "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS position, o_orderkey AS row FROM orders",
     "a28_chunk_imbalance": f"SELECT CAST(min(s) AS BIGINT) AS min, CAST(max(s) AS BIGINT) AS max, CAST(max(s) - min(s) AS BIGINT) AS minmax_diff, round(avg(s), 4) AS mean FROM (SELECT batch, sum(length) AS s FROM {_SEQ} GROUP BY 1)",

@@ -1,7 +1,7 @@
 """Agents and their surroundings: registries of parsers, tools with a life of their own, generators, prefetching, time limits.
 
-A tool's state lives with its trajectory: the calls of one trajectory go through one instance in order, in one group; groups
-are bounded by the turns of a trajectory and run side by side.
+Tools and generators are Python table functions over a table that is partitioned by trajectory (or key) and ordered: one
+instance a partition sees its rows one after the other, so nothing of a long trajectory is held but the tool's own state.
 """
 
 from __future__ import annotations
@@ -11,9 +11,10 @@ import threading
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
 from ..functions import answers
 from ..functions.rewards import scattered
@@ -83,31 +84,47 @@ class AnswerCheck(Tool):
         return self.best
 
 
+def _table_argument(argument: AnalyzeArgument, columns: set[str]) -> None:
+    if not argument.isTable:
+        raise ValueError("the function takes a table")
+    if missing := columns - set(argument.dataType.names):
+        raise ValueError(f"the table has no {sorted(missing)}")
+
+
 def run_tools(calls: DataFrame, trajectory: str, order: str, name: str, arguments: str) -> DataFrame:
     """trajectory, ord, response, step_reward, tool_reward of the calls (JSON arguments) of each trajectory, in order.
 
     Every tool has one instance a trajectory; an unknown tool or broken arguments give an error as response and 0.
     """
     use = calls.select(F.col(trajectory).cast("long").alias("trajectory"), F.col(order).cast("long").alias("ord"), F.col(name).alias("name"), F.col(arguments).alias("arguments"))
-    tools = dict(TOOLS)
+    tools, out = dict(TOOLS), StructType.fromDDL("trajectory long, ord long, response string, step_reward double, tool_reward double")
+
+    @F.udtf
+    class ToolCalls:
+        @staticmethod
+        def analyze(table: AnalyzeArgument) -> AnalyzeResult:
+            _table_argument(table, {"trajectory", "ord", "name", "arguments"})
+            return AnalyzeResult(schema=out, partitionBy=[PartitioningColumn("trajectory")], orderBy=[OrderingColumn("ord")])
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        held: dict[str, Tool] = {}
-        out = []
-        for r in g.sort_values("ord").itertuples():
+        def __init__(self):
+            self.held: dict[str, Tool] = {}
+
+        def eval(self, row: Row) -> Iterator[tuple]:
             try:
-                if r.name not in held:
-                    held[r.name] = tools[r.name]()
-                    held[r.name].create(r.trajectory)
-                response, step = held[r.name].execute(json.loads(r.arguments))
-                out.append((r.trajectory, r.ord, response, step, held[r.name].reward()))
+                if row["name"] not in self.held:
+                    tool = tools[row["name"]]()
+                    tool.create(row["trajectory"])
+                    self.held[row["name"]] = tool
+                response, step = self.held[row["name"]].execute(json.loads(row["arguments"]))
+                yield row["trajectory"], row["ord"], response, float(step), float(self.held[row["name"]].reward())
             except (KeyError, ValueError, TypeError) as error:
-                out.append((r.trajectory, r.ord, f"error: {type(error).__name__}", 0.0, 0.0))
-        for tool in held.values():
-            tool.release()
-        return pd.DataFrame(out, columns=["trajectory", "ord", "response", "step_reward", "tool_reward"])
+                yield row["trajectory"], row["ord"], f"error: {type(error).__name__}", 0.0, 0.0
+
+        def terminate(self) -> None:
+            for tool in self.held.values():
+                tool.release()
 
-    return use.groupBy("trajectory").applyInPandas(one, "trajectory long, ord long, response string, step_reward double, tool_reward double")
+    return ToolCalls(use.asTable())
 
 
 # --- rows of loops ---
@@ -137,17 +154,54 @@ def stage_prompts(df: DataFrame, messages: str, truth: str, instruction: str) ->
 
 
 # --- generators and limits ---
-def generated_table(spark: SparkSession, generator: Callable[[int], Iterable[tuple]], schema: str, seeds: int, partitions: int = 8) -> DataFrame:
-    """Rows that a user's generator gives for the seeds 0..seeds-1, made on the executors."""
-    from pyspark.sql.types import StructType
+class Generator:
+    """A user's generator of new rows from old ones: start of a key, each of its rows in order, and the end."""
+
+    def start(self, key) -> None: ...
+
+    def row(self, row: dict) -> Iterable[tuple]:
+        return ()
+
+    def end(self) -> Iterable[tuple]:
+        return ()
+
+
+def generated_table(df: DataFrame, generator: Callable[[], Generator], schema: str, key: str, order: str) -> DataFrame:
+    """What a generator gives for the rows of each key, in ``order``; an instance a key, which sees one row at a time.
+
+    A null key is a key; an empty table gives no rows.
+    """
+    kind = StructType.fromDDL(schema)
+
+    @F.udtf
+    class Generated:
+        @staticmethod
+        def analyze(table: AnalyzeArgument) -> AnalyzeResult:
+            _table_argument(table, {key, order})
+            return AnalyzeResult(schema=kind, partitionBy=[PartitioningColumn(key)], orderBy=[OrderingColumn(order)])
+
+        def __init__(self):
+            self.made: Generator | None = None
+
+        def eval(self, row: Row) -> Iterator[tuple]:
+            if self.made is None:
+                self.made = generator()
+                self.made.start(row[key])
+            yield from self.made.row(row.asDict())
+
+        def terminate(self) -> Iterator[tuple]:
+            if self.made is not None:
+                yield from self.made.end()
+
+    return Generated(df.asTable())
 
-    names = StructType.fromDDL(schema).names
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame([row for seed in f["id"] for row in generator(int(seed))], columns=names)
+def appended(df: DataFrame, more: DataFrame, order: list[str]) -> DataFrame:
+    """A dataset with what a generator has made behind it: rows numbered through, old ones first; lacking columns are null."""
+    from ..operators.frame import with_row_id
 
-    return spark.range(0, seeds, 1, partitions).mapInPandas(run, schema)
+    both = df.withColumn("_new", F.lit(0)).unionByName(more.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    return with_row_id(both, ["_new", *order]).drop("_new")
 
 
 def one_ahead(makers: Iterable[Callable[[], DataFrame]]) -> Iterator[DataFrame]:
@@ -239,9 +293,26 @@ def p32_stage_prompts(spark, sf_dir):
     return rows.select("conv_id", F.md5(F.col("prompt")[0]["content"]).alias("digest"), F.col("prompt")[0]["role"].alias("role"), "ground_truth")
 
 
+class Harder(Generator):
+    """For each user a follow-up of every third event, and one row at the end that sums them up."""
+
+    def start(self, key) -> None:
+        self.key, self.n, self.last = key, 0, 0
+
+    def row(self, row: dict) -> Iterator[tuple]:
+        self.n, self.last = self.n + 1, row["event_id"]
+        if self.n % 3 == 0:
+            yield self.key, row["event_id"], f"again {row['event_type']}"
+
+    def end(self) -> Iterator[tuple]:
+        yield self.key, self.last, f"{self.n} events"
+
+
 def x29_generated(spark, sf_dir):
-    """Rows of a generator of squares, by seed."""
-    return generated_table(spark, lambda seed: [(seed, k, (seed + k) ** 2) for k in range(seed % 4)], "seed long, k long, v long", 500)
+    """Events, and behind them what a generator has made of every user's, numbered through."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type")
+    more = generated_table(e, Harder, "user_id long, event_id long, event_type string", "user_id", "event_id")
+    return appended(e, more, ["event_id", "event_type"])
 
 
 def m11_one_ahead(spark, sf_dir):
@@ -249,7 +320,9 @@ def m11_one_ahead(spark, sf_dir):
     from ..session import written
 
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
-    makers = [lambda i=i: written(e.filter(F.expr(f"event_id div 2500 = {i}")), "ahead") for i in range(4)]
+    last = e.agg(F.max("event_id")).first()[0]
+    size = last // 4 + 1
+    makers = [lambda i=i: written(e.filter(F.expr(f"event_id div {size} = {i}")), "ahead") for i in range(4)]
     rows = [(i, *b.agg(F.count("*"), F.sum("user_id")).first()) for i, b in enumerate(one_ahead(makers))]
     return spark.createDataFrame(rows, "batch long, n long, users long")
 
@@ -268,7 +341,7 @@ ORACLES = {
     "x40_postprocessed": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 3 END::INT AS turns, CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_custkey % 5 > 0 THEN 2.0 ELSE 0.0 END END::DOUBLE AS total FROM orders",
     "x43_judge_prompts": "SELECT o_orderkey, o_orderkey::VARCHAR AS request_id, md5('## Prompt' || chr(10) || o_orderpriority || chr(10) || '## Response' || chr(10) || o_orderkey || chr(10) || 'Is this right? Answer yes or no.') AS digest FROM orders",
     "p32_stage_prompts": "SELECT conv_id, md5(CASE WHEN contains(arg_min(text, turn), 'Think.') THEN arg_min(text, turn) ELSE arg_min(text, turn) || ' Think.' END) AS digest, 'user' AS role, (conv_id * 2)::VARCHAR AS ground_truth FROM conversations WHERE role = 'user' GROUP BY 1, 4",
-    "x29_generated": "SELECT s AS seed, k, (s + k) * (s + k) AS v FROM range(500) t(s), range(4) u(k) WHERE k < s % 4",
-    "m11_one_ahead": "SELECT event_id // 2500 AS batch, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS users FROM events WHERE event_id < 10000 GROUP BY 1",
+    "x29_generated": "WITH i AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), m AS (SELECT user_id, event_id, 'again ' || event_type AS event_type, 1 AS new FROM i WHERE i % 3 = 0 UNION ALL SELECT user_id, max(event_id), count(*) || ' events', 1 FROM i GROUP BY 1 UNION ALL SELECT user_id, event_id, event_type, 0 FROM events) SELECT user_id, event_id, event_type, row_number() OVER (ORDER BY new, event_id, event_type) - 1 AS row_id FROM m",
+    "m11_one_ahead": "SELECT event_id // (m // 4 + 1) AS batch, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS users FROM events, (SELECT max(event_id) AS m FROM events) GROUP BY 1",
     "x28_datasets": "SELECT 'prompts' AS kind, count(*) AS n FROM documents UNION ALL SELECT 'pairs', count(n_name) FROM nation",
 }

@@ -222,21 +222,22 @@ def r06_within_tokens(spark, sf_dir):
 
 def u10_collated(spark, sf_dir):
     """Batches of sixteen documents, padded to the longest of each."""
-    rows = encoded(_plain(spark, sf_dir), "text", _lengths).select((F.col("doc_id") % 50).alias("batch"), "doc_id", F.slice("ids", 1, 30).alias("ids"))
+    rows = encoded(_plain(spark, sf_dir), "text", _lengths).select(F.expr("doc_id div 16").alias("batch"), "doc_id", "ids")
     c = collated(rows, "batch", "doc_id", ["ids"])
     return c.select("batch", _joined("doc_id").alias("docs"), F.md5(F.array_join(F.transform("ids", lambda x: F.array_join(x, ",")), ";")).alias("digest"), F.size(F.col("ids")[0]).alias("width"))
 
 
 def u09_jagged(spark, sf_dir):
-    rows = encoded(_plain(spark, sf_dir), "text", _lengths).select((F.col("doc_id") % 50).alias("batch"), "doc_id", F.slice("ids", 1, 30).alias("ids"))
+    rows = encoded(_plain(spark, sf_dir), "text", _lengths).select(F.expr("doc_id div 16").alias("batch"), "doc_id", "ids")
     c = collated(rows, "batch", "doc_id", ["ids"], jagged=True)
     return c.select("batch", F.md5(_joined("ids_values")).alias("digest"), _joined("ids_offsets").alias("offsets"))
 
 
 def r08_quota(spark, sf_dir):
-    """Users whose events of a batch of 500 differ enough, until 60 of them are there."""
+    """Users whose events of a batch (a twentieth of all) differ enough, until 60 of them are there."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "value")
-    batches = (e.filter(F.expr(f"event_id div 500 = {i}")) for i in range(20))
+    size = e.agg(F.max("event_id")).first()[0] // 20 + 1
+    batches = (e.filter(F.expr(f"event_id div {size} = {i}")) for i in range(20))
 
     def keep(batch: DataFrame) -> DataFrame:
         wide = batch.groupBy(F.col("user_id").alias("_u")).agg((F.max("value") - F.min("value")).alias("_w")).filter("_w > 100")
@@ -328,9 +329,9 @@ ORACLES = {
     "f58_prompt_tensors": f"WITH t AS (SELECT doc_id, {_IDS} AS ids FROM documents), r AS (SELECT doc_id, CASE WHEN len(ids) > 12 THEN list_concat(ids[:6], ids[-6:]) ELSE ids END AS ids FROM t) SELECT doc_id, array_to_string(list_concat(list_transform(range(12 - len(ids)), lambda i: 0), ids), ',') AS input_ids, array_to_string(list_transform(range(12), lambda i: (i >= 12 - len(ids))::INT), ',') AS attention_mask, array_to_string(list_transform(range(12), lambda i: greatest(i - (12 - len(ids)), 0)), ',') AS position_ids, array_to_string(ids, ',') AS raw_prompt_ids FROM r",
     "f55_chat_tensors": f"WITH t AS (SELECT conv_id, turn, role, {_IDS} AS ids, CASE role WHEN 'user' THEN [101, 1] WHEN 'assistant' THEN [102, 1] ELSE [103] END AS head FROM conversations), p AS (SELECT conv_id, flatten(list(list_concat(head, ids) ORDER BY turn)) AS ids, flatten(list(list_concat(list_transform(head, lambda x: 0), list_transform(ids, lambda x: (role = 'assistant')::INT)) ORDER BY turn)) AS loss FROM t GROUP BY 1), c AS (SELECT conv_id, ids[:40] AS ids, loss[:40] AS loss FROM p) SELECT conv_id, array_to_string(list_concat(ids, list_transform(range(40 - len(ids)), lambda i: 0)), ',') AS input_ids, array_to_string(list_concat(loss, list_transform(range(40 - len(ids)), lambda i: 0)), ',') AS loss_mask, array_to_string(list_transform(range(40), lambda i: (i < len(ids))::INT), ',') AS attention_mask FROM c",
     "r06_within_tokens": f"SELECT doc_id FROM documents WHERE len({_IDS}) <= 300",
-    "u10_collated": f"WITH t AS (SELECT doc_id % 50 AS batch, doc_id, {_IDS}[:30] AS ids FROM documents), w AS (SELECT batch, max(len(ids)) AS w FROM t GROUP BY 1) SELECT batch, string_agg(doc_id, ',' ORDER BY doc_id) AS docs, md5(string_agg(array_to_string(list_concat(ids, list_transform(range(w - len(ids)), lambda i: 0)), ','), ';' ORDER BY doc_id)) AS digest, any_value(w)::INT AS width FROM t JOIN w USING (batch) GROUP BY 1",
-    "u09_jagged": f"WITH t AS (SELECT doc_id % 50 AS batch, doc_id, {_IDS}[:30] AS ids FROM documents), e AS (SELECT *, sum(len(ids)) OVER (PARTITION BY batch ORDER BY doc_id) AS e FROM t) SELECT batch, md5(array_to_string(flatten(list(ids ORDER BY doc_id)), ',')) AS digest, '0,' || string_agg(e::BIGINT, ',' ORDER BY doc_id) AS offsets FROM e GROUP BY 1",
-    "r08_quota": "WITH b AS (SELECT event_id // 500 AS b, user_id, max(value) - min(value) AS w FROM events GROUP BY 1, 2 HAVING max(value) - min(value) > 100), k AS (SELECT e.event_id, e.user_id, b.b FROM events e JOIN b ON e.event_id // 500 = b.b AND e.user_id = b.user_id), f AS (SELECT user_id, min(b) AS b, min(event_id) AS f FROM k GROUP BY 1), c AS (SELECT b, sum(count(*)) OVER (ORDER BY b) AS n FROM f GROUP BY 1), l AS (SELECT min(b) AS last FROM c WHERE n >= 60), q AS (SELECT user_id FROM f, l WHERE b <= last ORDER BY f LIMIT 60) SELECT event_id, user_id FROM k, l WHERE b <= last AND user_id IN (SELECT user_id FROM q)",
+    "u10_collated": f"WITH t AS (SELECT doc_id // 16 AS batch, doc_id, {_IDS} AS ids FROM documents), w AS (SELECT batch, max(len(ids)) AS w FROM t GROUP BY 1) SELECT batch, string_agg(doc_id, ',' ORDER BY doc_id) AS docs, md5(string_agg(array_to_string(list_concat(ids, list_transform(range(w - len(ids)), lambda i: 0)), ','), ';' ORDER BY doc_id)) AS digest, any_value(w)::INT AS width FROM t JOIN w USING (batch) GROUP BY 1",
+    "u09_jagged": f"WITH t AS (SELECT doc_id // 16 AS batch, doc_id, {_IDS} AS ids FROM documents), e AS (SELECT *, sum(len(ids)) OVER (PARTITION BY batch ORDER BY doc_id) AS e FROM t) SELECT batch, md5(array_to_string(flatten(list(ids ORDER BY doc_id)), ',')) AS digest, '0,' || string_agg(e::BIGINT, ',' ORDER BY doc_id) AS offsets FROM e GROUP BY 1",
+    "r08_quota": "WITH m AS (SELECT max(event_id) // 20 + 1 AS m FROM events), b AS (SELECT event_id // m AS b, user_id, max(value) - min(value) AS w FROM events, m GROUP BY 1, 2 HAVING max(value) - min(value) > 100), k AS (SELECT e.event_id, e.user_id, b.b FROM events e JOIN m ON true JOIN b ON e.event_id // m = b.b AND e.user_id = b.user_id), f AS (SELECT user_id, min(b) AS b, min(event_id) AS f FROM k GROUP BY 1), c AS (SELECT b, sum(count(*)) OVER (ORDER BY b) AS n FROM f GROUP BY 1), l AS (SELECT min(b) AS last FROM c WHERE n >= 60), q AS (SELECT user_id FROM f, l WHERE b <= last ORDER BY f LIMIT 60) SELECT event_id, user_id FROM k, l WHERE b <= last AND user_id IN (SELECT user_id FROM q)",
     "r17_renamed": "SELECT o_orderkey AS id, o_orderpriority AS question FROM orders",
     "r18_chat_prompts": "SELECT * FROM (VALUES ('chats', true), ('missing', false), ('numbers', false), ('empty', false)) t(\"check\", ok)",
     "j08_answered": "SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey) - 1 AS token_id, dense_rank() OVER (ORDER BY l_orderkey) - 1 AS row_id, l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) - 1 AS sample_id, l_partkey AS response FROM lineitem",

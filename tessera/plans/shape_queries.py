@@ -89,9 +89,11 @@ def r15_by_request(spark, sf_dir):
 
 def t20_by_score(spark, sf_dir):
     """Places by score, then by the second score where there is no first."""
-    o = _orders(spark, sf_dir).filter("o_orderkey % 50 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 100 == 0, F.col("o_custkey") * 1.0).alias("score"), (F.col("o_custkey") + 0.5).alias("score_1"))
-    first = arrays.by_score(o, descending=True).limit(10)
-    return first.agg(F.count("*").alias("n"), F.min(F.coalesce("score", "score_1")).alias("least"), F.max(F.coalesce("score", "score_1")).alias("most"))
+    o = _orders(spark, sf_dir).select("o_orderkey", F.when(F.col("o_orderkey") % 100 == 0, F.col("o_custkey") * 1.0).alias("score"), (F.col("o_custkey") + 0.5).alias("score_1"))
+    placed = with_row_id(o.withColumn("_s", -F.coalesce("score", "score_1")), ["_s", "o_orderkey"], "place")
+    first = arrays.by_score(o, descending=True).limit(10)  # a report of the ten best
+    best = first.agg(F.min(F.coalesce("score", "score_1")).alias("_least"))
+    return placed.select("o_orderkey", "place", (-F.col("_s")).alias("score")).crossJoin(F.broadcast(best)).withColumn("among_best", F.col("score") >= F.col("_least")).drop("_least")
 
 
 def w21_opposite(spark, sf_dir):
@@ -121,7 +123,7 @@ ORACLES = {
     "t10_in_order": f"SELECT batch, count(*) AS n, CAST(sum(length) AS BIGINT) AS total, true AS even FROM {balance._SEQ} GROUP BY 1",
     "t22_head_split": "WITH c AS (SELECT count(*) AS n, CAST(floor(count(*) * 0.8) AS BIGINT) AS h FROM orders) SELECT 'head' AS part, h AS n, h - 1 AS last FROM c UNION ALL SELECT 'rest', n - h, n - 1 FROM c",
     "r15_by_request": "SELECT o_orderkey, 'ab-' || lpad(o_orderkey::VARCHAR, 8, '0') || '-cd' AS request FROM orders WHERE o_orderkey = 100",
-    "t20_by_score": "SELECT count(*) AS n, min(s) AS least, max(s) AS most FROM (SELECT (CASE WHEN o_orderkey % 100 = 0 THEN o_custkey ELSE o_custkey + 0.5 END)::DOUBLE AS s FROM orders WHERE o_orderkey % 50 = 0 ORDER BY 1 DESC LIMIT 10)",
+    "t20_by_score": "WITH t AS (SELECT o_orderkey, (CASE WHEN o_orderkey % 100 = 0 THEN o_custkey ELSE o_custkey + 0.5 END)::DOUBLE AS score FROM orders), p AS (SELECT *, row_number() OVER (ORDER BY score DESC, o_orderkey) - 1 AS place FROM t) SELECT o_orderkey, place, score, score >= (SELECT score FROM p WHERE place = 9) AS among_best FROM p",
     "w21_opposite": "WITH t AS (SELECT *, (l_returnflag = 'R')::INT AS a FROM lineitem), g AS (SELECT l_orderkey, avg(l_quantity) FILTER (a = 0) AS m0, avg(l_quantity) FILTER (a = 1) AS m1 FROM t GROUP BY 1) SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(coalesce(CASE WHEN a = 1 THEN m0 ELSE m1 END, 0), 5) AS opposite FROM t JOIN g USING (l_orderkey)",
     "f76_valid": "SELECT conv_id, bool_and(CASE WHEN conv_id % 4 = 0 AND turn = 1 THEN false ELSE coalesce(trim(text, ' ') <> '', false) END) AS valid FROM conversations GROUP BY 1",
 }
