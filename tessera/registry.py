@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions import answers, grading, rewards
-from .operators import advantages, arrays, balance, dispatch, frame, frame_queries, metrics, token_queries
+from .operators import advantages, arrays, balance, dispatch, frame, frame_queries, metrics, ragged, token_queries, validation
 from .plans import agents, curation, rows, shape_queries
 from .sources import round_trips, steps, tables
 from .streaming import samples, turns
@@ -15,6 +15,6 @@ from .streaming import samples, turns
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (advantages, agents, answers, arrays, balance, curation, dispatch, frame, frame_queries, grading, metrics, rewards, round_trips, rows, samples, shape_queries, steps, tables, token_queries, turns):
+for module in (advantages, agents, answers, arrays, balance, curation, dispatch, frame, frame_queries, grading, metrics, ragged, rewards, round_trips, rows, samples, shape_queries, steps, tables, token_queries, turns, validation):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
