@@ -308,39 +308,6 @@ def first_inside(points: Column, box: Column) -> Column:
 
 
 # --- beyond regular languages ---
-def repetition(text: str) -> bool:
-    """Whether the mean common prefix of neighbours in suffix order shows a text that repeats itself: twice the sum of the
-    prefixes over n (n + 1) is above 0.2."""
-    import numpy as np
-
-    n = len(text)
-    if n < 2:
-        return False
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    rank, k = np.unique(code, return_inverse=True)[1], 1
-    while k < n and rank.max() < n - 1:
-        nxt = np.r_[rank[k:] + 1, np.zeros(min(k, n), np.int64)][:n]
-        rank = np.unique(rank * (n + 1) + nxt, return_inverse=True)[1]
-        k *= 2
-    order = np.argsort(rank)
-    total = h = 0
-    for i in range(n):
-        if rank[i]:
-            j = int(order[rank[i] - 1])
-            while i + h < n and j + h < n and code[i + h] == code[j + h]:
-                h += 1
-            total += h
-            h = max(h - 1, 0)
-        else:
-            h = 0
-    return 2 * total / (n * (n + 1)) > 0.2
-
-
-@pandas_udf(T.BooleanType())
-def repeats_itself(text: pd.Series) -> pd.Series:
-    return text.fillna("").map(repetition)
-
-
 def _first_json(text: str | None) -> str | None:
     """The first balanced {...} or [...] that is JSON."""
     decoder = json.JSONDecoder()
@@ -562,12 +529,7 @@ def f51_props(spark, sf_dir):
     return e.select("event_id", F.get(tool_calls(t), F.lit(0))["name"].alias("name"), F.size(tool_calls(t)).alias("calls"), F.get(tool_calls(t), n - 1)["arguments"]["k"].alias("k"), without_tool_calls(t).alias("rest"))
 
 
-def f40_repetition(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select("doc_id", repeats_itself("text").alias("repeats"))
-
-
-QUERIES = {f.__name__: f for f in (f05_latex_equal, f07_boxed_score, f28_format, f35_choice, f43_first_json, f52_channel_calls, f53_passages, f82_points, f01_marked_number, f02_number_score, f09_answer_line, f13_answer_line_score, f03_boxed, f22_qa_normalized, f26_qa_score, f33_trimmed_equal, f46_message_tokens, f51_props, f40_repetition)}
+QUERIES = {f.__name__: f for f in (f05_latex_equal, f07_boxed_score, f28_format, f35_choice, f43_first_json, f52_channel_calls, f53_passages, f82_points, f01_marked_number, f02_number_score, f09_answer_line, f13_answer_line_score, f03_boxed, f22_qa_normalized, f26_qa_score, f33_trimmed_equal, f46_message_tokens, f51_props)}
 _BY = lambda *cases, other="NULL": "CASE " + " ".join(f"WHEN o_orderkey % 8 IN ({k}) THEN {v}" for k, v in cases) + f" ELSE {other} END"
 _K = "o_orderkey::VARCHAR"
 _COMMA = "(o_orderkey // 1000) || ',' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0')"

@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +58,49 @@ def read_generations(spark: SparkSession, path: str, schema: T.StructType | str,
     return df.withColumns({c: F.regexp_replace(c, mask, "*") for c in strings}) if mask else df
 
 
+def numbered_lines(spark: SparkSession, path: str, out: str = "idx") -> DataFrame:
+    """file, ``out`` and value of all lines under a path: a line's number in its file, however files are split.
+
+    A split counts its own lines as it reads them; what stands before it in its file are sums of a row a split, so no line
+    is exchanged unless there are more splits than a broadcast may hold.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seen = None, 0
+        for b in batches:
+            numbers = []
+            for key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                seen = seen + 1 if key == held else 0
+                held = key
+                numbers.append(seen)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers, pa.int64())], ["file", "_at", "value", "_in"])
+
+    numbered = lines.mapInArrow(run, "file string, _at long, value string, _in long")
+    sizes = lines.groupBy("file", "_at").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = sizes.withColumn("_base", before).drop("_n")
+    return numbered.join(bases, ["file", "_at"]).select("file", (F.col("_base") + F.col("_in")).alias(out), "value")
+
+
+def viewed_rows(lines: DataFrame, schema: T.StructType | str, mask: str | None = None) -> DataFrame:
+    """The fields of JSON lines (column value) as text: strings with what the pattern matches as a star, others as JSON.
+
+    Other columns stay; a line that is no JSON has nulls.
+    """
+    fields = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    kept = [c for c in lines.columns if c != "value"]
+    rows = lines.select(*kept, F.from_json("value", fields).alias("_r"))
+
+    def text(f: T.StructField) -> Column:
+        x = F.col("_r")[f.name]
+        if isinstance(f.dataType, T.StringType):
+            return F.regexp_replace(x, mask, "*") if mask else x
+        return F.to_json(x) if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else x.cast("string")
+
+    return rows.select(*kept, *[text(f).alias(f.name) for f in fields.fields])
+
+
 def write_dual(df: DataFrame, path: str) -> None:
     """The same rows as Parquet and as JSON lines; the second is written from the first."""
     df.write.mode("overwrite").parquet(f"{path}/parquet")
@@ -118,6 +162,17 @@ def s12_masked(spark, sf_dir):
     return c.select("conv_id", "turn", F.md5(F.regexp_replace("text", "[aeiou]", "*")).alias("masked"))
 
 
+def s12_file_rows(spark, sf_dir):
+    """Orders as JSON lines in five files: each line's place in its file, and its fields as text."""
+    from ..session import shared_path
+
+    root = shared_path(spark, "lines")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderpriority", F.struct("o_custkey", F.array("o_orderstatus").alias("states")).alias("extra"), (F.col("o_orderkey") % 5).alias("part"))
+    o.repartition("part").sortWithinPartitions("part", "o_orderkey").write.partitionBy("part").json(root)
+    rows = viewed_rows(numbered_lines(spark, root), "o_orderkey long, o_orderpriority string, extra struct<o_custkey: long, states: array<string>>", mask="[0-9]-")
+    return rows.select(F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("part"), "idx", "o_orderkey", "o_orderpriority", "extra")
+
+
 def s16_metric_lines(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.expr("event_id div 1000").alias("step")).agg(F.count(F.lit(1)).alias("n"), F.max("user_id").alias("top"))
     return metric_lines(e, "step", ["n", "top"])
@@ -128,10 +183,11 @@ def s18_flattened(spark, sf_dir):
     return flattened(o)
 
 
-QUERIES = {f.__name__: f for f in (s01_read_prompts, s20_offline_scores, s12_masked, s16_metric_lines, s18_flattened)}
+QUERIES = {f.__name__: f for f in (s01_read_prompts, s20_offline_scores, s12_file_rows, s12_masked, s16_metric_lines, s18_flattened)}
 ORACLES = {
     "s01_read_prompts": "SELECT doc_id, n_chars FROM documents WHERE n_chars <= 2000",
     "s20_offline_scores": "SELECT doc_id, source, length(text)::INT AS length FROM documents",
+    "s12_file_rows": """SELECT o_orderkey % 5 AS part, row_number() OVER (PARTITION BY o_orderkey % 5 ORDER BY o_orderkey) - 1 AS idx, o_orderkey::VARCHAR AS o_orderkey, '*' || o_orderpriority[3:] AS o_orderpriority, '{"o_custkey":' || o_custkey || ',"states":["' || o_orderstatus || '"]}' AS extra FROM orders""",
     "s12_masked": "SELECT conv_id, turn, md5(regexp_replace(text, '[aeiou]', '*', 'g')) AS masked FROM conversations",
     "s16_metric_lines": """SELECT '{"step":' || (event_id // 1000) || ',"data":{"n":' || count(*) || ',"top":' || max(user_id) || '}}' AS value FROM events GROUP BY event_id // 1000""",
     "s18_flattened": 'SELECT o_orderkey AS "order/key", o_orderstatus AS "order/state/status" FROM orders',
