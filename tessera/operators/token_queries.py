@@ -302,11 +302,15 @@ tok AS (SELECT vec_id, list_transform(range(64), lambda i: e[(i + 1) % 64 + 1])
 r AS (SELECT list_sum(m) AS n, list_sum(list_transform(list_zip(a, m), lambda p: p[1] * p[2])) AS s, list_sum(list_transform(list_zip(a, m), lambda p: p[1] * p[1] * p[2])) AS q FROM tok),
 mu AS (SELECT sum(s) / (sum(n) + 1e-8) AS mu, (sum(q) / sum(n) - (sum(s) / sum(n)) ^ 2) * sum(n) / (sum(n) - 1) AS var FROM r)
 SELECT vec_id, unnest(range(64)) AS pos, unnest(list_transform(a, lambda x: round((x - mu) / sqrt(var + 1e-8), 5))) AS white FROM tok, mu"""
-_W01 = f"""{_TOK}, k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY pos DESC) AS j, lead(val) OVER (PARTITION BY vec_id ORDER BY pos) AS nv FROM tok WHERE m = 1),
-d AS (SELECT vec_id, pos, j, (adv + 0.9 * coalesce(nv, 0) - val) / 0.72 ^ j AS d FROM k), a AS (SELECT vec_id, pos, sum(d) OVER (PARTITION BY vec_id ORDER BY j) * 0.72 ^ j AS a FROM d),
-f AS (SELECT t.vec_id, t.pos, m, val, coalesce(first_value(a IGNORE NULLS) OVER (PARTITION BY t.vec_id ORDER BY t.pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS a FROM tok t LEFT JOIN a ON a.vec_id = t.vec_id AND a.pos = t.pos),
-mu AS (SELECT sum(a * m) / (sum(m) + 1e-8) AS mu, var_samp(a) FILTER (m = 1) AS var FROM f)
-SELECT vec_id, pos, round((a - mu) / sqrt(var + 1e-8), 5) AS advantage, round(a + val, 5) AS ret FROM f, mu"""
+#: A fold over each row's tokens from the last one: the next masked value and the advantage so far.
+_W01 = """WITH base AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+l AS (SELECT vec_id, list_transform(range(63, -1, -1), lambda i: {'a': e[(i + 1) % 64 + 1], 'v': e[i + 1] / 2, 'm': CASE WHEN i < 10 + vec_id % 55 AND i % 7 <> 3 THEN 1 ELSE 0 END, 'nv': 0.0::DOUBLE, 'g': 0.0::DOUBLE, 'out': []::DOUBLE[]}) AS l FROM base),
+f AS (SELECT vec_id, list_reverse(list_transform(l, lambda x: x.v)) AS v, list_reverse(list_transform(l, lambda x: x.m)) AS m,
+  list_reduce(list_concat([{'a': 0.0::DOUBLE, 'v': 0.0::DOUBLE, 'm': 0, 'nv': 0.0::DOUBLE, 'g': 0.0::DOUBLE, 'out': []::DOUBLE[]}], l), lambda s, x: {'a': x.a, 'v': x.v, 'm': x.m, 'nv': CASE WHEN x.m = 1 THEN x.v ELSE s.nv END,
+    'g': CASE WHEN x.m = 1 THEN x.a + 0.9 * s.nv - x.v + 0.72 * s.g ELSE s.g END, 'out': list_prepend(CASE WHEN x.m = 1 THEN x.a + 0.9 * s.nv - x.v + 0.72 * s.g ELSE s.g END, s.out)}).out AS g FROM l),
+r AS (SELECT list_sum(m) AS n, list_sum(list_transform(list_zip(g, m), lambda p: p[1] * p[2])) AS s, list_sum(list_transform(list_zip(g, m), lambda p: p[1] * p[1] * p[2])) AS q FROM f),
+mu AS (SELECT sum(s) / (sum(n) + 1e-8) AS mu, (sum(q) / sum(n) - (sum(s) / sum(n)) ^ 2) * sum(n) / (sum(n) - 1) AS var FROM r)
+SELECT vec_id, unnest(range(64)) AS pos, unnest(list_transform(g, lambda x: round((x - mu) / sqrt(var + 1e-8), 5))) AS advantage, unnest(list_transform(list_zip(g, v), lambda p: round(p[1] + p[2], 5))) AS ret FROM f, mu"""
 
 
 def _metric_sql(level: str, reject: str) -> str:
