@@ -1,7 +1,8 @@
 """Batches of samples as DataFrames: row order is data, so a frame carries a dense ``row_id``; the rest is relational.
 
-``with_row_id`` numbers rows without a single-partition sort: rows are dealt to ranges of the first key by fixed borders,
-numbered within their range, and shifted by the counts of the ranges before (one row a range comes to the driver).
+``with_row_id`` numbers rows without a single-partition sort: rows are dealt to ranges of all keys together by fixed
+borders, so a first key that many rows have is no hot range, numbered within their range, and shifted by the counts of the
+ranges before (one row a range comes to the driver).
 """
 
 from __future__ import annotations
@@ -14,21 +15,24 @@ from pyspark.sql import functions as F
 ROW = "row_id"
 
 
-def _range_of(key: Column, borders: list, lo: int = 0) -> Column:
+def _range_of(key: Column, borders: list[Column], lo: int = 0) -> Column:
     """Number of borders at or below the key, by a balanced tree of comparisons."""
     if not borders:
         return F.lit(lo)
     mid = len(borders) // 2
-    return F.when(key < F.lit(borders[mid]), _range_of(key, borders[:mid], lo)).otherwise(_range_of(key, borders[mid + 1 :], lo + mid + 1))
+    return F.when(key < borders[mid], _range_of(key, borders[:mid], lo)).otherwise(_range_of(key, borders[mid + 1 :], lo + mid + 1))
 
 
 def with_row_id(df: DataFrame, keys: Sequence[str], name: str = ROW, ranges: int | None = None) -> DataFrame:
     """Add the position of each row in the order of ``keys`` (nulls first); keys should order rows totally."""
     ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = F.col(keys[0])
-    picked = df.select(first.alias("k")).filter("k is not null").orderBy(F.xxhash64("k"), "k").limit(20 * ranges)
-    sample = sorted(r["k"] for r in picked.collect())
-    borders = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
+    first = F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)  # structs compare field by field, nulls first
+    picked = df.select(first.alias("k")).filter("k is not null").orderBy(F.xxhash64("k"), "k").limit(20 * ranges).orderBy("k")
+    sample = [r["k"] for r in picked.collect()]
+    found = [sample[i * len(sample) // ranges] for i in range(1, ranges)] if sample else []
+    found = [x for i, x in enumerate(found) if not i or x != found[i - 1]]
+    kinds = [df.schema[k].dataType for k in keys]
+    borders = [F.lit(x).cast(kinds[0]) if len(keys) == 1 else F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in zip(keys, x, kinds, strict=True)]) for x in found]
     dealt = df.withColumn("_range", F.when(first.isNull(), 0).otherwise(_range_of(first, borders)))
     sizes = {r["_range"]: r["count"] for r in dealt.groupBy("_range").count().collect()}
     offsets, total = [], 0

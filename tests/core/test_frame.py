@@ -88,3 +88,25 @@ def test_row_ids_of_nulls_and_nothing(spark):
 
 def frame_empty(spark):
     return SampleFrame(spark.createDataFrame([], "row_id long, v int"))
+
+
+def test_row_ids_of_a_hot_first_key_come_from_many_ranges(spark):
+    """Ninety of a hundred rows have one first key; nulls on any place come first; no range has most of the rows."""
+    from datetime import date
+    from decimal import Decimal
+
+    from pyspark.sql import functions as F
+
+    from tessera.operators.frame import with_row_id
+
+    rows = [("hot" if i % 10 else None if i % 20 else f"k{i}", None if i % 7 == 0 else date(2024, 1, 1 + i % 28), Decimal(i) / 4, i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "a string, b date, c decimal(10,2), i int").repartition(5)
+    keys = ["a", "b", "c", "i"]
+    want = sorted(rows, key=lambda r: [(x is not None, x) for x in r])
+    done = with_row_id(df, keys, ranges=8)
+    assert [tuple(r)[:4] for r in done.orderBy("row_id").collect()] == want
+    assert [r["row_id"] for r in done.orderBy("row_id").collect()] == list(range(2000))
+    plan = done._jdf.queryExecution().optimizedPlan()
+    assert "_range" in plan.toString()
+    sizes = [r["n"] for r in done.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 1500
