@@ -194,7 +194,11 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str
     return each.select("_row.*", *[c.alias(names[k]) for k, c in own.items()])
 
 
-def write_shards(mixed: DataFrame, path: str) -> None:
-    """Write the taken rows as Parquet, a folder a shard, each shuffled locally by its rank."""
-    taken = mixed.filter("mix_copy is not null")
-    taken.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_rank").write.partitionBy("mix_shard").parquet(path)
+def write_shards(mixed: DataFrame, path: str, names: dict[str, str] | None = None) -> None:
+    """Write the taken rows as Parquet, a folder a shard, each shuffled locally by its rank.
+
+    ``names`` are those of ``mix_names`` for the mixed documents' columns, where some of these are called like mix's own.
+    """
+    names = names or mix_names([])
+    copy, shard, rank = (F.col(f"`{names[k]}`") for k in ("copy", "shard", "rank"))
+    mixed.filter(copy.isNotNull()).repartition(shard).sortWithinPartitions(shard, rank).write.partitionBy(names["shard"]).parquet(path)

@@ -83,10 +83,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shard: where the tree has dealt the document's first copy; null where the mix takes none."""
     from .mixing import mix
 
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).filter("mix_copy is null or mix_copy = 1")
-    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"), F.col("mix_shard").alias("shard"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,3 +106,18 @@ def test_many_sources_need_no_bound(spark, monkeypatch):
         assert own[0]["mix_source_size"] == sizes[s] and own[0]["mix_target"] == pytest.approx(goal)
         assert abs(sum(r["mix_size"] for r in own if r["mix_copy"]) - goal) <= 22
     assert mixing.mix(df.limit(0), key="id").collect() == []
+
+
+def test_shards_are_written_where_columns_clash(spark, tmp_path):
+    """A user's own mix_shard, mix_copy and mix_rank columns stay, and decide nothing."""
+    from tessera.llm.mixing import mix, mix_names, write_shards
+
+    rows = [(i, "w " * (i % 5 + 1), "ab"[i % 2], 99, -1, 0.5) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_shard int, mix_copy int, mix_rank double")
+    names = mix_names(docs.columns)
+    mixed = mix(docs, shards=4)
+    write_shards(mixed, f"{tmp_path}/out", names)
+    got = spark.read.parquet(f"{tmp_path}/out")
+    taken = mixed.filter(f"`{names['copy']}` is not null")
+    assert got.count() == taken.count() > 0 and {r[0] for r in got.select(names["shard"]).distinct().collect()} <= {0, 1, 2, 3}
+    assert got.filter("mix_shard = 99 and mix_copy = -1").count() == got.count()

@@ -15,7 +15,11 @@ def hits(text, model):
 
 
 def plain(text, model):
-    """Kinds and weights of all hits, each by looking around it."""
+    return [x[:2] for x in plain_at(text, model)]
+
+
+def plain_at(text, model):
+    """Kinds, weights and clauses (borders before) of all hits, each by looking around it."""
     from tessera.llm import toxicity as t
 
     words = t._PIECE.findall(text)
@@ -39,10 +43,45 @@ def plain(text, model):
         right = any(of(t.TARGETS, j) and near(j, 4) for j in range(i + 1, len(words)))
         ahead = (0.4 if quoted or reach else 1) * (0.3 if negated else 1) * (1.5 if left else 1)
         kind = ("t" if threat else "i") + "+" * (left or right) + "-" * negated + '"' * bool(quoted or reach)
-        out.append((kind, weight * ahead * (1.5 if right and not ahead > 1 else 1)))
+        clause = sum(is_mark(j, t.END, t.COLON, t.BREAK) for j in range(i))
+        out.append((kind, weight * ahead * (1.5 if right and not ahead > 1 else 1), clause))
     return out
 
 
+def plain_score(text, model):
+    """The score of a text from its hits, one by one."""
+    import math
+    import re
+
+    low = (text or "").lower()
+    found = plain_at(low, model)
+    n_words = len(re.findall(rb"[0-9A-Za-z\x80-\xff]+", low.encode()))
+    place = lambda k: 5 if k[0] == "t" else 3 if '"' in k else 2 if "-" in k else 1 if "+" in k else 0
+    x = [math.log1p(sum(w for k, w, _ in found if place(k) == i)) for i in range(6)]
+    by_clause = [sum(w for _, w, c in found if c == d) for d in {c for _, _, c in found}]
+    x[4] = math.log1p(max(by_clause, default=0.0))
+    x += [math.log1p(len(found)), math.log1p(100 * len(found) / max(1, n_words)), len({k for k, _, _ in found})]
+    x = x if found else [0.0] * 9
+    z = model.coef[0] + sum(c * (v - m) / s for c, v, m, s in zip(model.coef[1:], x, model.mean, model.scale))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_are_those_of_single_hits(spark):
+    """Score and features of whole texts against the plain version, ties and very long texts included."""
+    from tessera.llm.toxicity import fit, score_toxicity
+
+    rng = random.Random(11)
+    some = ["you", "are", "a", "clown", "clownish", "not", "he", "said", '"', ":", ".", ",", "\n", "kill", "will", "the", "tree", "_clown", "Éclown", "«", "weather", "nice"]
+    texts = [" ".join(rng.choices(some, k=rng.randrange(1, 40))) for _ in range(250)] + ["", None, "!!!", "you clown. " * 9000, " ".join(rng.choices(some, k=60_000 // 6))]
+    model = fit(["you are a clown " + t for t in texts[:60]] + ["the weather is nice today"] * 60, np.array([1.0] * 60 + [0.0] * 60))
+    df = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate([*texts, texts[0]])], "doc_id long, text string, score double")
+    got = {r["doc_id"]: r["score"] for r in score_toxicity(df, model).collect()}
+    short = [i for i, t in enumerate(texts) if len(t or "") < 2000]
+    for i in short:
+        assert got[i] == pytest.approx(plain_score(texts[i], model), abs=1e-9), texts[i]
+    assert got[len(texts)] == got[0] and all(0 < x < 1 for x in got.values())
+
+
 def test_grammar_marks():
     from tessera.llm.toxicity import Model
 
