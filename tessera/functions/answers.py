@@ -484,7 +484,7 @@ def f52_channel_calls(spark, sf_dir):
 
 
 def f53_passages(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/benchmark.parquet").groupBy((F.col("item_id") % 20).alias("g")).agg(F.sort_array(F.collect_list(F.struct("item_id", "text"))).alias("l"))
+    c = spark.read.parquet(f"{sf_dir}/benchmark.parquet").groupBy(F.expr("item_id div 8").alias("g")).agg(F.sort_array(F.collect_list(F.struct("item_id", "text"))).alias("l"))
     titled = F.transform("l", lambda x: F.concat(F.lit("Title "), x["item_id"].cast("string"), F.lit("\n"), x["text"]))
     return c.select("g", F.md5(passages(titled)).alias("digest"))
 
@@ -549,7 +549,7 @@ ORACLES = {
     "f35_choice": "SELECT o_orderkey, (o_orderkey % 5 = 1 OR o_orderkey % 5 = 4)::INT::DOUBLE AS score, CASE WHEN o_custkey % 7 - 2 BETWEEN -1 AND 3 THEN (o_custkey % 7 - 2)::INT END AS choice, CASE WHEN o_custkey % 7 >= 2 THEN (10 + o_custkey % 7 - 2)::DOUBLE END AS number FROM orders",
     "f43_first_json": "SELECT event_id, json_extract_string(props, '$.k') AS k, user_id::VARCHAR AS user, 'true' AS ok, '2' AS second FROM events",
     "f52_channel_calls": "SELECT event_id, 2::INT AS n, event_type AS first, json_extract_string(props, '$.k') AS k, 'last' AS second, '<|channel|>analysis<|message|>hm<|end|>' AS rest FROM events",
-    "f53_passages": "WITH t AS (SELECT item_id % 20 AS g, item_id, text, row_number() OVER (PARTITION BY item_id % 20 ORDER BY item_id, text) AS i FROM benchmark) SELECT g, md5(string_agg('Doc ' || i || ' (Title: Title ' || item_id || ') ' || text || chr(10), '' ORDER BY i)) AS digest FROM t GROUP BY 1",
+    "f53_passages": "WITH t AS (SELECT item_id // 8 AS g, item_id, text, row_number() OVER (PARTITION BY item_id // 8 ORDER BY item_id, text) AS i FROM benchmark) SELECT g, md5(string_agg('Doc ' || i || ' (Title: Title ' || item_id || ') ' || text || chr(10), '' ORDER BY i)) AS digest FROM t GROUP BY 1",
     "f82_points": "WITH t AS (SELECT o_orderkey, (o_custkey % 50)::DOUBLE AS x, (o_orderkey % 40)::DOUBLE AS y FROM orders), b AS (SELECT *, 30 - x AS w, y - 5 AS h FROM t) SELECT o_orderkey, w > 0 AND h > 0 AND greatest(w, h) <= 100 * least(w, h) AS valid, CASE WHEN 20 BETWEEN x AND 30 AND 10 BETWEEN 5 AND y THEN 2 WHEN x BETWEEN x AND 30 AND y BETWEEN 5 AND y THEN 3 ELSE 0 END::BIGINT AS inside, abs((20 - 40) * (y - 1) - (x - 40) * (10 - 1)) <= 1e-9 AS line FROM b",
     "f22_qa_normalized": r"SELECT item_id, array_to_string(list_filter(regexp_split_to_array(trim(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g')), '\s+'), lambda w: w NOT IN ('a', 'an', 'the')), ' ') AS normal FROM benchmark",
     "f26_qa_score": "SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS exact, CASE WHEN o_orderkey % 8 = 0 AND lower(o_orderpriority) LIKE '%urgent%' THEN 1.0 ELSE 0.0 END::DOUBLE AS part FROM orders",

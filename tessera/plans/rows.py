@@ -296,11 +296,11 @@ def p31_payloads(spark, sf_dir):
 
 
 def p35_formatted(spark, sf_dir):
-    """Template rows as one JSON array a group."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderstatus", "o_orderkey")
+    """Template rows as one JSON array for each 64 keys."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.expr("o_orderkey div 64").alias("batch"), "o_orderkey")
     line = F.struct(F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("prompt"))
-    g = o.groupBy("o_orderstatus").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda x: x["line"])).alias("rows"))
-    return g.select("o_orderstatus", F.md5("rows").alias("digest"))
+    g = o.groupBy("batch").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda x: x["line"])).alias("rows"))
+    return g.select("batch", F.md5("rows").alias("digest"))
 
 
 def p44_generation_rows(spark, sf_dir):
@@ -338,7 +338,7 @@ ORACLES = {
     "j09_continued": "WITH o AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id FROM orders), e AS (SELECT row_id, i AS sample_id, o_orderkey || ':' || (o_custkey + i) % 10 AS full_text, ((o_custkey + i) % 10 = o_orderkey % 10)::INT::DOUBLE AS score, o_orderpriority AS t FROM o, range(3) r(i)) SELECT row_id, sample_id, full_text, score, round(avg(score) OVER (PARTITION BY t), 8) AS token_accuracy FROM e",
     "j12_repeats": "SELECT r % 100 AS row, CAST(sum(o_custkey) AS BIGINT) AS total FROM (SELECT o_custkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders) GROUP BY 1",
     "p31_payloads": "WITH d AS (SELECT event_id, props, strftime(ts, '%Y-%m-%d') AS day FROM events) SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN json_extract_string(props, '$.k') END AS k FROM d WHERE day > (SELECT min(day) FROM d)",
-    "p35_formatted": """SELECT o_orderstatus, md5('[' || string_agg('{"prompt":"Order ' || o_orderkey || '"}', ',' ORDER BY o_orderkey) || ']') AS digest FROM orders GROUP BY 1""",
+    "p35_formatted": """SELECT o_orderkey // 64 AS batch, md5('[' || string_agg('{"prompt":"Order ' || o_orderkey || '"}', ',' ORDER BY o_orderkey) || ']') AS digest FROM orders GROUP BY 1""",
     "p44_generation_rows": "SELECT r * 3 + k AS row_id, o_orderkey, 'single_turn' AS agent_name FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders), range(3) t(k)",
     "m16_interactions": "WITH l AS (SELECT conv_id, max(turn) FILTER (role = 'assistant') AS t, max((role = 'tool')::INT) AS tool FROM conversations GROUP BY 1) SELECT conv_id, (t IS NOT NULL AND conv_id % 2 = 0)::INT::DOUBLE AS score, tool::DOUBLE AS tool FROM l",
 }
