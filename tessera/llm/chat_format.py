@@ -108,7 +108,9 @@ def format_chats(rows: DataFrame, *, conv: str = "conv_id", turn: str = "turn",
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of each conversation, from the formatted text and its loss spans alone.
 
-    conv_id, n_turns, turns_sha256 (role, newline, text, newline a turn), loss_chars, loss_sha256, formatted_chars.
+    conv_id, n_turns, turns_sha256 (role, newline, text, newline a turn), loss_chars, loss_sha256, formatted_chars.  Null
+    texts came in as empty ones; a very long conversation comes in parts, over which the digests go on; an empty table
+    gives no rows.
     """
     dealt = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "part")
 

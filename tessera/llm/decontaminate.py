@@ -213,8 +213,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str
     """A row for each document and item whose alignment reaches ``min_score``: doc_id, item_id, score, start, end.
 
     ``start`` and ``end`` bound the best aligned part in code points.  A window is aligned with ``hits`` different seeds
-    (one, if the item has one); with ``hits=1, share=1.0`` every window that has any n-gram of an item is.  Items and documents without words match nothing, nulls are empty, repeated rows give repeated
-    answers, empty tables give no rows, and further columns are ignored.
+    (one, if the item has one); with ``hits=1, share=1.0`` every window that has any n-gram of an item is.  Items and
+    documents without words match nothing, nulls are empty, repeated rows give repeated answers, empty tables give no rows,
+    and further columns are ignored.  Texts are scanned whole, a very long one as a block of its own, of which only the
+    windows around seeds are aligned.
     """
     spark = docs.sparkSession
     use = docs.select(F.col(key).cast("long").alias("_k"), F.col(text).cast("string").alias("_t"))

@@ -142,7 +142,8 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str
     mix_copy (from 1), mix_shard and mix_rank (sorting by both gives the mixed order).  Sources go by code point, null
     last; weights repeat.  A document without words is never taken.  Rows that are equal in key and text share their fate;
     null keys are keys; an empty table gives no rows; columns of ``docs`` are kept under their names, whatever they are.
-    A document is taken ``max_repeats`` times at most, rounded up where that is no whole number.
+    A document is taken ``max_repeats`` times at most, rounded up where that is no whole number.  Texts are counted whole at
+    any length.
     """
     spark, names = docs.sparkSession, mix_names(docs.columns)
     src, block = F.col(f"`{source}`").cast("string"), 1 << BLOCK_BITS

@@ -274,7 +274,8 @@ def find_secrets(docs: DataFrame, *, text: str = "text", key: str = "doc_id", sa
 
     Spans are kind:start:end in code points, by start and then kind; base spans stay, and the CRF's are those that touch
     none of them.  Null texts are empty; rows without spans have the digest of the empty string and an empty list;
-    repeated rows and null keys are answered row by row; an empty table gives no rows (and trains on nothing).
+    repeated rows and null keys are answered row by row; an empty table gives no rows (and trains on nothing).  A text of
+    any length is scanned whole, a very long one as a block of its own; further columns are ignored.
     """
     w, t = model or train(docs, text=text, key=key, sample=sample)
     shared = docs.sparkSession.sparkContext.broadcast((w.astype(np.float32), t.astype(np.float32)))  # a table of fixed size

@@ -399,7 +399,8 @@ def repeated_bytes(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     """A row a document: key, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the remaining bytes).
 
     Texts are taken as UTF-8, null as empty; texts shorter than ``length`` keep all.  A null key counts as smaller than
-    any other; rows with equal keys don't take from each other; an empty table gives no rows; other columns are ignored.
+    any other; rows with equal keys don't take from each other; an empty table gives no rows; other columns are ignored,
+    whatever their names.  A text that is longer than a shard is a shard of its own.
     """
     spark = docs.sparkSession
     seeds = (secrets.randbits(62) | 1, secrets.randbits(62) | 1)

@@ -252,7 +252,8 @@ def _ints(lists: list) -> pa.Array:
 def token_trees(docs: DataFrame, tokenizer_path: str, pattern: str, *, text: str = "text") -> DataFrame:
     """All columns of ``docs`` and leaf_chars, leaf_tokens, leaf_digest (of the text), n_tokens (such columns are replaced).
 
-    Null texts count as empty (no token); keys may be null or repeat; an empty table gives no rows.
+    Null texts count as empty (no token); keys may be null or repeat; an empty table gives no rows.  A very long text has
+    more leaves, all of them in its row.
     """
     plain, t = docs.drop("leaf_chars", "leaf_tokens", "leaf_digest", "n_tokens"), free_name("_t", docs.columns)
 

@@ -208,7 +208,9 @@ def _opened(uri: str, dtype: str) -> np.ndarray:
 def read_tokens(manifest: DataFrame, *, key: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """A row a document, from the files: key, start, n_tokens, ids_crc32 (and ids with ``with_ids``).
 
-    ``start`` counts the ids of all documents before it; ``ids_crc32`` is over the ids as little-endian uint32.
+    ``start`` counts the ids of all documents before it; ``ids_crc32`` is over the ids as little-endian uint32.  A document
+    of a null or empty text has its end id alone, a null key comes back as null, and an empty table gives no rows; of a very
+    long document the ids are one stretch of its file, which is mapped, not read as a whole.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
