@@ -33,9 +33,17 @@ def without_thousands(text: Column) -> Column:
     return once(once(text))
 
 
+#: What is cast at all: a cast that fails costs an exception.
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def as_number(text: Column) -> Column:
+    return F.when(text.rlike(NUMBER), text).try_cast("double")
+
+
 def is_integer(text: Column) -> Column:
     """Whether the text is a number within 1e-7 of an integer, with commas between thousands or without."""
-    return let(without_thousands(text).try_cast("double"), lambda x: F.coalesce(F.abs(x - F.round(x)) <= 1e-7, F.lit(False)))
+    return let(as_number(without_thousands(text)), lambda x: F.coalesce(F.abs(x - F.round(x)) <= 1e-7, F.lit(False)))
 
 
 def is_fraction(text: Column) -> Column:
@@ -59,25 +67,30 @@ def _cleaned(text: Column) -> Column:
 
 
 def _whole_number(x: Column) -> Column:
-    v = x.try_cast("double")
+    v = as_number(x)
     return F.when(F.coalesce((F.abs(v - F.round(v)) <= 1e-7) & (F.abs(v) < 1e15), F.lit(False)), F.round(v).cast("long").cast("string")).otherwise(x)
 
 
 def _infix(x: Column) -> Column:
+    latex = x
     for a, b in _SHORT_LATEX:
-        x = F.regexp_replace(x, a, b)
-    x = F.regexp_replace(F.regexp_replace(x, "- *", "-"), r"([0-9]) +([0-9])", "$1+$2")
-    return F.lower(F.trim(x))
+        latex = F.regexp_replace(latex, a, b)
+    return F.when(x.rlike(r"[\\·×]"), latex).otherwise(x)  # most answers have no LaTeX
+
+
+def _joined(x: Column) -> Column:
+    x = F.when(x.contains("- "), F.regexp_replace(x, "- *", "-")).otherwise(x)
+    return F.lower(F.trim(F.when(x.contains(" "), F.regexp_replace(x, r"([0-9]) +([0-9])", "$1+$2")).otherwise(x)))
 
 
 def _plain_integer(x: Column) -> Column:
-    v = without_thousands(x).try_cast("double")
+    v = as_number(without_thousands(x))
     return F.when(F.coalesce(F.abs(v - F.round(v)) <= 1e-7, F.lit(False)), v.cast("long").cast("string")).otherwise(x)
 
 
 #: An answer for comparison: unwrapped text, no money, percent, units and degrees, words for lists and magnitudes in symbols,
 #: plain integers, short LaTeX as infix, mixed numbers as sums, lower case.
-GRADED_STEPS = (_cleaned, _whole_number, _infix, _plain_integer)
+GRADED_STEPS = (_cleaned, _whole_number, _infix, _joined, _plain_integer)
 
 
 def graded_normal(text: Column) -> Column:
@@ -119,7 +132,7 @@ def format_intervals(text: Column) -> Column:
 
 def number(text: Column) -> Column:
     """A number with commas anywhere, or null."""
-    return F.replace(F.replace(text, F.lit("{,}"), F.lit("")), F.lit(","), F.lit("")).try_cast("double")
+    return as_number(F.replace(F.replace(text, F.lit("{,}"), F.lit("")), F.lit(","), F.lit("")))
 
 
 def plain_math(text: Column) -> Column:

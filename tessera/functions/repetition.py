@@ -15,6 +15,18 @@ from pyspark.sql import functions as F
 BLOCK_CHARS = 1 << 18
 
 
+def _refined(at: np.ndarray, rank: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Suffixes of known ranks by a further key: their new ranks, and the suffixes so sorted with whether they share one."""
+    by = np.lexsort((key, rank))
+    at, rank, key = at[by], rank[by], key[by]
+    old = np.r_[True, rank[1:] != rank[:-1]]
+    new = old | np.r_[True, key[1:] != key[:-1]]
+    place = np.arange(len(at))
+    first = lambda starts: np.maximum.accumulate(np.where(starts, place, 0))
+    alone = new & np.r_[new[1:], True]
+    return rank + first(new) - first(old), (at, ~alone)
+
+
 def prefix_sums(texts: list[str]) -> np.ndarray:
     """For each text the sum of the common prefixes of neighbours in the order of its suffixes."""
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -23,15 +35,25 @@ def prefix_sums(texts: list[str]) -> np.ndarray:
         return np.zeros(len(texts), np.int64)
     code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     doc = np.repeat(np.arange(len(texts)), sizes)
-    rank = np.unique((doc << 21) | code, return_inverse=True)[1]
-    levels, k, longest = [rank.astype(np.int32)], 1, int(sizes.max())
-    while k < longest and rank.max() < n - 1:
-        behind = np.zeros(n, np.int64)
-        behind[: n - k] = np.where(doc[k:] == doc[: n - k], rank[k:] + 1, 0)
-        rank = np.unique(rank * (n + 1) + behind, return_inverse=True)[1]
-        levels.append(rank.astype(np.int32))
+    # a rank is the place of the first suffix of its group; only groups of several suffixes are sorted again
+    rank, open_ = _refined(np.arange(n), np.zeros(n, np.int64), (doc << 21) | code)
+    ranks = np.empty(n, np.int64)
+    ranks[open_[0]] = rank
+    active = open_[0][open_[1]]
+    levels, k = [ranks.astype(np.int32)], 1
+    while len(active):
+        to = active + k
+        inside = to < n
+        inside[inside] = doc[to[inside]] == doc[active[inside]]
+        behind = np.zeros(len(active), np.int64)
+        behind[inside] = ranks[to[inside]] + 1
+        new, (at, several) = _refined(active, ranks[active], behind)
+        ranks[at] = new
+        active = at[several]
+        levels.append(ranks.astype(np.int32))
         k *= 2
-    order = np.argsort(rank)
+    order = np.empty(n, np.int64)
+    order[ranks] = np.arange(n)
     a, b = order[:-1], order[1:]
     common = np.zeros(n - 1, np.int64)
     for k in range(len(levels) - 1, -1, -1):
