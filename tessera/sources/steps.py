@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import json
 import operator
+import sys
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, Filter, InputPartition, WriterCommitMessage
@@ -24,6 +26,9 @@ from pyspark.sql.types import StructType
 
 from ..session import shared_path
 
+# classes travel by value: Python processes beside the driver, which plan and drive streams, have no added files
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Lines that a reader turns into one batch.
 BATCH_LINES = 2000
 COMMITS = "_commits"

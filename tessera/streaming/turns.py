@@ -7,11 +7,13 @@ stuck, and a table of states can be what a new stream starts from.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -19,6 +21,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..session import shared_path, written
 from .samples import drained, source
 
+# classes travel by value: Python processes beside the driver, which plan and drive streams, have no added files
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
