@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bit_words, blocks, discard, lean, may_be_in, mix64, written
-from .near_copies import TEXT_BYTES, shingled, verified_links
+from .near_copies import TEXT_BYTES, gram_sets, in_blocks, shingled, verified_links
 from .simhash_near import _named, _pairs, components, sorted_groups
 
 BUCKETS, ROWS, MANTISSA = 128, 4, 10
@@ -212,26 +212,19 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     prints = written(sketched(texts, shingle=shingle), "prints", compact=False)
     one = F.min(F.struct(F.col("_k").isNull().alias("none"), F.col("_k").alias("least"), "_h", "n", "regs", "few")).alias("r")
     sets = written(prints.filter("n > 0").groupBy("digest").agg(one).select("digest", "r.*").withColumn("rep", F.monotonically_increasing_id()), "classes", compact=False)
-    classes = sets.select("digest", "rep", "least", "_h")
+    classes = sets.select("digest", "rep", "least", "_h", "n")
     some, stars, met = meetings(sets.select("rep", "n", "regs", "few"), least=least, limit=limit)
     found = written(candidates(some.join(sets.select("rep", "n", "regs"), "rep"), least=least, deviations=deviations).union(stars), "candidates")
     discard(*met)
     clouds = components(found, name="clouds")
-    members = written(classes.join(clouds, classes["rep"] == clouds["node"]).select("rep", F.col("component").alias("cloud"), "least", F.col("_h").alias("_mh")), "members")
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "_t", TEXT_BYTES):
-            h, offsets, _ = shingled(b.column("_t"), shingle, SEED)
-            raw = h.tobytes()
-            grams = [raw[8 * lo : 8 * hi] for lo, hi in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("cloud"), b.column("rep"), pa.array(np.diff(offsets), pa.int32()), pa.array(grams, pa.binary())], ["cloud", "rep", "n", "grams"])
-
+    members = classes.join(clouds, classes["rep"] == clouds["node"]).select("rep", F.col("component").alias("cloud"), "least", F.col("_h").alias("_mh"), "n")
+    members = written(in_blocks(members), "members")
     # only texts that a bit map of fixed size shows meet the members in an exchange
     words = bit_words(members, _row_of(F.col("least"), F.col("_mh")))
     shown = may_be_in(texts, words, _row_of(F.col("_k"), F.col("_h")), "_may").filter("_may")
-    linked = shown.join(members, shown["_k"].eqNullSafe(members["least"]) & (shown["_h"] == members["_mh"])).select("cloud", "rep", "_t")
-    compared = written(linked.mapInArrow(lean(full), "cloud long, rep long, n int, grams binary"), "sets", compact=False)
-    links = written(verified_links(compared.dropDuplicates(["rep"]), least=least), "links")
+    linked = shown.join(members, shown["_k"].eqNullSafe(members["least"]) & (shown["_h"] == members["_mh"]))
+    compared = written(gram_sets(linked, shingle, SEED), "sets", compact=False)
+    links = written(verified_links(compared, least=least), "links")
     discard(compared, members, words, found, clouds)
     parts = components(links, stars=True)
     named = _named(classes, parts).select("digest", "component_id")

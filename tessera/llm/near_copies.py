@@ -6,12 +6,15 @@ of 128 bits, too many for them, so candidates come from shingles here and SimHas
 1. One pass counts the shingles of all documents in a table of fixed size (it can only count too much).
 2. Texts with equal words are one class.  Of a text's n shingles the ``n - least * n + 1`` rarest are its keys: two texts
    of likeness ``least`` have one of them in common, as all texts rank shingles alike.
-3. In a bucket of one key, texts may be linked whose sizes allow for it and whose 128-bit SimHashes are less than
-   ``DEVIATIONS`` deviations farther apart than the likeness gives.  A bucket sends a spanning forest of these links, never
-   all pairs.  The components are clouds; no link leaves its cloud.
+3. Keys that one text alone has go first, without sketches.  In a bucket of one key, texts may be linked whose sizes allow
+   for it and whose ``BITS``-bit SimHashes are less than ``DEVIATIONS`` deviations farther apart than the likeness gives.
+   A bucket sends a spanning forest of these links, never all pairs.  The components are clouds; no link leaves its cloud.
+   The bits decide how large clouds become: with 128, one pair of strangers in forty that share a key passes, and clouds
+   grow together as the corpus grows; with 256 one in ten million does.
 4. Each cloud's sets of shingles meet once, in tasks of bounded size, and are compared exactly: by the same prefix rule with
    the counts of the cloud, and never within a component that has been found already.  A cloud that is too large for a task
-   is cut into blocks, and every two blocks meet.
+   is cut into blocks, and every two blocks meet.  How many blocks a cloud has is known from its texts' sizes before any
+   set is made, so sets are written once and exchanged once.
 5. Components of the exact links are the groups of near copies.
 """
 
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, bit_words, blocks, discard, flat, free_name, lean, may_be_in, mix64, runs, span_hashes, written
@@ -33,6 +36,9 @@ from .simhash_near import _distance, _named, _pairs, components, sorted_groups,
 COUNTERS = 1 << 20
 PIECES = 64
 DEVIATIONS = 6
+#: Bits of a sketch, and the 64-bit words that they are mixed from a hash with.
+BITS = 256
+MIXED = np.arange(BITS // 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text whose shingles are hashed at once.
 TEXT_BYTES = 1 << 19
 #: Up to this size a bucket sends all its links.
@@ -73,18 +79,20 @@ def shingled(texts: pa.Array, shingle: int, seed: int) -> tuple[np.ndarray, np.n
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """128-bit SimHash of hashes."""
-    votes = np.zeros(128, np.int64)
-    for at in range(0, len(hashes), 1 << 14):
-        x = hashes[at : at + (1 << 14)]
-        votes += np.unpackbits(np.stack([x, mix64(x)], 1).view(np.uint8).reshape(len(x), 16), axis=1).sum(0, dtype=np.int64)
+    """SimHash of ``BITS`` bits of hashes."""
+    votes = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 1 << 13):
+        x = hashes[at : at + (1 << 13)]
+        bits = np.unpackbits(mix64(x[:, None] ^ MIXED).view(np.uint8).reshape(len(x), -1), axis=1)
+        # eight counts a word: 255 rows at most, so none runs into the next one
+        votes += np.add.reduceat(bits.view(np.uint64), np.arange(0, len(x), 255), axis=0).view(np.uint8).sum(0, dtype=np.int64)
     return np.packbits(2 * votes > len(hashes)).tobytes()
 
 
 def sketch_radius(least: float) -> int:
     """The distance of sketches that a likeness of ``least`` stays within by ``DEVIATIONS`` deviations (at least 0.5 a bit)."""
     p = np.arccos(2 * least / (1 + least)) / np.pi
-    return int(128 * p + DEVIATIONS * np.sqrt(128 * 0.25))
+    return int(BITS * p + DEVIATIONS * np.sqrt(BITS * 0.25))
 
 
 def least_common(n: np.ndarray | int, least: float) -> np.ndarray:
@@ -141,6 +149,11 @@ def prefixes(texts: DataFrame, counts: np.ndarray, *, shingle: int, least: float
     return texts.mapInArrow(lean(run), "_k long, _h long, digest binary, n int, sketch binary, keys array<long>")
 
 
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """The rows key, rep whose key some other row has, too."""
+    return keyed.select("key", "rep", F.count("*").over(Window.partitionBy("key")).alias("_m")).filter("_m > 1").drop("_m")
+
+
 def candidate_links(keyed: DataFrame, *, least: float) -> DataFrame:
     """a > b of rows key, rep, n, sketch: for every bucket links that connect what all its possible links connect."""
     far = sketch_radius(least)
@@ -220,13 +233,35 @@ def exact_links(sets: list[np.ndarray], block: np.ndarray, across: bool, least:
     return links
 
 
+def in_blocks(members: DataFrame) -> DataFrame:
+    """``members`` (cloud, rep, n and others) with blocks, the number of blocks that the cloud's shingles make."""
+    sizes = members.groupBy(F.col("cloud").alias("_c")).agg(F.sum(F.col("n").cast("long")).alias("_all"))
+    blocked = members.join(sizes, F.col("cloud") == F.col("_c"))
+    return blocked.withColumn("blocks", (F.ceil(F.col("_all") / F.lit(CLOUD_SHINGLES)) * 2).cast("int")).drop("_c", "_all")
+
+
+def gram_sets(linked: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """cloud, blocks, rep and grams (ascending hashes of the shingles) of rows cloud, blocks, rep, _t."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in blocks(batches, "_t", TEXT_BYTES):
+            reps = b.column("rep").to_numpy()
+            new = np.r_[last is None or reps[0] != last, reps[1:] != reps[:-1]]  # equal rows stand together
+            b, last = b.filter(pa.array(new)), reps[-1]
+            h, offsets, _ = shingled(b.column("_t"), shingle, seed)
+            raw = h.tobytes()
+            grams = [raw[8 * lo : 8 * hi] for lo, hi in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("cloud"), b.column("blocks"), b.column("rep"), pa.array(grams, pa.binary())], ["cloud", "blocks", "rep", "grams"])
+
+    return linked.select("cloud", "blocks", "rep", "_t").mapInArrow(lean(run), "cloud long, blocks int, rep long, grams binary")
+
+
 def verified_links(sets: DataFrame, *, least: float) -> DataFrame:
-    """a > b of rows cloud, rep, n, grams (binary, ascending hashes): links that connect all near copies of a cloud, as
-    stars where the cloud is one block."""
-    sizes = sets.groupBy("cloud").agg(F.sum(F.col("n").cast("long")).alias("_all"))
-    blocked = sets.join(sizes, "cloud").withColumn("_blocks", F.ceil(F.col("_all") / F.lit(CLOUD_SHINGLES)) * 2)
-    blocked = blocked.withColumn("block", F.expr("if(_blocks <= 2, 0, pmod(xxhash64(rep), _blocks))").cast("int"))
-    others = F.expr("if(_blocks <= 2, array(0), sequence(0, cast(_blocks as int) - 1))")
+    """a > b of rows cloud, blocks, rep, grams (binary, ascending hashes): links that connect all near copies of a cloud,
+    as stars where the cloud is one block.  Rows of one rep are one."""
+    blocked = sets.withColumn("block", F.expr("if(blocks <= 2, 0, pmod(xxhash64(rep), blocks))").cast("int"))
+    others = F.expr("if(blocks <= 2, array(0), sequence(0, blocks - 1))")
     pairs = blocked.withColumn("_other", F.explode(others)).select("cloud", F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi"), "block", "rep", "grams")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,13 +279,15 @@ def verified_links(sets: DataFrame, *, least: float) -> DataFrame:
                 if held and group != (cloud, lo, hi) and (lo != hi or group[1] != group[2] or size > CLOUD_SHINGLES // 4):
                     yield found()
                     held, size = [], 0
+                if held and group == (cloud, lo, hi) and held[-1][3] == rep:
+                    continue
                 group = (cloud, lo, hi)
                 held.append((lo, hi, block, rep, grams))
                 size += len(grams) // 8
         if held:
             yield found()
 
-    return pairs.repartition("cloud", "lo", "hi").sortWithinPartitions("cloud", "lo", "hi").select("cloud", "lo", "hi", "block", "rep", "grams").mapInArrow(lean(run), "a long, b long")
+    return pairs.repartition("cloud", "lo", "hi").sortWithinPartitions("cloud", "lo", "hi", "rep").select("cloud", "lo", "hi", "block", "rep", "grams").mapInArrow(lean(run), "a long, b long")
 
 
 def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -268,25 +305,22 @@ def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shi
     one = F.min(F.struct(F.col("_k").isNull().alias("none"), F.col("_k").alias("least"), "_h", "n", "sketch", "keys")).alias("r")
     full = written(prints.groupBy("digest").agg(one).select("digest", "r.*").withColumn("rep", F.monotonically_increasing_id()), "classes", compact=False)
     discard(prints)
-    classes = written(full.select("digest", "rep", "least", "_h"), "classes")
-    found = written(candidate_links(full.select("rep", "n", "sketch", F.explode("keys").alias("key")), least=least), "candidates")
+    classes = written(full.select("digest", "rep", "least", "_h", "n"), "classes")
+    prints = written(full.select("rep", "n", "sketch"), "sketches", compact=False)
+    met = written(shared_keys(full.select("rep", F.explode("keys").alias("key"))), "met", compact=False)
     discard(full)
+    found = written(candidate_links(met.join(prints, "rep"), least=least), "candidates")
+    discard(met, prints)
     clouds = components(found, name="clouds")
-    members = written(classes.join(clouds, classes["rep"] == clouds["node"]).select("rep", F.col("component").alias("cloud"), "least", F.col("_h").alias("_mh")), "members")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "_t", TEXT_BYTES):
-            h, offsets, _ = shingled(b.column("_t"), shingle, seed)
-            raw = h.tobytes()
-            grams = [raw[8 * lo : 8 * hi] for lo, hi in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("cloud"), b.column("rep"), pa.array(np.diff(offsets), pa.int32()), pa.array(grams, pa.binary())], ["cloud", "rep", "n", "grams"])
+    members = classes.join(clouds, classes["rep"] == clouds["node"]).select("rep", F.col("component").alias("cloud"), "least", F.col("_h").alias("_mh"), "n")
+    members = written(in_blocks(members), "members")
 
     # only texts that the bit map shows meet the members in an exchange
     words = bit_words(members, F.xxhash64("least", "_mh"))
     some = may_be_in(texts, words, F.xxhash64("_k", "_h"), "_may").filter("_may")
-    linked = some.join(members, some["_k"].eqNullSafe(members["least"]) & (some["_h"] == members["_mh"])).select("cloud", "rep", "_t")
-    sets = written(linked.mapInArrow(lean(run), "cloud long, rep long, n int, grams binary"), "sets", compact=False)
-    kept = written(verified_links(sets.dropDuplicates(["rep"]), least=least), "links")
+    linked = some.join(members, some["_k"].eqNullSafe(members["least"]) & (some["_h"] == members["_mh"]))
+    sets = written(gram_sets(linked, shingle, seed), "sets", compact=False)
+    kept = written(verified_links(sets, least=least), "links")
     discard(sets, members, words, found, clouds)
     parts = components(kept, stars=True)
     named = _named(classes, parts)

@@ -99,3 +99,28 @@ def test_rows_are_judged_by_their_texts(spark):
     fate = {(r["doc_id"], r["component_id"]) for r in near_copies(df).collect()}
     assert {(1, 1), (2, 1), (2, 2), (5, 1), (None, 3), (None, 4), (9, 6), (None, 8)} <= fate
     assert deduplicated(df.limit(0)).collect() == []
+
+
+def test_strangers_that_share_keys_make_no_clouds(spark):
+    """Texts of one key that are otherwise others do not grow together, however many there are."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm import near_copies as nc
+
+    rng = np.random.default_rng(8)
+    sketches = [nc.sketch(rng.integers(0, 2**63, 300, dtype=np.uint64)) for _ in range(600)]
+    assert len(sketches[0]) * 8 == nc.BITS
+    keyed = spark.createDataFrame([(1, i, 300, bytearray(s)) for i, s in enumerate(sketches)], "key long, rep long, n int, sketch binary")
+    assert nc.candidate_links(keyed, least=0.8).count() == 0
+    one = keyed.unionByName(keyed.filter("rep = 7").select(F.lit(9).cast("long").alias("key"), "rep", "n", "sketch"))
+    assert sorted(map(tuple, nc.shared_keys(one).collect())) == [(1, i) for i in range(600)]
+
+
+def test_sketch_is_the_majority_of_each_bit():
+    from tessera.llm import near_copies as nc
+    from tessera.llm.common import mix64
+
+    for n in (1, 254, 256, 20_000):
+        h = np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64)
+        bits = np.unpackbits(mix64(h[:, None] ^ nc.MIXED).view(np.uint8).reshape(n, -1), axis=1)
+        assert nc.sketch(h) == np.packbits(2 * bits.sum(0, dtype=np.int64) > n).tobytes()
