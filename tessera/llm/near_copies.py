@@ -1,7 +1,8 @@
 """Near copies: texts whose sets of word shingles have a Jaccard likeness of ``least`` or more, without losing a link.
 
-The deletion variants of ``simhash_near`` find fingerprints a few bits apart.  Two texts of likeness 0.8 differ in some 19
-of 128 bits, too many for them, so candidates come from shingles here and SimHash only thins them:
+Candidates come first from SimHash: the deletion variants of ``simhash_near`` find all fingerprints (64 bits of the sketch)
+two bits apart or less.  Two texts of likeness 0.8 differ in some ten of 64 bits, too many for variants, so the other
+candidates come from rare shingles, which lose no link.  All candidates are compared exactly:
 
 1. One pass counts the shingles of all documents in a table of fixed size (it can only count too much).
 2. Texts with equal words are one class.  Of a text's n shingles the ``n - least * n + 1`` rarest are its keys: two texts
@@ -10,7 +11,7 @@ of 128 bits, too many for them, so candidates come from shingles here and SimHas
    for it and whose ``BITS``-bit SimHashes are less than ``DEVIATIONS`` deviations farther apart than the likeness gives.
    A bucket sends a spanning forest of these links, never all pairs.  The components are clouds; no link leaves its cloud.
    The bits decide how large clouds become: with 128, one pair of strangers in forty that share a key passes, and clouds
-   grow together as the corpus grows; with 256 one in ten million does.
+   grow together as the corpus grows; with 256 one in ten million does.  Links by deletion variants join the buckets'.
 4. Each cloud's sets of shingles meet once, in tasks of bounded size, and are compared exactly: by the same prefix rule with
    the counts of the cloud, and never within a component that has been found already.  A cloud that is too large for a task
    is cut into blocks, and every two blocks meet.  How many blocks a cloud has is known from its texts' sizes before any
@@ -30,12 +31,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, bit_words, blocks, discard, flat, free_name, lean, may_be_in, mix64, runs, span_hashes, written
-from .simhash_near import _distance, _named, _pairs, components, sorted_groups, star_links
+from .simhash_near import _distance, _named, _pairs, components, links, sorted_groups, star_links
 
 #: Counters of shingles, in one table a task, and the pieces that they are sent in.
 COUNTERS = 1 << 20
 PIECES = 64
 DEVIATIONS = 6
+#: Bits that fingerprints of deletion variants may differ in.
+RADIUS = 2
 #: Bits of a sketch, and the 64-bit words that they are mixed from a hash with.
 BITS = 256
 MIXED = np.arange(BITS // 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -149,6 +152,15 @@ def prefixes(texts: DataFrame, counts: np.ndarray, *, shingle: int, least: float
     return texts.mapInArrow(lean(run), "_k long, _h long, digest binary, n int, sketch binary, keys array<long>")
 
 
+def print_links(prints: DataFrame) -> DataFrame:
+    """a > b of rows rep, sketch: by deletion variants of the sketches' first 64 bits what is within ``RADIUS`` bits, where
+    equal ones are a star."""
+    fp = prints.select("rep", F.substring("sketch", 1, 8).alias("fp"))
+    heads = fp.groupBy("fp").agg(F.min("rep").alias("head"))
+    equal = fp.join(heads, "fp").filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    return links(heads.select(F.col("head").alias("rep"), "fp"), bits=64, radius=RADIUS).union(equal)
+
+
 def shared_keys(keyed: DataFrame) -> DataFrame:
     """The rows key, rep whose key some other row has, too."""
     return keyed.select("key", "rep", F.count("*").over(Window.partitionBy("key")).alias("_m")).filter("_m > 1").drop("_m")
@@ -309,8 +321,9 @@ def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shi
     prints = written(full.select("rep", "n", "sketch"), "sketches", compact=False)
     met = written(shared_keys(full.select("rep", F.explode("keys").alias("key"))), "met", compact=False)
     discard(full)
-    found = written(candidate_links(met.join(prints, "rep"), least=least), "candidates")
-    discard(met, prints)
+    near = written(print_links(prints), "print-links")
+    found = written(candidate_links(met.join(prints, "rep"), least=least).union(near).distinct(), "candidates")
+    discard(met, prints, near)
     clouds = components(found, name="clouds")
     members = classes.join(clouds, classes["rep"] == clouds["node"]).select("rep", F.col("component").alias("cloud"), "least", F.col("_h").alias("_mh"), "n")
     members = written(in_blocks(members), "members")

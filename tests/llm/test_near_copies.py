@@ -124,3 +124,36 @@ def test_sketch_is_the_majority_of_each_bit():
         h = np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64)
         bits = np.unpackbits(mix64(h[:, None] ^ nc.MIXED).view(np.uint8).reshape(n, -1), axis=1)
         assert nc.sketch(h) == np.packbits(2 * bits.sum(0, dtype=np.int64) > n).tobytes()
+
+
+def test_deletion_variants_link_close_fingerprints(spark):
+    from tessera.llm.near_copies import print_links
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(40):
+        base = rng.integers(0, 256, 32, dtype=np.uint8)
+        for flips in (0, 1, 2, 3):
+            bits = np.unpackbits(base)
+            bits[rng.choice(64, flips, replace=False)] ^= 1
+            bits[64:] = rng.integers(0, 2, len(bits) - 64)  # the other bits do not count
+            rows.append((len(rows), bytearray(np.packbits(bits).tobytes())))
+    words = np.array([np.frombuffer(bytes(x[:8]), np.uint64)[0] for _, x in rows])
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def join(pairs):
+        for a, b in pairs:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+        return [root(i) for i in range(len(rows))]
+
+    far = np.bitwise_count(words[:, None] ^ words[None])
+    want = join((int(a), int(b)) for a, b in zip(*np.nonzero(far <= 2)))
+    got = list(map(tuple, print_links(spark.createDataFrame(rows, "rep long, sketch binary")).collect()))
+    assert all(a > b and far[a, b] <= 2 for a, b in got)
+    parent[:] = range(len(rows))
+    assert join(got) == want and len(set(want)) < len(rows) // 2
