@@ -269,7 +269,13 @@ class SampleFrame:
         return [self.slice(i * size, (i + 1) * size) for i in range(-(-n // size))]
 
     def split(self, size: int) -> list[SampleFrame]:
-        return [self.slice(i, i + size) for i in range(0, self.count(), size)]
+        """Frames of ``size`` rows each, for few pieces: each is a plan of its own (see ``pieces``)."""
+        at = F.col(ROW)
+        return [self._with(self.df.filter((at >= i) & (at < i + size)).withColumn(ROW, at - i)) for i in range(0, self.count(), size)]
+
+    def pieces(self, size: int, name: str = "piece") -> DataFrame:
+        """All pieces of ``size`` rows as one table: the piece's number, and rows numbered anew in each."""
+        return self.df.withColumn(name, F.expr(f"{ROW} div {int(size)}")).withColumn(ROW, F.col(ROW) % int(size))
 
     def batches(self, size: int, epochs: int = 1, seed: int | None = None) -> Iterator[SampleFrame]:
         """Mini-batches of every epoch; with a seed each epoch is permuted by a hash of it."""
