@@ -88,33 +88,22 @@ def bins_needed(total: int, budget: int, at_least: int = 1, multiple: int = 1) -
 def by_batch(use: DataFrame, assign: Callable[[list[int], list[int], int], Iterable[tuple[int, int, int]]], names: Sequence[str]) -> DataFrame:
     """batch, row and two numbers (named) that ``assign`` gives for the rows, lengths and k of each batch of ``use``.
 
-    Tasks take their batches sorted, many in one Arrow batch; a batch is cut only by the end of its rows.
+    A batch becomes one row first, so whatever the planner does to the tasks, none gets a part of it.
     """
     schema = f"batch long, row long, {names[0]} int, {names[1]} int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def done(columns: list[np.ndarray]) -> pa.RecordBatch:
-            group, row, length, k = columns
-            cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if len(group) else np.zeros(1, np.int64)
-            out = [(int(group[lo]), *x) for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) for x in assign(row[lo:hi].tolist(), length[lo:hi].tolist(), int(k[lo]))]
-            parts = list(zip(*out, strict=True)) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(parts, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["batch", "row", *names])
-
         for b in batches:
             if not b.num_rows:
                 continue
-            new = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            columns = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
-            last = int(np.searchsorted(columns[0], columns[0][-1]))  # the last batch may go on
-            held = [c[last:] for c in columns]
-            if last:
-                yield done([c[:last] for c in columns])
-        if held:
-            yield done(held)
+            group, rows, lengths, k = b.columns
+            cut, row, length = (c.to_numpy(zero_copy_only=False) for c in (rows.offsets, rows.values, lengths.values))
+            out = [(g, *x) for g, lo, hi, n in zip(group.to_pylist(), cut[:-1].tolist(), cut[1:].tolist(), k.to_pylist(), strict=True) for x in assign(row[lo:hi].tolist(), length[lo:hi].tolist(), n)]
+            parts = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(parts, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["batch", "row", *names])
 
-    return use.select("batch", "row", "length", "k").repartition("batch").sortWithinPartitions("batch", "row").mapInArrow(run, schema)
+    grouped = use.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("row", "length"))).alias("_l"), F.first("k").alias("k"))
+    return grouped.select("batch", F.col("_l.row").alias("row"), F.col("_l.length").alias("length"), "k").mapInArrow(run, schema)
 
 
 def balanced(df: DataFrame, batch: str, row: str, length: str, k: int, equal_size: bool = True) -> DataFrame:
@@ -132,6 +121,17 @@ def balanced(df: DataFrame, batch: str, row: str, length: str, k: int, equal_siz
     return by_batch(use, assign, ["partition", "place"])
 
 
+def dealt_in_order(df: DataFrame, batch: str, row: str, length: str, k: int) -> DataFrame:
+    """(batch, row, partition, length): each batch's rows, in their order, to the least loaded of k partitions."""
+    use = df.select(F.col(batch).cast("long").alias("batch"), F.col(row).cast("long").alias("row"), F.col(length).cast("long").alias("length"), F.lit(k).alias("k"))
+
+    def assign(rows: list[int], x: list[int], k: int) -> Iterator[tuple[int, int, int]]:
+        for p, part in enumerate(in_order(x, k)):
+            yield from ((rows[i], p, x[i]) for i in part)
+
+    return by_batch(use, assign, ["partition", "length"])
+
+
 def token_batches(df: DataFrame, batch: str, row: str, length: str, budget: int, *, at_least: int = 1, multiple: int = 1, step: str | None = None, ordered: bool = True) -> DataFrame:
     """(batch, row, micro_batch, place): as few micro batches as the token budget asks, balanced by workload.
 

@@ -63,16 +63,11 @@ def p37_media(spark, sf_dir):
 
 def t10_in_order(spark, sf_dir):
     """Each row to the least loaded of four bins, in order: how the loads of 64 rows stand."""
-    s = balance._sequences(spark, sf_dir)
-
-    def one(g):
-        import pandas as pd
-
-        parts = balance.in_order(g.sort_values("row")["length"].tolist(), 4)
-        loads = [int(sum(g.sort_values("row")["length"].iloc[i] for i in p)) for p in parts]
-        return pd.DataFrame({"batch": [int(g["batch"].iloc[0])], "n": [sum(map(len, parts))], "total": [sum(loads)], "even": [bool(max(loads) - min(loads) <= int(g["length"].max()))]})
-
-    return s.groupBy("batch").applyInPandas(one, "batch long, n long, total long, even boolean")
+    placed = balance.dealt_in_order(balance._sequences(spark, sf_dir), "batch", "row", "length", 4)
+    loads = placed.groupBy("batch", "partition").agg(F.count("*").alias("n"), F.sum("length").alias("load"), F.max("length").alias("top"))
+    # a batch of fewer rows than bins has empty ones
+    least = F.when(F.count("*") < 4, 0).otherwise(F.min("load"))
+    return loads.groupBy("batch").agg(F.sum("n").alias("n"), F.sum("load").alias("total"), (F.max("load") - least <= F.max("top")).alias("even"))
 
 
 def t22_head_split(spark, sf_dir):
