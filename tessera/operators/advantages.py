@@ -240,7 +240,11 @@ def filter_and_downsample(df: DataFrame, b: Batch, low: float, high: float, over
     inside = b.over(F.avg(b.s)).between(low, high)
     if truncated:
         inside = inside & (b.over(F.max(F.col(truncated).cast("int"))) == 0)
-    return df.withColumn("_ok", inside.cast("int")).orderBy(F.desc("_ok"), b.group, *b.order).limit(int(df.count() // oversample)).drop("_ok")
+    from .frame import with_row_id
+
+    # rows are numbered by ranges, so no task sees all that are kept
+    ranked = with_row_id(df.withColumn("_out", F.coalesce(1 - inside.cast("int"), F.lit(2))), ["_out", b.group, *b.order], "_at")
+    return ranked.filter(F.col("_at") < int(df.count() // oversample)).drop("_out", "_at")
 
 
 def run_numbers(df: DataFrame, key: str, order: str, out: str = "run_no") -> DataFrame:
