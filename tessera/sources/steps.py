@@ -34,6 +34,8 @@ BATCH_LINES = 2000
 COMMITS = "_commits"
 #: Files that a task writes at once; where its rows are of more steps, a step has several files.
 OPEN_FILES = 64
+#: Files, and lines of theirs, that one task reads.
+TASK_FILES, TASK_LINES = 512, 100_000
 #: Filters that choose files, by the names of their classes.
 COMPARED = {"EqualTo": operator.eq, "GreaterThan": operator.gt, "GreaterThanOrEqual": operator.ge, "LessThan": operator.lt, "LessThanOrEqual": operator.le, "In": lambda step, values: step in values}
 
@@ -48,6 +50,14 @@ def _store(path: str):
 class StepFile(InputPartition):
     step: int
     name: str
+    lines: int = 0
+
+
+@dataclass
+class StepFiles(InputPartition):
+    """What one task reads, file by file."""
+
+    files: list[StepFile]
 
 
 @dataclass
@@ -69,10 +79,22 @@ def _files(path: str, commits: Iterable[str]) -> list[StepFile]:
     out = []
     for name in commits:
         with store.open_input_stream(f"{root}/{COMMITS}/{name}") as f:
-            out += [StepFile(step, file) for step, file, _ in json.loads(f.read())]
+            out += [StepFile(*file) for file in json.loads(f.read())]
     return sorted(out, key=lambda f: (f.step, f.name))
 
 
+def _tasks(files: Iterable[StepFile]) -> list[StepFiles]:
+    """Consecutive files for a task, as small ones are not worth one each."""
+    out, lines = [], 0
+    for f in files:
+        if not out or len(out[-1].files) == TASK_FILES or lines + f.lines > TASK_LINES:
+            out.append(StepFiles([]))
+            lines = 0
+        out[-1].files.append(f)
+        lines += f.lines
+    return out
+
+
 def _rows(path: str, schema: StructType, file: StepFile) -> Iterator[pa.RecordBatch]:
     """A file's lines in their order, as batches; columns that a line lacks are null."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -113,13 +135,12 @@ class StepReader(DataSourceReader):
     def _wanted(self, step: int) -> bool:
         return all(COMPARED[k](step, v) for k, v in self.tests)
 
-    def partitions(self) -> list[StepFile]:
-        return [f for f in _files(self.path, _commits(self.path)) if self._wanted(f.step)]
+    def partitions(self) -> list[StepFiles]:
+        return _tasks(f for f in _files(self.path, _commits(self.path)) if self._wanted(f.step))
 
-    def read(self, partition: StepFile) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # no file is wanted
-            return iter(())
-        return _rows(self.path, self.schema, partition)
+    def read(self, partition: StepFiles) -> Iterator[pa.RecordBatch]:
+        for file in partition.files if partition else ():  # None where no file is wanted
+            yield from _rows(self.path, self.schema, file)
 
 
 class StepStreamReader(DataSourceStreamReader):
@@ -134,11 +155,12 @@ class StepStreamReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:  # noqa: N802
         return {"commits": len(_commits(self.path))}
 
-    def partitions(self, start: dict, end: dict) -> list[StepFile]:
-        return _files(self.path, _commits(self.path)[start["commits"] : end["commits"]])
+    def partitions(self, start: dict, end: dict) -> list[StepFiles]:
+        return _tasks(_files(self.path, _commits(self.path)[start["commits"] : end["commits"]]))
 
-    def read(self, partition: StepFile) -> Iterator[pa.RecordBatch]:
-        return _rows(self.path, self.schema, partition)
+    def read(self, partition: StepFiles) -> Iterator[pa.RecordBatch]:
+        for file in partition.files:
+            yield from _rows(self.path, self.schema, file)
 
 
 class StepWriter(DataSourceArrowWriter):
