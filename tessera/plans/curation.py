@@ -183,6 +183,10 @@ def j08_selection(spark, sf_dir):
     return best.select("l_suppkey", "best_item", *[F.round(c, 6).alias(c) for c in ("best_acc", "acc_mean", "acc_std")])
 
 
+#: Scores that a task holds at once.
+SCORES = 1 << 18
+
+
 def top_similar(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, *, block_bytes: int = 32 << 20, digits: int = 6) -> DataFrame:
     """q_id, key, score, rank: the ``k`` vectors of highest cosine for every query vector (a stated set of rows; itself out).
 
@@ -210,12 +214,18 @@ def top_similar(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k
                 if not b.num_rows:
                     continue
                 own = b.column(0).to_numpy()
-                score = np.round(q @ unit(np.array(b.column(1).to_pylist(), float)).T, digits)
-                score[ids[:, None] == own[None]] = -np.inf
-                part = (np.broadcast_to(own, score.shape), score)
-                every = [np.concatenate([x, y], 1) for x, y in zip(best, part, strict=True)] if best else list(part)
-                order = np.lexsort((every[0], -every[1]), axis=1)[:, :k]
-                best = [np.take_along_axis(x, order, 1) for x in every]
+                v = unit(np.array(b.column(1).to_pylist(), float)).T
+                best = best or [np.zeros((len(ids), k), np.int64), np.full((len(ids), k), -np.inf)]
+                step = max(1, SCORES // len(own))
+                for at in range(0, len(ids), step):  # scores of some queries at a time, whose best stay
+                    cut = slice(at, at + step)
+                    score = np.round(q[cut] @ v, digits)
+                    score[ids[cut, None] == own[None]] = -np.inf
+                    part = (np.broadcast_to(own, score.shape), score)
+                    every = [np.concatenate([x[cut], y], 1) for x, y in zip(best, part, strict=True)]
+                    order = np.lexsort((every[0], -every[1]), axis=1)[:, :k]
+                    for x, y in zip(best, every, strict=True):
+                        x[cut] = np.take_along_axis(y, order, 1)
             if best:
                 keep = np.isfinite(best[1])
                 yield pa.RecordBatch.from_pydict({"q_id": np.repeat(ids, keep.sum(1)), key: best[0][keep], "score": best[1][keep]})
