@@ -185,9 +185,10 @@ def chunked_scores(df: DataFrame, columns: Sequence[str], score: Callable[[pd.Da
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
+            use, scores = f[list(columns)], []
             for at in range(0, len(f), size):
-                part = f.iloc[at : at + size]
-                yield part.assign(_score=list(score(part[list(columns)])))[[*names, "_score"]]
+                scores += list(score(use.iloc[at : at + size]))
+            yield f.assign(_score=scores)[[*names, "_score"]]
 
     done = df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("_score", T.DoubleType())]))
     return done.withColumn(out, F.when(F.col("_score").isNotNull(), scattered(F.col("_score"), F.col(length), F.lit(width)))).drop("_score")
