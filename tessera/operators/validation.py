@@ -7,16 +7,14 @@ draws' counts, where a tie goes to any of the tied alike (the first drawn).  So
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from math import factorial
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import _lines, _six, named_metrics, subset_sizes
+from .metrics import FEW, KEPT, _lines, _six, by_pattern, metric_sums, named_metrics, subset_sizes
 
 
 @cache
@@ -49,6 +47,20 @@ def win_probabilities(counts: tuple[int, ...], k: int) -> tuple[float, ...]:
     return tuple(out)
 
 
+def _vote_shares(pattern: bytes, k: int) -> np.ndarray:
+    """For each response, the probability that the majority of k draws is its value, by the pattern of votes."""
+    code = np.frombuffer(pattern, np.int32)
+    count = np.bincount(code, minlength=len(code))
+    there = np.flatnonzero(count)
+    by = there[np.argsort(count[there], kind="stable")]
+    win = np.zeros(len(code))
+    win[by] = win_probabilities(tuple(count[by].tolist()), k)
+    return (win / np.maximum(count, 1))[code]
+
+
+_vote_shares_kept = lru_cache(KEPT)(_vote_shares)
+
+
 def exact_prompt_metrics(values: np.ndarray, votes: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """mean@n, std@n, and the exact mean and deviation of best@k, worst@k and maj@k of prompts with n responses each."""
     n = values.shape[1]
@@ -61,14 +73,8 @@ def exact_prompt_metrics(values: np.ndarray, votes: np.ndarray | None = None) ->
         up = np.diff(i**k)
         laws = {"best": (ranked, np.broadcast_to(up, ranked.shape)), "worst": (ranked, np.broadcast_to(up[::-1], ranked.shape))}
         if votes is not None:
-            share = np.zeros(values.shape)
-            for row, code in zip(share, votes, strict=True):
-                count = np.bincount(code)
-                by = np.argsort(count, kind="stable")
-                win = np.empty(len(count))
-                win[by] = win_probabilities(tuple(count[by].tolist()), k)
-                row[:] = (win / count)[code]
-            laws["maj"] = (values, share)
+            law = _vote_shares_kept if n <= FEW else _vote_shares
+            laws["maj"] = (values, by_pattern(votes, lambda p, k=k, law=law: law(p, k)))
         for kind, (x, w) in laws.items():
             mean = (x * w).sum(1)
             out[f"{kind}@{k}/mean"], out[f"{kind}@{k}/std"] = mean, np.sqrt(np.maximum((x * x * w).sum(1) - mean**2, 0))
@@ -85,18 +91,7 @@ def exact_validation_metrics(df: DataFrame, source: str, uid: str, value: str, v
     given = df.filter(F.col(value).isNotNull())
     prompts = given.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(uid)).agg(F.collect_list(item).alias("_l"))
     prompts = prompts.select("source", F.col("_l.v").alias("values"), F.col("_l.p").alias("votes"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for (src, _), g in frame.groupby([frame["source"], frame["values"].map(len)]):
-                codes = np.stack([pd.factorize(np.array(v, dtype=object))[0] for v in g["votes"]]) if vote else None
-                m = exact_prompt_metrics(np.stack(g["values"].to_list()), codes)
-                rows += [(src, k, float(x.sum()), len(g)) for k, x in m.items()]
-            yield pd.DataFrame(rows, columns=["source", "metric", "total", "n"])
-
-    each = prompts.mapInPandas(run, "source string, metric string, total double, n long")
-    return each.groupBy("source", "metric").agg((F.sum("total") / F.sum("n")).alias("value"), F.sum("n").alias("prompts"))
+    return metric_sums(prompts, exact_prompt_metrics, vote is not None)
 
 
 def validated(prompts: DataFrame, *, uid: str, source: str, responses: str, score: Column, acc: Column | None = None, pred: Column | None = None, turns: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import metrics as M
+from tessera.operators import validation as V
 
 
 def plain(values, votes, k):
@@ -40,3 +41,16 @@ def test_patterns_and_null_sources(spark):
     assert got["", "mean@2"] == (3.0, 1) and got["s", "mean@1"] == (5.0, 1) and np.isnan(got["s", "best@2/mean"][0])
     assert {m for s, m in got if s == ""} == {"mean@2", "std@2"} | {f"{k}@2/{x}" for k in ("best", "worst", "maj") for x in ("mean", "std")}
     assert M.validation_metrics(df.filter(F.lit(False)), "src", "uid", "v", "o").count() == 0
+
+
+def test_laws_of_votes_are_worked_out_once_a_pattern(monkeypatch):
+    calls = []
+    law = V.win_probabilities
+    monkeypatch.setattr(V, "win_probabilities", lambda *a: calls.append(a) or law(*a))
+    rng = np.random.default_rng(4)
+    values, votes = rng.random((5000, 4)), rng.integers(0, 3, (5000, 4))
+    got = V.exact_prompt_metrics(values, votes)
+    assert 0 < len(calls) <= 2 * 14  # 14 patterns of four votes of three kinds, for k of 2 and 4
+    for i in range(9):
+        one = V.exact_prompt_metrics(values[i : i + 1], votes[i : i + 1])
+        assert all(np.isclose(got[k][i], one[k][0]) for k in got)
