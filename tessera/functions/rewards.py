@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib.util
 import os
 import tempfile
+import threading
 import time
 from collections.abc import Callable, Iterator
 
@@ -96,23 +97,93 @@ def dapo(df: DataFrame, score: Column, length: str, width: int, *, most: int, bu
     return naive(df, score + overlong_penalty(F.col(length), most, buffer, factor), length, width, out)
 
 
+#: Threads that score rows in a task; seconds after which a row that hardly computes is waited for aside, and how many of a
+#: task's rows are at once.
+THREADS, PATIENCE, WAITING = 4, 0.02, 64
+
+
+class _Scoring(threading.Thread):
+    """Scores rows of a frame one after another, until there are none or another thread has its place."""
+
+    def __init__(self, score: Callable[[dict], float], rows: Iterator[tuple[int, dict]], values: list, timeout: float, changed: threading.Condition):
+        super().__init__(daemon=True)  # a scorer that never returns does not hold the task
+        self.score, self.rows, self.values, self.timeout, self.changed = score, rows, values, timeout, changed
+        self.at, self.began, self.used, self.clock, self.replaced, self.ended = None, time.monotonic(), 0.0, None, False, False
+        self.start()
+
+    def run(self) -> None:
+        self.clock = time.pthread_getcpuclockid(threading.get_ident())
+        while True:
+            with self.changed:
+                at, row = (None, None) if self.replaced else next(self.rows, (None, None))
+                if row is None:
+                    self.ended = True
+                    self.changed.notify()
+                    return
+                self.at, self.used, self.began = at, time.thread_time(), time.monotonic()
+            try:
+                value = float(self.score(row))
+            except Exception:  # noqa: BLE001  a scorer's failure is a score of 0
+                value = 0.0
+            self.values[at] = 0.0 if self.late() else value
+
+    def late(self) -> bool:
+        return time.monotonic() - self.began > self.timeout
+
+    def waits(self) -> bool:
+        """Whether its row has taken a while and under a twentieth of it on the processor."""
+        ran = time.monotonic() - self.began
+        return self.at is not None and ran > PATIENCE and time.clock_gettime(self.clock) - self.used < ran / 20
+
+    def value(self) -> float:
+        return 0.0 if self.values[self.at] is None else self.values[self.at]
+
+
 @manager("prime")
-def prime(df: DataFrame, score: Callable[[dict], float], length: str, width: int, *, timeout: float = 300.0, out: str = "token_level_scores") -> DataFrame:
-    """Row by row with a time limit in a task; a failure or a late result scores 0."""
+def prime(df: DataFrame, score: Callable[[dict], float], length: str, width: int, *, timeout: float = 300.0, waiting: int = WAITING, out: str = "token_level_scores") -> DataFrame:
+    """Row by row, each with a time limit from its own start; a failure or a late result scores 0.
+
+    A row whose scorer waits (for a service, say) is set aside and another thread goes on with the rest, so up to ``waiting``
+    rows of a task wait at the same time and come behind the others of their batch.  A late scorer's thread is given up.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from concurrent.futures import ThreadPoolExecutor
-
-        with ThreadPoolExecutor(4) as pool:
-            for f in frames:
-                jobs = [pool.submit(score, r) for r in f.to_dict("records")]
-                values = []
-                for j in jobs:
-                    try:
-                        values.append(float(j.result(timeout=timeout)))
-                    except Exception:  # noqa: BLE001  a scorer's failure is a score of 0
-                        values.append(0.0)
-                yield f.assign(score=values)
+        changed, aside = threading.Condition(), []
+
+        def settled() -> Iterator[pd.DataFrame]:
+            over = [s.ended or s.late() for _, s in aside]
+            done = [x for x, o in zip(aside, over, strict=True) if o]
+            aside[:] = [x for x, o in zip(aside, over, strict=True) if not o]
+            if done:
+                yield pd.concat([f for f, _ in done]).assign(score=[s.value() for _, s in done])
+
+        for f in frames:
+            rows, values, later = iter(enumerate(f.to_dict("records"))), [None] * len(f), set()
+            busy = [_Scoring(score, rows, values, timeout, changed) for _ in range(min(THREADS, len(f)))]
+            while busy:
+                with changed:
+                    changed.wait_for(lambda busy=busy: all(s.ended for s in busy), PATIENCE)
+                    busy = [s for s in busy if not s.ended]
+                    free = waiting - sum(not s.ended and not s.late() for _, s in aside)
+                    for i, s in enumerate(busy):
+                        late = s.at is not None and s.late()
+                        if late or (free > 0 and s.waits()):
+                            s.replaced = True
+                            if late:
+                                values[s.at] = s.value()
+                            else:
+                                free -= 1
+                                later.add(s.at)
+                                aside.append((f.iloc[[s.at]], s))
+                            busy[i] = _Scoring(score, rows, values, timeout, changed)
+            now = [i for i in range(len(f)) if i not in later]
+            if now:
+                yield f.iloc[now].assign(score=[values[i] for i in now])
+            yield from settled()
+        while aside:
+            with changed:
+                changed.wait_for(lambda: any(s.ended or s.late() for _, s in aside), PATIENCE)
+            yield from settled()
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -131,7 +202,7 @@ def rate_limited(df: DataFrame, score: Callable[[dict], float], length: str, wid
         state["next"] = max(time.monotonic(), state["next"]) + 1 / per_second
         return score(row)
 
-    return prime(df, slow, length, width, out=out)
+    return prime(df, slow, length, width, waiting=0, out=out)
 
 
 def load_function(path: str, name: str, **bound) -> Callable:
