@@ -145,7 +145,7 @@ def built(columns: dict[str, DataFrame], row: str = ROW) -> DataFrame:
 def stacked_pairs(df: DataFrame, prompt: str, chosen: str, rejected: str, encode: Encode, width: int, *, end: int | None = None, pad: int = 0) -> DataFrame:
     """``df`` with input_ids and attention_mask of two rows each: prompt and chosen, prompt and rejected (and the end token),
     cut and padded on the right to ``width``."""
-    rows = encoded(encoded(encoded(df, prompt, encode, "_p"), chosen, encode, "_c"), rejected, encode, "_r")
+    rows = encoded(df, (prompt, chosen, rejected), encode, ("_p", "_c", "_r"))
     tail = F.array(*([F.lit(end).cast("long")] if end is not None else [])).cast("array<long>")
     both = F.array(*[F.concat("_p", side, tail) for side in ("_c", "_r")])
     rows = rows.withColumn("_ids", both)

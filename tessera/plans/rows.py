@@ -23,27 +23,32 @@ from .curation import renamed_legacy
 Encode = Callable[[list[str]], list[list[int]]]
 
 
-def encoded(df: DataFrame, text: str, encode: Encode, out: str = "ids", each: bool = False) -> DataFrame:
-    """``df`` with the ids of a text, or with ``each`` those of every text of an array; null is empty."""
-    names = df.columns
+def encoded(df: DataFrame, text: str | Sequence[str], encode: Encode, out: str | Sequence[str] = "ids", each: bool = False) -> DataFrame:
+    """``df`` with the ids of a text, or with ``each`` those of every text of an array; null is empty.
+
+    Several columns of texts, with as many names, are encoded in one pass, so by one Python worker a task.
+    """
+    names, texts, outs = df.columns, [text] if isinstance(text, str) else list(text), [out] if isinstance(out, str) else list(out)
+    kind = pa.list_(pa.list_(pa.int64())) if each else pa.list_(pa.int64())
+
+    def ids(values: list) -> pa.Array:
+        if not each:
+            return pa.array(encode([v or "" for v in values]), kind)
+        flat = [x or "" for v in values for x in v or ()]
+        ids, at, found = encode(flat), 0, []
+        for v in values:
+            n = len(v or ())
+            found.append(ids[at : at + n])
+            at += n
+        return pa.array(found, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = b.column(names.index(text)).to_pylist()
-            if each:
-                flat = [x or "" for v in values for x in v or ()]
-                ids, at, found = encode(flat), 0, []
-                for v in values:
-                    n = len(v or ())
-                    found.append(ids[at : at + n])
-                    at += n
-            else:
-                found = encode([v or "" for v in values])
-            kind = pa.list_(pa.list_(pa.int64())) if each else pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], [*names, out])
+            made = [ids(b.column(names.index(t)).to_pylist()) for t in texts]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], [*names, *outs])
 
     inner = T.ArrayType(T.LongType())
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(inner) if each else inner)]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(o, T.ArrayType(inner) if each else inner) for o in outs]]))
 
 
 # --- prompts ---
