@@ -1,7 +1,7 @@
 """Metrics of whole conversations by name: BLEU of the completion, tokens said, turns; what fails or is not there counts 0.
 
-N-grams are rows: both sides' multisets meet in one aggregation by conversation and gram, which clips the counts, so a long
-conversation is many small rows and never one task's list.
+N-grams are rows: both sides' multisets meet in one aggregation by conversation and gram, which clips the counts.  Tasks get
+whole conversations of a bounded sum of characters; the grams of a very long one are dealt out.
 """
 
 from __future__ import annotations
@@ -32,26 +32,41 @@ def metric(name: str):
     return add
 
 
+#: Characters of both sides that a task's n-grams are made from, and from which on a row's n-grams are dealt out by themselves.
+TASK_CHARS, LONG = 1 << 19, 1 << 20
+
+
+def _hits(sides: DataFrame, order: int) -> DataFrame:
+    """Clipped matches of each gram length, by row; rows that already lie together by ``_row`` stay where they are."""
+    lengths = F.sequence(F.lit(1), F.lit(order))
+    two = F.explode(F.array(F.struct(F.col("c").alias("t"), F.lit(1).alias("own")), F.struct(F.col("r").alias("t"), F.lit(0).alias("own"))))
+    each = sides.select("_row", two.alias("x")).select("_row", "x.t", "x.own", F.explode(lengths).alias("k"))
+    each = each.filter(F.char_length("t") >= F.col("k"))
+    each = each.select("_row", "k", "own", "t", F.explode(F.sequence(F.lit(1), F.char_length("t") - F.col("k") + 1)).alias("_i"))
+    each = each.select("_row", "k", "own", F.substring(F.col("t"), F.col("_i"), F.col("k")).alias("g"))
+    counts = each.groupBy("_row", "k", "g").agg(F.sum("own").alias("a"), F.sum(1 - F.col("own")).alias("b"))
+    return counts.groupBy("_row", "k").agg(F.sum(F.least("a", "b")).alias("hit"))
+
+
 def bleu(df: DataFrame, row: str, candidate: str, reference: str, order: int = 4) -> DataFrame:
     """``row`` and bleu: the brevity penalty times the geometric mean of clipped precisions of 1 to ``order`` characters.
 
     Without a common character the score is 0; a longer gram that is never shared counts as ``TINY``.  Null and empty texts
     score 0; rows with equal ids are taken together, so ids must be distinct.  A text shorter than a gram has one in the
     denominator.
+
+    Rows are dealt out whole, ``TASK_CHARS`` characters a task by their sum, and their grams counted where they are; a row
+    of ``LONG`` characters has its grams dealt out.
     """
     sides = df.select(F.col(row).alias("_row"), F.coalesce(F.col(candidate), F.lit("")).alias("c"), F.coalesce(F.col(reference), F.lit("")).alias("r"))
+    chars = F.char_length("c").cast("long") + F.char_length("r")
+    total, longest = sides.agg(F.sum(chars), F.max(chars)).first()
+    hits = _hits(sides.filter(chars < LONG).repartition((total or 0) // TASK_CHARS + 1, "_row"), order)
+    if (longest or 0) >= LONG:
+        hits = hits.unionByName(_hits(sides.filter(chars >= LONG), order))
     sizes = sides.select("_row", F.char_length("c").alias("n"), F.char_length("r").alias("m"))
-    grams = None
-    for side, own in (("c", F.lit(1)), ("r", F.lit(0))):
-        size = F.char_length(side)
-        starts = sides.select("_row", side, F.explode(F.sequence(F.lit(1), F.lit(order))).alias("k")).filter(size >= F.col("k"))
-        each = starts.select("_row", "k", side, F.explode(F.sequence(F.lit(1), size - F.col("k") + 1)).alias("_i"))
-        part = each.select("_row", "k", F.substring(F.col(side), F.col("_i"), F.col("k")).alias("g"), own.alias("own"))
-        grams = part if grams is None else grams.unionByName(part)
-    counts = grams.groupBy("_row", "k", "g").agg(F.sum("own").alias("a"), F.sum(1 - F.col("own")).alias("b"))
-    hits = counts.groupBy("_row", "k").agg(F.sum(F.least("a", "b")).alias("hit"))
-    total = F.greatest(F.col("n") - F.col("k") + 1, F.lit(1))
-    logs = hits.join(sizes, "_row").select("_row", "k", "hit", F.log(F.when(F.col("hit") > 0, F.col("hit").cast("double")).otherwise(TINY) / total).alias("log"))
+    places = F.greatest(F.col("n") - F.col("k") + 1, F.lit(1))
+    logs = hits.join(sizes, "_row").select("_row", "k", "hit", F.log(F.when(F.col("hit") > 0, F.col("hit").cast("double")).otherwise(TINY) / places).alias("log"))
     found = logs.groupBy("_row").agg(F.sum("log").alias("log"), F.count("*").alias("ks"), F.max(F.when(F.col("k") == 1, F.col("hit"))).alias("first"))
     # gram lengths that neither side has are zero hits of one
     mean = (F.col("log") + (order - F.col("ks")) * math.log(TINY)) / order
