@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,13 +32,9 @@ def let(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def stepped(df: DataFrame, columns: dict[str, Column], steps: Sequence[Callable[[Column], Column]]) -> DataFrame:
-    """``df`` with columns that go through the steps, each a projection: what a step uses more than once is not worked out
-    again (Catalyst keeps such projections apart), and all of it stays in generated code."""
-    for step in steps:
-        df = df.withColumns({name: step(x) for name, x in columns.items()})
-        columns = {name: F.col(name) for name in columns}
-    return df
+def where(x: Column, mark: str, f: Callable[[Column], Column]) -> Column:
+    """f of a text that holds ``mark``, any other text as it is: a pattern costs far more than a look for what it needs."""
+    return let(x, lambda v: F.when(v.contains(mark), f(v)).otherwise(v))
 
 
 def tail(text: Column, n: int = TAIL_CHARS) -> Column:
@@ -110,21 +106,26 @@ def unboxed(box: Column) -> Column:
 def _latex_cleaned(text: Column) -> Column:
     for a, b in LATEX_REPLACED:
         text = F.replace(text, F.lit(a), F.lit(b))
-    text = F.regexp_replace(text, r"(?s)\\text\{ .*$", "")
+    text = where(text, "\\text{ ", lambda v: F.regexp_replace(v, r"(?s)\\text\{ .*$", ""))
     for a, b in (("\\%", ""), (" .", " 0."), ("{.", "{0.")):
         text = F.replace(text, F.lit(a), F.lit(b))
-    text = F.regexp_replace(text, r"^\.", "0.")
-    text = F.regexp_replace(text, r"^[^=]{0,2}=([^=]*)$", "$1")
-    return F.replace(F.regexp_replace(text, r"\\sqrt([^{])", r"\\sqrt{$1}"), F.lit(" "), F.lit(""))
+    text = where(text, ".", lambda v: F.regexp_replace(v, r"^\.", "0."))
+    text = where(text, "=", lambda v: F.regexp_replace(v, r"^[^=]{0,2}=([^=]*)$", "$1"))
+    text = where(text, "\\sqrt", lambda v: F.regexp_replace(v, r"\\sqrt([^{])", r"\\sqrt{$1}"))
+    return F.replace(text, F.lit(" "), F.lit(""))
 
 
-def _latex_fractions(x: Column) -> Column:
-    full = F.regexp_replace(F.regexp_replace(x, r"\\frac([^{])([^{])", r"\\frac{$1}{$2}"), r"\\frac([^{])\{", r"\\frac{$1}{")
-    return F.when(x.rlike(r"\\frac[^{]$"), x).otherwise(full)
+def _latex_fractions(text: Column) -> Column:
+    def full(x: Column) -> Column:
+        both = F.regexp_replace(F.regexp_replace(x, r"\\frac([^{])([^{])", r"\\frac{$1}{$2}"), r"\\frac([^{])\{", r"\\frac{$1}{")
+        return F.when(x.rlike(r"\\frac[^{]$"), x).otherwise(both)
+
+    return where(text, "\\frac", full)
 
 
 def _latex_quotients(x: Column) -> Column:
-    return F.regexp_replace(F.when(x == "0.5", "\\frac{1}{2}").otherwise(x), r"^(0|-?[1-9][0-9]*)/(0|-?[1-9][0-9]*)$", r"\\frac{$1}{$2}")
+    half = F.when(x == "0.5", "\\frac{1}{2}").otherwise(x)
+    return where(half, "/", lambda v: F.regexp_replace(v, r"^(0|-?[1-9][0-9]*)/(0|-?[1-9][0-9]*)$", r"\\frac{$1}{$2}"))
 
 
 #: Clean-up of short LaTeX answers: line breaks, sizes, degrees, units, percent, leading zero, fractions, roots, a/b.
@@ -132,7 +133,7 @@ LATEX_STEPS = (_latex_cleaned, _latex_fractions, _latex_quotients)
 
 
 def latex_normalized(text: Column) -> Column:
-    """All of ``LATEX_STEPS`` as one expression; ``stepped`` makes projections of them."""
+    """All of ``LATEX_STEPS``, each on a value that is worked out once."""
     for step in LATEX_STEPS:
         text = let(text, step)
     return text

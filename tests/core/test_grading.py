@@ -1,6 +1,7 @@
 """Boxes against plain Python, expressions at points, and graders on answers of many kinds."""
 
 import random
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,3 +83,25 @@ def test_symbolic_columns(spark):
     assert all(r["ok"] == r["want"] for r in grading.symbolic_equal(df, "a", "b", "ok").collect())
     assert grading.symbolic_equal(df.limit(0), "a", "b", "ok").count() == 0
     assert [r["ok"] for r in grading.simplified_equal(df.filter("k in (1, 2, 6)"), "a", "b", "ok").orderBy("k").collect()] == [True, False, False]
+
+
+def test_prime_scores_grade_each_pair_once(spark):
+    rows = [("so the answer is \\boxed{12.0}", "12", True, True, "12.0"), ("Step 2: we get \\boxed{13}", "12", False, True, "13"), ("\\boxed{\\pi}", "3.14", True, False, "\\pi"), ("the answer is \\boxed{(1, 2)}", "(2,1)", False, False, "(1, 2)"), ("\\boxed{50\\%}", "0.5", True, False, "50\\%"), (None, "1", False, None, None), ("\\boxed{1}", None, False, False, "1"), ("So x = 2. Then y is 3. Done", "3", True, True, "3")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows * 9)], "i int, text string, truth string, want boolean, form boolean, told string")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    given = grading.prime_math_score(df, "text", "truth")
+    assert given.columns == [*df.columns, "extracted", "correct", "format"]
+    got = given.collect()
+    assert sorted(r["i"] for r in got) == list(range(len(rows) * 9))
+    for r in got:
+        assert (r["correct"], r["format"], r["extracted"]) == (r["want"], r["form"], r["told"]), r
+    pairs = df.select(grading.told_answer(F.col("text")).alias("_e"), F.col("truth").alias("_r")).distinct()
+    assert pairs.count() == len(rows) and grading._equal_pairs(pairs).count() == len(rows)
+
+
+def test_integers_are_told_apart_without_python(spark):
+    rows = [("12", "12", True), ("12", "13", False), ("-0", "0", True), ("007", "7", True), ("-5", "5", False), ("12\n", "12", True), ("1,000", "1000", True)]
+    df = spark.createDataFrame(rows, "a string, b string, want boolean")
+    assert all(r["ok"] == r["want"] for r in grading.grade_answer(df, "a", "b", "ok").collect())
+    cased, (settled, *_) = grading._grade_case(df.filter("a in ('12', '-5')"), "a", "b")
+    assert [r[0] is None for r in cased.select(settled).collect()] == [False] * 3
